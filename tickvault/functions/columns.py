@@ -73,3 +73,12 @@ def parse_iso_utc(text: Column) -> Column:
     return (F.when(~t.rlike(_ISO), F.lit(None).cast("timestamp_ntz"))
             .when(t.rlike(_OFFSET), instant_utc)
             .otherwise(t.try_cast("timestamp_ntz")))
+
+
+def iso_text(ts: Column) -> Column:
+    """TIMESTAMP_NTZ -> ISO-8601 text as Python's ``isoformat()`` writes it:
+    the fraction appears only when the microseconds are not zero."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(ts, "SSSSSS")
+    return F.concat(whole, F.when(micros != "000000", F.concat(F.lit("."), micros))
+                    .otherwise(F.lit("")))

@@ -1,3 +1,4 @@
 """Importing this module registers every query with the registry."""
 
-from tickvault.plans import catalog_queries, flagship, series_queries  # noqa: F401
+from tickvault.plans import (  # noqa: F401
+    catalog_queries, flagship, series_queries, temporal_queries)
