@@ -1,4 +1,5 @@
 """Importing this module registers every query with the registry."""
 
 from tickvault.plans import (  # noqa: F401
-    catalog_queries, flagship, ingest_queries, series_queries, temporal_queries)
+    catalog_queries, flagship, ingest_queries, resolve_queries, series_queries,
+    temporal_queries)
