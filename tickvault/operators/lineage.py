@@ -25,11 +25,13 @@ def _lit(v) -> Column:
 def record_provenance(records: DataFrame, payload: str | list[str], source_type: str | Column,
                       method: str | Column, ingest_time: Column, id_cols: list[str],
                       instrument_col: str = "instrumentId", source_col: str = "dataSourceId",
-                      transformation_logic: Column | None = None) -> DataFrame:
+                      transformation_logic: Column | None = None,
+                      raw_hash: Column | None = None) -> DataFrame:
     """One lineage row per accepted record.
 
     The provenance id is derived from ``id_cols`` (which must identify the
-    record), so a retried task writes the same ids.
+    record), so a retried task writes the same ids. ``raw_hash`` supplies a
+    hash computed earlier (e.g. of the record before validation changed it).
     """
     logic = transformation_logic if transformation_logic is not None \
         else F.lit(None).cast("string")
@@ -39,7 +41,7 @@ def record_provenance(records: DataFrame, payload: str | list[str], source_type:
         F.col(source_col).alias("sourceId"),
         _lit(source_type).alias("sourceType"),
         ingest_time.cast("timestamp_ntz").alias("ingestTime"),
-        payload_hash(payload).alias("rawDataHash"),
+        (raw_hash if raw_hash is not None else payload_hash(payload)).alias("rawDataHash"),
         _lit(method).alias("ingestionMethod"),
         logic.alias("transformationLogic"),
     )

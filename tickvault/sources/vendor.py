@@ -89,19 +89,24 @@ def map_vendor_columns(raw: DataFrame, col_map, keep: list[str] | None = None
 
 
 def scan_vendor_csv(spark: SparkSession, feeds: list[Feed], files: DataFrame,
-                    instruments: DataFrame) -> DataFrame:
+                    instruments: DataFrame, file_name_col: str | None = None,
+                    keep: list[str] | None = None) -> DataFrame:
     """Read every feed's files, map their columns and attach instruments.
 
     ``files`` maps a file name to a symbol (file_name, symbol); files not in
-    it, and symbols not registered, are skipped (inner joins). Each feed is
-    one multi-file read (one header layout), all columns read as text.
+    it, and symbols not registered, are skipped (inner joins, the small side
+    broadcast by AQE when it is small). Each feed is one multi-file read (one
+    header layout), all columns read as text. The file name is the file's
+    own name, or a partition column (``file_name_col``) for a folder layout
+    such as ``file=WIKI-AAPL.csv/part-*.csv``.
     """
     parts = []
     for feed in feeds:
         opts = {"header": "true", "inferSchema": "false", "mode": "PERMISSIVE", **feed.options}
-        raw = (spark.read.options(**opts).csv(feed.path)
-               .withColumn("file_name", F.col("_metadata.file_name")))
-        rows, _ = map_vendor_columns(raw, feed.col_map, keep=["file_name"])
+        raw = spark.read.options(**opts).csv(feed.path)
+        name = F.col(file_name_col) if file_name_col else F.col("_metadata.file_name")
+        raw = raw.withColumn("file_name", name.cast("string"))
+        rows, _ = map_vendor_columns(raw, feed.col_map, keep=["file_name", *(keep or [])])
         parts.append(rows.withColumn("feed", F.lit(feed.name)))
     allrows = parts[0]
     for p in parts[1:]:
