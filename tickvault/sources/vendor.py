@@ -149,27 +149,17 @@ EXTERNAL_RESERVED = ("open", "close", "high", "low", "volume", "timestamp", "ins
                      "dataSourceId", "symbol", "id")
 
 
-def _truthy_text(item: Column, key: str) -> Column:
-    """item[key] as text when Python would find it truthy (non-empty string,
-    non-zero number, true), else null."""
-    v = F.try_variant_get(item, f"$.{key}", "variant")
-    kind = F.schema_of_variant(v)
-    text = F.try_variant_get(v, "$", "string")
-    number = F.try_variant_get(v, "$", "double")
-    return (F.when(kind == "STRING", F.nullif(text, F.lit("")))
-            .when(kind == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True")))
-            .when(kind.startswith("DECIMAL") | kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT",
-                                                        "DOUBLE", "FLOAT"),
-                  F.when(number != 0, text)))
+_NUMERIC_KINDS = ("TINYINT", "SMALLINT", "INT", "BIGINT", "DOUBLE", "FLOAT")
+_EXTERNAL_KEYS = ("instrumentId", "symbol", "id", "timestamp", *INDICATORS)
 
 
-def _price(item: Column, key: str) -> tuple[Column, Column]:
-    """(value, ok): absent -> 0; present but not a finite number (JSON null
-    included) -> not ok."""
-    v = F.try_variant_get(item, f"$.{key}", "variant")
-    num = F.try_variant_get(v, "$", "double")
-    ok = v.isNull() | (num.isNotNull() & ~F.isnan(num) & (F.abs(num) != float("inf")))
-    return F.coalesce(num, F.lit(0.0)), ok
+def _truthy_text(kind: Column, text: Column, num: Column) -> Column:
+    """A JSON value as text when Python would find it truthy (non-empty
+    string, non-zero number, true), else null."""
+    return (F.when(kind == "STRING", F.nullif(text, F.lit("")))
+            .when(kind == "BOOLEAN", F.when(text == "true", F.lit("True")))
+            .when(kind.startswith("DECIMAL") | kind.isin(*_NUMERIC_KINDS),
+                  F.when(num != 0, text)))
 
 
 def normalise_external_json(payloads: DataFrame, batch_ts, payload_col: str = "payload",
@@ -181,43 +171,63 @@ def normalise_external_json(payloads: DataFrame, batch_ts, payload_col: str = "p
     record: instrument = first truthy of instrumentId, symbol, id; timestamp
     missing or empty -> batch time, present but unparsable -> record
     dropped; open/close/high/low/volume default to 0 and a value that is not
-    a number drops the record; every other key becomes an extra indicator
-    (numeric values). Returns (records, rejects-with-reason).
+    a number (JSON null included) drops the record; every other key becomes
+    an extra indicator (numeric values). Returns (records, rejects-with-reason).
+
+    The JSON is parsed once into a VARIANT; each field's type, text and
+    number are then extracted once, in stages, so no extraction is repeated
+    inside the larger expressions built on them.
     """
     keep = keep or []
     v = F.try_parse_json(F.col(payload_col))
-    kind = F.schema_of_variant(v)
-    data = F.try_variant_get(v, "$.data", "variant")
-    as_list = F.try_variant_get(v, "$", "array<variant>")
-    items = (F.when(kind.startswith("ARRAY"), as_list)
-             .when(kind.startswith("OBJECT") & F.schema_of_variant(data).startswith("ARRAY"),
-                   F.try_variant_get(data, "$", "array<variant>"))
-             .when(kind.startswith("OBJECT"), F.array(v)))
-    rows = payloads.select(*keep, F.posexplode(items).alias("item_pos", "item"))
-    item = F.col("item")
-    is_obj = F.schema_of_variant(item).startswith("OBJECT")
-    ts_raw = _truthy_text(item, "timestamp")
-    ts = parse_iso_utc(ts_raw)
-    prices = {k: _price(item, k) for k in INDICATORS}
-    fields = F.try_variant_get(item, "$", "map<string,variant>")
+    staged = payloads.select(*keep, v.alias("_v")).select(
+        *keep, "_v", F.schema_of_variant("_v").alias("_kind"),
+        F.try_variant_get("_v", "$.data", "array<variant>").alias("_data"))
+    items = (F.when(F.col("_kind").startswith("ARRAY"),
+                    F.try_variant_get("_v", "$", "array<variant>"))
+             .when(F.col("_data").isNotNull(), F.col("_data"))
+             .when(F.col("_kind").startswith("OBJECT"), F.array("_v")))
+    rows = staged.select(*keep, F.posexplode(items).alias("item_pos", "item"))
+    # Path lookups search the variant's sorted keys; nothing is rebuilt, so
+    # the checks stay cheap even where the optimizer repeats them in filters.
+    typed = rows.select(*keep, "item_pos", "item", *[
+        x for k in _EXTERNAL_KEYS for x in (
+            F.try_variant_get("item", f"$.{k}", "variant").isNotNull().alias(f"_p_{k}"),
+            F.schema_of_variant(F.try_variant_get("item", f"$.{k}", "variant")).alias(f"_k_{k}"),
+            F.try_variant_get("item", f"$.{k}", "string").alias(f"_t_{k}"),
+            F.try_variant_get("item", f"$.{k}", "double").alias(f"_n_{k}"))])
+
+    def truthy(k):
+        return _truthy_text(F.col(f"_k_{k}"), F.col(f"_t_{k}"), F.col(f"_n_{k}"))
+
+    def price_ok(k):
+        n = F.col(f"_n_{k}")
+        return ~F.col(f"_p_{k}") | (n.isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf")))
+
+    fields = F.try_variant_get("item", "$", "map<string,variant>")
     others = F.map_filter(fields, lambda k, x: ~k.isin(*EXTERNAL_RESERVED))
     extras = F.map_filter(F.transform_values(others, lambda k, x: F.try_variant_get(x, "$", "double")),
                           lambda k, x: x.isNotNull())
-    instrument = F.coalesce(_truthy_text(item, "instrumentId"), _truthy_text(item, "symbol"),
-                            _truthy_text(item, "id"))
-    bad_price = F.lit(False)
-    for _, ok in prices.values():
-        bad_price = bad_price | ~ok
-    reason = (F.when(~is_obj, "not an object")
-              .when(ts_raw.isNotNull() & ts.isNull(), "bad timestamp")
-              .when(bad_price, "non-numeric price")
-              .when(instrument.isNull(), "missing instrument"))
-    out = rows.select(
+    derived = typed.select(
         *keep, "item_pos",
-        instrument.alias("instrumentId"),
-        F.coalesce(ts, F.lit(batch_ts).cast("timestamp_ntz")).alias("dataTimestamp"),
-        *[prices[k][0].alias(k) for k in INDICATORS],
-        extras.alias("extras"),
-        reason.alias("reject_reason"))
+        F.schema_of_variant("item").startswith("OBJECT").alias("_obj"),
+        F.coalesce(truthy("instrumentId"), truthy("symbol"), truthy("id")).alias("instrumentId"),
+        truthy("timestamp").alias("_ts_text"),
+        *[F.coalesce(F.col(f"_n_{k}"), F.lit(0.0)).alias(k) for k in INDICATORS],
+        F.greatest(*[~price_ok(k) for k in INDICATORS]).alias("_bad_price"),
+        "item")
+    parsed = derived.withColumn("_ts", parse_iso_utc(F.col("_ts_text")))
+    reason = (F.when(~F.col("_obj"), "not an object")
+              .when(F.col("_ts_text").isNotNull() & F.col("_ts").isNull(), "bad timestamp")
+              .when(F.col("_bad_price"), "non-numeric price")
+              .when(F.col("instrumentId").isNull(), "missing instrument"))
+    out = parsed.select(
+        *keep, "item_pos", "instrumentId",
+        F.coalesce("_ts", F.lit(batch_ts).cast("timestamp_ntz")).alias("dataTimestamp"),
+        *INDICATORS, extras.alias("extras"), reason.alias("reject_reason"))
+    # The good/bad split filters on the computed reason. Passing the record
+    # through a one-element inline (a Generate) keeps those filters above
+    # the parse instead of letting them be pushed down and re-expanded.
+    out = out.select(F.inline(F.array(F.struct(*out.columns))))
     return (out.filter(F.col("reject_reason").isNull()).drop("reject_reason"),
             out.filter(F.col("reject_reason").isNotNull()))
