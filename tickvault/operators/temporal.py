@@ -9,9 +9,8 @@ Both the version fold and the as-of join need "the previous/next row of the
 same key". A plain ``Window.partitionBy(key)`` would sort a hot key (say a
 third of all changes) inside one task. Instead every row gets a time bucket
 and the windows run per (key, bucket); the one value that crosses a bucket
-edge comes from a per-(key, bucket) summary (an ordinary partial aggregate)
-and a small per-key window over those summaries, joined back on
-(key, bucket). A hot key is therefore spread over as many tasks as it has
+edge comes from the bucket's edge row (read off the same window output) and
+a small per-key window over those edge rows, joined back on (key, bucket). A hot key is therefore spread over as many tasks as it has
 buckets, and no step emits pairs of rows.
 """
 
@@ -34,18 +33,28 @@ def time_bucket(ts: Column, bucket_hours: int) -> Column:
 def _neighbour(df: DataFrame, keys: list[str], order: list[str], value: str,
                bucket: str, direction: int) -> DataFrame:
     """Add ``_nb``: ``value`` of the previous (direction -1) or next (+1) row of
-    the same key in ``order``; null for the first (last) row of the key."""
+    the same key in ``order``; null for the first (last) row of the key.
+
+    The window runs per (key, bucket). The row at a bucket's edge takes its
+    neighbour from the nearest non-empty bucket before (after) it: the edge
+    rows of every bucket (one per bucket, read off the same window output)
+    are shifted by a per-key window over buckets and joined back. ``df``
+    is shuffled once; both uses read the same exchange.
+    """
     shift = F.lag if direction < 0 else F.lead
-    pick = F.max_by if direction < 0 else F.min_by
     w_in = Window.partitionBy(*keys, bucket).orderBy(*order)
     local = (df.withColumn("_nb", shift(F.col(value)).over(w_in))
-             .withColumn("_edge", shift(F.lit(1)).over(w_in).isNull()))
-    ends = df.groupBy(*keys, bucket).agg(pick(F.col(value), F.struct(*order)).alias("_end"))
+             .withColumn("_first", F.lag(F.lit(1)).over(w_in).isNull())
+             .withColumn("_last", F.lead(F.lit(1)).over(w_in).isNull()))
+    # `near`: the edge row whose neighbour lies in another bucket;
+    # `far`: the edge row that is that neighbour for the adjacent bucket
+    near, far = ("_first", "_last") if direction < 0 else ("_last", "_first")
+    ends = local.filter(F.col(far)).select(*keys, bucket, F.col(value).alias("_end"))
     w_b = Window.partitionBy(*keys).orderBy(bucket)
     carry = ends.select(*keys, bucket, shift("_end").over(w_b).alias("_carry"))
     return (local.join(carry, [*keys, bucket])
-            .withColumn("_nb", F.when(F.col("_edge"), F.col("_carry")).otherwise(F.col("_nb")))
-            .drop("_edge", "_carry"))
+            .withColumn("_nb", F.when(F.col(near), F.col("_carry")).otherwise(F.col("_nb")))
+            .drop("_first", "_last", "_carry"))
 
 
 def apply_changes(feed: DataFrame, key: str = "instrumentId", ts: str = "ts",
@@ -135,9 +144,12 @@ def as_of(versions: DataFrame, points: DataFrame, key: str = "instrumentId",
     order = ["_t", "_kind", "_seq"]
     w_in = (Window.partitionBy(key, "_b").orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = rows.withColumn("_in", F.last("_v", ignorenulls=True).over(w_in))
-    ends = rows.groupBy(key, "_b").agg(
-        F.max_by("_v", F.when(F.col("_kind") == 0, F.struct(*order))).alias("_end"))
+    w_pos = Window.partitionBy(key, "_b").orderBy(*order)
+    local = (rows.withColumn("_in", F.last("_v", ignorenulls=True).over(w_in))
+             .withColumn("_lastrow", F.lead(F.lit(1)).over(w_pos).isNull()))
+    # the running value on a bucket's last row is the bucket's latest version;
+    # carry it to later buckets (one row per bucket, same exchange as `local`)
+    ends = local.filter(F.col("_lastrow")).select(key, "_b", F.col("_in").alias("_end"))
     w_b = (Window.partitionBy(key).orderBy("_b")
            .rowsBetween(Window.unboundedPreceding, -1))
     carry = ends.select(key, "_b", F.last("_end", ignorenulls=True).over(w_b).alias("_carry"))
