@@ -62,12 +62,25 @@ def spark_rows(df):
     return cols, [tuple(r) for r in df.collect()]
 
 
+_DUCK_TYPE = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+              "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN",
+              "TimestampNTZType()": "TIMESTAMP", "DateType()": "DATE"}
+
+
+def type_diff(df, rel):
+    """Columns whose Spark type does not correspond to the DuckDB type."""
+    s = {f.name: _DUCK_TYPE.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
+    d = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (s.get(c), d.get(c)) for c in set(s) | set(d) if s.get(c) != d.get(c)}
+
+
 def compare(spark, name: str, sf_dir: str, con=None):
     import __spark_entry__ as E
     q = E.queries()[name]
     sql = E.oracle_sql().get(name)
     t0 = time.time()
-    s_cols, s_rows = spark_rows(q(spark, sf_dir))
+    df = q(spark, sf_dir)
+    s_cols, s_rows = spark_rows(df)
     t1 = time.time()
     result = {"name": name, "spark_rows": len(s_rows), "spark_sec": round(t1 - t0, 2)}
     if sql is None:
@@ -79,8 +92,11 @@ def compare(spark, name: str, sf_dir: str, con=None):
     result["oracle_rows"] = len(d_rows)
     sc, sr = normalise(s_cols, s_rows)
     dc, dr = normalise(d_cols, d_rows)
+    types = type_diff(df, rel)
     if sc != dc:
         result["status"] = f"columns differ: spark={sc} oracle={dc}"
+    elif types:
+        result["status"] = f"types differ: {types}"
     elif sr != dr:
         bad = [(a, b) for a, b in zip(sr, dr) if a != b][:3]
         result["status"] = f"values differ (rows {len(sr)} vs {len(dr)}): {bad}"

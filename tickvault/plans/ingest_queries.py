@@ -227,7 +227,8 @@ def _payloads(spark, sf_dir):
 @query("normalise_external_json", f"""
 SELECT event_id, 'INST_' || CAST(user_id AS VARCHAR) AS instrumentId,
        CASE WHEN event_id % 9 = 1 THEN TIMESTAMP '{BATCH_TS}' ELSE ts END AS dataTimestamp,
-       0.0 AS open, 0.0 AS high, 0.0 AS low, value AS close,
+       CAST(0 AS DOUBLE) AS open, CAST(0 AS DOUBLE) AS high, CAST(0 AS DOUBLE) AS low,
+       value AS close,
        CAST(json_extract(props, '$.k') AS DOUBLE) AS volume,
        CAST(json_extract(props, '$.k') AS DOUBLE) AS pe
 FROM events WHERE event_id % 11 <> 0 AND event_id % 9 <> 0 AND event_id % 10 <> 0""")

@@ -14,7 +14,7 @@ RANGE_START, RANGE_END = "2024-01-05 00:00:00", "2024-01-25 23:59:59"
 
 @query("series_range", with_tables("series") + f"""
 SELECT seriesId, instrumentId, dataSourceId, dataTimestamp, close,
-       CAST(json_extract(props, '$.k') AS DOUBLE) AS k, rowNumber
+       CAST(json_extract(props, '$.k') AS DOUBLE) AS k, CAST(rowNumber AS INTEGER) AS rowNumber
 FROM (SELECT *, row_number() OVER ({NEWEST}) AS rowNumber FROM series
       WHERE dataTimestamp >= TIMESTAMP '{RANGE_START}' AND dataTimestamp <= TIMESTAMP '{RANGE_END}')
 WHERE rowNumber <= 1000""")
