@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickvault.functions.partitioning import spread
 from tickvault.operators.catalog import active
 
 
@@ -36,16 +37,19 @@ def substring_index(df: DataFrame, text: Column, id_col: str, max_len: int) -> D
     characters, the best row id in (createdAt, id) order."""
     if max_len <= 0:
         return df.sparkSession.createDataFrame([], f"sub string, {id_col} string")
-    t = text
+    # Rows sharing a text need exploding once: keep the best id per text
+    # first (a partial aggregate), then explode distinct texts only.
+    per_text = (df.select(text.alias("_t"), _order(df, id_col).alias("_o"), F.col(id_col))
+                .filter(F.length("_t") > 0)
+                .groupBy("_t").agg(F.min_by(F.struct("_o", id_col), "_o").alias("_b")))
+    t = F.col("_t")
     n = F.length(t)
     subs = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+        F.sequence(F.lit(1), n),
         lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i + 1, F.lit(max_len))),
                               lambda k: F.substring(t, i, k))))
-    rows = (df.filter(n > 0)
-            .select(F.explode(F.array_distinct(subs)).alias("sub"), _order(df, id_col).alias("_o"),
-                    F.col(id_col)))
-    return rows.groupBy("sub").agg(F.min_by(id_col, "_o").alias(id_col))
+    rows = spread(per_text).select(F.explode(F.array_distinct(subs)).alias("sub"), "_b")
+    return rows.groupBy("sub").agg(F.min_by(F.col("_b")[id_col], F.col("_b")["_o"]).alias(id_col))
 
 
 def resolve_instruments(refs: DataFrame, instruments: DataFrame, ref_col: str = "ref",

@@ -24,6 +24,10 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Plan per-group row caps (statistics keep the newest 10,000 rows per
+    # pair) as a partial WindowGroupLimit before the shuffle; Spark's default
+    # only does so for caps up to 1,000.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 
