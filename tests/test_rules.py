@@ -163,7 +163,7 @@ def test_versions_do_not_overlap_or_gap(spark):
             t += dt.timedelta(minutes=rng.randint(1, 3000))
             rows.append((f"I{k}", t, len(rows), rng.choice(["register", "delete", "restore"])))
     feed = spark.createDataFrame(rows, "instrumentId string, ts timestamp_ntz, event_id long, op string")
-    v = temporal.apply_changes(feed, bucket_hours=6)
+    v = temporal.apply_changes(feed, rows_per_bucket=4)
     by_key = {}
     for r in v.collect():
         by_key.setdefault(r.instrumentId, []).append(r)
@@ -184,11 +184,11 @@ def test_as_of_matches_brute_force(spark):
             t += dt.timedelta(minutes=rng.randint(1, 5000))
             rows.append((f"I{k}", t, len(rows), rng.choice(["register", "delete", "restore"])))
     feed = spark.createDataFrame(rows, "instrumentId string, ts timestamp_ntz, event_id long, op string")
-    v = temporal.apply_changes(feed, bucket_hours=5)
+    v = temporal.apply_changes(feed, rows_per_bucket=3)
     pts = spark.createDataFrame(
         [(f"I{rng.randint(0, 5)}", T0 + dt.timedelta(minutes=rng.randint(0, 200000)), i)
          for i in range(400)], "instrumentId string, at timestamp_ntz, pid int")
-    got = temporal.as_of(v, pts, at="at", bucket_hours=5).select("pid", "validFrom")
+    got = temporal.as_of(v, pts, at="at", rows_per_bucket=7).select("pid", "validFrom")
     cond = ((pts.instrumentId == v.instrumentId) & (v.validFrom <= pts.at)
             & (v.validTo.isNull() | (pts.at < v.validTo)))
     want = pts.join(v, cond).select("pid", "validFrom")
@@ -289,3 +289,43 @@ def test_export_iso_text(spark):
 def test_trend_rejects_non_positive_days(spark, days):
     with pytest.raises(ValueError):
         series.trend(_series(spark, [1.0, 2.0]), days=days)
+
+
+def _python_fold(rows):
+    """Reference fold of (key, ts, seq, op) rows, straight from the rules."""
+    out, by_key = [], {}
+    for r in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        by_key.setdefault(r[0], []).append(r)
+    for k, ops in by_key.items():
+        state, versions = None, []
+        for _, t, s, op in ops:
+            if state is None:
+                if op != "register":
+                    continue
+                state = True
+                versions.append([k, t, None, True])
+                continue
+            if op == "register":
+                continue
+            new = op != "delete"
+            if new != state:
+                versions[-1][2] = t
+                versions.append([k, t, None, new])
+            state = new
+        out.extend(tuple(v) for v in versions)
+    return sorted(out)
+
+
+def test_fold_hot_key_matches_python_reference(spark):
+    import random
+    rng = random.Random(3)
+    rows, t = [], T0
+    for i in range(3000):                      # one hot key: most of the feed
+        t += dt.timedelta(seconds=rng.randint(1, 900))
+        key = "HOT" if rng.random() < 0.8 else f"K{rng.randint(0, 30)}"
+        rows.append((key, t, i, rng.choice(["register", "delete", "delete", "restore"])))
+    feed = spark.createDataFrame(rows, "instrumentId string, ts timestamp_ntz, event_id long, op string")
+    for per_bucket in (50, 10**6):
+        got = temporal.apply_changes(feed, rows_per_bucket=per_bucket).select(
+            "instrumentId", "validFrom", "validTo", "isActive").collect()
+        assert sorted(tuple(r) for r in got) == _python_fold(rows)

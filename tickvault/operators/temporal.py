@@ -7,11 +7,13 @@ Skew
 ----
 Both the version fold and the as-of join need "the previous/next row of the
 same key". A plain ``Window.partitionBy(key)`` would sort a hot key (say a
-third of all changes) inside one task. Instead every row gets a time bucket
-and the windows run per (key, bucket); the one value that crosses a bucket
-edge comes from the bucket's edge row (read off the same window output) and
-a small per-key window over those edge rows, joined back on (key, bucket). A hot key is therefore spread over as many tasks as it has
-buckets, and no step emits pairs of rows.
+third of all changes) inside one task. Instead each key's time range is cut
+into buckets sized from the key's own row count (about ``rows_per_bucket``
+rows each, from a per-key aggregate), and the windows run per (key,
+bucket). The few values that cross a bucket edge come from one summary row
+per bucket, carried by a per-key window over those rows and joined back on
+(key, bucket). An ordinary key is one bucket; a hot key is spread over as
+many tasks as its size needs, and no step emits pairs of rows.
 """
 
 from __future__ import annotations
@@ -24,50 +26,39 @@ from tickvault.functions.columns import iso_text
 OPS = ("register", "delete", "restore")
 
 
-def time_bucket(ts: Column, bucket_hours: int) -> Column:
-    """Zone-free, order-preserving hour bucket of a TIMESTAMP_NTZ."""
-    hours = F.unix_date(F.to_date(ts)).cast("bigint") * 24 + F.hour(ts)
-    return F.floor(hours / F.lit(bucket_hours))
+ROWS_PER_BUCKET = 1_000_000
 
 
-def _neighbour(df: DataFrame, keys: list[str], order: list[str], value: str,
-               bucket: str, direction: int) -> DataFrame:
-    """Add ``_nb``: ``value`` of the previous (direction -1) or next (+1) row of
-    the same key in ``order``; null for the first (last) row of the key.
+def key_stats(df: DataFrame, key: str, ts: str) -> list[Column]:
+    """Aggregates that size a key's buckets: row count and time range."""
+    return [F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_t0"), F.max(ts).alias("_t1")]
 
-    The window runs per (key, bucket). The row at a bucket's edge takes its
-    neighbour from the nearest non-empty bucket before (after) it: the edge
-    rows of every bucket (one per bucket, read off the same window output)
-    are shifted by a per-key window over buckets and joined back. ``df``
-    is shuffled once; both uses read the same exchange.
-    """
-    shift = F.lag if direction < 0 else F.lead
-    w_in = Window.partitionBy(*keys, bucket).orderBy(*order)
-    local = (df.withColumn("_nb", shift(F.col(value)).over(w_in))
-             .withColumn("_first", F.lag(F.lit(1)).over(w_in).isNull())
-             .withColumn("_last", F.lead(F.lit(1)).over(w_in).isNull()))
-    # `near`: the edge row whose neighbour lies in another bucket;
-    # `far`: the edge row that is that neighbour for the adjacent bucket
-    near, far = ("_first", "_last") if direction < 0 else ("_last", "_first")
-    ends = local.filter(F.col(far)).select(*keys, bucket, F.col(value).alias("_end"))
-    w_b = Window.partitionBy(*keys).orderBy(bucket)
-    carry = ends.select(*keys, bucket, shift("_end").over(w_b).alias("_carry"))
-    return (local.join(carry, [*keys, bucket])
-            .withColumn("_nb", F.when(F.col(near), F.col("_carry")).otherwise(F.col("_nb")))
-            .drop("_first", "_last", "_carry"))
+
+def time_bucket(ts: Column, rows_per_bucket: int) -> Column:
+    """Order-preserving bucket of ``ts`` within its key, given the key's
+    ``_n``, ``_t0``, ``_t1`` (see ``key_stats``): the key's time range cut
+    into ceil(n / rows_per_bucket) equal spans. Times outside the range fall
+    in buckets before or after it, still in time order."""
+    buckets = F.ceil(F.col("_n") / F.lit(rows_per_bucket))
+    span = F.timestamp_diff("SECOND", F.col("_t0"), F.col("_t1")) + 1
+    offset = F.timestamp_diff("SECOND", F.col("_t0"), ts)
+    return F.when(buckets <= 1, F.lit(0).cast("bigint")).otherwise(
+        F.floor(offset * buckets / span))
 
 
 def apply_changes(feed: DataFrame, key: str = "instrumentId", ts: str = "ts",
                   seq: str = "event_id", op: str = "op", reason: str | None = "reason",
                   default_reason: str = "user_requested", recorded: str | None = None,
-                  bucket_hours: int = 24) -> DataFrame:
+                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Fold a register / delete / restore change feed into versions.
 
     Rules: the first register of a key wins; changes before it and later
     registers are dropped; a delete of an inactive key and a restore of an
     active key are no-ops and dropped. After any op the state is fixed by the
-    op alone (delete -> inactive, otherwise active), so an op is a no-op
-    exactly when the previous raw op left the same state.
+    op alone (delete -> inactive, otherwise active), so an op is kept exactly
+    when the previous raw op left the other state; kept ops alternate
+    between active and inactive, so a version ends at the first later op of
+    the other state.
 
     Output: one row per version with validFrom, validTo (next version's
     start, null for the current one), isActive, deletionMarker
@@ -75,34 +66,72 @@ def apply_changes(feed: DataFrame, key: str = "instrumentId", ts: str = "ts",
     sequence number, transactionStart (when the change was recorded:
     ``recorded`` column, else its own time) and validToRecordedAt (when the
     version's end became known).
+
+    One sorted pass per (key, time bucket) yields, per op, the previous op's
+    state and the next op of either state; the values that cross a bucket
+    edge come from one summary row per bucket, carried by a per-key window
+    over those rows and joined back on (key, bucket).
     """
     order_key = F.struct(ts, seq)
-    first_reg = (feed.filter(F.col(op) == "register")
-                 .groupBy(key).agg(F.min(order_key).alias("_first")))
-    eligible = (feed.join(first_reg, key)
+    # one partial aggregate per key: its first register and its bucket sizing
+    per_key = feed.groupBy(key).agg(
+        F.min(F.when(F.col(op) == "register", order_key)).alias("_first"),
+        *key_stats(feed, key, ts))
+    eligible = (feed.join(per_key.filter(F.col("_first").isNotNull()), key)
                 .filter(order_key >= F.col("_first"))
                 .filter((F.col(op) != "register") | (order_key == F.col("_first")))
-                .drop("_first")
-                .withColumn("_b", time_bucket(F.col(ts), bucket_hours))
+                .withColumn("_b", time_bucket(F.col(ts), rows_per_bucket))
+                .drop("_first", "_n", "_t0", "_t1")
                 .withColumn("_active", F.col(op) != "delete")
                 .withColumn("_rec", F.col(recorded) if recorded else F.col(ts)))
-    prev = _neighbour(eligible, [key], [ts, seq], "_active", "_b", -1)
-    kept = prev.filter(F.col("_nb").isNull() | (F.col("_nb") != F.col("_active"))).drop("_nb")
-    nxt = _neighbour(kept.withColumn("_next", F.struct(F.col(ts).alias("t"), F.col("_rec").alias("r"))),
-                     [key], [ts, seq], "_next", "_b", +1)
+    stamp = F.struct(F.col(ts).alias("t"), F.col("_rec").alias("r"))
+    on = F.when(F.col("_active"), stamp)
+    off = F.when(~F.col("_active"), stamp)
+
+    w = Window.partitionBy(key, "_b").orderBy(ts, seq)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # "the nearest later op" as a growing frame over the reversed order
+    later = (Window.partitionBy(key, "_b").orderBy(F.col(ts).desc(), F.col(seq).desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
+    local = eligible.select(
+        "*",
+        F.lag("_active").over(w).alias("_prev"),
+        F.lead(F.lit(1)).over(w).isNull().alias("_lastInBucket"),
+        F.first(on, ignorenulls=True).over(upto).alias("_firstOn"),
+        F.first(off, ignorenulls=True).over(upto).alias("_firstOff"),
+        F.last(on, ignorenulls=True).over(later).alias("_nextOn"),
+        F.last(off, ignorenulls=True).over(later).alias("_nextOff"))
+
+    # one row per bucket: its final state and its first op of each state
+    ends = local.filter("_lastInBucket").select(
+        key, "_b", F.col("_active").alias("_endState"), "_firstOn", "_firstOff")
+    wb = Window.partitionBy(key).orderBy("_b")
+    wb_later = Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    carry = ends.select(
+        key, "_b",
+        F.lag("_endState").over(wb).alias("_cPrev"),
+        F.last("_firstOn", ignorenulls=True).over(wb_later).alias("_cOn"),
+        F.last("_firstOff", ignorenulls=True).over(wb_later).alias("_cOff"))
+
+    joined = local.join(carry, [key, "_b"])
+    prev = F.coalesce("_prev", "_cPrev")
+    kept = joined.filter(prev.isNull() | (prev != F.col("_active")))
+    ends_at = F.when(F.col("_active"), F.coalesce("_nextOff", "_cOff")).otherwise(
+        F.coalesce("_nextOn", "_cOn"))
     why = F.col(reason) if reason and reason in feed.columns else F.lit(None).cast("string")
     marker = F.when(F.col(op) == "delete", F.concat(
         F.lit("DELETED_"), iso_text(F.col(ts)), F.lit("_"), F.coalesce(why, F.lit(default_reason))))
-    return nxt.select(
+    return kept.select(
         key,
         F.col(ts).alias("validFrom"),
-        F.col("_nb.t").alias("validTo"),
+        ends_at["t"].alias("validTo"),
         F.col("_active").alias("isActive"),
         marker.alias("deletionMarker"),
         F.col(op).alias("op"),
         F.col(seq).alias(seq),
         F.col("_rec").alias("transactionStart"),
-        F.col("_nb.r").alias("validToRecordedAt"),
+        ends_at["r"].alias("validToRecordedAt"),
     )
 
 
@@ -118,7 +147,7 @@ def inactive_current(versions: DataFrame) -> DataFrame:
 
 def as_of(versions: DataFrame, points: DataFrame, key: str = "instrumentId",
           at: str = "dataTimestamp", how: str = "inner", seq: str | None = "event_id",
-          bucket_hours: int = 24) -> DataFrame:
+          rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """For every point (key, time), the version valid at that time.
 
     Versions of a key must not overlap (true of ``apply_changes`` output);
@@ -139,8 +168,14 @@ def as_of(versions: DataFrame, points: DataFrame, key: str = "instrumentId",
     prows = points.select(key, F.col(at).alias("_t"), F.lit(1).alias("_kind"),
                           F.lit(0).cast("long").alias("_seq"),
                           F.lit(None).cast(vtype).alias("_v"), F.struct(*pcols).alias("_p"))
+    # buckets are sized from the points (the side a hot key makes large);
+    # versions before or after a key's points land in outer buckets
+    stats = points.groupBy(key).agg(*key_stats(points, key, at))
     rows = (vrows.unionByName(prows).filter(F.col("_t").isNotNull())
-            .withColumn("_b", time_bucket(F.col("_t"), bucket_hours)))
+            .join(stats, key, "left")
+            .withColumn("_b", F.coalesce(time_bucket(F.col("_t"), rows_per_bucket),
+                                         F.lit(0).cast("bigint")))
+            .drop("_n", "_t0", "_t1"))
     order = ["_t", "_kind", "_seq"]
     w_in = (Window.partitionBy(key, "_b").orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
