@@ -13,7 +13,9 @@ def spread(df: DataFrame) -> DataFrame:
     inputs; large inputs already arrive in many splits and are returned
     unchanged, so no shuffle is added at scale.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of the plan (e.g. a Spark Connect session)
+        return df
+    return df.repartition(cores) if splits < cores else df

@@ -196,3 +196,48 @@ def trend(series: DataFrame, days: int = 30, row_cap: int | None = 1000,
     return joined.select(*PAIR, *_trend_columns(
         F.col("_n"), F.col("_recent"), F.col("_total") - F.col("_recent"), days,
         F.col("_hi"), F.col("_lo")))
+
+
+def stats_and_trend(series: DataFrame, stats_cap: int = 10_000, trend_cap: int = 1000,
+                    days: int = 30, keys: DataFrame | None = None) -> DataFrame:
+    """O33 and O35 for every pair from one sorted pass and one aggregate.
+
+    The trend's newest ``trend_cap`` rows are a prefix of the statistics'
+    newest ``stats_cap`` rows, so one row number (with a running count of
+    closes for the trend's positions) serves both; results equal
+    ``series_stats`` (value order) and ``trend`` column for column.
+    """
+    if days <= 0:
+        raise ValueError("days must be positive")
+    if trend_cap > stats_cap:
+        raise ValueError("trend_cap must not exceed stats_cap")
+    close = F.col("close")
+    money = close.cast(MONEY)
+    running = _newest_first().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = (narrow(series, keys)
+            .withColumn("_rn", F.row_number().over(_newest_first()))
+            .withColumn("_pos", F.count(close).over(running))
+            .filter(F.col("_rn") <= stats_cap)
+            .filter(close.isNotNull()))
+    in_trend = F.col("_rn") <= trend_cap
+    tclose = F.when(in_trend, close)
+    agg = rows.groupBy(*PAIR).agg(
+        F.count(close).alias("count"),
+        F.min(close).alias("minPrice"),
+        F.max(close).alias("maxPrice"),
+        exact_mean(close).alias("avgPrice"),
+        F.median(close).alias("medianPrice"),
+        F.count(tclose).alias("_n"),
+        F.sum(F.when(in_trend & (F.col("_pos") <= days), money)).alias("_recent"),
+        F.sum(F.when(in_trend & (F.col("_pos") > days), money)).alias("_older"),
+        F.max(tclose).alias("_hi"), F.min(tclose).alias("_lo"))
+    change = F.col("maxPrice") - F.col("minPrice")
+    trend_cols = _trend_columns(F.col("_n"), F.col("_recent"), F.col("_older"), days,
+                                F.col("_hi"), F.col("_lo"))
+    return agg.select(
+        *PAIR, "count", "minPrice", "maxPrice", "avgPrice", "medianPrice",
+        F.col("minPrice").alias("firstPrice"), F.col("maxPrice").alias("lastPrice"),
+        change.alias("priceChange"),
+        F.when(F.col("minPrice") != 0, change / F.col("minPrice") * 100)
+        .otherwise(F.lit(0.0)).alias("percentChange"),
+        *trend_cols[1:])  # the trend's own row count is not repeated

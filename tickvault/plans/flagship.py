@@ -2,7 +2,8 @@
 
 Statistics (O33) and trend (O35) for every pair, with the instrument's symbol
 and name and the source's provider name. Both per-pair results come out of
-one scan of ``series``; the dimension joins are left to Catalyst/AQE, which
+one scan, one shuffle, one sort and one aggregate of ``series``
+(``stats_and_trend``); the dimension joins are left to Catalyst/AQE, which
 broadcast the dimension sides only when their measured size allows.
 """
 
@@ -18,13 +19,10 @@ from tickvault.sources import driver
 
 def instrument_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = driver.series(spark, sf_dir)
-    stats = ops.series_stats(s, row_cap=10_000)
-    tr = ops.trend(s, days=30, row_cap=1000).select(
-        "instrumentId", "dataSourceId", "trend", "recentAvg", "olderAvg", "changePercent")
+    card = ops.stats_and_trend(s, stats_cap=10_000, trend_cap=1000, days=30)
     inst = driver.instruments(spark, sf_dir).select("instrumentId", "symbol", "name")
     src = driver.sources(spark, sf_dir).select("dataSourceId", "providerName")
-    return (stats.join(tr, ["instrumentId", "dataSourceId"])
-            .join(inst, "instrumentId", "left")
+    return (card.join(inst, "instrumentId", "left")
             .join(src, "dataSourceId", "left")
             .select("instrumentId", "symbol", "name", "dataSourceId", "providerName",
                     "count", "minPrice", "maxPrice", "avgPrice", "medianPrice",
