@@ -3,4 +3,5 @@
 from tickvault.plans import (  # noqa: F401
     catalog_queries, flagship, ingest_queries, resolve_queries, series_queries,
     temporal_queries)
-from tickvault.plans import roundtrip_queries  # noqa: F401  (reuses oracles registered above)
+from tickvault.plans import (  # noqa: F401  (reuse oracles registered above)
+    composed_queries, roundtrip_queries)
