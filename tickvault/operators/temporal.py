@@ -168,11 +168,15 @@ def as_of(versions: DataFrame, points: DataFrame, key: str = "instrumentId",
     prows = points.select(key, F.col(at).alias("_t"), F.lit(1).alias("_kind"),
                           F.lit(0).cast("long").alias("_seq"),
                           F.lit(None).cast(vtype).alias("_v"), F.struct(*pcols).alias("_p"))
-    # buckets are sized from the points (the side a hot key makes large);
-    # versions before or after a key's points land in outer buckets
-    stats = points.groupBy(key).agg(*key_stats(points, key, at))
+    # Buckets are sized from the points (the side a hot key makes large);
+    # versions before or after a key's points land in outer buckets. Only
+    # keys with more than `rows_per_bucket` points need more than one bucket,
+    # and there are at most (points / rows_per_bucket) of them, so that small
+    # table is broadcast and the big side is not shuffled for it.
+    hot = (points.groupBy(key).agg(*key_stats(points, key, at))
+           .filter(F.col("_n") > rows_per_bucket))
     rows = (vrows.unionByName(prows).filter(F.col("_t").isNotNull())
-            .join(stats, key, "left")
+            .join(F.broadcast(hot), key, "left")
             .withColumn("_b", F.coalesce(time_bucket(F.col("_t"), rows_per_bucket),
                                          F.lit(0).cast("bigint")))
             .drop("_n", "_t0", "_t1"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tickvault.operators import temporal as ops
 from tickvault.plans.oracle import with_tables
 from tickvault.plans.registry import query
+from tickvault.session import scratch_path
 from tickvault.sources import driver
 
 TX_TIME = "2024-01-15 00:00:00"
@@ -40,6 +41,15 @@ def versions(spark, sf_dir):
     return ops.apply_changes(driver.change_feed(spark, sf_dir))
 
 
+def stored_versions(spark, sf_dir):
+    """The version table as the warehouse keeps it: folded once, written to
+    the shared folder and read back (as-of queries read it twice, and this
+    also cuts the fold's lineage)."""
+    path = scratch_path(spark, "versions")
+    versions(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query("apply_changes", VERSIONS_SQL + "SELECT * FROM versions")
 def q_apply_changes(spark, sf_dir):
     return versions(spark, sf_dir)
@@ -72,7 +82,7 @@ def _with_series(sql: str) -> str:
 @query("as_of", _with_series(VERSIONS_SQL) + _AS_OF_SQL.format(vers="versions"))
 def q_as_of(spark, sf_dir):
     pts = driver.series(spark, sf_dir).select("instrumentId", "seriesId", "dataTimestamp")
-    return ops.as_of(versions(spark, sf_dir), pts)
+    return ops.as_of(stored_versions(spark, sf_dir), pts)
 
 
 _KNOWN_SQL = f"""
@@ -89,4 +99,4 @@ _KNOWN_SQL = f"""
        _AS_OF_SQL.format(vers="known"))
 def q_as_of_bitemporal(spark, sf_dir):
     pts = driver.series(spark, sf_dir).select("instrumentId", "seriesId", "dataTimestamp")
-    return ops.as_of_bitemporal(versions(spark, sf_dir), pts, TX_TIME)
+    return ops.as_of_bitemporal(stored_versions(spark, sf_dir), pts, TX_TIME)
