@@ -329,3 +329,11 @@ def test_fold_hot_key_matches_python_reference(spark):
         got = temporal.apply_changes(feed, rows_per_bucket=per_bucket).select(
             "instrumentId", "validFrom", "validTo", "isActive").collect()
         assert sorted(tuple(r) for r in got) == _python_fold(rows)
+
+
+def test_copy_ordinals_are_dense_per_key(spark):
+    rows = [("A",)] * 500 + [("B",)] * 3 + [("C",)]
+    df = spark.createDataFrame(rows, "k string").repartition(7)
+    got = ingest.with_copy_ordinal(df, ["k"]).groupBy("k").agg(
+        F.sort_array(F.collect_list("_ordinal")).alias("o")).collect()
+    assert {r.k: r.o for r in got} == {"A": list(range(1, 501)), "B": [1, 2, 3], "C": [1]}

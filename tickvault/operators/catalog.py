@@ -74,21 +74,24 @@ def lookup_instruments(refs: DataFrame, instruments: DataFrame, ref_col: str = "
     """Active instrument by id, else by exact symbol; misses kept with nulls.
 
     ``refs`` has a string column ``ref_col``; output keeps every ref row and
-    adds the instrument's columns (null on a miss).
+    adds the instrument's columns (null on a miss). Ids and symbols go into
+    one keyed table (an id outranks a symbol with the same text), so the
+    references -- the large side -- are joined, and shuffled, once.
     """
     act = active(instruments)
-    cols = [c for c in act.columns]
-    by_id = act.select(F.col("instrumentId").alias("_k"), F.struct(*cols).alias("_byId"))
-    hit = refs.join(by_id, refs[ref_col] == by_id["_k"], "left").drop("_k")
+    cols = list(act.columns)
+    inst = F.struct(*cols)
+    keyed = act.select(F.col("instrumentId").alias("_k"), F.lit(0).alias("_prio"),
+                       inst.alias("_inst"))
     if by_symbol:
-        by_sym = act.select(F.col("symbol").alias("_k"), F.struct(*cols).alias("_bySym"))
-        hit = hit.join(by_sym, hit[ref_col] == by_sym["_k"], "left").drop("_k")
-        found = F.coalesce(F.col("_byId"), F.col("_bySym"))
+        keyed = keyed.unionByName(act.select(F.col("symbol").alias("_k"), F.lit(1).alias("_prio"),
+                                             inst.alias("_inst")))
+        keyed = keyed.groupBy("_k").agg(F.min_by("_inst", "_prio").alias("_inst"))
     else:
-        found = F.col("_byId")
-    keep = [c for c in refs.columns]
-    return hit.select(*keep, found.alias("_inst")).select(
-        *keep, *[F.col(f"_inst.{c}").alias(c) for c in cols])
+        keyed = keyed.drop("_prio")
+    hit = refs.join(keyed, refs[ref_col] == keyed["_k"], "left")
+    keep = list(refs.columns)
+    return hit.select(*keep, *[F.col(f"_inst.{c}").alias(c) for c in cols])
 
 
 def list_sources(sources: DataFrame) -> DataFrame:

@@ -93,13 +93,36 @@ def assign_keys(df: DataFrame, prefix: str, natural_key: list[str], out_col: str
     """
     cols = list(natural_key)
     if ordinal:
-        w = Window.partitionBy(*natural_key).orderBy(*natural_key)
-        df = df.withColumn("_ordinal", F.row_number().over(w))
+        df = with_copy_ordinal(df, natural_key)
         cols.append("_ordinal")
     out = df.withColumn(out_col, surrogate_key(prefix, *cols))
     return out.drop("_ordinal") if ordinal else out
 
 
+def with_copy_ordinal(df: DataFrame, key: list[str]) -> DataFrame:
+    """Add ``_ordinal``: 1, 2, ... over the rows sharing ``key``.
+
+    Copies are numbered within their input split first (a window over
+    (key, split), so a key repeated across a third of the table is spread
+    over all its splits), then offset by the copies in earlier splits (a
+    running sum over one count row per (key, split)). A row whose key is
+    unique gets 1. The split numbers are frozen by a reliable checkpoint
+    (in ``spark.checkpoint.dir``) before the two uses read them, so both
+    see the same numbering and a retry after a lost executor re-reads it.
+    """
+    split = df.withColumn("_split", F.spark_partition_id()).checkpoint(eager=True)
+    w = Window.partitionBy(*key, "_split").orderBy(*key)
+    local = split.withColumn("_rn", F.row_number().over(w))
+    counts = split.groupBy(*key, "_split").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*key).orderBy("_split").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = counts.select(*key, "_split",
+                            F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    return (local.join(offsets, [*key, "_split"])
+            .withColumn("_ordinal", F.col("_off") + F.col("_rn"))
+            .drop("_split", "_rn", "_off"))
+
+
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row per key in ``order`` -- a partial ``min_by`` aggregate,
     so a key repeated a billion times still ships one row per task."""
