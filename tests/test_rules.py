@@ -337,3 +337,10 @@ def test_copy_ordinals_are_dense_per_key(spark):
     got = ingest.with_copy_ordinal(df, ["k"]).groupBy("k").agg(
         F.sort_array(F.collect_list("_ordinal")).alias("o")).collect()
     assert {r.k: r.o for r in got} == {"A": list(range(1, 501)), "B": [1, 2, 3], "C": [1]}
+
+
+def test_approx_median_option(spark):
+    s = _series(spark, [float(i) for i in range(1, 102)])
+    exact = _one(series.series_stats(s, row_cap=None)).medianPrice
+    approx = _one(series.series_stats(s, row_cap=None, median="approx")).medianPrice
+    assert exact == 51.0 and abs(approx - 51.0) <= 1.0

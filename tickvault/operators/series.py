@@ -89,13 +89,20 @@ def _close_rows(series, start, end, row_cap, keys):
 
 
 def series_stats(series: DataFrame, start=None, end=None, row_cap: int | None = 10_000,
-                 order: str = "value", keys: DataFrame | None = None) -> DataFrame:
+                 order: str = "value", keys: DataFrame | None = None,
+                 median: str = "exact", accuracy: int = 10_000) -> DataFrame:
     """Count, min, max, mean, true median, first, last, change, % change.
 
     ``order="value"`` keeps the reference's behaviour: prices are sorted by
     value, so first = min and last = max. ``order="time"`` gives the
     chronologically first and last close instead.
+
+    The exact median keeps a value -> count map per pair; with the row cap
+    that map is bounded. Without a cap, ``median="approx"`` switches to
+    ``percentile_approx`` (bounded sketch, relative rank error 1/accuracy).
     """
+    if median not in ("exact", "approx"):
+        raise ValueError("median must be 'exact' or 'approx'")
     rows = _close_rows(series, start, end, row_cap, keys)
     close = F.col("close")
     if order == "value":
@@ -110,7 +117,8 @@ def series_stats(series: DataFrame, start=None, end=None, row_cap: int | None =
         F.min(close).alias("minPrice"),
         F.max(close).alias("maxPrice"),
         exact_mean(close).alias("avgPrice"),
-        F.median(close).alias("medianPrice"),
+        (F.median(close) if median == "exact"
+         else F.percentile_approx(close, 0.5, accuracy)).alias("medianPrice"),
         first.alias("firstPrice"),
         last.alias("lastPrice"),
     )
