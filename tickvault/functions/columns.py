@@ -23,21 +23,11 @@ def exact_mean(c: Column, n: Column | None = None) -> Column:
     return exact_sum(c).cast("double") / count
 
 
-def guarded_div(num: Column, den: Column, otherwise=0.0) -> Column:
-    """num / den, or ``otherwise`` when den is 0 (no ANSI divide-by-zero)."""
-    return F.when(den != 0, num / den).otherwise(F.lit(otherwise))
-
-
 def first_truthy(*cols: Column) -> Column:
     """Python's ``a or b or c`` over text-like values: '' and null fall through."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
 
 
-def ts_order(ts: str = "dataTimestamp", tiebreak: str = "seriesId") -> Column:
-    """The newest-first ordering key, ending in a unique id."""
-    return F.struct(F.col(ts), F.col(tiebreak))
-
-
 def surrogate_key(prefix: str, *cols: str | Column) -> Column:
     """Deterministic id: prefix + 12 upper-case hex digits of a content hash.
 

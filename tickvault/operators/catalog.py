@@ -14,9 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-INSTRUMENT_ORDER = ("instrumentId",)
-
-
 def _order_cols(df: DataFrame, preferred=("createdAt", "instrumentId")):
     return [c for c in preferred if c in df.columns]
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickvault.functions.columns import iso_text, normalise_timestamp, parse_iso_utc, surrogate_key
-from tickvault.schemas import INDICATORS
+from tickvault.schemas import INDICATORS, SERIES, conform
 
 REQUIRED_SERIES = ("instrumentId", "dataSourceId", "dataTimestamp", "indicators")
 
@@ -214,7 +214,8 @@ def append_series(valid: DataFrame, path: str) -> int:
     metric of the write itself, no second pass)."""
     from pyspark.sql import Observation
     obs = Observation("append_series")
-    out = (valid.withColumn("ts_month", F.date_format("dataTimestamp", "yyyy-MM"))
+    out = (conform(valid, SERIES, keep_extra=True)
+           .withColumn("ts_month", F.date_format("dataTimestamp", "yyyy-MM"))
            .observe(obs, F.count(F.lit(1)).alias("rows")))
     (out.repartition("ts_month")
      .sortWithinPartitions("instrumentId", "dataSourceId", "dataTimestamp")

@@ -23,9 +23,6 @@ from pyspark.sql import functions as F
 
 from tickvault.functions.columns import iso_text
 
-OPS = ("register", "delete", "restore")
-
-
 ROWS_PER_BUCKET = 1_000_000
 
 

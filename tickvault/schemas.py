@@ -5,6 +5,8 @@ Known OHLCV indicators are typed top-level columns so a query that reads only
 ``extras``. The reference's open ``indicators`` dict is rebuilt on export.
 """
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 S, D, B, TS = T.StringType(), T.DoubleType(), T.BooleanType(), T.TimestampNTZType()
@@ -58,3 +60,15 @@ RAW_SERIES_RECORD = _struct(
 # Change feed driving the version fold: one row per register / delete / restore.
 CHANGE_FEED = _struct(("instrumentId", S), ("ts", TS), ("event_id", T.LongType()),
                       ("op", S), ("reason", S))
+
+
+def conform(df: DataFrame, schema: T.StructType, keep_extra: bool = False) -> DataFrame:
+    """``df`` in a table's fixed layout: its columns in schema order, cast to
+    the schema's types, missing ones filled with nulls (extra columns kept
+    after them when ``keep_extra``)."""
+    have = set(df.columns)
+    cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema.fields]
+    if keep_extra:
+        cols += [F.col(c) for c in df.columns if c not in schema.fieldNames()]
+    return df.select(*cols)

@@ -16,16 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickvault.operators import ingest, lineage
 from tickvault.operators.series import PAIR
+from tickvault.schemas import RAW_SERIES_RECORD
 
-RAW_RECORD = T.StructType([
-    T.StructField("instrumentId", T.StringType()),
-    T.StructField("dataSourceId", T.StringType()),
-    T.StructField("dataTimestamp", T.StringType()),
-    T.StructField("indicators", T.MapType(T.StringType(), T.DoubleType())),
-    T.StructField("dataQuality", T.StringType()),
-    T.StructField("transformationLogic", T.StringType()),
-    T.StructField("event_id", T.LongType()),
-])
+# the raw record plus the sender's record number
+RAW_RECORD = T.StructType(RAW_SERIES_RECORD.fields + [T.StructField("event_id", T.LongType())])
 
 SERIES_ROW = T.StructType([
     T.StructField("seriesId", T.StringType()),
