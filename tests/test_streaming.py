@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickvault.operators import series
 from tickvault.session import scratch_path
-from tickvault.streaming import pipelines
+from tickvault.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,19 +14,19 @@ SF = "/root/testdata/sf0.001"
 def test_stream_latest_equals_batch(spark):
     from tickvault.sources import driver
     base = scratch_path(spark, "t-stream-latest")
-    rows = driver.series(spark, SF).select(*pipelines.SERIES_ROW.fieldNames())
+    rows = driver.series(spark, SF).select(*streams.SERIES_ROW.fieldNames())
     rows.repartition(3).write.parquet(f"{base}/in")
-    q = pipelines.stream_latest_price(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt",
+    q = streams.stream_latest_price(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt",
                                       max_files_per_trigger=1)
     q.awaitTermination()
-    got = pipelines.current_latest(spark, f"{base}/out").select(
+    got = streams.current_latest(spark, f"{base}/out").select(
         "instrumentId", "dataSourceId", "seriesId", "close")
     want = series.latest_price(rows, columns=("seriesId", "close"))
     assert sorted(got.collect()) == sorted(want.collect())
     batches = spark.read.parquet(f"{base}/out").select("batch_id").distinct().count()
     assert batches >= 2
     # restarting on the same checkpoint finds nothing new and writes nothing
-    q2 = pipelines.stream_latest_price(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    q2 = streams.stream_latest_price(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
     q2.awaitTermination()
     assert spark.read.parquet(f"{base}/out").select("batch_id").distinct().count() == batches
 
@@ -34,9 +34,9 @@ def test_stream_latest_equals_batch(spark):
 def test_batch_rewrite_is_idempotent(spark):
     base = scratch_path(spark, "t-replay")
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
-    pipelines._write_batch(df, base, 0)
-    pipelines._write_batch(df, base, 0)
-    pipelines._write_batch(df.limit(1), base, 1)
+    streams._write_batch(df, base, 0)
+    streams._write_batch(df, base, 0)
+    streams._write_batch(df.limit(1), base, 1)
     out = spark.read.parquet(base)
     assert out.count() == 3 and out.filter("batch_id = 0").count() == 2
 
@@ -50,7 +50,7 @@ def test_stream_ingest_writes_valid_rejects_and_lineage(spark):
         "instrumentId string, dataSourceId string, dataTimestamp string, "
         "indicators map<string,double>, event_id long")
     recs.coalesce(1).write.json(f"{base}/in")
-    q = pipelines.stream_ingest_series(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt",
+    q = streams.stream_ingest_series(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt",
                                        batch_ts="2024-02-01 00:00:00", key_cols=["event_id"])
     q.awaitTermination()
     valid = {r.event_id: r for r in spark.read.parquet(f"{base}/out/valid").collect()}

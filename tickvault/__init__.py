@@ -1,4 +1,4 @@
-"""tickvault: a temporal financial data warehouse as Spark DataFrame operators.
+"""tickvault: a temporal warehouse of financial prices as Spark DataFrame operators.
 
 Every operator is table-in / table-out: it takes DataFrames (and plain
 parameters) and returns a DataFrame, answering for *all* keys in one job.

@@ -20,7 +20,7 @@ from tickvault.plans.registry import ORACLES, query
 from tickvault.plans.temporal_queries import VERSIONS_SQL, versions
 from tickvault.session import scratch_path
 from tickvault.sources import driver, vendor
-from tickvault.streaming import pipelines
+from tickvault.streaming import streams
 
 # ---------------------------------------------------------------- O01 --------
 
@@ -116,7 +116,7 @@ def q_stream_ingest_series(spark, sf_dir):
     base = scratch_path(spark, "stream-ingest")
     raw = iq._raw_records(spark, sf_dir)
     raw.repartition(2).write.json(f"{base}/in")
-    q = pipelines.stream_ingest_series(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt",
+    q = streams.stream_ingest_series(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt",
                                        batch_ts=iq.BATCH_TS, key_cols=["event_id"],
                                        max_files_per_trigger=1)
     q.awaitTermination()
@@ -131,10 +131,10 @@ def q_stream_ingest_series(spark, sf_dir):
 @query("stream_latest_price", ORACLES["latest_price"])
 def q_stream_latest_price(spark, sf_dir):
     base = scratch_path(spark, "stream-latest")
-    rows = driver.series(spark, sf_dir).select(*pipelines.SERIES_ROW.fieldNames())
+    rows = driver.series(spark, sf_dir).select(*streams.SERIES_ROW.fieldNames())
     rows.repartition(4).write.parquet(f"{base}/in")
-    q = pipelines.stream_latest_price(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt",
+    q = streams.stream_latest_price(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt",
                                       max_files_per_trigger=1)
     q.awaitTermination()
-    cur = pipelines.current_latest(spark, f"{base}/out")
+    cur = streams.current_latest(spark, f"{base}/out")
     return cur.select(*series_ops.PAIR, "seriesId", "dataTimestamp", "close", "dataQuality")
