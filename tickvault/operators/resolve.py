@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from tickvault.functions.partitioning import spread
 from tickvault.operators.catalog import active
 
+# fixed values: the provider type chosen first when no source is given
+PREFERRED_PROVIDER_TYPE = "yahoo"
+
 
 def _order(df: DataFrame, id_col: str) -> Column:
     cols = [c for c in ("createdAt", id_col) if c in df.columns]
@@ -134,7 +137,7 @@ def resolve_sources(refs: DataFrame, sources: DataFrame, ref_col: str = "ref",
 
 
 def default_source(instruments: DataFrame, series: DataFrame, sources: DataFrame,
-                   preferred: str = "yahoo") -> DataFrame:
+                   preferred: str = PREFERRED_PROVIDER_TYPE) -> DataFrame:
     """The source to use when none is given, per instrument.
 
     Among the sources having data for the instrument: the preferred type if
