@@ -344,3 +344,12 @@ def test_approx_median_option(spark):
     exact = _one(series.series_stats(s, row_cap=None)).medianPrice
     approx = _one(series.series_stats(s, row_cap=None, median="approx")).medianPrice
     assert exact == 51.0 and abs(approx - 51.0) <= 1.0
+
+
+def test_keys_narrow_to_wanted_pairs(spark):
+    s = _series(spark, [1.0, 2.0]).unionByName(_series(spark, [5.0, 7.0], pair=("I2", "S1")))
+    keys = spark.createDataFrame([("I2", "S1"), ("I2", "S1")], "instrumentId string, dataSourceId string")
+    r = _one(series.series_stats(s, keys=keys))
+    assert (r.instrumentId, r.maxPrice) == ("I2", 7.0)
+    only = spark.createDataFrame([("I1",)], "instrumentId string")
+    assert _one(series.trend(s, keys=only)).instrumentId == "I1"

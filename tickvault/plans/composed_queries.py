@@ -33,8 +33,10 @@ def q_trend_by_reference(spark, sf_dir):
     chosen = resolve.default_source(inst, s, driver.sources(spark, sf_dir),
                                     preferred=rq.PREFERRED).select("instrumentId", "dataSourceId")
     pairs = resolved.join(chosen, "instrumentId")
-    tr = series_ops.trend(s, days=30, row_cap=1000,
-                          keys=pairs.select("instrumentId", "dataSourceId"))
+    # References here cover the whole instrument table, so the trend is computed
+    # for every pair in one pass and joined once (narrowing with keys= would
+    # consume `pairs` twice). For a handful of references, pass keys= instead.
+    tr = series_ops.trend(s, days=30, row_cap=1000)
     return pairs.join(tr, ["instrumentId", "dataSourceId"]).select(
         "refId", "ref", "instrumentId", "dataSourceId", "count", "trend", "recentAvg",
         "olderAvg", "changePercent", "volatility")
