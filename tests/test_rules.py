@@ -353,3 +353,13 @@ def test_keys_narrow_to_wanted_pairs(spark):
     assert (r.instrumentId, r.maxPrice) == ("I2", 7.0)
     only = spark.createDataFrame([("I1",)], "instrumentId string")
     assert _one(series.trend(s, keys=only)).instrumentId == "I1"
+
+
+def test_as_of_left_keeps_unmatched_points(spark):
+    v = temporal.apply_changes(_feed(spark, ["register", "delete"]))
+    pts = spark.createDataFrame(
+        [("I1", T0 + dt.timedelta(minutes=30), 1), ("I1", T0 - dt.timedelta(hours=1), 2),
+         ("I1", None, 3), ("I9", T0, 4)], "instrumentId string, at timestamp_ntz, pid int")
+    got = {r.pid: r.isActive for r in temporal.as_of(v, pts, at="at", how="left").collect()}
+    assert got == {1: True, 2: None, 3: None, 4: None}
+    assert [r.pid for r in temporal.as_of(v, pts, at="at").collect()] == [1]

@@ -172,7 +172,8 @@ def as_of(versions: DataFrame, points: DataFrame, key: str = "instrumentId",
     # table is broadcast and the big side is not shuffled for it.
     hot = (points.groupBy(key).agg(*key_stats(points, key, at))
            .filter(F.col("_n") > rows_per_bucket))
-    rows = (vrows.unionByName(prows).filter(F.col("_t").isNotNull())
+    # a point without a time matches nothing (kept, unmatched, by how="left")
+    rows = (vrows.filter(F.col("_t").isNotNull()).unionByName(prows)
             .join(F.broadcast(hot), key, "left")
             .withColumn("_b", F.coalesce(time_bucket(F.col("_t"), rows_per_bucket),
                                          F.lit(0).cast("bigint")))
@@ -184,7 +185,7 @@ def as_of(versions: DataFrame, points: DataFrame, key: str = "instrumentId",
     local = (rows.withColumn("_in", F.last("_v", ignorenulls=True).over(w_in))
              .withColumn("_lastrow", F.lead(F.lit(1)).over(w_pos).isNull()))
     # the running value on a bucket's last row is the bucket's latest version;
-    # carry it to later buckets (one row per bucket, same exchange as `local`)
+    # carry it to later buckets (one row per bucket, read off the window output)
     ends = local.filter(F.col("_lastrow")).select(key, "_b", F.col("_in").alias("_end"))
     w_b = (Window.partitionBy(key).orderBy("_b")
            .rowsBetween(Window.unboundedPreceding, -1))
