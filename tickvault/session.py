@@ -57,15 +57,23 @@ def apply_session_defaults(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, choosing one only if unset."""
-    configured = spark.conf.get(CHECKPOINT_KEY, None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="tickvault-ckpt-")
-        spark.conf.set(CHECKPOINT_KEY, configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
+    """Return the shared checkpoint folder, choosing one only if unset.
+
+    ``spark.checkpoint.dir`` cannot be changed on a running session, so a
+    folder chosen here is registered with ``setCheckpointDir`` and found
+    again through ``getCheckpointDir`` on later calls.
+    """
+    sc = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY, None)
+    current = sc.getCheckpointDir()
+    if configured:
+        if current is None:
+            sc.setCheckpointDir(configured)
+        return configured.rstrip("/")
+    if current is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tickvault-ckpt-"))
+        current = sc.getCheckpointDir()
+    return current.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
