@@ -10,10 +10,12 @@ same key". A plain ``Window.partitionBy(key)`` would sort a hot key (say a
 third of all changes) inside one task. Instead each key's time range is cut
 into buckets sized from the key's own row count (about ``rows_per_bucket``
 rows each, from a per-key aggregate), and the windows run per (key,
-bucket). The few values that cross a bucket edge come from one summary row
-per bucket, carried by a per-key window over those rows and joined back on
-(key, bucket). An ordinary key is one bucket; a hot key is spread over as
-many tasks as its size needs, and no step emits pairs of rows.
+bucket). An ordinary key is one bucket and needs nothing else. For the few
+hot keys, the values that cross a bucket edge come from one summary row per
+bucket (a partial aggregate over hot keys only, at most about
+2 x rows / rows_per_bucket rows, hence broadcast) carried by a per-key
+window over those rows. A hot key is spread over as many tasks as its size
+needs, cold rows are shuffled once, and no step emits pairs of rows.
 """
 
 from __future__ import annotations
@@ -78,6 +80,7 @@ def apply_changes(feed: DataFrame, key: str = "instrumentId", ts: str = "ts",
                 .filter(order_key >= F.col("_first"))
                 .filter((F.col(op) != "register") | (order_key == F.col("_first")))
                 .withColumn("_b", time_bucket(F.col(ts), rows_per_bucket))
+                .withColumn("_hot", F.col("_n") > rows_per_bucket)
                 .drop("_first", "_n", "_t0", "_t1")
                 .withColumn("_active", F.col(op) != "delete")
                 .withColumn("_rec", F.col(recorded) if recorded else F.col(ts)))
@@ -86,32 +89,34 @@ def apply_changes(feed: DataFrame, key: str = "instrumentId", ts: str = "ts",
     off = F.when(~F.col("_active"), stamp)
 
     w = Window.partitionBy(key, "_b").orderBy(ts, seq)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # "the nearest later op" as a growing frame over the reversed order
     later = (Window.partitionBy(key, "_b").orderBy(F.col(ts).desc(), F.col(seq).desc())
              .rowsBetween(Window.unboundedPreceding, -1))
     local = eligible.select(
         "*",
         F.lag("_active").over(w).alias("_prev"),
-        F.lead(F.lit(1)).over(w).isNull().alias("_lastInBucket"),
-        F.first(on, ignorenulls=True).over(upto).alias("_firstOn"),
-        F.first(off, ignorenulls=True).over(upto).alias("_firstOff"),
         F.last(on, ignorenulls=True).over(later).alias("_nextOn"),
         F.last(off, ignorenulls=True).over(later).alias("_nextOff"))
 
-    # one row per bucket: its final state and its first op of each state
-    ends = local.filter("_lastInBucket").select(
-        key, "_b", F.col("_active").alias("_endState"), "_firstOn", "_firstOff")
+    # Only keys with more than `rows_per_bucket` rows span several buckets.
+    # Their buckets are summarised by a partial aggregate (one row per bucket,
+    # about 2 x rows / rows_per_bucket rows in all, so it is broadcast) and
+    # the values crossing bucket edges are carried by a window over them.
+    by_order = F.struct(ts, seq)
+    summary = (eligible.filter("_hot").groupBy(key, "_b").agg(
+        F.max_by("_active", by_order).alias("_endState"),
+        F.min_by(stamp, F.when(F.col("_active"), by_order)).alias("_firstOn"),
+        F.min_by(stamp, F.when(~F.col("_active"), by_order)).alias("_firstOff")))
     wb = Window.partitionBy(key).orderBy("_b")
     wb_later = Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(
         Window.unboundedPreceding, -1)
-    carry = ends.select(
+    carry = summary.select(
         key, "_b",
         F.lag("_endState").over(wb).alias("_cPrev"),
         F.last("_firstOn", ignorenulls=True).over(wb_later).alias("_cOn"),
         F.last("_firstOff", ignorenulls=True).over(wb_later).alias("_cOff"))
 
-    joined = local.join(carry, [key, "_b"])
+    joined = local.join(F.broadcast(carry), [key, "_b"], "left")
     prev = F.coalesce("_prev", "_cPrev")
     kept = joined.filter(prev.isNull() | (prev != F.col("_active")))
     ends_at = F.when(F.col("_active"), F.coalesce("_nextOff", "_cOff")).otherwise(
@@ -165,32 +170,34 @@ def as_of(versions: DataFrame, points: DataFrame, key: str = "instrumentId",
     prows = points.select(key, F.col(at).alias("_t"), F.lit(1).alias("_kind"),
                           F.lit(0).cast("long").alias("_seq"),
                           F.lit(None).cast(vtype).alias("_v"), F.struct(*pcols).alias("_p"))
-    # Buckets are sized from the points (the side a hot key makes large);
-    # versions before or after a key's points land in outer buckets. Only
-    # keys with more than `rows_per_bucket` points need more than one bucket,
-    # and there are at most (points / rows_per_bucket) of them, so that small
-    # table is broadcast and the big side is not shuffled for it.
+    # Buckets are sized from the points (the side a hot key makes large).
+    # Only keys with more than `rows_per_bucket` points need more than one
+    # bucket; there are at most (points / rows_per_bucket) of them, so their
+    # sizes are broadcast and the big side is not shuffled for it. Times
+    # outside a hot key's point range fall in one bucket before or after it.
     hot = (points.groupBy(key).agg(*key_stats(points, key, at))
            .filter(F.col("_n") > rows_per_bucket))
-    # a point without a time matches nothing (kept, unmatched, by how="left")
+    nb = F.ceil(F.col("_n") / F.lit(rows_per_bucket))
     rows = (vrows.filter(F.col("_t").isNotNull()).unionByName(prows)
             .join(F.broadcast(hot), key, "left")
-            .withColumn("_b", F.coalesce(time_bucket(F.col("_t"), rows_per_bucket),
-                                         F.lit(0).cast("bigint")))
+            .withColumn("_hot", F.col("_n").isNotNull())
+            .withColumn("_b", F.coalesce(
+                F.least(F.greatest(time_bucket(F.col("_t"), rows_per_bucket), F.lit(-1)), nb),
+                F.lit(0).cast("bigint")))
             .drop("_n", "_t0", "_t1"))
     order = ["_t", "_kind", "_seq"]
     w_in = (Window.partitionBy(key, "_b").orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    w_pos = Window.partitionBy(key, "_b").orderBy(*order)
-    local = (rows.withColumn("_in", F.last("_v", ignorenulls=True).over(w_in))
-             .withColumn("_lastrow", F.lead(F.lit(1)).over(w_pos).isNull()))
-    # the running value on a bucket's last row is the bucket's latest version;
-    # carry it to later buckets (one row per bucket, read off the window output)
-    ends = local.filter(F.col("_lastrow")).select(key, "_b", F.col("_in").alias("_end"))
+    local = rows.withColumn("_in", F.last("_v", ignorenulls=True).over(w_in))
+    # hot keys only: each bucket's latest version start (a partial aggregate,
+    # at most nb + 2 rows per hot key, broadcast), carried to later buckets
+    summary = (rows.filter("_hot").groupBy(key, "_b").agg(
+        F.max_by("_v", F.when(F.col("_kind") == 0, F.struct(*order))).alias("_end")))
     w_b = (Window.partitionBy(key).orderBy("_b")
            .rowsBetween(Window.unboundedPreceding, -1))
-    carry = ends.select(key, "_b", F.last("_end", ignorenulls=True).over(w_b).alias("_carry"))
-    found = (local.filter(F.col("_kind") == 1).join(carry, [key, "_b"])
+    carry = summary.select(key, "_b",
+                           F.last("_end", ignorenulls=True).over(w_b).alias("_carry"))
+    found = (local.filter(F.col("_kind") == 1).join(F.broadcast(carry), [key, "_b"], "left")
              .withColumn("_hit", F.coalesce("_in", "_carry")))
     valid = F.col("_hit").isNotNull() & (
         F.col("_hit.validTo").isNull() | (F.col("_t") < F.col("_hit.validTo")))
