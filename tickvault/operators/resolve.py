@@ -36,10 +36,12 @@ def _max_len(refs: DataFrame, col: str) -> int:
 
 
 def substring_index(df: DataFrame, text: Column, id_col: str, max_len: int) -> DataFrame:
-    """(sub, id): for every distinct substring of ``text`` up to ``max_len``
-    characters, the best row id in (createdAt, id) order."""
+    """(sub, id, _o): for every distinct substring of ``text`` up to
+    ``max_len`` characters, the best row id in (createdAt, id) order and that
+    order key."""
     if max_len <= 0:
-        return df.sparkSession.createDataFrame([], f"sub string, {id_col} string")
+        return (df.select(F.lit("").alias("sub"), F.col(id_col), _order(df, id_col).alias("_o"))
+                .limit(0))
     # Rows sharing a text need exploding once: keep the best id per text
     # first (a partial aggregate), then explode distinct texts only.
     per_text = (df.select(text.alias("_t"), _order(df, id_col).alias("_o"), F.col(id_col))
@@ -52,7 +54,8 @@ def substring_index(df: DataFrame, text: Column, id_col: str, max_len: int) -> D
         lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i + 1, F.lit(max_len))),
                               lambda k: F.substring(t, i, k))))
     rows = spread(per_text).select(F.explode(F.array_distinct(subs)).alias("sub"), "_b")
-    return rows.groupBy("sub").agg(F.min_by(F.col("_b")[id_col], F.col("_b")["_o"]).alias(id_col))
+    best = rows.groupBy("sub").agg(F.min_by("_b", F.col("_b")["_o"]).alias("_b"))
+    return best.select("sub", F.col("_b")[id_col].alias(id_col), F.col("_b")["_o"].alias("_o"))
 
 
 def resolve_instruments(refs: DataFrame, instruments: DataFrame, ref_col: str = "ref",
@@ -70,34 +73,31 @@ def resolve_instruments(refs: DataFrame, instruments: DataFrame, ref_col: str =
         raise ValueError("mode must be 'tool' or 'exact'")
     act = active(instruments)
     distinct = refs.select(F.col(ref_col).alias("ref")).distinct().filter(F.col("ref").isNotNull())
-    u = F.upper("ref")
-    best = lambda df, key: df.groupBy(key).agg(
-        F.min_by("instrumentId", _order(df, "instrumentId")).alias("instrumentId"))
-    cands = [distinct.filter(F.col("ref").startswith("INST_"))
-             .select("ref", F.lit(1).alias("tier"), F.col("ref").alias("instrumentId"))]
+    o = _order(act, "instrumentId")
     if mode == "exact":
-        sym = best(act.select(F.col("symbol").alias("_k"), "instrumentId",
-                              *[c for c in ("createdAt",) if c in act.columns]), "_k")
-        cands.append(distinct.join(sym, distinct["ref"] == sym["_k"])
-                     .select("ref", F.lit(2).alias("tier"), "instrumentId"))
+        keyed = act.select(F.col("symbol").alias("_k"), F.lit(2).alias("tier"),
+                           o.alias("_o"), "instrumentId")
+        probe = F.col("ref")
     else:
-        extra = [c for c in ("createdAt",) if c in act.columns]
-        sym = best(act.select(F.col("symbol").alias("_k"), "instrumentId", *extra), "_k")
-        cands.append(distinct.join(sym, u == sym["_k"])
-                     .select("ref", F.lit(2).alias("tier"), "instrumentId"))
-        usym = best(act.select(F.upper("symbol").alias("_k"), "instrumentId", *extra), "_k")
-        cands.append(distinct.join(usym, u == usym["_k"])
-                     .select("ref", F.lit(3).alias("tier"), "instrumentId"))
+        # Tiers 2-4 all compare a text with upper(ref): one keyed table holds
+        # every candidate text with its tier, and the references are joined
+        # (and shuffled) once.
         idx = substring_index(act, F.upper("name"), "instrumentId", _max_len(distinct, "ref"))
-        cands.append(distinct.join(idx, u == idx["sub"])
-                     .select("ref", F.lit(4).alias("tier"), "instrumentId"))
-    allc = cands[0]
-    for c in cands[1:]:
-        allc = allc.unionByName(c)
-    # best tier per reference; within a tier each candidate is already the
-    # earliest instrument
-    won = allc.groupBy("ref").agg(F.min_by(F.struct("instrumentId", "tier"), "tier").alias("_w"))
-    won = won.select(F.col("ref").alias(ref_col), "_w.instrumentId", "_w.tier")
+        keyed = (act.select(F.col("symbol").alias("_k"), F.lit(2).alias("tier"),
+                            o.alias("_o"), "instrumentId")
+                 .unionByName(act.select(F.upper("symbol").alias("_k"), F.lit(3).alias("tier"),
+                                         o.alias("_o"), "instrumentId"))
+                 .unionByName(idx.select(F.col("sub").alias("_k"), F.lit(4).alias("tier"),
+                                         "_o", "instrumentId")))
+        probe = F.upper("ref")
+    best = keyed.groupBy("_k").agg(
+        F.min_by(F.struct("instrumentId", "tier"), F.struct("tier", "_o")).alias("_w"))
+    matched = (distinct.filter(~F.col("ref").startswith("INST_"))
+               .join(best, probe == best["_k"])
+               .select("ref", "_w.instrumentId", "_w.tier"))
+    by_id = (distinct.filter(F.col("ref").startswith("INST_"))
+             .select("ref", F.col("ref").alias("instrumentId"), F.lit(1).alias("tier")))
+    won = matched.unionByName(by_id).withColumnRenamed("ref", ref_col)
     return refs.join(won, ref_col, "left")
 
 
