@@ -363,3 +363,15 @@ def test_as_of_left_keeps_unmatched_points(spark):
     got = {r.pid: r.isActive for r in temporal.as_of(v, pts, at="at", how="left").collect()}
     assert got == {1: True, 2: None, 3: None, 4: None}
     assert [r.pid for r in temporal.as_of(v, pts, at="at").collect()] == [1]
+
+
+def test_resolve_sources_rules(spark):
+    src = spark.createDataFrame([("DS_1", "Alpha Feed", "alpha"), ("DS_2", "Beta Data Link", "beta")],
+                                "dataSourceId string, providerName string, providerType string")
+    refs = spark.createDataFrame([("DS_9",), ("ALPHA",), ("data",), ("beta data link",), ("zzz",)],
+                                 "ref string")
+    got = {r.ref: (r.dataSourceId, r.resolved) for r in resolve.resolve_sources(refs, src).collect()}
+    assert got == {"DS_9": ("DS_9", True), "ALPHA": ("DS_1", True), "data": ("DS_2", True),
+                   "beta data link": ("DS_2", True), "zzz": ("zzz", False)}
+    exact = {r.ref: r.resolved for r in resolve.resolve_sources(refs, src, mode="exact").collect()}
+    assert exact == {"DS_9": True, "ALPHA": True, "data": False, "beta data link": True, "zzz": False}

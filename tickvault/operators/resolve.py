@@ -111,24 +111,22 @@ def resolve_sources(refs: DataFrame, sources: DataFrame, ref_col: str = "ref",
     unchanged (``resolved`` false). ``mode="exact"`` drops the contains rule.
     """
     distinct = refs.select(F.col(ref_col).alias("ref")).distinct().filter(F.col("ref").isNotNull())
-    low = F.lower("ref")
-    extra = [c for c in ("createdAt",) if c in sources.columns]
-    by_type = (sources.select(F.lower("providerType").alias("_k"), "dataSourceId", *extra)
-               .groupBy("_k").agg(F.min_by("dataSourceId", _order(sources, "dataSourceId"))
-                                  .alias("dataSourceId")))
+    o = _order(sources, "dataSourceId")
+    by_type = sources.select(F.lower("providerType").alias("_k"), o.alias("_o"), "dataSourceId")
     if mode == "exact":
-        by_name = (sources.select(F.lower("providerName").alias("_k"), "dataSourceId", *extra)
-                   .groupBy("_k").agg(F.min_by("dataSourceId", _order(sources, "dataSourceId"))
-                                      .alias("dataSourceId")))
+        by_name = sources.select(F.lower("providerName").alias("_k"), o.alias("_o"),
+                                 "dataSourceId")
     else:
+        # every substring of the name, the whole name (equality) included
         by_name = substring_index(sources, F.lower("providerName"), "dataSourceId",
                                   _max_len(distinct, "ref")).withColumnRenamed("sub", "_k")
+    # the rules have no precedence: the first source matching any of them
+    keyed = (by_type.unionByName(by_name.select("_k", "_o", "dataSourceId"))
+             .groupBy("_k").agg(F.min_by("dataSourceId", "_o").alias("_id")))
     plain = distinct.filter(~F.col("ref").startswith("DS_"))
-    cands = (plain.join(by_type, low == by_type["_k"]).select("ref", "dataSourceId")
-             .unionByName(plain.join(by_name, low == by_name["_k"]).select("ref", "dataSourceId")))
-    # createdAt is not carried here; candidates are compared by id
-    won = cands.groupBy("ref").agg(F.min("dataSourceId").alias("_id"))
-    out = refs.join(won.withColumnRenamed("ref", ref_col), ref_col, "left")
+    won = (plain.join(keyed, F.lower("ref") == keyed["_k"])
+           .select(F.col("ref").alias(ref_col), "_id"))
+    out = refs.join(won, ref_col, "left")
     prefixed = F.col(ref_col).startswith("DS_")
     return out.select(*refs.columns,
                       F.when(prefixed, F.col(ref_col)).otherwise(F.coalesce("_id", F.col(ref_col)))
