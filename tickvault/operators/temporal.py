@@ -66,47 +66,63 @@ def apply_changes(feed: DataFrame, key: str = "instrumentId", ts: str = "ts",
     ``recorded`` column, else its own time) and validToRecordedAt (when the
     version's end became known).
 
-    One sorted pass per (key, time bucket) yields, per op, the previous op's
-    state and the next op of either state; the values that cross a bucket
-    edge come from one summary row per bucket, carried by a per-key window
-    over those rows and joined back on (key, bucket).
+    One shuffle, by (key, time bucket), and one sorted pass yield per op its
+    eligibility (first register from a whole-partition window, or from the
+    broadcast hot-key table), the previous eligible op's state and the next
+    eligible op of either state. Only hot keys span buckets; their edge values
+    come from a bounded, broadcast per-bucket summary. There is no join with a
+    per-key table as large as the key set.
     """
     order_key = F.struct(ts, seq)
-    # one partial aggregate per key: its first register and its bucket sizing
-    per_key = feed.groupBy(key).agg(
-        F.min(F.when(F.col(op) == "register", order_key)).alias("_first"),
-        *key_stats(feed, key, ts))
-    eligible = (feed.join(per_key.filter(F.col("_first").isNotNull()), key)
-                .filter(order_key >= F.col("_first"))
-                .filter((F.col(op) != "register") | (order_key == F.col("_first")))
-                .withColumn("_b", time_bucket(F.col(ts), rows_per_bucket))
-                .withColumn("_hot", F.col("_n") > rows_per_bucket)
-                .drop("_first", "_n", "_t0", "_t1")
-                .withColumn("_active", F.col(op) != "delete")
-                .withColumn("_rec", F.col(recorded) if recorded else F.col(ts)))
+    is_reg = F.col(op) == "register"
+
+    def eligible(first: Column) -> Column:
+        # at or after the key's first register; later registers are no-ops
+        return first.isNotNull() & (order_key >= first) & (~is_reg | (order_key == first))
+
+    # Keys large enough to need several buckets -- at most rows / rows_per_bucket
+    # of them -- with their first register and time range, broadcast. Every
+    # other key is one bucket and finds its first register in its own window.
+    hot = (feed.groupBy(key).agg(F.min(F.when(is_reg, order_key)).alias("_hfirst"),
+                                 *key_stats(feed, key, ts))
+           .filter(F.col("_n") > rows_per_bucket))
+    base = (feed.join(F.broadcast(hot), key, "left")
+            .withColumn("_hot", F.col("_n").isNotNull())
+            .withColumn("_b", F.coalesce(time_bucket(F.col(ts), rows_per_bucket),
+                                         F.lit(0).cast("bigint")))
+            .drop("_n", "_t0", "_t1")
+            .withColumn("_active", F.col(op) != "delete")
+            .withColumn("_rec", F.col(recorded) if recorded else F.col(ts)))
     stamp = F.struct(F.col(ts).alias("t"), F.col("_rec").alias("r"))
-    on = F.when(F.col("_active"), stamp)
-    off = F.when(~F.col("_active"), stamp)
 
+    whole = Window.partitionBy(key, "_b")
+    first = F.when(F.col("_hot"), F.col("_hfirst")).otherwise(
+        F.min(F.when(is_reg, order_key)).over(whole))
+    rows = base.withColumn("_first", first).withColumn("_elig", eligible(F.col("_first")))
+    on = F.when(F.col("_elig") & F.col("_active"), stamp)
+    off = F.when(F.col("_elig") & ~F.col("_active"), stamp)
     w = Window.partitionBy(key, "_b").orderBy(ts, seq)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
     # "the nearest later op" as a growing frame over the reversed order
     later = (Window.partitionBy(key, "_b").orderBy(F.col(ts).desc(), F.col(seq).desc())
              .rowsBetween(Window.unboundedPreceding, -1))
-    local = eligible.select(
+    local = rows.select(
         "*",
-        F.lag("_active").over(w).alias("_prev"),
+        F.last(F.when(F.col("_elig"), F.col("_active")), ignorenulls=True).over(before)
+        .alias("_prev"),
         F.last(on, ignorenulls=True).over(later).alias("_nextOn"),
         F.last(off, ignorenulls=True).over(later).alias("_nextOff"))
 
-    # Only keys with more than `rows_per_bucket` rows span several buckets.
-    # Their buckets are summarised by a partial aggregate (one row per bucket,
-    # about 2 x rows / rows_per_bucket rows in all, so it is broadcast) and
-    # the values crossing bucket edges are carried by a window over them.
+    # Hot keys span several buckets. Their buckets are summarised by a partial
+    # aggregate over eligible hot rows (one row per bucket, about
+    # 2 x rows / rows_per_bucket rows in all, so it is broadcast) and the values
+    # crossing bucket edges are carried by a window over them.
     by_order = F.struct(ts, seq)
-    summary = (eligible.filter("_hot").groupBy(key, "_b").agg(
-        F.max_by("_active", by_order).alias("_endState"),
-        F.min_by(stamp, F.when(F.col("_active"), by_order)).alias("_firstOn"),
-        F.min_by(stamp, F.when(~F.col("_active"), by_order)).alias("_firstOff")))
+    summary = (base.filter(F.col("_hot") & eligible(F.col("_hfirst")))
+               .groupBy(key, "_b").agg(
+                   F.max_by("_active", by_order).alias("_endState"),
+                   F.min_by(stamp, F.when(F.col("_active"), by_order)).alias("_firstOn"),
+                   F.min_by(stamp, F.when(~F.col("_active"), by_order)).alias("_firstOff")))
     wb = Window.partitionBy(key).orderBy("_b")
     wb_later = Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(
         Window.unboundedPreceding, -1)
@@ -118,7 +134,7 @@ def apply_changes(feed: DataFrame, key: str = "instrumentId", ts: str = "ts",
 
     joined = local.join(F.broadcast(carry), [key, "_b"], "left")
     prev = F.coalesce("_prev", "_cPrev")
-    kept = joined.filter(prev.isNull() | (prev != F.col("_active")))
+    kept = joined.filter(F.col("_elig") & (prev.isNull() | (prev != F.col("_active"))))
     ends_at = F.when(F.col("_active"), F.coalesce("_nextOff", "_cOff")).otherwise(
         F.coalesce("_nextOn", "_cOn"))
     why = F.col(reason) if reason and reason in feed.columns else F.lit(None).cast("string")
