@@ -59,3 +59,21 @@ def test_stream_ingest_writes_valid_rejects_and_lineage(spark):
     assert spark.read.parquet(f"{base}/out/rejects").count() == 1
     lin = spark.read.parquet(f"{base}/out/lineage")
     assert lin.count() == 2 and lin.select(F.countDistinct("rawDataHash")).first()[0] == 2
+
+
+def test_compacted_latest_equals_batch(spark):
+    from tickvault.sources import driver
+    base = scratch_path(spark, "t-stream-compact")
+    rows = driver.series(spark, SF).select(*streams.SERIES_ROW.fieldNames())
+    first, second = rows.filter("dataTimestamp < '2024-01-15'"), rows.filter("dataTimestamp >= '2024-01-15'")
+    first.repartition(2).write.parquet(f"{base}/in")
+    streams.stream_latest_price(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt",
+                                max_files_per_trigger=1).awaitTermination()
+    snap = streams.compact_latest(spark, f"{base}/out", f"{base}/snap1")
+    second.repartition(2).write.mode("append").parquet(f"{base}/in")
+    streams.stream_latest_price(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt",
+                                max_files_per_trigger=1).awaitTermination()
+    got = streams.current_latest(spark, f"{base}/out", snap).select(
+        "instrumentId", "dataSourceId", "seriesId", "close")
+    want = series.latest_price(rows, columns=("seriesId", "close"))
+    assert sorted(got.collect()) == sorted(want.collect())

@@ -108,8 +108,31 @@ def stream_latest_price(spark: SparkSession, input_dir: str, out_dir: str, check
     return writer.start()
 
 
-def current_latest(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Current latest price per pair: the row from the newest batch."""
-    out = spark.read.parquet(out_dir)
-    return (out.groupBy(*PAIR).agg(F.max_by("latest", "batch_id").alias("latest"))
+def current_latest(spark: SparkSession, out_dir: str, snapshot: str | None = None) -> DataFrame:
+    """Current latest price per pair: the row from the newest batch.
+
+    With ``snapshot`` (written by ``compact_latest``), only batches after the
+    snapshot's last batch are read (partition pruning on ``batch_id``) and
+    combined with it, so the read does not grow with the stream's age.
+    """
+    batches = spark.read.parquet(out_dir)
+    if snapshot is not None:
+        snap = spark.read.parquet(snapshot)
+        upto = snap.agg(F.max("batch_id")).first()[0]
+        if upto is not None:
+            batches = batches.filter(F.col("batch_id") > upto).unionByName(snap)
+    return (batches.groupBy(*PAIR).agg(F.max_by("latest", "batch_id").alias("latest"))
             .select(*PAIR, "latest.*"))
+
+
+def compact_latest(spark: SparkSession, out_dir: str, snapshot: str,
+                   previous: str | None = None) -> str:
+    """Fold every batch written so far (and a previous snapshot) into a new
+    snapshot folder: one row per pair, tagged with the last batch it covers.
+    Batch folders are left in place; readers given the snapshot skip them."""
+    cur = (current_latest(spark, out_dir, previous)
+           .select(*PAIR, F.struct(*[c for c in SERIES_ROW.fieldNames() if c not in PAIR])
+                   .alias("latest")))
+    upto = spark.read.parquet(out_dir).agg(F.max("batch_id")).first()[0]
+    cur.withColumn("batch_id", F.lit(upto).cast("int")).write.parquet(snapshot)
+    return snapshot
