@@ -375,3 +375,44 @@ def test_resolve_sources_rules(spark):
                    "beta data link": ("DS_2", True), "zzz": ("zzz", False)}
     exact = {r.ref: r.resolved for r in resolve.resolve_sources(refs, src, mode="exact").collect()}
     assert exact == {"DS_9": True, "ALPHA": True, "data": False, "beta data link": True, "zzz": False}
+
+
+def test_source_status_no_data(spark):
+    src = spark.createDataFrame([("DS_1", "a", "x"), ("DS_2", "b", "y")],
+                                "dataSourceId string, providerName string, providerType string")
+    ser = spark.createDataFrame([("I1", "DS_1")], "instrumentId string, dataSourceId string")
+    got = {r.dataSourceId: r.status for r in catalog.source_status(src, ser).collect()}
+    assert got == {"DS_1": "Active", "DS_2": "No data"}
+
+
+def test_instrument_details_empty_arrays(spark):
+    inst = spark.createDataFrame([("I1", "A", True), ("I2", "B", False)],
+                                 "instrumentId string, symbol string, isActive boolean")
+    attrs = spark.createDataFrame([], "instrumentId string, attributeName string, "
+                                      "attributeValue string, attributeType string")
+    ser = spark.createDataFrame([], "instrumentId string, dataSourceId string")
+    src = spark.createDataFrame([("DS_1", "a")], "dataSourceId string, providerName string")
+    r = _one(catalog.instrument_details(inst, attrs, ser, src))
+    assert (r.instrumentId, r.attributes, r.dataSources) == ("I1", [], [])
+
+
+def test_list_instruments_pages(spark):
+    inst = spark.createDataFrame([(f"I{i:02d}", f"S{i}", "n", "c", "US", "USD", i % 4 != 3)
+                                  for i in range(20)],
+                                 "instrumentId string, symbol string, name string, "
+                                 "instrumentClass string, region string, currency string, "
+                                 "isActive boolean")
+    page = catalog.list_instruments(inst, offset=5, limit=5).collect()
+    active_ids = [f"I{i:02d}" for i in range(20) if i % 4 != 3]
+    assert [r.assetId for r in page] == active_ids[5:10]
+    assert "currency" in catalog.list_instruments(inst, tool=True).columns
+
+
+def test_register_sources_first_per_type(spark):
+    new = spark.createDataFrame([("A", "t1", "e", "d", 2), ("B", "t1", "e", "d", 1),
+                                 ("C", "t2", "e", "d", 3), ("D", None, "e", "d", 0)],
+                                "providerName string, providerType string, apiEndpoint string, "
+                                "description string, seq int")
+    existing = spark.createDataFrame([("t2",)], "providerType string")
+    r = _one(ingest.register_sources(new, existing, order=["seq"]))
+    assert (r.providerName, r.providerType) == ("B", "t1") and r.dataSourceId.startswith("DS_")
