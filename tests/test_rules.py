@@ -416,3 +416,17 @@ def test_register_sources_first_per_type(spark):
     existing = spark.createDataFrame([("t2",)], "providerType string")
     r = _one(ingest.register_sources(new, existing, order=["seq"]))
     assert (r.providerName, r.providerType) == ("B", "t1") and r.dataSourceId.startswith("DS_")
+
+
+def test_append_series_counts_rows_written_once(spark):
+    from tickvault.session import scratch_path
+    raw = spark.createDataFrame(
+        [("I1", "S1", f"2024-0{m}-0{d}T00:00:00", {"close": float(d)})
+         for m in (1, 2) for d in range(1, 10)],
+        "instrumentId string, dataSourceId string, dataTimestamp string, "
+        "indicators map<string,double>")
+    valid, _ = ingest.validate_series(raw, "2024-03-01")
+    path = scratch_path(spark, "t-append")
+    assert ingest.append_series(valid, path) == 18
+    back = spark.read.parquet(path)
+    assert back.count() == 18 and back.select("ts_month").distinct().count() == 2

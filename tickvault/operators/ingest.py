@@ -214,11 +214,15 @@ def append_series(valid: DataFrame, path: str) -> int:
     metric of the write itself, no second pass)."""
     from pyspark.sql import Observation
     obs = Observation("append_series")
-    out = (conform(valid, SERIES, keep_extra=True)
-           .withColumn("ts_month", F.date_format("dataTimestamp", "yyyy-MM"))
-           .observe(obs, F.count(F.lit(1)).alias("rows")))
-    (out.repartition("ts_month")
-     .sortWithinPartitions("instrumentId", "dataSourceId", "dataTimestamp")
+    rows = (conform(valid, SERIES, keep_extra=True)
+            .withColumn("ts_month", F.date_format("dataTimestamp", "yyyy-MM")))
+    # Range partitioning on the full sort key: sampled boundaries split a busy
+    # month -- and a hot instrument within it -- by time across tasks, and
+    # each task writes one contiguous, sorted slice. The row count is observed
+    # above the exchange, so the partitioner's sampling pass does not count.
+    order = ["ts_month", "instrumentId", "dataSourceId", "dataTimestamp"]
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order)
+     .observe(obs, F.count(F.lit(1)).alias("rows"))
      .write.mode("append").partitionBy("ts_month").parquet(path))
     return int(obs.get.get("rows", 0))
 
