@@ -430,3 +430,21 @@ def test_append_series_counts_rows_written_once(spark):
     assert ingest.append_series(valid, path) == 18
     back = spark.read.parquet(path)
     assert back.count() == 18 and back.select("ts_month").distinct().count() == 2
+
+
+def test_spread_only_widens_narrow_inputs(spark):
+    from tickvault.functions.partitioning import spread
+    cores = spark.sparkContext.defaultParallelism
+    narrow_df = spark.range(100).coalesce(1)
+    assert spread(narrow_df).rdd.getNumPartitions() == cores
+    wide = spark.range(100).repartition(cores * 2)
+    assert spread(wide) is wide
+
+
+def test_conform_fills_and_orders_columns(spark):
+    from tickvault.schemas import SERIES, conform
+    df = spark.createDataFrame([("I1", 2.5, 7)], "instrumentId string, close double, extra int")
+    out = conform(df, SERIES, keep_extra=True)
+    assert out.columns == SERIES.fieldNames() + ["extra"]
+    r = out.first()
+    assert (r.instrumentId, r.close, r.seriesId, r.extra) == ("I1", 2.5, None, 7)
