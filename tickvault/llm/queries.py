@@ -1,5 +1,5 @@
 """Importing this module registers every training-data query."""
 
 from tickvault.llm import (  # noqa: F401
-    exact_dedup, packing, token_files)
+    bpe_tree, chat, exact_dedup, packing, quality, token_files)
 from tickvault.llm.common import ORACLES, QUERIES  # noqa: F401
