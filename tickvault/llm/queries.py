@@ -1,6 +1,6 @@
 """Importing this module registers every training-data query."""
 
 from tickvault.llm import (  # noqa: F401
-    bpe_tree, chat, exact_dedup, fingerprints, near_dedup, packing, quality,
+    bpe_tree, chat, exact_dedup, fingerprints, html_text, near_dedup, packing, quality,
     substring_dedup, token_files)
 from tickvault.llm.common import ORACLES, QUERIES  # noqa: F401

@@ -189,7 +189,7 @@ _ENTRIES = pa.schema([("owner", pa.int32()), ("block", pa.int64()), ("sizes", pa
 _REPLY = pa.schema([("block", pa.int64()), ("owner", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()),
                     ("runs", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-                     ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
+                     ("n_spans", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -266,10 +266,8 @@ def _owner(length: int):
     return run
 
 
-def _remove(length: int, owner_bits: int, keep_bytes: bool):
+def _remove(length: int, owner_bits: int, with_text: bool, carried: list[str]):
     def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return _table([], _RESULT)
         b = Block(rows, length)
         least = {r["owner"]: r for r in replies.to_pylist() if r["kind"] == 1}
         edge = np.zeros(len(b.raw) + 1, np.int32)
@@ -291,20 +289,26 @@ def _remove(length: int, owner_bits: int, keep_bytes: bool):
             cut = gone[a:e]
             kept = b.raw[a:e][~cut].tobytes()
             spans = int(np.count_nonzero(cut[1:] & ~cut[:-1]) + (e > a and cut[0]))
-            out.append((None if doc == NO_ID else doc, e - a, int(cut.sum()), spans, kept if keep_bytes else None,
-                        hashlib.sha256(kept).hexdigest()))
-        return _table(out, _RESULT)
+            out.append((None if doc == NO_ID else doc, e - a, int(cut.sum()), spans,
+                        kept.decode("utf-8", "ignore") if with_text else None, hashlib.sha256(kept).hexdigest()))
+        result = _table(out, _RESULT)
+        for name in carried:
+            result = result.append_column(name, rows.column(name))
+        return result
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = True) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True,
+                   carried: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_text, kept_sha256 and the
+    columns named in ``carried``.
 
     Every UTF-8 byte covered by a string of ``length`` bytes (32 at least) that also starts
     in a document with a smaller doc_id is removed; strings are judged on the input. Null
     text counts as empty; texts shorter than ``length`` stay whole; rows that share a doc_id
     do not remove each other's strings; a null doc_id counts as the largest. An empty table
-    gives no rows; columns but doc_id and text are not read. ``kept`` may cut a code point.
+    gives no rows; other columns are not read. The digest is that of the kept bytes;
+    ``kept_text`` leaves out the rest of code points that a removed string has cut.
     """
     spark = docs.sparkSession
     if length < 2 * GRAM:
@@ -313,7 +317,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
     n_blocks = max(shuffle_partitions(spark), size // BLOCK_BYTES)
     owner_bits = max(4, (size // OWNER_BYTES).bit_length())
     # One shuffle of the texts; the three steps that need them read the same exchange.
-    texts = (docs.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "text")
+    texts = (docs.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "text", *carried)
              .withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)))
              .repartition(n_blocks, "block"))
     lists = texts.groupBy("block").applyInArrow(_send_anchors(length, owner_bits), _ddl(_LISTS))
@@ -321,11 +325,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
     stretches = (texts.groupBy("block").cogroup(repeated.groupBy("block"))
                  .applyInArrow(_send_stretches(length, owner_bits), _ddl(_ENTRIES)))
     answers = stretches.groupBy("owner").applyInArrow(_owner(length), _ddl(_REPLY))
+    ddl = ", ".join([_ddl(_RESULT), *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried]])
     return (texts.groupBy("block").cogroup(repeated.unionByName(answers).groupBy("block"))
-            .applyInArrow(_remove(length, owner_bits, keep_bytes), _ddl(_RESULT)))
+            .applyInArrow(_remove(length, owner_bits, with_text, list(carried)), ddl))
 
 
 @query("op3_substring_dedup")
 def op3_substring_dedup(spark, sf_dir):
     """Repeated 50-byte strings removed from all documents."""
-    return remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
