@@ -33,7 +33,7 @@ from tickvault.llm.exact_dedup import rice_decode, rice_encode, rice_parameter
 LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 8 << 20
-OWNER_BYTES = 16 << 20
+OWNER_BYTES = 4 << 20
 SLICE = 1 << 20
 HASH_BITS = 40
 NO_ID = np.iinfo(np.int64).max
@@ -138,28 +138,31 @@ def refine(text: np.ndarray, length: int) -> np.ndarray:
     Positions too near the end for that many bytes get pointers of no meaning.
     """
     n = len(text)
-    padded = np.append(text, np.zeros(length + 8, np.uint8))
-    grams = _words(padded)[:n]
-    order = np.argsort(grams, kind="stable")
-    pointer = np.empty(n, np.int64)
-    new = np.append(True, grams[order][1:] != grams[order][:-1])
-    pointer[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    place = np.arange(n, dtype=np.int32)
+    grams = _words(np.append(text, np.zeros(length + 8, np.uint8)))[:n]
+    order = np.argsort(grams, kind="stable").astype(np.int32)
+    grams = grams[order]
+    pointer = np.empty(n, np.int32)
+    pointer[order] = np.maximum.accumulate(np.where(np.append(True, grams[1:] != grams[:-1]), place, 0))
+    del grams, order
     known = 8
     while known < length:
         offset = min(known, length - known)
-        size = np.bincount(pointer, minlength=n)
-        open_ = np.flatnonzero(size[pointer] > 1)
-        later = np.minimum(open_ + offset, n - 1)
-        order = np.lexsort((pointer[later], pointer[open_]))
-        at, key, sub = open_[order], pointer[open_][order], pointer[later][order]
-        if not len(at):
+        open_ = np.flatnonzero((np.bincount(pointer, minlength=n) > 1)[pointer]).astype(np.int32)
+        if not len(open_):
             break
+        # Both pointers as one number: sorting it sorts a bucket by the buckets of later offsets.
+        both = pointer[open_].astype(np.int64) << 32 | pointer[np.minimum(open_ + offset, n - 1)]
+        order = np.argsort(both, kind="stable")
+        at, both = open_[order], both[order]
+        del open_, order
+        key = both >> 32
         first = np.append(True, key[1:] != key[:-1])
-        new = first | np.append(True, sub[1:] != sub[:-1])
+        new = np.append(True, both[1:] != both[:-1])
         # A sub-bucket is named by its first place within its bucket's range of places.
-        place = np.arange(len(at))
-        begin = np.maximum.accumulate(np.where(first, place, 0))
-        pointer[at] = key + np.maximum.accumulate(np.where(new, place, 0)) - begin
+        inside = place[:len(at)]
+        begin = np.maximum.accumulate(np.where(first, inside, 0))
+        pointer[at] = key + np.maximum.accumulate(np.where(new, inside, 0)) - begin
         known += offset
     return pointer
 
