@@ -167,22 +167,50 @@ def refine(text: np.ndarray, length: int) -> np.ndarray:
     return pointer
 
 
-def least_ids(stretches: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string start of each stretch, the least id of a stretch that has that string."""
-    sizes = np.array([len(s) for s in stretches])
-    text = np.frombuffer(b"".join(stretches), np.uint8)
-    begin = np.cumsum(sizes) - sizes
+def _string_starts(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, position in the joined text) of every string start of stretches of these sizes."""
     counts = sizes - length + 1
-    ends = np.cumsum(counts)
-    of = np.repeat(np.arange(len(sizes)), counts)
-    at = np.arange(ends[-1]) - np.repeat(ends - counts, counts) + begin[of]
-    pointer = refine(text, length)[at]
-    order = np.argsort(pointer, kind="stable")
-    groups = np.flatnonzero(np.append(True, np.diff(pointer[order]) != 0))
-    least = np.minimum.reduceat(ids[of][order], groups)
-    out = np.empty(len(at), np.int64)
-    out[order] = np.repeat(least, np.diff(np.append(groups, len(order))))
-    return np.split(out, ends[:-1])
+    of = np.repeat(np.arange(len(sizes), dtype=np.int32), counts)
+    inside = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return of, inside + (np.cumsum(sizes) - sizes)[of]
+
+
+def _shared(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Whether the hash of the string at each position occurs at another one too."""
+    words = _words(text)
+    h = np.zeros(len(at), np.uint64)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        h = (h ^ words[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    out = np.zeros(len(at), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def least_ids(stretches: list[bytes], ids: np.ndarray, length: int) -> np.ndarray:
+    """For each string start of each stretch in turn, the least id of a stretch with that string.
+
+    Strings with a hash of their own are equal to no other; buckets are refined over the
+    stretches that hold any of the rest.
+    """
+    of, at = _string_starts(np.array([len(s) for s in stretches]), length)
+    least = ids[of]
+    shared = _shared(np.frombuffer(b"".join(stretches), np.uint8), at, length)
+    some = np.unique(of[shared])
+    if len(some):
+        part = [stretches[k] for k in some.tolist()]
+        inner, at = _string_starts(np.array([len(s) for s in part]), length)
+        pointer = refine(np.frombuffer(b"".join(part), np.uint8), length)[at]
+        order = np.argsort(pointer, kind="stable")
+        groups = np.flatnonzero(np.append(True, np.diff(pointer[order]) != 0))
+        found = np.empty(len(at), np.int64)
+        found[order] = np.repeat(np.minimum.reduceat(ids[some[inner]][order], groups),
+                                 np.diff(np.append(groups, len(order))))
+        least[np.isin(of, some)] = found
+    return least
 
 
 _LISTS = pa.schema([("owner", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("k", pa.int32()),
@@ -259,12 +287,18 @@ def _owner(length: int):
                 mine.append(k)
                 at += n
             blocks.append((r["block"], r["owner"], mine))
-        least = least_ids(list(index), np.array(ids, np.int64), length)
-        coded = []
-        for x in least:
-            cut = np.append(0, np.flatnonzero(np.diff(x)) + 1)
-            coded.append((np.diff(np.append(cut, len(x))).astype("<u2").tobytes(), x[cut].astype("<i8").tobytes()))
-        return _table([(block, owner, 1, b"".join(coded[k][1] for k in mine), b"".join(coded[k][0] for k in mine))
+        stretches = list(index)
+        least = least_ids(stretches, np.array(ids, np.int64), length)
+        # Each stretch's ids as runs of equal ones: a run ends where the id or the stretch does.
+        ends = np.cumsum([len(x) - length + 1 for x in stretches])
+        new = np.append(True, least[1:] != least[:-1])
+        new[ends[:-1]] = True
+        cut = np.flatnonzero(new)
+        runs = np.diff(np.append(cut, len(least))).astype("<u2").tobytes()
+        data = least[cut].astype("<i8").tobytes()
+        bound = np.append(0, np.searchsorted(cut, ends)).tolist()
+        return _table([(block, owner, 1, b"".join([data[8 * bound[k]:8 * bound[k + 1]] for k in mine]),
+                        b"".join([runs[2 * bound[k]:2 * bound[k + 1]] for k in mine]))
                        for block, owner, mine in blocks], _REPLY)
     return run
 
