@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickvault.llm.common import map_arrow, materialise, query, rebatch, table
-from tickvault.llm.tokens import encoder, spaced_pieces
+from tickvault.llm.tokens import encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -90,15 +90,15 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 
 def _cut(path: str, capacity: int, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, spaced_pieces).encode
+        encode = encoder(path, spaced=True).encode
         rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        for some in rebatch(rows, lambda r: len(r[1] or ""), 1 << 21):
+        for some in rebatch(rows, lambda r: len(r[1] or ""), 1 << 23):
             out: list[list] = [[] for _ in _PIECES]
             for (doc, _), ids in zip(some, encode([t or "" for _, t in some])):
-                view, n = memoryview(ids + end), len(ids) // 4 + 1
+                view, n = memoryview(np.append(ids, end)).cast("B"), len(ids) + 1
                 at = 0
                 for piece in range(-(-n // capacity)):
                     length = (n % capacity or capacity) if piece == 0 else capacity

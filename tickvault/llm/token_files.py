@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickvault.llm.common import map_arrow, materialise, query, rebatch, shuffle_partitions, table
-from tickvault.llm.tokens import bare_pieces, encoder
+from tickvault.llm.tokens import encoder
 
 BLOCK = 256
 PERCENTILE = 95
@@ -109,23 +109,23 @@ _SHARD = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int
 
 
 def _writer(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = encoder(path, bare_pieces).encode, TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(path, spaced=False).encode, TaskContext.get().partitionId(), 0
         docs, counts, held = [], [], []
 
         def shard() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             row = [part], [seq], [len(docs)], [len(ids)], [write_shard(docs, counts, ids)]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _SHARD)], schema=_SHARD)
 
         rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        for some in rebatch(rows, lambda r: len(r[1] or ""), 1 << 21):
+        for some in rebatch(rows, lambda r: len(r[1] or ""), 1 << 23):
             for (doc, _), ids in zip(some, encode([t or "" for _, t in some])):
                 docs.append(doc)
-                counts.append(len(ids) // 4 + 1)
-                held.append(ids + end)
+                counts.append(len(ids) + 1)
+                held += [ids, end]
             if sum(counts) >= SHARD_IDS:
                 yield shard()
                 seq, docs, counts, held = seq + 1, [], [], []

@@ -3,77 +3,150 @@
 Both vocabularies used here split a text before their merges in such a way that a
 piece boundary always lies before white space that follows a visible character, and
 nothing before such a place changes what follows it. So a text may be cut there, and
-each distinct piece needs encoding only once per Python worker.
+each distinct piece needs encoding only once per Python worker. Texts are cut and
+their pieces numbered by Arrow, a batch at a time; ids are gathered by numpy.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 CACHED_CHARS = 64
+JOINED = 200
 
 # The characters of the Unicode property White_Space.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_TWO_SPACES = re.compile(f"[{_SPACES}][{_SPACES}]")
 _PIECES = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
-_PLAIN_SPACES = re.compile("[\t\n\x0b\x0c\r ]+")
-
-
-def spaced_pieces(text: str) -> list[str]:
-    """Pieces that keep their leading white space; they join to the text."""
-    if not text:
-        return []
-    if _TWO_SPACES.search(text) or text[0] == " ":
-        return _PIECES.findall(text)
-    # All white space stands alone here, so each space and each line feed starts a piece.
-    head, *rest = text.replace("\n", " \n").split(" ")
-    return [head, *[x if x[:1] == "\n" else " " + x for x in rest]]
-
-
-def bare_pieces(text: str) -> list[str]:
-    """Pieces without the white space between them, for vocabularies that drop it."""
-    return [x for x in _PLAIN_SPACES.split(text) if x]
+# Texts that the plain cut at spaces and line feeds does not fit: white space beside white
+# space, at the start, or the mark that stands for the start. The class is that of RE2.
+_UNEVEN = "[\\s\\x0b\\x{85}\\p{Z}][\\s\\x0b\\x{85}\\p{Z}]|^[ \\x00]|\\x00"
+_START = "\0"
+# Letters (of Latin blocks, whose lower case are letters too) and closing marks after them.
+_PLAIN = re.compile("([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,;:!?]*)")
 
 
 class PieceEncoder:
-    """Little-endian unsigned 32-bit ids of texts, as the tokenizers library gives them
-    without special tokens (their strings in a text are ordinary text)."""
+    """Ids of texts, as the tokenizers library gives them without special tokens (their
+    strings in a text are ordinary text). ``spaced`` says whether the vocabulary keeps white
+    space, as the beginning of the piece after it, or drops it."""
 
-    def __init__(self, path: str, pieces: Callable[[str], list[str]]):
+    def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = pieces
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        new = list(set().union(*cut).difference(self.known)) if cut else []
-        extra = {}
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            (self.known if len(x) <= CACHED_CHARS else extra)[x] = np.asarray(e.ids, "<u4").tobytes()
-        if extra:
-            get = lambda x: self.known.get(x) if x in self.known else extra[x]
-        else:
-            get = self.known.__getitem__
-        out = [b"".join(map(get, p)) for p in cut]
+        self.spaced = spaced
+        # Where a word begins (a space in it) or ends (the mark of a word's end).
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
+        self.known: dict[str, bytes] = {"": b""}
+        self.long: list[str] = []
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes()
+                for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are letters alone, encoded many to a text and parted at their edges."""
+        out: list[bytes] = []
+        groups = [words[a:a + JOINED] for a in range(0, len(words), JOINED)]
+        texts = [("" if self.spaced else " ").join(g) for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.asarray(e.ids, "<u4")
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) != len(group):
+                out += self._each(group)
+            else:
+                raw, cuts = ids.tobytes(), 4 * (np.append(at, len(ids)) if self.spaced else np.append(0, at + 1))
+                out += [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return out
+
+    def learn(self, pieces: list[str]) -> None:
+        """Make all of ``pieces`` known."""
+        parts: dict[str, tuple[str, ...]] = {}
+        words, other = set(), set()
+        for p in set(pieces).difference(self.known):
+            if len(p) > CACHED_CHARS:
+                self.long.append(p)
+            m = _PLAIN.fullmatch(p)
+            if not m:
+                other.add(p)
+                continue
+            lead, word, marks = m.groups()
+            if (lead == " ") != self.spaced:
+                other.update((lead, word) if lead == "\n" else (lead + word,))
+                parts[p] = (lead, word, marks) if lead == "\n" else (lead + word, marks)
+            else:
+                words.add(lead + word)
+                parts[p] = lead + word, marks
+            other.add(marks)
+        new = list(words.difference(self.known))
+        self.known.update(zip(new, self._words(new)))
+        new = list(other.difference(self.known))
+        self.known.update(zip(new, self._each(new)))
+        known = self.known
+        for p, x in parts.items():
+            known[p] = known[x[0]] + known[x[1]] if len(x) == 2 else b"".join([known[y] for y in x])
+
+    def _forget(self) -> None:
+        """Keep the table of known pieces bounded: long pieces are not kept at all."""
+        for p in self.long:
+            self.known.pop(p, None)
+        self.long.clear()
         if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
+            self.known = {"": b""}
+
+    def _uneven(self, text: str) -> np.ndarray:
+        pieces = _PIECES.findall(text)
+        self.learn(pieces)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        column = pa.array(texts, pa.large_string())
+        if self.spaced:
+            uneven = pc.match_substring_regex(column, _UNEVEN).to_numpy(zero_copy_only=False)
+            column = pc.if_else(pa.array(uneven), pa.scalar("", column.type), column)
+            column = pc.replace_substring(pc.binary_join_element_wise(pa.scalar(_START, column.type), column, pa.scalar("", column.type)), "\n", " \n")
+        else:
+            uneven = np.zeros(len(texts), bool)
+            # Lower case is the same to this vocabulary, so fewer pieces are distinct.
+            column = pc.ascii_lower(column)
+            for c in "\t\n\x0b\x0c\r":
+                column = pc.replace_substring(column, c, " ")
+        lists = pc.split_pattern(column, " ")
+        flat = lists.flatten().dictionary_encode()
+        names = flat.dictionary.to_pylist()
+        if self.spaced:
+            names = [p if p[:1] == "\n" else p[1:] if p[:1] == _START else " " + p for p in names]
+        self.learn(names)
+        coded = [self.known[p] for p in names]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        begin = np.cumsum(sizes) - sizes
+        pool = np.frombuffer(b"".join(coded), "<u4")
+        which = flat.indices.to_numpy()
+        n = sizes[which]
+        ends = np.cumsum(n)
+        ids = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[which] - (ends - n), n)]
+        bounds = np.append(0, ends)[lists.offsets.to_numpy()]
+        out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        for i in np.flatnonzero(uneven).tolist():
+            out[i] = self._uneven(texts[i])
+        self._forget()
         return out
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str, pieces: Callable[[str], list[str]]) -> PieceEncoder:
+def encoder(path: str, spaced: bool) -> PieceEncoder:
     """The encoder of this Python worker; its cache outlives a task."""
-    key = (path, pieces.__name__)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, pieces)
-    return _ENCODERS[key]
+    if (path, spaced) not in _ENCODERS:
+        _ENCODERS[path, spaced] = PieceEncoder(path, spaced)
+    return _ENCODERS[path, spaced]
