@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 700_000
 CACHED_CHARS = 64
 JOINED = 200
 
