@@ -78,7 +78,10 @@ def anchored_runs(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
         begin = np.flatnonzero(first)
         usable = np.add.reduceat(inside.astype(np.int64), begin)
         some = usable > 0
-        out.append((h[anchor[begin[some]]], begin[some] + a, usable[some]))
+        # Anchors have low hashes; mixed again, they spread over the owners' ranges evenly.
+        mixed = (h[anchor[begin[some]]] ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append((mixed ^ (mixed >> np.uint64(29)), begin[some] + a, usable[some]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
