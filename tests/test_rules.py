@@ -432,15 +432,6 @@ def test_append_series_counts_rows_written_once(spark):
     assert back.count() == 18 and back.select("ts_month").distinct().count() == 2
 
 
-def test_spread_only_widens_narrow_inputs(spark):
-    from tickvault.functions.partitioning import spread
-    cores = spark.sparkContext.defaultParallelism
-    narrow_df = spark.range(100).coalesce(1)
-    assert spread(narrow_df).rdd.getNumPartitions() == cores
-    wide = spark.range(100).repartition(cores * 2)
-    assert spread(wide) is wide
-
-
 def test_conform_fills_and_orders_columns(spark):
     from tickvault.schemas import SERIES, conform
     df = spark.createDataFrame([("I1", 2.5, 7)], "instrumentId string, close double, extra int")
@@ -448,3 +439,35 @@ def test_conform_fills_and_orders_columns(spark):
     assert out.columns == SERIES.fieldNames() + ["extra"]
     r = out.first()
     assert (r.instrumentId, r.close, r.seriesId, r.extra) == ("I1", 2.5, None, 7)
+
+
+def test_mean_of_tiny_and_huge_prices(spark):
+    tiny = _one(series.series_stats(_series(spark, [0.00001234] * 3)))
+    assert tiny.avgPrice == pytest.approx(0.00001234, rel=1e-15)
+    huge = _series(spark, [1e25, 3e25])
+    assert _one(series.series_stats(huge)).avgPrice == 2e25
+    assert _one(series.trend(huge, days=1)).recentAvg is not None
+
+
+def test_pair_without_a_close_is_insufficient(spark):
+    r = _one(series.trend(_series(spark, [None, None])))
+    assert (r["count"], r.trend) == (0, "insufficient")
+
+
+def test_export_keeps_null_fields(spark, tmp_path):
+    path = str(tmp_path / "export")
+    ingest.export_documents(spark.createDataFrame([("a", None)], "id string, validTo string"), path)
+    assert spark.read.text(path).first()[0] == '{"id":"a","validTo":null}'
+
+
+def test_late_delete_is_not_known_before_it_is_recorded(spark):
+    """A delete valid on 3 January but recorded on the 10th does not hide that of the 5th."""
+    feed = spark.createDataFrame(
+        [("K", "2024-01-01 00:00:00", "2024-01-01 00:00:00", 1, "register"),
+         ("K", "2024-01-03 00:00:00", "2024-01-10 00:00:00", 2, "delete"),
+         ("K", "2024-01-05 00:00:00", "2024-01-05 00:00:00", 3, "delete")],
+        "instrumentId string, ts string, recordedAt string, event_id long, op string").selectExpr(
+        "instrumentId", "cast(ts as timestamp_ntz) ts", "cast(recordedAt as timestamp_ntz) recordedAt", "event_id", "op")
+    points = spark.sql("SELECT 'K' AS instrumentId, 's' AS seriesId, timestamp_ntz'2024-01-06 00:00:00' AS dataTimestamp")
+    known = temporal.known_versions(feed, "2024-01-07 00:00:00")
+    assert [r.isActive for r in temporal.as_of(known, points).collect()] == [False]

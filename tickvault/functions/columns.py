@@ -8,19 +8,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Sum money as an exact decimal and divide once: the mean does not depend on
-# the order partial sums are merged, so every run (and the SQL oracle) agrees.
-MONEY = "decimal(18,4)"
+# Prices are summed as exact decimals, so a mean does not depend on the order in which
+# partial sums are merged. Values or sums that do not fit are summed as doubles.
+EXACT = "decimal(38,18)"
 
 
 def exact_sum(c: Column) -> Column:
-    return F.sum(c.cast(MONEY))
+    """Sum of ``c`` as a double, correctly rounded where all of it fits ``EXACT``."""
+    exact = c.try_cast(EXACT)
+    fits = F.count(exact) == F.count(c)
+    return F.coalesce(F.when(fits, F.try_sum(exact).cast("double")), F.sum(c.cast("double")))
 
 
 def exact_mean(c: Column, n: Column | None = None) -> Column:
     """Mean of ``c``; with ``n`` given, the sum is divided by that count."""
-    count = F.count(c) if n is None else n
-    return exact_sum(c).cast("double") / count
+    return exact_sum(c) / (F.count(c) if n is None else n)
 
 
 def first_truthy(*cols: Column) -> Column:

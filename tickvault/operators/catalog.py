@@ -44,11 +44,11 @@ def list_instruments(instruments: DataFrame, offset: int = 0, limit: int | None
     return rows.select(*cols)
 
 
-def instruments_by_class(instruments: DataFrame, limit: int | None = 100,
+def instruments_by_class(instruments: DataFrame, limit: int | None = None,
                          classes: DataFrame | None = None) -> DataFrame:
-    """Active instruments of each class, at most ``limit`` per class.
+    """Active instruments of each class, all or the first ``limit`` of each.
 
-    A per-class top-N: Spark plans it as a partial ``WindowGroupLimit`` so a
+    With a limit it is a per-class top-N: Spark plans it as a partial ``WindowGroupLimit`` so a
     large class forwards at most ``limit`` rows per map task.
     """
     rows = active(instruments)

@@ -34,24 +34,28 @@ def validate_series(raw: DataFrame, batch_ts, key_cols: list[str] | None = None,
     ``raw`` columns: instrumentId, dataSourceId, dataTimestamp (text),
     indicators (map<string,double>), optional dataQuality. A record needs
     non-null ids, a timestamp and a non-empty indicator map; a non-finite
-    close is refused. The timestamp is normalised (O05; unparsable text
+    indicator is refused. The timestamp is normalised (O05; unparsable text
     falls back to the batch time, flagged). Valid rows come out in the
     ``series`` layout with a content-derived ``seriesId`` built from
-    ``key_cols`` (default: instrument, source, timestamp text).
+    ``key_cols`` (default: instrument, source, timestamp text and indicators).
     """
     ind = F.col("indicators")
     close = F.try_element_at(ind, F.lit("close"))
     finite = lambda c: c.isNull() | (~F.isnan(c) & (F.abs(c) != float("inf")))
+    all_finite = F.forall(F.map_values(ind), finite)
     reason = (F.when(F.col("instrumentId").isNull(), "missing instrumentId")
               .when(F.col("dataSourceId").isNull(), "missing dataSourceId")
               .when(F.col("dataTimestamp").isNull(), "missing dataTimestamp")
               .when(ind.isNull() | (F.size(ind) <= 0), "missing indicators")
-              .when(~finite(close), "non-finite close"))
+              .when(~finite(close), "non-finite close")
+              .when(~all_finite, "non-finite indicator"))
     tagged = raw.withColumn("reject_reason", reason)
     rejects = tagged.filter(F.col("reject_reason").isNotNull())
     ok = normalise_timestamps(tagged.filter(F.col("reject_reason").isNull()),
                               "dataTimestamp", batch_ts, out_col="_ts")
-    keys = key_cols or ["instrumentId", "dataSourceId", "dataTimestamp"]
+    # By default the payload is part of the key: records that differ get ids that differ.
+    keys = key_cols or ["instrumentId", "dataSourceId", "dataTimestamp",
+                        F.array_sort(F.map_entries("indicators")).alias("indicators")]
     known = F.map_filter(ind, lambda k, v: ~k.isin(*INDICATORS))
     quality = (F.coalesce(F.col("dataQuality"), F.lit(data_quality))
                if "dataQuality" in raw.columns else F.lit(data_quality))
@@ -253,4 +257,4 @@ def export_frame(df: DataFrame, drop: tuple[str, ...] = ("_id",)) -> DataFrame:
 
 def export_documents(df: DataFrame, path: str) -> None:
     """Write the output form as JSON lines."""
-    export_frame(df).write.mode("overwrite").json(path)
+    export_frame(df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -17,7 +17,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickvault.functions.partitioning import spread
 from tickvault.operators.catalog import active
 
 # fixed values: the provider type chosen first when no source is given
@@ -30,8 +29,9 @@ def _order(df: DataFrame, id_col: str) -> Column:
 
 
 def _max_len(refs: DataFrame, col: str) -> int:
-    # One scalar (the longest reference) bounds the substring explosion.
-    n = refs.agg(F.max(F.length(col))).first()[0]
+    # One scalar (the longest reference, in whichever case is longest) bounds the substring
+    # explosion: a probe in upper or lower case may be longer than the reference.
+    n = refs.agg(F.max(F.greatest(*[F.length(c) for c in (F.col(col), F.upper(col), F.lower(col))]))).first()[0]
     return int(n or 0)
 
 
@@ -53,7 +53,7 @@ def substring_index(df: DataFrame, text: Column, id_col: str, max_len: int) -> D
         F.sequence(F.lit(1), n),
         lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i + 1, F.lit(max_len))),
                               lambda k: F.substring(t, i, k))))
-    rows = spread(per_text).select(F.explode(F.array_distinct(subs)).alias("sub"), "_b")
+    rows = per_text.select(F.explode(F.array_distinct(subs)).alias("sub"), "_b")
     best = rows.groupBy("sub").agg(F.min_by("_b", F.col("_b")["_o"]).alias("_b"))
     return best.select("sub", F.col("_b")[id_col].alias(id_col), F.col("_b")["_o"].alias("_o"))
 

@@ -5,14 +5,12 @@ to a DataFrame of wanted pairs or instruments through a semi join.
 
 Scale notes
 -----------
-* Row caps (the reference's per-call limits) are ``row_number() <= cap``
-  filters, which Spark plans as a partial ``WindowGroupLimit`` before the
-  shuffle: each map task forwards at most ``cap`` rows per pair, so a hot
-  pair holding a third of the table ships ``tasks * cap`` rows, not a third
-  of the table.
-* With ``row_cap=None`` no window is used at all: statistics are plain
-  partial/final aggregates, and the trend's "newest N" part is a top-N per
-  pair (again a partial ``WindowGroupLimit``) joined to per-pair aggregates.
+* Without a row cap (the default) every row counts: statistics come from one count per
+  (pair, price), combined map-side, and running counts over a pair's distinct prices; no
+  buffer holds a pair's prices. The trend's "newest N" part is a top-N per pair, planned
+  as a partial ``WindowGroupLimit``.
+* An explicit row cap is a ``row_number() <= cap`` filter, also a partial
+  ``WindowGroupLimit`` where Spark's threshold allows.
 """
 
 from __future__ import annotations
@@ -20,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickvault.functions.columns import MONEY, exact_mean, exact_sum
+from tickvault.functions.columns import EXACT, exact_sum
 
 PAIR = ("instrumentId", "dataSourceId")
 
@@ -57,9 +55,10 @@ def cap_newest(series: DataFrame, cap: int | None) -> DataFrame:
             .filter(F.col("_rn") <= cap).drop("_rn"))
 
 
-def series_range(series: DataFrame, start=None, end=None, limit: int | None = 1000,
+def series_range(series: DataFrame, start=None, end=None, limit: int | None = None,
                  keys: DataFrame | None = None) -> DataFrame:
-    """Rows per pair in [start, end], newest first, at most ``limit``."""
+    """Rows per pair in [start, end], all of them, or with ``limit`` the newest
+    so many, numbered from the newest."""
     rows = in_range(narrow(series, keys), start, end)
     if limit is None:
         return rows
@@ -88,36 +87,55 @@ def _close_rows(series, start, end, row_cap, keys):
     return rows.filter(F.col("close").isNotNull())
 
 
-def series_stats(series: DataFrame, start=None, end=None, row_cap: int | None = 10_000,
+def _by_price(rows: DataFrame) -> DataFrame:
+    """One row per (pair, close) with its count, first and last time, and where it stands
+    among the pair's sorted closes: rows up to it, and rows of the pair."""
+    by_time = F.struct("dataTimestamp", "seriesId")
+    prices = rows.groupBy(*PAIR, "close").agg(
+        F.count(F.lit(1)).alias("_c"), F.try_sum(F.col("close").try_cast(EXACT)).alias("_exact"),
+        F.min(by_time).alias("_first"), F.max(by_time).alias("_last"))
+    up = Window.partitionBy(*PAIR).orderBy("close").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (prices.withColumn("_upto", F.sum("_c").over(up))
+            .withColumn("_n", F.sum("_c").over(Window.partitionBy(*PAIR))))
+
+
+def _at(position: Column) -> Column:
+    """The close at a 1-based position of a pair's sorted closes."""
+    here = (F.col("_upto") >= position) & (F.col("_upto") - F.col("_c") < position)
+    return F.max(F.when(here, F.col("close")))
+
+
+def _price_sum() -> Column:
+    """The sum of closes from prices and their counts, as ``exact_sum`` gives it."""
+    fits = F.count("_exact") == F.count(F.lit(1))
+    return F.coalesce(F.when(fits, F.try_sum("_exact").cast("double")), F.sum(F.col("close") * F.col("_c")))
+
+
+def series_stats(series: DataFrame, start=None, end=None, row_cap: int | None = None,
                  order: str = "value", keys: DataFrame | None = None,
                  median: str = "exact", accuracy: int = 10_000) -> DataFrame:
     """Count, min, max, mean, true median, first, last, change, % change.
 
-    ``order="value"`` keeps the reference's behaviour: prices are sorted by
-    value, so first = min and last = max. ``order="time"`` gives the
-    chronologically first and last close instead.
-
-    The exact median keeps a value -> count map per pair; with the row cap
-    that map is bounded. Without a cap, ``median="approx"`` switches to
-    ``percentile_approx`` (bounded sketch, relative rank error 1/accuracy).
+    All rows of a pair count unless ``row_cap`` keeps only the newest. ``order="value"``
+    keeps the reference's behaviour: prices are sorted by value, so first = min and
+    last = max. ``order="time"`` gives the chronologically first and last close instead.
+    ``median="approx"`` takes ``percentile_approx`` (relative rank error 1/accuracy).
     """
     if median not in ("exact", "approx"):
         raise ValueError("median must be 'exact' or 'approx'")
-    rows = _close_rows(series, start, end, row_cap, keys)
-    close = F.col("close")
-    if order == "value":
-        first, last = F.min(close), F.max(close)
-    elif order == "time":
-        by_time = F.struct("dataTimestamp", "seriesId")
-        first, last = F.min_by(close, by_time), F.max_by(close, by_time)
-    else:
+    if order not in ("value", "time"):
         raise ValueError("order must be 'value' or 'time'")
-    agg = rows.groupBy(*PAIR).agg(
-        F.count(close).alias("count"),
+    prices = _by_price(_close_rows(series, start, end, row_cap, keys))
+    close, n = F.col("close"), F.col("_n")
+    lower, upper = _at(F.floor((n + 1) / 2)), _at(F.floor((n + 2) / 2))
+    first, last = ((F.min(close), F.max(close)) if order == "value"
+                   else (F.min_by(close, "_first"), F.max_by(close, "_last")))
+    agg = prices.groupBy(*PAIR).agg(
+        F.sum("_c").alias("count"),
         F.min(close).alias("minPrice"),
         F.max(close).alias("maxPrice"),
-        exact_mean(close).alias("avgPrice"),
-        (F.median(close) if median == "exact"
+        (_price_sum() / F.sum("_c")).alias("avgPrice"),
+        (lower * 0.5 + upper * 0.5 if median == "exact"
          else F.percentile_approx(close, 0.5, accuracy)).alias("medianPrice"),
         first.alias("firstPrice"),
         last.alias("lastPrice"),
@@ -130,18 +148,17 @@ def series_stats(series: DataFrame, start=None, end=None, row_cap: int | None =
 
 
 def series_stats_tool(series: DataFrame, start=None, end=None,
-                      row_cap: int | None = 10_000,
+                      row_cap: int | None = None,
                       keys: DataFrame | None = None) -> DataFrame:
     """The tool variant: *upper* median, volatility = max - min."""
-    rows = _close_rows(series, start, end, row_cap, keys)
+    prices = _by_price(_close_rows(series, start, end, row_cap, keys))
     close = F.col("close")
-    upper_median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY close DESC)")
-    return rows.groupBy(*PAIR).agg(
-        F.count(close).alias("count"),
+    return prices.groupBy(*PAIR).agg(
+        F.sum("_c").alias("count"),
         F.min(close).alias("minPrice"),
         F.max(close).alias("maxPrice"),
-        exact_mean(close).alias("avgPrice"),
-        upper_median.alias("medianPrice"),
+        (_price_sum() / F.sum("_c")).alias("avgPrice"),
+        _at(F.floor((F.col("_n") + 2) / 2)).alias("medianPrice"),
         F.min(close).alias("firstPrice"),
         F.max(close).alias("lastPrice"),
         (F.max(close) - F.min(close)).alias("priceChange"),
@@ -151,9 +168,9 @@ def series_stats_tool(series: DataFrame, start=None, end=None,
 
 def _trend_columns(n: Column, recent_sum: Column, older_sum: Column, days: int,
                    hi: Column, lo: Column) -> list[Column]:
-    recent = recent_sum.cast("double") / F.least(F.lit(days).cast("bigint"), n)
+    recent = recent_sum / F.least(F.lit(days).cast("bigint"), n)
     # The reference divides the (empty) older slice by max(1, n - days): 0.
-    older = F.when(n > days, older_sum.cast("double") / (n - days)).otherwise(F.lit(0.0))
+    older = F.when(n > days, older_sum / (n - days)).otherwise(F.lit(0.0))
     enough = n >= 2
     trend = (F.when(~enough, F.lit("insufficient"))
              .when(recent > older, "upward").when(recent < older, "downward")
@@ -169,83 +186,39 @@ def _trend_columns(n: Column, recent_sum: Column, older_sum: Column, days: int,
     ]
 
 
-def trend(series: DataFrame, days: int = 30, row_cap: int | None = 1000,
+def trend(series: DataFrame, days: int = 30, row_cap: int | None = None,
           keys: DataFrame | None = None) -> DataFrame:
     """Mean of the newest ``days`` closes vs the mean of the older ones.
 
-    ``days`` counts rows, as in the reference. Pairs with fewer than two
-    closes report trend 'insufficient'.
+    ``days`` counts rows, as in the reference, and every row of a pair counts unless
+    ``row_cap`` keeps only the newest. Pairs with fewer than two closes report trend
+    'insufficient', pairs without any close a count of 0.
     """
     if days <= 0:
         raise ValueError("days must be positive")
     close = F.col("close")
-    money = close.cast(MONEY)
-    if row_cap is not None:
-        rows = _close_rows(series, None, None, row_cap, keys)
-        ranked = rows.withColumn("_pos", F.row_number().over(_newest_first()))
-        agg = ranked.groupBy(*PAIR).agg(
-            F.count(close).alias("_n"),
-            F.sum(F.when(F.col("_pos") <= days, money)).alias("_recent"),
-            F.sum(F.when(F.col("_pos") > days, money)).alias("_older"),
-            F.max(close).alias("_hi"), F.min(close).alias("_lo"))
-        return agg.select(*PAIR, *_trend_columns(
-            F.col("_n"), F.col("_recent"), F.col("_older"), days, F.col("_hi"), F.col("_lo")))
-
-    # Uncapped: whole-pair aggregates (partial agg, skew-safe) plus the newest
-    # `days` closes per pair (top-N, partial WindowGroupLimit); older = total - recent.
-    rows = narrow(series, keys).filter(close.isNotNull())
-    totals = rows.groupBy(*PAIR).agg(
-        F.count(close).alias("_n"), exact_sum(close).alias("_total"),
+    rows = cap_newest(narrow(series, keys), row_cap)
+    priced = rows.filter(close.isNotNull())
+    # Only a pair's newest `days` closes are ranked (a partial WindowGroupLimit); the sum of
+    # the older ones is that of the rows before the oldest of those.
+    edge = (priced.withColumn("_pos", F.row_number().over(_newest_first()))
+            .filter(F.col("_pos") <= days)
+            .groupBy(*PAIR).agg(F.min(F.struct("dataTimestamp", "seriesId")).alias("_edge"))
+            .select(*[F.col(c).alias(f"_{c}") for c in PAIR], "_edge"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PAIR]
+    recent = F.struct("dataTimestamp", "seriesId") >= F.col("_edge")
+    agg = rows.join(edge, same[0] & same[1], "left").groupBy(*PAIR).agg(
+        F.count(close).alias("_n"),
+        exact_sum(F.when(recent, close)).alias("_recent"),
+        exact_sum(F.when(~recent, close)).alias("_older"),
         F.max(close).alias("_hi"), F.min(close).alias("_lo"))
-    recent = (rows.withColumn("_pos", F.row_number().over(_newest_first()))
-              .filter(F.col("_pos") <= days)
-              .groupBy(*PAIR).agg(F.sum(money).alias("_recent")))
-    joined = totals.join(recent, list(PAIR))
-    return joined.select(*PAIR, *_trend_columns(
-        F.col("_n"), F.col("_recent"), F.col("_total") - F.col("_recent"), days,
-        F.col("_hi"), F.col("_lo")))
-
-
-def stats_and_trend(series: DataFrame, stats_cap: int = 10_000, trend_cap: int = 1000,
-                    days: int = 30, keys: DataFrame | None = None) -> DataFrame:
-    """O33 and O35 for every pair from one sorted pass and one aggregate.
-
-    The trend's newest ``trend_cap`` rows are a prefix of the statistics'
-    newest ``stats_cap`` rows, so one row number (with a running count of
-    closes for the trend's positions) serves both; results equal
-    ``series_stats`` (value order) and ``trend`` column for column.
-    """
-    if days <= 0:
-        raise ValueError("days must be positive")
-    if trend_cap > stats_cap:
-        raise ValueError("trend_cap must not exceed stats_cap")
-    close = F.col("close")
-    money = close.cast(MONEY)
-    running = _newest_first().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = (narrow(series, keys)
-            .withColumn("_rn", F.row_number().over(_newest_first()))
-            .withColumn("_pos", F.count(close).over(running))
-            .filter(F.col("_rn") <= stats_cap)
-            .filter(close.isNotNull()))
-    in_trend = F.col("_rn") <= trend_cap
-    tclose = F.when(in_trend, close)
-    agg = rows.groupBy(*PAIR).agg(
-        F.count(close).alias("count"),
-        F.min(close).alias("minPrice"),
-        F.max(close).alias("maxPrice"),
-        exact_mean(close).alias("avgPrice"),
-        F.median(close).alias("medianPrice"),
-        F.count(tclose).alias("_n"),
-        F.sum(F.when(in_trend & (F.col("_pos") <= days), money)).alias("_recent"),
-        F.sum(F.when(in_trend & (F.col("_pos") > days), money)).alias("_older"),
-        F.max(tclose).alias("_hi"), F.min(tclose).alias("_lo"))
-    change = F.col("maxPrice") - F.col("minPrice")
-    trend_cols = _trend_columns(F.col("_n"), F.col("_recent"), F.col("_older"), days,
-                                F.col("_hi"), F.col("_lo"))
-    return agg.select(
-        *PAIR, "count", "minPrice", "maxPrice", "avgPrice", "medianPrice",
-        F.col("minPrice").alias("firstPrice"), F.col("maxPrice").alias("lastPrice"),
-        change.alias("priceChange"),
-        F.when(F.col("minPrice") != 0, change / F.col("minPrice") * 100)
-        .otherwise(F.lit(0.0)).alias("percentChange"),
-        *trend_cols[1:])  # the trend's own row count is not repeated
+    return agg.select(*PAIR, *_trend_columns(
+        F.col("_n"), F.col("_recent"), F.col("_older"), days, F.col("_hi"), F.col("_lo")))
+
+
+def stats_and_trend(series: DataFrame, days: int = 30, keys: DataFrame | None = None) -> DataFrame:
+    """O33 (value order) and O35 side by side for every pair that has a close."""
+    stats, found = series_stats(series, keys=keys), trend(series, days, keys=keys).drop("count")
+    right = found.select(*[F.col(c).alias(f"_{c}") if c in PAIR else F.col(c) for c in found.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PAIR]
+    return stats.join(right, same[0] & same[1]).drop(*[f"_{c}" for c in PAIR])

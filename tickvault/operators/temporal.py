@@ -227,17 +227,13 @@ def as_of(versions: DataFrame, points: DataFrame, key: str = "instrumentId",
                         *[F.col(f"_hit.{c}").alias(c) for c in vcols])
 
 
-def as_known_at(versions: DataFrame, tx_time) -> DataFrame:
-    """Versions as the warehouse knew them at transaction time ``tx_time``:
-    versions recorded later are invisible, and an end recorded later is open."""
-    tx = F.lit(tx_time).cast("timestamp_ntz")
-    known_end = F.when(F.col("validToRecordedAt") <= tx, F.col("validTo"))
-    return (versions.filter(F.col("transactionStart") <= tx)
-            .withColumn("validTo", known_end)
-            .withColumn("validToRecordedAt", F.when(F.col("validToRecordedAt") <= tx,
-                                                    F.col("validToRecordedAt"))))
-
-
-def as_of_bitemporal(versions: DataFrame, points: DataFrame, tx_time, **kw) -> DataFrame:
+def known_versions(feed: DataFrame, tx_time, recorded: str = "recordedAt", **kw) -> DataFrame:
+    """Versions as the warehouse knew them at transaction time ``tx_time``: only changes
+    recorded by then are folded, so a later record changes nothing that was known."""
+    return apply_changes(feed.filter(F.col(recorded) <= F.lit(tx_time).cast("timestamp_ntz")),
+                         recorded=recorded, **kw)
+
+
+def as_of_bitemporal(feed: DataFrame, points: DataFrame, tx_time, recorded: str = "recordedAt", **kw) -> DataFrame:
     """O39 bitemporal: valid at each point's time, as known at ``tx_time``."""
-    return as_of(as_known_at(versions, tx_time), points, **kw)
+    return as_of(known_versions(feed, tx_time, recorded), points, **kw)

@@ -34,12 +34,20 @@ def q_list_instruments_tool(spark, sf_dir):
     return ops.list_instruments(driver.instruments(spark, sf_dir), tool=True)
 
 
-@query("instruments_by_class", with_tables("instruments") + f"""
+_BY_CLASS = with_tables("instruments") + f"""
 SELECT {INST_COLS} FROM (
   SELECT *, row_number() OVER (PARTITION BY instrumentClass ORDER BY instrumentId) AS _rn
-  FROM instruments WHERE isActive) WHERE _rn <= 100""")
+  FROM instruments WHERE isActive)"""
+
+
+@query("instruments_by_class", _BY_CLASS)
 def q_instruments_by_class(spark, sf_dir):
-    return ops.instruments_by_class(driver.instruments(spark, sf_dir), limit=100)
+    return ops.instruments_by_class(driver.instruments(spark, sf_dir))
+
+
+@query("instruments_by_class_capped", _BY_CLASS + " WHERE _rn <= 5")
+def q_instruments_by_class_capped(spark, sf_dir):
+    return ops.instruments_by_class(driver.instruments(spark, sf_dir), limit=5)
 
 
 @query("inactive_instruments", with_tables("instruments") + f"""

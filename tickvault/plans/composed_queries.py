@@ -23,7 +23,7 @@ SELECT r.refId, r.ref, r.instrumentId, d.dataSourceId, t.count, t.trend, t.recen
        t.olderAvg, t.changePercent, t.volatility
 FROM ({ORACLES['resolve_instruments']}) r
 JOIN ({ORACLES['default_source']}) d ON d.instrumentId = r.instrumentId
-JOIN ({_trend_sql(30, 1000)}) t
+JOIN ({_trend_sql(30, "series")}) t
   ON t.instrumentId = r.instrumentId AND t.dataSourceId = d.dataSourceId""")
 def q_trend_by_reference(spark, sf_dir):
     inst = driver.instruments(spark, sf_dir)
@@ -36,7 +36,7 @@ def q_trend_by_reference(spark, sf_dir):
     # References here cover the whole instrument table, so the trend is computed
     # for every pair in one pass and joined once (narrowing with keys= would
     # consume `pairs` twice). For a handful of references, pass keys= instead.
-    tr = series_ops.trend(s, days=30, row_cap=1000)
+    tr = series_ops.trend(s, days=30)
     return pairs.join(tr, ["instrumentId", "dataSourceId"]).select(
         "refId", "ref", "instrumentId", "dataSourceId", "count", "trend", "recentAvg",
         "olderAvg", "changePercent", "volatility")

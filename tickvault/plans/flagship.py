@@ -1,10 +1,9 @@
 """Flagship query: one scorecard row per (instrument, source).
 
 Statistics (O33) and trend (O35) for every pair, with the instrument's symbol
-and name and the source's provider name. Both per-pair results come out of
-one scan, one shuffle, one sort and one aggregate of ``series``
-(``stats_and_trend``); the dimension joins are left to Catalyst/AQE, which
-broadcast the dimension sides only when their measured size allows.
+and name and the source's provider name, over every row of every pair. The dimension
+joins are left to Catalyst/AQE, which broadcast the dimension sides only when their
+measured size allows.
 """
 
 from __future__ import annotations
@@ -12,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickvault.operators import series as ops
-from tickvault.plans.oracle import EXACT_AVG, capped, with_tables
+from tickvault.plans.oracle import EXACT_AVG, exact_sum, with_tables
 from tickvault.plans.registry import query
 from tickvault.sources import driver
 
 
 def instrument_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = driver.series(spark, sf_dir)
-    card = ops.stats_and_trend(s, stats_cap=10_000, trend_cap=1000, days=30)
+    card = ops.stats_and_trend(s, days=30)
     inst = driver.instruments(spark, sf_dir).select("instrumentId", "symbol", "name")
     src = driver.sources(spark, sf_dir).select("dataSourceId", "providerName")
     return (card.join(inst, "instrumentId", "left")
@@ -33,18 +32,16 @@ _SQL = with_tables("series", "instruments", "sources") + f"""
 , st AS (
   SELECT instrumentId, dataSourceId, count(close) AS count, min(close) AS minPrice,
          max(close) AS maxPrice, {EXACT_AVG} AS avgPrice, median(close) AS medianPrice
-  FROM {capped("series", 10_000)} WHERE close IS NOT NULL GROUP BY ALL),
+  FROM series WHERE close IS NOT NULL GROUP BY ALL),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY instrumentId, dataSourceId
                                ORDER BY dataTimestamp DESC, seriesId DESC) AS _pos
-  FROM {capped("series", 1000)} WHERE close IS NOT NULL),
+  FROM series WHERE close IS NOT NULL),
 ag AS (
   SELECT instrumentId, dataSourceId, count(close) AS n,
-         CAST(sum(CASE WHEN _pos <= 30 THEN CAST(close AS DECIMAL(18,4)) END) AS DOUBLE)
-           / least(30, count(close)) AS recent,
+         {exact_sum("CASE WHEN _pos <= 30 THEN close END")} / least(30, count(close)) AS recent,
          CASE WHEN count(close) > 30
-              THEN CAST(sum(CASE WHEN _pos > 30 THEN CAST(close AS DECIMAL(18,4)) END)
-                        AS DOUBLE) / (count(close) - 30)
+              THEN {exact_sum("CASE WHEN _pos > 30 THEN close END")} / (count(close) - 30)
               ELSE 0.0 END AS older
   FROM ranked GROUP BY ALL)
 SELECT st.instrumentId, i.symbol, i.name, st.dataSourceId, s.providerName,

@@ -31,7 +31,7 @@ def _key_sql(prefix: str, col: str) -> str:
 # ---------------------------------------------------------------- O05 --------
 
 def _timestamp_texts(spark, sf_dir):
-    ev = driver.spread(driver.read_table(spark, sf_dir, "events"))
+    ev = driver.read_table(spark, sf_dir, "events")
     m = F.col("event_id") % 5
     text = (F.when(m == 0, F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"),
                                                   ISO_FRAC), F.lit("+02:00")))
@@ -64,7 +64,7 @@ def q_normalise_timestamp(spark, sf_dir):
 # ---------------------------------------------------------------- O06 --------
 
 def _raw_records(spark, sf_dir):
-    ev = driver.spread(driver.read_table(spark, sf_dir, "events"))
+    ev = driver.read_table(spark, sf_dir, "events")
     e = F.col("event_id")
     close = F.when(e % 19 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
     k = F.get_json_object("props", "$.k").cast("double")
@@ -133,7 +133,7 @@ WIKI_MAP = (("open", "open"), ("high", "high"), ("low", "low"), ("close", "close
 
 
 def _vendor_rows(spark, sf_dir):
-    ev = driver.spread(driver.read_table(spark, sf_dir, "events"))
+    ev = driver.read_table(spark, sf_dir, "events")
     e = F.col("event_id")
     return ev.select(
         "event_id",
@@ -165,7 +165,7 @@ def q_map_vendor_columns(spark, sf_dir):
 # ---------------------------------------------------------------- O03 --------
 
 def _history_frame(spark, sf_dir):
-    li = driver.spread(driver.read_table(spark, sf_dir, "lineitem"))
+    li = driver.read_table(spark, sf_dir, "lineitem")
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     return li.select(
         "l_orderkey", "l_linenumber",
@@ -205,7 +205,7 @@ def q_normalise_history_frame(spark, sf_dir):
 # ---------------------------------------------------------------- O04 --------
 
 def _payloads(spark, sf_dir):
-    ev = driver.spread(driver.read_table(spark, sf_dir, "events"))
+    ev = driver.read_table(spark, sf_dir, "events")
     e = F.col("event_id")
     k = F.get_json_object("props", "$.k")
     sym = F.when(e % 11 == 0, F.lit('"symbol": "", "id": 0')).otherwise(
@@ -242,7 +242,7 @@ def q_normalise_external_json(spark, sf_dir):
 # ---------------------------------------------------------------- O12 --------
 
 def _attribute_payloads(spark, sf_dir):
-    p = driver.spread(driver.read_table(spark, sf_dir, "part"))
+    p = driver.read_table(spark, sf_dir, "part")
     js = F.concat(
         F.lit('{"brand": "'), F.col("p_brand"), F.lit('", "size": '), F.col("p_size").cast("string"),
         F.lit(', "retail": '), F.col("p_retailprice").cast("string"),
@@ -314,7 +314,7 @@ def q_register_instruments(spark, sf_dir):
 , cand AS (
   SELECT n_name AS providerName,
          CASE WHEN n_nationkey % 2 = 0 THEN lower(r_name) ELSE lower(n_name) END AS providerType,
-         'internal://' || lower(n_name) AS apiEndpoint, 'nation ' || n_name AS description,
+         'https://example.invalid/' || lower(n_name) AS apiEndpoint, 'nation ' || n_name AS description,
          n_nationkey AS seq
   FROM nation JOIN region ON n_regionkey = r_regionkey),
 firsts AS (
@@ -330,7 +330,7 @@ def q_register_sources(spark, sf_dir):
         F.col("n_name").alias("providerName"),
         F.when(F.col("n_nationkey") % 2 == 0, F.lower("r_name")).otherwise(F.lower("n_name"))
         .alias("providerType"),
-        F.concat(F.lit("internal://"), F.lower("n_name")).alias("apiEndpoint"),
+        F.concat(F.lit("https://example.invalid/"), F.lower("n_name")).alias("apiEndpoint"),
         F.concat(F.lit("nation "), F.col("n_name")).alias("description"),
         F.col("n_nationkey").alias("seq"))
     return ops.register_sources(cand, driver.sources(spark, sf_dir), order=["seq"])

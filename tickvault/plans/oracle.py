@@ -19,7 +19,7 @@ MODEL = {
   FROM events""",
     "sources": """
   SELECT 'DS_' || CAST(r_regionkey AS VARCHAR) AS dataSourceId, r_name AS providerName,
-         lower(r_name) AS providerType, 'internal://' || lower(r_name) AS apiEndpoint,
+         lower(r_name) AS providerType, 'https://example.invalid/' || lower(r_name) AS apiEndpoint,
          'region ' || r_name AS description
   FROM region""",
     "instruments": """
@@ -74,4 +74,9 @@ def capped(source: str, cap: int) -> str:
             f"WHERE _rn <= {cap})")
 
 
-EXACT_AVG = "CAST(sum(CAST(close AS DECIMAL(18,4))) AS DOUBLE) / count(close)"
+def exact_sum(value: str) -> str:
+    """The correctly rounded sum of doubles: by their decimal text, not by a cast."""
+    return f"CAST(CAST(sum(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,18))) AS VARCHAR) AS DOUBLE)"
+
+
+EXACT_AVG = f"{exact_sum('close')} / count(close)"

@@ -5,23 +5,52 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickvault.operators import series as ops
-from tickvault.plans.oracle import EXACT_AVG, NEWEST, capped, with_tables
+from tickvault.plans.oracle import EXACT_AVG, NEWEST, capped, exact_sum, with_tables
 from tickvault.plans.registry import query
 from tickvault.sources import driver
 
 RANGE_START, RANGE_END = "2024-01-05 00:00:00", "2024-01-25 23:59:59"
 
 
-@query("series_range", with_tables("series") + f"""
+_RANGE_SQL = with_tables("series") + f"""
 SELECT seriesId, instrumentId, dataSourceId, dataTimestamp, close,
-       CAST(json_extract(props, '$.k') AS DOUBLE) AS k, CAST(rowNumber AS INTEGER) AS rowNumber
+       CAST(json_extract(props, '$.k') AS DOUBLE) AS k
 FROM (SELECT *, row_number() OVER ({NEWEST}) AS rowNumber FROM series
-      WHERE dataTimestamp >= TIMESTAMP '{RANGE_START}' AND dataTimestamp <= TIMESTAMP '{RANGE_END}')
-WHERE rowNumber <= 1000""")
-def q_series_range(spark, sf_dir):
-    rows = ops.series_range(driver.series(spark, sf_dir), RANGE_START, RANGE_END, limit=1000)
+      WHERE dataTimestamp >= TIMESTAMP '{RANGE_START}' AND dataTimestamp <= TIMESTAMP '{RANGE_END}')"""
+
+
+def _range(spark, sf_dir, **kw):
+    rows = ops.series_range(driver.series(spark, sf_dir), RANGE_START, RANGE_END, **kw)
     return rows.select("seriesId", "instrumentId", "dataSourceId", "dataTimestamp", "close",
-                       F.col("extras")["k"].alias("k"), "rowNumber")
+                       F.col("extras")["k"].alias("k"))
+
+
+@query("series_range", _RANGE_SQL)
+def q_series_range(spark, sf_dir):
+    return _range(spark, sf_dir)
+
+
+@query("series_range_capped", _RANGE_SQL + " WHERE rowNumber <= 2")
+def q_series_range_capped(spark, sf_dir):
+    return _range(spark, sf_dir, limit=2)
+
+
+def scaled(factor: str):
+    """The series with every price times ``factor`` and few pairs, so that each has
+    hundreds of rows (three instruments)."""
+    def table(spark, sf_dir):
+        s = driver.series(spark, sf_dir)
+        key = F.substring_index("instrumentId", "_", -1).cast("bigint")
+        return (s.withColumn("instrumentId", F.concat(F.lit("INST_"), (key % 3).cast("string")))
+                .withColumn("close", F.col("close") * F.lit(float(factor))))
+    return table
+
+
+def scaled_sql(factor: str) -> str:
+    return f"""
+, scaled AS (
+  SELECT * REPLACE ('INST_' || CAST(CAST(split_part(instrumentId, '_', 2) AS BIGINT) % 3 AS VARCHAR) AS instrumentId,
+                    close * CAST({factor} AS DOUBLE) AS close) FROM series)"""
 
 
 @query("latest_price", with_tables("series") + f"""
@@ -43,13 +72,31 @@ GROUP BY instrumentId, dataSourceId"""
 
 
 @query("series_stats", with_tables("series") + _STATS_SELECT.format(
-    first="min(close)", last="max(close)", rows=capped("series", 10_000)))
+    first="min(close)", last="max(close)", rows="series"))
 def q_series_stats(spark, sf_dir):
     return ops.series_stats(driver.series(spark, sf_dir))
 
 
-_TIME_ROWS = capped(f"(SELECT * FROM series WHERE dataTimestamp >= TIMESTAMP '{RANGE_START}' "
-                    f"AND dataTimestamp <= TIMESTAMP '{RANGE_END}')", 10_000)
+@query("series_stats_capped", with_tables("series") + _STATS_SELECT.format(
+    first="min(close)", last="max(close)", rows=capped("series", 3)))
+def q_series_stats_capped(spark, sf_dir):
+    return ops.series_stats(driver.series(spark, sf_dir), row_cap=3)
+
+
+@query("series_stats_long_small", with_tables("series") + scaled_sql("1e-6") + _STATS_SELECT.format(
+    first="min(close)", last="max(close)", rows="scaled"))
+def q_series_stats_long_small(spark, sf_dir):
+    return ops.series_stats(scaled("1e-6")(spark, sf_dir))
+
+
+@query("series_stats_long_large", with_tables("series") + scaled_sql("1e12") + _STATS_SELECT.format(
+    first="min(close)", last="max(close)", rows="scaled"))
+def q_series_stats_long_large(spark, sf_dir):
+    return ops.series_stats(scaled("1e12")(spark, sf_dir))
+
+
+_TIME_ROWS = (f"(SELECT * FROM series WHERE dataTimestamp >= TIMESTAMP '{RANGE_START}' "
+              f"AND dataTimestamp <= TIMESTAMP '{RANGE_END}')")
 
 
 @query("series_stats_by_time", with_tables("series") + _STATS_SELECT.format(
@@ -59,30 +106,35 @@ def q_series_stats_by_time(spark, sf_dir):
     return ops.series_stats(driver.series(spark, sf_dir), RANGE_START, RANGE_END, order="time")
 
 
-@query("series_stats_tool", with_tables("series") + f"""
+_TOOL_SELECT = f"""
 SELECT instrumentId, dataSourceId, count(close) AS count, min(close) AS minPrice,
        max(close) AS maxPrice, {EXACT_AVG} AS avgPrice,
        percentile_disc(0.5) WITHIN GROUP (ORDER BY close DESC) AS medianPrice,
        min(close) AS firstPrice, max(close) AS lastPrice,
        max(close) - min(close) AS priceChange, max(close) - min(close) AS volatility
-FROM {capped("series", 10_000)} WHERE close IS NOT NULL
-GROUP BY instrumentId, dataSourceId""")
+FROM {{rows}} WHERE close IS NOT NULL
+GROUP BY instrumentId, dataSourceId"""
+
+
+@query("series_stats_tool", with_tables("series") + _TOOL_SELECT.format(rows="series"))
 def q_series_stats_tool(spark, sf_dir):
     return ops.series_stats_tool(driver.series(spark, sf_dir))
 
 
-def _trend_sql(days: int, cap: int) -> str:
-    return with_tables("series") + f"""
+@query("series_stats_tool_long", with_tables("series") + scaled_sql("1") + _TOOL_SELECT.format(rows="scaled"))
+def q_series_stats_tool_long(spark, sf_dir):
+    return ops.series_stats_tool(scaled("1")(spark, sf_dir))
+
+
+def _trend_sql(days: int, rows: str, tables: str = "") -> str:
+    return with_tables("series") + tables + f"""
 , ranked AS (
-  SELECT *, row_number() OVER ({NEWEST}) AS _pos
-  FROM {capped("series", cap)} WHERE close IS NOT NULL),
+  SELECT *, row_number() OVER ({NEWEST}) AS _pos FROM {rows} WHERE close IS NOT NULL),
 agg AS (
   SELECT instrumentId, dataSourceId, count(close) AS n,
-         CAST(sum(CASE WHEN _pos <= {days} THEN CAST(close AS DECIMAL(18,4)) END) AS DOUBLE)
-           / least({days}, count(close)) AS recent,
+         {exact_sum(f"CASE WHEN _pos <= {days} THEN close END")} / least({days}, count(close)) AS recent,
          CASE WHEN count(close) > {days}
-              THEN CAST(sum(CASE WHEN _pos > {days} THEN CAST(close AS DECIMAL(18,4)) END)
-                        AS DOUBLE) / (count(close) - {days})
+              THEN {exact_sum(f"CASE WHEN _pos > {days} THEN close END")} / (count(close) - {days})
               ELSE 0.0 END AS older,
          max(close) - min(close) AS vol
   FROM ranked GROUP BY instrumentId, dataSourceId)
@@ -97,16 +149,26 @@ SELECT instrumentId, dataSourceId, n AS count,
 FROM agg"""
 
 
-@query("trend", _trend_sql(30, 1000))
+@query("trend", _trend_sql(30, "series"))
 def q_trend(spark, sf_dir):
-    return ops.trend(driver.series(spark, sf_dir), days=30, row_cap=1000)
+    return ops.trend(driver.series(spark, sf_dir), days=30)
+
 
+@query("trend_long", _trend_sql(30, "scaled", scaled_sql("1e-6")))
+def q_trend_long(spark, sf_dir):
+    return ops.trend(scaled("1e-6")(spark, sf_dir), days=30)
 
-@query("trend_short_window", _trend_sql(5, 1000))
+
+@query("trend_short_window", _trend_sql(5, "series"))
 def q_trend_short(spark, sf_dir):
-    return ops.trend(driver.series(spark, sf_dir), days=5, row_cap=1000)
+    return ops.trend(driver.series(spark, sf_dir), days=5)
+
+
+@query("trend_capped", _trend_sql(5, capped("series", 7)))
+def q_trend_capped(spark, sf_dir):
+    return ops.trend(driver.series(spark, sf_dir), days=5, row_cap=7)
 
 
-@query("trend_uncapped", _trend_sql(5, 10**9))
+@query("trend_uncapped", _trend_sql(5, "series"))
 def q_trend_uncapped(spark, sf_dir):
     return ops.trend(driver.series(spark, sf_dir), days=5, row_cap=None)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tickvault.operators import temporal as ops
 from tickvault.plans.oracle import with_tables
 from tickvault.plans.registry import query
@@ -85,18 +87,22 @@ def q_as_of(spark, sf_dir):
     return ops.as_of(stored_versions(spark, sf_dir), pts)
 
 
-_KNOWN_SQL = f"""
-, known AS (
-  SELECT instrumentId, validFrom,
-         CASE WHEN validToRecordedAt <= TIMESTAMP '{TX_TIME}' THEN validTo END AS validTo,
-         isActive, deletionMarker, op, event_id, transactionStart,
-         CASE WHEN validToRecordedAt <= TIMESTAMP '{TX_TIME}' THEN validToRecordedAt END
-           AS validToRecordedAt
-  FROM versions WHERE transactionStart <= TIMESTAMP '{TX_TIME}')"""
+# Changes are recorded up to four days after they take effect.
+_LATE = "ts + to_days(CAST(event_id % 5 AS INTEGER))"
+_KNOWN_SQL = VERSIONS_SQL.replace(
+    "FROM events WHERE event_type IN ('signup', 'error', 'purchase')",
+    f"FROM events WHERE event_type IN ('signup', 'error', 'purchase') AND {_LATE} <= TIMESTAMP '{TX_TIME}'")
+_KNOWN_SELECT = _AS_OF_SQL.format(vers="versions").replace(
+    "v.transactionStart, v.validToRecordedAt",
+    "v.validFrom + to_days(CAST(v.event_id % 5 AS INTEGER)) AS transactionStart")
 
 
-@query("as_of_bitemporal", _with_series(VERSIONS_SQL) + _KNOWN_SQL +
-       _AS_OF_SQL.format(vers="known"))
+@query("as_of_bitemporal", _with_series(_KNOWN_SQL) + _KNOWN_SELECT)
 def q_as_of_bitemporal(spark, sf_dir):
+    """Late records: only what was recorded by the transaction time is folded."""
     pts = driver.series(spark, sf_dir).select("instrumentId", "seriesId", "dataTimestamp")
-    return ops.as_of_bitemporal(stored_versions(spark, sf_dir), pts, TX_TIME)
+    late = F.expr("ts + make_dt_interval(cast(event_id % 5 as int))")
+    feed = driver.change_feed(spark, sf_dir).withColumn("recordedAt", late)
+    path = scratch_path(spark, "known")
+    ops.known_versions(feed, TX_TIME).write.parquet(path)
+    return ops.as_of(spark.read.parquet(path), pts).drop("validToRecordedAt")

@@ -2,8 +2,9 @@
 
 Scratch data (streaming checkpoints, round-trip tables, lineage cuts) lives
 under the folder the cluster names in ``spark.checkpoint.dir``. Only when that
-setting is unset (local tests, a bare ``local[*]`` session) do we pick a
-folder of our own and record it in the session, so every later call agrees.
+setting is unset in a ``local[...]`` session do we pick a folder of our own and
+record it in the session, so every later call agrees; a cluster must name one.
+Written intermediates stay until the folder is emptied: give it a lifetime rule.
 """
 
 from __future__ import annotations
@@ -24,10 +25,6 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Plan per-group row caps (statistics keep the newest 10,000 rows per
-    # pair) as a partial WindowGroupLimit before the shuffle; Spark's default
-    # only does so for caps up to 1,000.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 
@@ -71,6 +68,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     if current is None:
+        if not sc.master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tickvault-ckpt-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickvault.functions.partitioning import spread  # noqa: F401  (re-exported)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +52,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         _id("DS_", "r_regionkey").alias("dataSourceId"),
         F.col("r_name").alias("providerName"),
         F.lower("r_name").alias("providerType"),
-        F.concat(F.lit("internal://"), F.lower("r_name")).alias("apiEndpoint"),
+        F.concat(F.lit("https://example.invalid/"), F.lower("r_name")).alias("apiEndpoint"),
         F.concat(F.lit("region "), F.col("r_name")).alias("description"),
     )
 

@@ -137,7 +137,7 @@ def normalise_history_frame(wide: DataFrame, date_col: str = "Date") -> DataFram
         F.col(date_col).cast("timestamp_ntz").alias("dataTimestamp"),
         F.bround(o, 4).alias("open"), F.bround(h, 4).alias("high"),
         F.bround(lo, 4).alias("low"), F.bround(c, 4).alias("close"),
-        F.floor(vol).cast("double").alias("volume"),
+        F.when(vol < 0, F.ceil(vol)).otherwise(F.floor(vol)).cast("double").alias("volume"),
         F.create_map(F.lit("dividends"), F.bround(div, 6),
                      F.lit("stock_splits"), split).alias("extras"),
         F.lit("verified").alias("dataQuality"),
