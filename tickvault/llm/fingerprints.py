@@ -56,8 +56,11 @@ def with_fingerprint(df: DataFrame, text: str, out: str, width: int = WIDTH) ->
     gap = lambda h, i: _bin(h) - F.when(i == 0, F.lit(-1)).otherwise(_bin(F.get(c("filled"), i - 1))) - 1
     none = F.lit(None).cast("long")
     spread = F.flatten(F.transform(c("filled"), lambda h, i: F.concat(F.array_repeat(none, gap(h, i)), F.array(h))))
-    df = step(df, "dense", F.concat(spread, F.array_repeat(none, BINS - 1 - _bin(F.element_at(c("filled"), -1)))))
-    df = step(df, "full", F.transform(c("dense"), lambda h, b: F.coalesce(h, _pick(c("dense"), c("filled"), b))))
+    df = step(df, "dense", F.concat(spread, F.array_repeat(none, BINS - 1 - _bin(F.get(c("filled"), F.size(c("filled")) - 1)))))
+    # Hashed with their bin, values that several bins took from one differ in their low bits,
+    # so chance makes each bin equal on its own.
+    df = step(df, "full", F.transform(
+        c("dense"), lambda h, b: F.xxhash64(F.coalesce(h, _pick(c("dense"), c("filled"), b)), b)))
     word = lambda k: F.aggregate(
         F.slice(c("full"), k * PER_WORD + 1, PER_WORD), F.lit(0).cast("long"),
         lambda acc, h: F.shiftleft(acc, BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << BITS) - 1))))
