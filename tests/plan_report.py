@@ -12,7 +12,7 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-FILE_BACKED = {"scan_vendor_csv", "append_series", "export_documents", "stream_ingest_series",
+FILE_BACKED = {"scan_vendor_csv", "scan_vendor_feeds", "as_of_hot", "append_series", "export_documents", "stream_ingest_series",
                "stream_latest_price", "as_of", "as_of_bitemporal"}
 
 COUNT = {

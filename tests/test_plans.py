@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-FILE_BACKED = {"scan_vendor_csv", "append_series", "export_documents", "stream_ingest_series",
+FILE_BACKED = {"scan_vendor_csv", "scan_vendor_feeds", "as_of_hot", "append_series", "export_documents", "stream_ingest_series",
                "stream_latest_price", "as_of", "as_of_bitemporal"}
 
 

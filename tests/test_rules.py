@@ -471,3 +471,86 @@ def test_late_delete_is_not_known_before_it_is_recorded(spark):
     points = spark.sql("SELECT 'K' AS instrumentId, 's' AS seriesId, timestamp_ntz'2024-01-06 00:00:00' AS dataTimestamp")
     known = temporal.known_versions(feed, "2024-01-07 00:00:00")
     assert [r.isActive for r in temporal.as_of(known, points).collect()] == [False]
+
+
+def test_holdings_without_cost_or_portfolio_are_kept(spark):
+    day = dt.date(2024, 1, 1)
+    df = spark.createDataFrame(
+        [("P", "I", 1.0, None, day), ("P", "I", 1.0, None, day), (None, "I", 2.0, 3.0, None)],
+        "portfolioId string, instrumentId string, quantity double, averageCost double, acquiredDate date")
+    out = ingest.add_holdings(df).collect()
+    assert len(out) == 3 and len({r.holdingId for r in out}) == 3
+    counts = [r.holdingCount for r in catalog.portfolio_holdings(df).collect()]
+    assert sorted(counts) == [1, 2, 2]
+
+
+def test_compare_long_form_keeps_null_request(spark):
+    inst = spark.createDataFrame([("INST_A", "A", "a", "stock", "US", True)],
+                                 "instrumentId string, symbol string, name string, "
+                                 "instrumentClass string, region string, isActive boolean")
+    req = spark.createDataFrame([(None, 0, "INST_A"), (None, 1, "A"), (7, 0, "A")],
+                                "requestId int, position int, ref string")
+    comp, rejects = catalog.compare_instruments(req, inst)
+    assert sorted(r.position for r in comp.collect()) == [0, 1]
+    assert [r.requestId for r in rejects.collect()] == [7]
+    none = spark.createDataFrame([(1, None), (2, [])], "requestId int, refs array<string>")
+    comp, rejects = catalog.compare_instruments(none, inst, refs_col="refs")
+    assert comp.count() == 0 and sorted(r.requestId for r in rejects.collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("name", ["plain", "folders"])
+def test_csv_files_of_one_feed_order_columns_differently(spark, tmp_path, name):
+    head = {"A.csv": "Date,Open,Close\n2024-01-02,10,20\n2024-01-03,11,\n",
+            "B.csv": "date, Close ,Open,Adj. Close\n2024-01-02,20,10,21\n\n2024-01-04,30\n",
+            "C.csv": "no header here\n", "D.csv": ""}
+    for f, text in head.items():
+        d = tmp_path / (f"file={f}" if name == "folders" else "")
+        d.mkdir(exist_ok=True)
+        (d / (f if name == "plain" else "part-0.csv")).write_text(text)
+    files = spark.createDataFrame([(f, f[0]) for f in head], "file_name string, symbol string")
+    inst = spark.createDataFrame([(f[0], f"INST_{f[0]}") for f in head], "symbol string, instrumentId string")
+    rows = vendor.scan_vendor_csv(spark, [vendor.Feed("f", str(tmp_path), vendor.EQUITIES_COLUMNS)], files, inst,
+                                  file_name_col="file" if name == "folders" else None)
+    got = sorted((r.symbol, r.dataTimestamp.day, r.open, r.close) for r in rows.collect())
+    assert got == [("A", 2, 10.0, 20.0), ("B", 2, 10.0, 21.0), ("B", 4, 30.0, 30.0)]
+
+
+def test_contains_matches_brute_force(spark):
+    import random
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abß ") for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None]
+    texts = {"".join(rng.choice("abß ") for _ in range(rng.randint(0, 14))) for _ in range(200)}
+    texts |= {n[i:i + 12] for n in names[:40] if n for i in range(3)}
+    df = spark.createDataFrame([(f"I{i:02}", n) for i, n in enumerate(names)], "instrumentId string, name string")
+    probes = spark.createDataFrame([(t,) for t in texts], "probe string")
+    got = {r.probe: r.instrumentId for r in resolve.containing(probes, df, F.col("name"), "instrumentId").collect()}
+    want = {t: min(hits) for t in texts if t
+            for hits in [[f"I{i:02}" for i, n in enumerate(names) if n and t in n]] if hits}
+    assert got == want
+
+
+def test_resolver_starts_no_job_while_built(spark):
+    inst = spark.createDataFrame([("INST_1", "A", "x" * 400, True)],
+                                 "instrumentId string, symbol string, name string, isActive boolean")
+    refs = spark.createDataFrame([("xxx",)], "ref string")
+    spark.sparkContext.setJobGroup("build", "resolver")
+    resolve.resolve_instruments(refs, inst)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("build")) == []
+
+
+def test_hot_burst_within_a_second_is_split(spark):
+    t = T0 + dt.timedelta(hours=1)
+    rows = [("H", t + dt.timedelta(microseconds=i), i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, seq long")
+    hot = temporal.hot_keys(df, "k", "ts", 10)
+    sizes = (df.join(hot, "k").withColumn("b", temporal.time_bucket(F.col("ts"), 10))
+             .groupBy("b").count().collect())
+    assert len(sizes) == 100 and max(r["count"] for r in sizes) == 10
+
+
+def test_hot_keys_are_bounded_by_their_share_of_all_rows(spark, monkeypatch):
+    df = spark.createDataFrame([("A" if i < 60 else f"K{i % 8}", T0, i) for i in range(100)],
+                               "k string, ts timestamp_ntz, seq long")
+    assert temporal.hot_keys(df, "k", "ts", 1).count() == 9
+    monkeypatch.setattr(temporal, "MAX_HOT_KEYS", 3)
+    assert [r.k for r in temporal.hot_keys(df, "k", "ts", 1).collect()] == ["A"]

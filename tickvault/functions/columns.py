@@ -5,7 +5,9 @@ All are built-in Spark expressions, so they stay inside whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Prices are summed as exact decimals, so a mean does not depend on the order in which
@@ -30,6 +32,15 @@ def first_truthy(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null, so no row with a null key is lost.
+    The key columns come out once, as the left side has them."""
+    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                         *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def surrogate_key(prefix: str, *cols: str | Column) -> Column:
     """Deterministic id: prefix + 12 upper-case hex digits of a content hash.
 

@@ -14,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickvault.functions.columns import join_null_safe
+
+
 def _order_cols(df: DataFrame, preferred=("createdAt", "instrumentId")):
     return [c for c in preferred if c in df.columns]
 
@@ -160,14 +163,18 @@ def compare_instruments(requests: DataFrame, instruments: DataFrame, by_symbol:
     references go to the second DataFrame (rejects) instead.
     Returns (comparison, rejects).
     """
+    too_few = F.lit("at least 2 instrument references required").alias("reject_reason")
     if refs_col is not None:
-        requests = requests.select(request_col, F.posexplode(refs_col).alias("position", "ref"))
-    sizes = requests.groupBy(request_col).agg(F.count(F.lit(1)).alias("_refs"))
-    sized = requests.join(sizes, request_col)
-    ok = sized.filter(F.col("_refs") >= 2).drop("_refs")
-    rejects = (sizes.filter(F.col("_refs") < 2)
-               .select(request_col, F.lit("at least 2 instrument references required")
-                       .alias("reject_reason")))
+        # the array tells its size, so nothing is counted or joined
+        refs = F.coalesce(F.size(refs_col), F.lit(0))
+        ok = requests.filter(refs >= 2).select(
+            request_col, F.posexplode(refs_col).alias("position", "ref"))
+        rejects = requests.filter(refs < 2).select(request_col, too_few)
+    else:
+        sizes = requests.groupBy(request_col).agg(F.count(F.lit(1)).alias("_refs"))
+        ok = (join_null_safe(requests, sizes, [request_col])
+              .filter(F.col("_refs") >= 2).drop("_refs"))
+        rejects = sizes.filter(F.col("_refs") < 2).select(request_col, too_few)
     found = lookup_instruments(ok, instruments, "ref", by_symbol=by_symbol)
     comparison = found.filter(F.col("instrumentId").isNotNull()).select(
         request_col, "position", "ref", "instrumentId", "symbol", "name",
@@ -177,12 +184,13 @@ def compare_instruments(requests: DataFrame, instruments: DataFrame, by_symbol:
 
 def portfolio_holdings(holdings: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Every holding of the portfolios in ``keys`` (all when None), with
-    the portfolio's holding count. No validity filter, as in the reference."""
+    the portfolio's holding count; holdings without a portfolio count as one
+    group. No validity filter, as in the reference."""
     rows = holdings
     if keys is not None:
         rows = rows.join(keys.select("portfolioId").distinct(), "portfolioId", "left_semi")
     counts = rows.groupBy("portfolioId").agg(F.count(F.lit(1)).alias("holdingCount"))
-    return rows.join(counts, "portfolioId")
+    return join_null_safe(rows, counts, ["portfolioId"])
 
 
 def source_status(sources: DataFrame, series: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickvault.functions.columns import iso_text, normalise_timestamp, parse_iso_utc, surrogate_key
+from tickvault.functions.columns import (
+    iso_text, join_null_safe, normalise_timestamp, parse_iso_utc, surrogate_key)
 from tickvault.schemas import INDICATORS, SERIES, conform
 
 REQUIRED_SERIES = ("instrumentId", "dataSourceId", "dataTimestamp", "indicators")
@@ -110,7 +111,7 @@ def with_copy_ordinal(df: DataFrame, key: list[str]) -> DataFrame:
     (key, split), so a key repeated across a third of the table is spread
     over all its splits), then offset by the copies in earlier splits (a
     running sum over one count row per (key, split)). A row whose key is
-    unique gets 1. The split numbers are frozen by a reliable checkpoint
+    unique gets 1; null key columns are equal to each other. The split numbers are frozen by a reliable checkpoint
     (in ``spark.checkpoint.dir``) before the two uses read them, so both
     see the same numbering and a retry after a lost executor re-reads it.
     """
@@ -122,7 +123,7 @@ def with_copy_ordinal(df: DataFrame, key: list[str]) -> DataFrame:
         Window.unboundedPreceding, -1)
     offsets = counts.select(*key, "_split",
                             F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    return (local.join(offsets, [*key, "_split"])
+    return (join_null_safe(local, offsets, [*key, "_split"])
             .withColumn("_ordinal", F.col("_off") + F.col("_rn"))
             .drop("_split", "_rn", "_off"))
 

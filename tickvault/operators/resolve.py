@@ -4,12 +4,12 @@ All references are resolved in one job. Distinct references are matched
 tier by tier with equi-joins; the best tier wins per reference, and ties go
 to the earliest instrument (createdAt, then id).
 
-"Name contains the reference" is a theta join. Rather than compare every
-reference with every name, each name is exploded into its substrings (up to
-the longest reference), the best instrument per substring is kept with a
-partial aggregate, and references are equi-joined on the substring. The
-result is exact; the work is linear in total name length squared, and a
-substring shared by many names (say "A") shuffles one row per task.
+"Name contains the reference" is a theta join. Distinct names are indexed by
+their substrings of a few fixed lengths (``GRAMS``): linear in the text. A
+reference as long as a gram finds its answer in the per-gram aggregate; a
+longer one looks up the rarest of its grams, and only the names that have this
+gram are checked for the whole reference. Exact, without a bound on lengths and
+without any job while the query is built.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from tickvault.operators.catalog import active
 
 # fixed values: the provider type chosen first when no source is given
 PREFERRED_PROVIDER_TYPE = "yahoo"
+# Lengths of the indexed substrings. 1 is needed: every reference has a gram of its own length
+# or shorter.
+GRAMS = (1, 2, 3, 8)
 
 
 def _order(df: DataFrame, id_col: str) -> Column:
@@ -28,34 +31,44 @@ def _order(df: DataFrame, id_col: str) -> Column:
     return F.struct(*cols)
 
 
-def _max_len(refs: DataFrame, col: str) -> int:
-    # One scalar (the longest reference, in whichever case is longest) bounds the substring
-    # explosion: a probe in upper or lower case may be longer than the reference.
-    n = refs.agg(F.max(F.greatest(*[F.length(c) for c in (F.col(col), F.upper(col), F.lower(col))]))).first()[0]
-    return int(n or 0)
-
-
-def substring_index(df: DataFrame, text: Column, id_col: str, max_len: int) -> DataFrame:
-    """(sub, id, _o): for every distinct substring of ``text`` up to
-    ``max_len`` characters, the best row id in (createdAt, id) order and that
-    order key."""
-    if max_len <= 0:
-        return (df.select(F.lit("").alias("sub"), F.col(id_col), _order(df, id_col).alias("_o"))
-                .limit(0))
-    # Rows sharing a text need exploding once: keep the best id per text
-    # first (a partial aggregate), then explode distinct texts only.
-    per_text = (df.select(text.alias("_t"), _order(df, id_col).alias("_o"), F.col(id_col))
-                .filter(F.length("_t") > 0)
-                .groupBy("_t").agg(F.min_by(F.struct("_o", id_col), "_o").alias("_b")))
-    t = F.col("_t")
-    n = F.length(t)
-    subs = F.flatten(F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i + 1, F.lit(max_len))),
-                              lambda k: F.substring(t, i, k))))
-    rows = per_text.select(F.explode(F.array_distinct(subs)).alias("sub"), "_b")
-    best = rows.groupBy("sub").agg(F.min_by("_b", F.col("_b")["_o"]).alias("_b"))
-    return best.select("sub", F.col("_b")[id_col].alias(id_col), F.col("_b")["_o"].alias("_o"))
+def _grams(text: Column) -> Column:
+    """All distinct substrings of ``text`` whose length is in ``GRAMS``."""
+    return F.array_distinct(F.flatten(F.array(*[_cut(text, F.lit(g)) for g in GRAMS])))
+
+
+def _cut(text: Column, length: Column) -> Column:
+    """The substrings of ``text`` that are ``length`` characters long."""
+    starts = F.length(text) - length + 1
+    return F.when(starts > 0, F.transform(F.sequence(F.lit(1), F.greatest(starts, F.lit(1))),
+                                          lambda i: F.substring(text, i, length))
+                  ).otherwise(F.array().cast("array<string>"))
+
+
+def containing(probes: DataFrame, df: DataFrame, text: Column, id_col: str) -> DataFrame:
+    """(probe, id, _o): for every distinct non-empty ``probe`` the best row of ``df``, in
+    (createdAt, id) order, whose ``text`` contains it; no row where none does. Null texts
+    contain nothing. Names that share a text are indexed once."""
+    names = (df.select(text.alias("_t"), _order(df, id_col).alias("_o"), F.col(id_col))
+             .filter(F.length("_t") > 0)
+             .groupBy("_t").agg(F.min_by(F.struct("_o", id_col), "_o").alias("_b")))
+    index = names.select("_t", "_b", F.explode(_grams(F.col("_t"))).alias("_g"))
+    per_gram = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_names"),
+                                       F.min_by("_b", F.col("_b")["_o"]).alias("_best"))
+    n = F.length("probe")
+    size = F.greatest(*[F.when(n >= g, F.lit(g)) for g in GRAMS])
+    cut = (probes.select("probe").filter(n > 0).distinct()
+           .select("probe", F.explode(F.array_distinct(_cut(F.col("probe"), size))).alias("_g")))
+    # A gram that no name has makes the probe's count 0: nothing contains it.
+    seen = F.coalesce("_names", F.lit(0))
+    rated = (cut.join(per_gram, "_g", "left").groupBy("probe")
+             .agg(F.min_by(F.struct("_g", "_best", seen.alias("_names")), F.struct(seen, "_g")).alias("_r"))
+             .select("probe", "_r.*").filter(F.col("_names") > 0))
+    whole = rated.filter(F.col("probe") == F.col("_g")).select("probe", F.col("_best").alias("_b"))
+    longer = (rated.filter(F.col("probe") != F.col("_g")).select("probe", "_g")
+              .join(index, "_g").filter(F.contains("_t", "probe"))
+              .groupBy("probe").agg(F.min_by("_b", F.col("_b")["_o"]).alias("_b")))
+    return whole.unionByName(longer).select(
+        "probe", F.col("_b")[id_col].alias(id_col), F.col("_b")["_o"].alias("_o"))
 
 
 def resolve_instruments(refs: DataFrame, instruments: DataFrame, ref_col: str = "ref",
@@ -82,13 +95,14 @@ def resolve_instruments(refs: DataFrame, instruments: DataFrame, ref_col: str =
         # Tiers 2-4 all compare a text with upper(ref): one keyed table holds
         # every candidate text with its tier, and the references are joined
         # (and shuffled) once.
-        idx = substring_index(act, F.upper("name"), "instrumentId", _max_len(distinct, "ref"))
+        plain = distinct.filter(~F.col("ref").startswith("INST_"))
+        named = containing(plain.select(F.upper("ref").alias("probe")), act, F.upper("name"), "instrumentId")
         keyed = (act.select(F.col("symbol").alias("_k"), F.lit(2).alias("tier"),
                             o.alias("_o"), "instrumentId")
                  .unionByName(act.select(F.upper("symbol").alias("_k"), F.lit(3).alias("tier"),
                                          o.alias("_o"), "instrumentId"))
-                 .unionByName(idx.select(F.col("sub").alias("_k"), F.lit(4).alias("tier"),
-                                         "_o", "instrumentId")))
+                 .unionByName(named.select(F.col("probe").alias("_k"), F.lit(4).alias("tier"),
+                                           "_o", "instrumentId")))
         probe = F.upper("ref")
     best = keyed.groupBy("_k").agg(
         F.min_by(F.struct("instrumentId", "tier"), F.struct("tier", "_o")).alias("_w"))
@@ -117,9 +131,10 @@ def resolve_sources(refs: DataFrame, sources: DataFrame, ref_col: str = "ref",
         by_name = sources.select(F.lower("providerName").alias("_k"), o.alias("_o"),
                                  "dataSourceId")
     else:
-        # every substring of the name, the whole name (equality) included
-        by_name = substring_index(sources, F.lower("providerName"), "dataSourceId",
-                                  _max_len(distinct, "ref")).withColumnRenamed("sub", "_k")
+        # equality with the name is one way to be contained in it
+        plain = distinct.filter(~F.col("ref").startswith("DS_"))
+        by_name = containing(plain.select(F.lower("ref").alias("probe")), sources,
+                             F.lower("providerName"), "dataSourceId").withColumnRenamed("probe", "_k")
     # the rules have no precedence: the first source matching any of them
     keyed = (by_type.unionByName(by_name.select("_k", "_o", "dataSourceId"))
              .groupBy("_k").agg(F.min_by("dataSourceId", "_o").alias("_id")))

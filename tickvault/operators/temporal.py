@@ -12,9 +12,8 @@ into buckets sized from the key's own row count (about ``rows_per_bucket``
 rows each, from a per-key aggregate), and the windows run per (key,
 bucket). An ordinary key is one bucket and needs nothing else. For the few
 hot keys, the values that cross a bucket edge come from one summary row per
-bucket (a partial aggregate over hot keys only, at most about
-2 x rows / rows_per_bucket rows, hence broadcast) carried by a per-key
-window over those rows. A hot key is spread over as many tasks as its size
+bucket (a partial aggregate over hot keys only, about
+2 x rows / rows_per_bucket rows) carried by a per-key window over those rows. A hot key is spread over as many tasks as its size
 needs, cold rows are shuffled once, and no step emits pairs of rows.
 """
 
@@ -26,6 +25,9 @@ from pyspark.sql import functions as F
 from tickvault.functions.columns import iso_text
 
 ROWS_PER_BUCKET = 1_000_000
+# A key is split only if it holds over 1 / MAX_HOT_KEYS of all rows, so fewer keys than this
+# can ever be hot, however large the table: the proven bound of the broadcast of their sizes.
+MAX_HOT_KEYS = 100_000
 
 
 def key_stats(df: DataFrame, key: str, ts: str) -> list[Column]:
@@ -33,16 +35,27 @@ def key_stats(df: DataFrame, key: str, ts: str) -> list[Column]:
     return [F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_t0"), F.max(ts).alias("_t1")]
 
 
+def hot_keys(df: DataFrame, key: str, ts: str, rows_per_bucket: int, *extra: Column) -> DataFrame:
+    """Keys to split over several buckets, with their sizes (``key_stats``) and ``extra``
+    aggregates: those with over ``rows_per_bucket`` rows and over 1 / ``MAX_HOT_KEYS`` of
+    all rows, hence fewer than ``MAX_HOT_KEYS`` keys."""
+    total = df.select(F.count(F.lit(1))).scalar()
+    return (df.groupBy(key).agg(*extra, *key_stats(df, key, ts))
+            .filter((F.col("_n") > rows_per_bucket) & (F.col("_n") * MAX_HOT_KEYS > total)))
+
+
 def time_bucket(ts: Column, rows_per_bucket: int) -> Column:
     """Order-preserving bucket of ``ts`` within its key, given the key's
     ``_n``, ``_t0``, ``_t1`` (see ``key_stats``): the key's time range cut
     into ceil(n / rows_per_bucket) equal spans. Times outside the range fall
     in buckets before or after it, still in time order."""
     buckets = F.ceil(F.col("_n") / F.lit(rows_per_bucket))
-    span = F.timestamp_diff("SECOND", F.col("_t0"), F.col("_t1")) + 1
-    offset = F.timestamp_diff("SECOND", F.col("_t0"), ts)
+    span = F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col("_t1")) + 1
+    offset = F.timestamp_diff("MICROSECOND", F.col("_t0"), ts)
+    # micros x buckets can pass 64 bits, and a double would not keep the order of neighbours
+    scaled = offset.cast("decimal(20,0)") * buckets.cast("decimal(12,0)")
     return F.when(buckets <= 1, F.lit(0).cast("bigint")).otherwise(
-        F.floor(offset * buckets / span))
+        F.floor(scaled / span.cast("decimal(20,0)")).cast("bigint"))
 
 
 def apply_changes(feed: DataFrame, key: str = "instrumentId", ts: str = "ts",
@@ -70,7 +83,7 @@ def apply_changes(feed: DataFrame, key: str = "instrumentId", ts: str = "ts",
     eligibility (first register from a whole-partition window, or from the
     broadcast hot-key table), the previous eligible op's state and the next
     eligible op of either state. Only hot keys span buckets; their edge values
-    come from a bounded, broadcast per-bucket summary. There is no join with a
+    come from a per-bucket summary. There is no join with a
     per-key table as large as the key set.
     """
     order_key = F.struct(ts, seq)
@@ -80,12 +93,10 @@ def apply_changes(feed: DataFrame, key: str = "instrumentId", ts: str = "ts",
         # at or after the key's first register; later registers are no-ops
         return first.isNotNull() & (order_key >= first) & (~is_reg | (order_key == first))
 
-    # Keys large enough to need several buckets -- at most rows / rows_per_bucket
-    # of them -- with their first register and time range, broadcast. Every
+    # Keys large enough to need several buckets -- fewer than MAX_HOT_KEYS of
+    # them -- with their first register and time range, broadcast. Every
     # other key is one bucket and finds its first register in its own window.
-    hot = (feed.groupBy(key).agg(F.min(F.when(is_reg, order_key)).alias("_hfirst"),
-                                 *key_stats(feed, key, ts))
-           .filter(F.col("_n") > rows_per_bucket))
+    hot = hot_keys(feed, key, ts, rows_per_bucket, F.min(F.when(is_reg, order_key)).alias("_hfirst"))
     base = (feed.join(F.broadcast(hot), key, "left")
             .withColumn("_hot", F.col("_n").isNotNull())
             .withColumn("_b", F.coalesce(time_bucket(F.col(ts), rows_per_bucket),
@@ -114,9 +125,9 @@ def apply_changes(feed: DataFrame, key: str = "instrumentId", ts: str = "ts",
         F.last(off, ignorenulls=True).over(later).alias("_nextOff"))
 
     # Hot keys span several buckets. Their buckets are summarised by a partial
-    # aggregate over eligible hot rows (one row per bucket, about
-    # 2 x rows / rows_per_bucket rows in all, so it is broadcast) and the values
-    # crossing bucket edges are carried by a window over them.
+    # aggregate over eligible hot rows (one row per bucket) and the values
+    # crossing bucket edges are carried by a window over them. The rows already
+    # lie by (key, bucket), so joining the carried values moves only those.
     by_order = F.struct(ts, seq)
     summary = (base.filter(F.col("_hot") & eligible(F.col("_hfirst")))
                .groupBy(key, "_b").agg(
@@ -132,7 +143,7 @@ def apply_changes(feed: DataFrame, key: str = "instrumentId", ts: str = "ts",
         F.last("_firstOn", ignorenulls=True).over(wb_later).alias("_cOn"),
         F.last("_firstOff", ignorenulls=True).over(wb_later).alias("_cOff"))
 
-    joined = local.join(F.broadcast(carry), [key, "_b"], "left")
+    joined = local.join(carry, [key, "_b"], "left")
     prev = F.coalesce("_prev", "_cPrev")
     kept = joined.filter(F.col("_elig") & (prev.isNull() | (prev != F.col("_active"))))
     ends_at = F.when(F.col("_active"), F.coalesce("_nextOff", "_cOff")).otherwise(
@@ -188,11 +199,10 @@ def as_of(versions: DataFrame, points: DataFrame, key: str = "instrumentId",
                           F.lit(None).cast(vtype).alias("_v"), F.struct(*pcols).alias("_p"))
     # Buckets are sized from the points (the side a hot key makes large).
     # Only keys with more than `rows_per_bucket` points need more than one
-    # bucket; there are at most (points / rows_per_bucket) of them, so their
-    # sizes are broadcast and the big side is not shuffled for it. Times
-    # outside a hot key's point range fall in one bucket before or after it.
-    hot = (points.groupBy(key).agg(*key_stats(points, key, at))
-           .filter(F.col("_n") > rows_per_bucket))
+    # bucket; there are fewer than MAX_HOT_KEYS of them, so their sizes are
+    # broadcast and the big side is not shuffled for it. Times outside a hot
+    # key's point range fall in one bucket before or after it.
+    hot = hot_keys(points, key, at, rows_per_bucket)
     nb = F.ceil(F.col("_n") / F.lit(rows_per_bucket))
     rows = (vrows.filter(F.col("_t").isNotNull()).unionByName(prows)
             .join(F.broadcast(hot), key, "left")
@@ -206,14 +216,14 @@ def as_of(versions: DataFrame, points: DataFrame, key: str = "instrumentId",
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = rows.withColumn("_in", F.last("_v", ignorenulls=True).over(w_in))
     # hot keys only: each bucket's latest version start (a partial aggregate,
-    # at most nb + 2 rows per hot key, broadcast), carried to later buckets
+    # at most nb + 2 rows per hot key), carried to later buckets
     summary = (rows.filter("_hot").groupBy(key, "_b").agg(
         F.max_by("_v", F.when(F.col("_kind") == 0, F.struct(*order))).alias("_end")))
     w_b = (Window.partitionBy(key).orderBy("_b")
            .rowsBetween(Window.unboundedPreceding, -1))
     carry = summary.select(key, "_b",
                            F.last("_end", ignorenulls=True).over(w_b).alias("_carry"))
-    found = (local.filter(F.col("_kind") == 1).join(F.broadcast(carry), [key, "_b"], "left")
+    found = (local.filter(F.col("_kind") == 1).join(carry, [key, "_b"], "left")
              .withColumn("_hit", F.coalesce("_in", "_carry")))
     valid = F.col("_hit").isNotNull() & (
         F.col("_hit.validTo").isNull() | (F.col("_t") < F.col("_hit.validTo")))

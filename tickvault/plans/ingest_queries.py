@@ -128,10 +128,6 @@ def q_ingest_summary(spark, sf_dir):
 
 # ---------------------------------------------------------------- O02 --------
 
-WIKI_MAP = (("open", "open"), ("high", "high"), ("low", "low"), ("close", "close"),
-            ("volume", "volume"), ("adj. open", "open"), ("adj. close", "close"))
-
-
 def _vendor_rows(spark, sf_dir):
     ev = driver.read_table(spark, sf_dir, "events")
     e = F.col("event_id")
@@ -158,7 +154,7 @@ SELECT event_id, d AS dataTimestamp, coalesce(open, close) AS open, close AS hig
        close, volume
 FROM v WHERE d IS NOT NULL AND close IS NOT NULL""")
 def q_map_vendor_columns(spark, sf_dir):
-    good, _ = vendor.map_vendor_columns(_vendor_rows(spark, sf_dir), WIKI_MAP, keep=["event_id"])
+    good, _ = vendor.map_vendor_columns(_vendor_rows(spark, sf_dir), vendor.EQUITIES_COLUMNS, keep=["event_id"])
     return good.select("event_id", "dataTimestamp", "open", "high", "low", "close", "volume")
 
 
@@ -349,16 +345,21 @@ def q_add_portfolios(spark, sf_dir):
 
 
 @query("add_holdings", with_tables("holdings") + """
-SELECT count(*) AS holdings, count(DISTINCT holdingId) AS distinctIds FROM (
-  SELECT 'HOLD_' || upper(substr(sha256(concat_ws('|', portfolioId, instrumentId, quantity,
-         averageCost, acquiredDate, rn)), 1, 12)) AS holdingId
-  FROM (SELECT *, row_number() OVER (PARTITION BY portfolioId, instrumentId, quantity,
-                                     averageCost, acquiredDate) AS rn FROM holdings))""")
+SELECT portfolioId, instrumentId, quantity,
+       CASE WHEN quantity % 7 <> 0 THEN averageCost END AS averageCost, acquiredDate,
+       true AS idFormed, CAST(1 AS BIGINT) AS rowsWithId
+FROM holdings UNION ALL
+SELECT portfolioId, instrumentId, quantity,
+       CASE WHEN quantity % 7 <> 0 THEN averageCost END, acquiredDate, true, 1 FROM holdings""")
 def q_add_holdings(spark, sf_dir):
-    # Every holding gets its own id, repeats included: ids are as many as rows.
-    h = ops.add_holdings(driver.holdings(spark, sf_dir))
-    return h.agg(F.count(F.lit(1)).alias("holdings"),
-                 F.count_distinct("holdingId").alias("distinctIds"))
+    """Every holding twice, a share without a cost: each row has an id of its own."""
+    h = driver.holdings(spark, sf_dir).withColumn(
+        "averageCost", F.when(F.col("quantity") % 7 != 0, F.col("averageCost")))
+    out = ops.add_holdings(h.unionByName(h))
+    uses = out.groupBy("holdingId").agg(F.count(F.lit(1)).alias("rowsWithId"))
+    return out.join(uses, "holdingId").select(
+        "portfolioId", "instrumentId", "quantity", "averageCost", "acquiredDate",
+        F.col("holdingId").rlike("^HOLD_[0-9A-F]{12}$").alias("idFormed"), "rowsWithId")
 
 
 # ---------------------------------------------------------------- O13 / O36 --

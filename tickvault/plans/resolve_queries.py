@@ -73,6 +73,36 @@ def q_resolve_instruments_exact(spark, sf_dir):
                                    driver.instruments(spark, sf_dir), mode="exact")
 
 
+_STRASSE = "part.p_name || CASE WHEN p_partkey % 2 = 0 THEN ' STRASSE ' ELSE ' road ' END || p_partkey"
+
+
+@query("resolve_instruments_long", f"""
+WITH act AS (SELECT 'INST_' || CAST(p_partkey AS VARCHAR) AS instrumentId, {_STRASSE} AS name FROM part),
+refs AS (
+  SELECT p_partkey AS refId,
+         CASE p_partkey % 3 WHEN 0 THEN 'straße ' || CAST(p_partkey AS VARCHAR)
+              WHEN 1 THEN lower({_STRASSE}) ELSE substr(p_name, 2, 1 + p_partkey % 12) END AS ref
+  FROM part),
+found AS (
+  SELECT d.ref, min(a.instrumentId) AS instrumentId
+  FROM (SELECT DISTINCT ref FROM refs) d
+  JOIN act a ON contains(upper(a.name), upper(replace(d.ref, 'ß', 'SS'))) GROUP BY d.ref)
+SELECT refId, ref, instrumentId, CASE WHEN instrumentId IS NOT NULL THEN 4 END AS tier
+FROM refs LEFT JOIN found USING (ref)""")
+def q_resolve_instruments_long(spark, sf_dir):
+    """Names matched by text that grows in upper case, by whole long names, and by pieces of
+    one to twelve characters."""
+    p = driver.read_table(spark, sf_dir, "part")
+    k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    name = F.concat("p_name", F.when(k % 2 == 0, " STRASSE ").otherwise(" road "), key)
+    inst = p.select(F.concat(F.lit("INST_"), key).alias("instrumentId"),
+                    F.lit(None).cast("string").alias("symbol"), name.alias("name"),
+                    F.lit(True).alias("isActive"))
+    ref = (F.when(k % 3 == 0, F.concat(F.lit("straße "), key)).when(k % 3 == 1, F.lower(name))
+           .otherwise(F.substring("p_name", F.lit(2), (1 + k % 12).cast("int"))))
+    return ops.resolve_instruments(p.select(k.alias("refId"), ref.alias("ref")), inst)
+
+
 def _source_refs(spark, sf_dir):
     """One reference per nation: a source id, a provider type, part of a
     provider name, or the nation's own name (no match: passes through)."""

@@ -69,6 +69,48 @@ def q_scan_vendor_csv(spark, sf_dir):
                        "high", "low", "close", "volume")
 
 
+@query("scan_vendor_feeds", """
+SELECT 'S' || CAST(user_id % 9 AS VARCHAR) AS symbol,
+       CASE WHEN user_id % 9 IN (0, 1, 2) THEN 'crypto' WHEN user_id % 9 IN (3, 4) THEN 'gold'
+            WHEN user_id % 9 IN (5, 6) THEN 'silver' ELSE 'yield' END AS feed,
+       CAST(event_id AS VARCHAR) AS Seq, date_trunc('day', ts) AS dataTimestamp,
+       CASE WHEN user_id % 9 < 3 THEN round(value - 1, 4) WHEN user_id % 9 < 5 THEN round(value - 2, 4) ELSE value END AS open,
+       CASE WHEN user_id % 9 < 3 THEN round(value + 3, 4) WHEN user_id % 9 < 5 THEN round(value + 4, 4) ELSE value END AS high,
+       value AS close,
+       CASE WHEN user_id % 9 < 3 THEN CAST(event_id % 1000 AS DOUBLE) ELSE 0 END AS volume
+FROM events""")
+def q_scan_vendor_feeds(spark, sf_dir):
+    """Four feeds; the files of the crypto feed order their columns in three ways."""
+    base = scratch_path(spark, "vendor-feeds")
+    ev = driver.read_table(spark, sf_dir, "events").withColumn("_s", F.col("user_id") % 9)
+    v = F.col("value")
+    text = lambda c: F.bround(c, 4).cast("string")
+    date, seq = F.date_format("ts", "yyyy-MM-dd").alias("Date"), F.col("event_id").alias("Seq")
+    file = F.concat(F.lit("S"), F.col("_s").cast("string"), F.lit(".csv")).alias("file")
+    bid, last = text(v - 1).alias("Bid"), text(v).alias("Last")
+    high, vol = text(v + 3).alias(" HIGH "), (F.col("event_id") % 1000).cast("string").alias("Volume")
+    layouts = {
+        "crypto": [([0], [seq, date, bid, last, high, vol]), ([1], [vol, last, date, seq, high, bid]),
+                   ([2], [last.alias("Last"), F.lit("x").alias("Mid"), bid, high, date, vol, seq])],
+        "gold": [([3, 4], [date, text(v).alias("USDM"), text(v - 2).alias("USDPM"),
+                           text(v + 4).alias("USDPM - PM High"), seq])],
+        "silver": [([5, 6], [seq, text(v).alias("USDM"), date])],
+        "yield": [([7, 8], [date.alias("DATE"), text(v).alias("VALUE"), seq])],
+    }
+    for feed, files in layouts.items():
+        for ids, cols in files:
+            (ev.filter(F.col("_s").isin(*ids)).select(file, *cols).write.mode("append")
+             .partitionBy("file").option("header", "true").csv(f"{base}/{feed}"))
+    maps = {"crypto": vendor.CRYPTO_COLUMNS, "gold": vendor.GOLD_COLUMNS,
+            "silver": vendor.SILVER_COLUMNS, "yield": vendor.YIELD_COLUMNS}
+    feeds = [vendor.Feed(f, f"{base}/{f}", m) for f, m in maps.items()]
+    symbols = ev.select(F.concat(F.lit("S"), F.col("_s").cast("string")).alias("symbol")).distinct()
+    rows = vendor.scan_vendor_csv(
+        spark, feeds, symbols.select(F.concat("symbol", F.lit(".csv")).alias("file_name"), "symbol"),
+        symbols.withColumn("instrumentId", F.col("symbol")), file_name_col="file", keep=["Seq"])
+    return rows.select("symbol", "feed", "Seq", "dataTimestamp", "open", "high", "close", "volume")
+
+
 # ---------------------------------------------------------------- O07 --------
 
 @query("append_series", ORACLES["validate_series"])

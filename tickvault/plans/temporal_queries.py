@@ -106,3 +106,42 @@ def q_as_of_bitemporal(spark, sf_dir):
     path = scratch_path(spark, "known")
     ops.known_versions(feed, TX_TIME).write.parquet(path)
     return ops.as_of(spark.read.parquet(path), pts).drop("validToRecordedAt")
+
+
+# A third of all changes on one key, all within one second: the hot branch of the fold and of
+# the as-of join, with buckets of a few rows.
+_HOT_ID = "CASE WHEN event_id % 3 = 0 THEN 'INST_0' ELSE 'INST_' || CAST(user_id AS VARCHAR) END"
+_HOT_TS = "CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-10' + to_microseconds(event_id) ELSE ts END"
+_HOT_SQL = VERSIONS_SQL.replace(
+    "SELECT 'INST_' || CAST(user_id AS VARCHAR) AS instrumentId, ts, event_id",
+    f"SELECT {_HOT_ID} AS instrumentId, {_HOT_TS} AS ts, event_id")
+HOT_ROWS = 20
+
+
+def _burst(df, id_col="instrumentId", ts="ts"):
+    in_burst = F.col("event_id") % 3 == 0
+    moment = F.lit("2024-01-10").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, event_id / 1e6)")
+    return (df.withColumn(id_col, F.when(in_burst, "INST_0").otherwise(F.col(id_col)))
+            .withColumn(ts, F.when(in_burst, moment).otherwise(F.col(ts))))
+
+
+@query("apply_changes_hot", _HOT_SQL + "SELECT * FROM versions")
+def q_apply_changes_hot(spark, sf_dir):
+    return ops.apply_changes(_burst(driver.change_feed(spark, sf_dir)), rows_per_bucket=HOT_ROWS)
+
+
+@query("as_of_hot", _HOT_SQL + f"""
+, pts AS (SELECT {_HOT_ID} AS instrumentId, event_id AS pointId, {_HOT_TS} AS at FROM events)
+SELECT p.instrumentId, p.pointId, p.at, v.validFrom, v.validTo, v.isActive, v.op, v.event_id
+FROM pts p LEFT JOIN versions v ON v.instrumentId = p.instrumentId
+ AND v.validFrom <= p.at AND (v.validTo IS NULL OR p.at < v.validTo)""")
+def q_as_of_hot(spark, sf_dir):
+    """Every event as a point, those without a valid version kept (``how="left"``)."""
+    path = scratch_path(spark, "versions-hot")
+    q_apply_changes_hot(spark, sf_dir).write.parquet(path)
+    events = driver.read_table(spark, sf_dir, "events").select(
+        F.concat(F.lit("INST_"), F.col("user_id").cast("string")).alias("instrumentId"),
+        "event_id", F.col("ts").cast("timestamp_ntz").alias("at"))
+    pts = _burst(events, ts="at").withColumnRenamed("event_id", "pointId")
+    found = ops.as_of(spark.read.parquet(path), pts, at="at", how="left", rows_per_bucket=HOT_ROWS)
+    return found.select("instrumentId", "pointId", "at", "validFrom", "validTo", "isActive", "op", "event_id")

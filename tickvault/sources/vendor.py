@@ -31,6 +31,18 @@ class Feed:
     path: str
     col_map: tuple[tuple[str, str], ...]
     options: dict = field(default_factory=dict)
+    max_columns: int = 64
+
+
+# The column names of the known vendor files and the indicator each one fills.
+EQUITIES_COLUMNS = (("open", "open"), ("high", "high"), ("low", "low"), ("close", "close"),
+                    ("volume", "volume"), ("adj. open", "open"), ("adj. close", "close"))
+GOLD_COLUMNS = (("usdm", "close"), ("usdpm", "open"), ("usdpm - pm high", "high"),
+                ("usdpm - pm low", "low"))
+SILVER_COLUMNS = (("usdm", "close"),)
+CRYPTO_COLUMNS = (("last", "close"), ("high", "high"), ("low", "low"), ("bid", "open"),
+                  ("volume", "volume"))
+YIELD_COLUMNS = (("value", "close"),)
 
 
 def _usable_number(text: Column) -> Column:
@@ -95,18 +107,18 @@ def scan_vendor_csv(spark: SparkSession, feeds: list[Feed], files: DataFrame,
 
     ``files`` maps a file name to a symbol (file_name, symbol); files not in
     it, and symbols not registered, are skipped (inner joins, the small side
-    broadcast by AQE when it is small). Each feed is one multi-file read (one
-    header layout), all columns read as text. The file name is the file's
-    own name, or a partition column (``file_name_col``) for a folder layout
-    such as ``file=WIKI-AAPL.csv/part-*.csv``.
+    broadcast by AQE when it is small). All columns are read as text, and each
+    file's columns are found by its own header, so files of one feed may order
+    them differently. A header is a row with one of ``DATE_COLUMNS`` among its
+    cells; a file without one gives no rows. ``Feed.max_columns`` is the most
+    columns a file of the feed has. The file name is the file's own name, or a
+    partition column (``file_name_col``) for a folder layout such as
+    ``file=AAPL.csv/part-*.csv``.
     """
     parts = []
     for feed in feeds:
-        opts = {"header": "true", "inferSchema": "false", "mode": "PERMISSIVE", **feed.options}
-        raw = spark.read.options(**opts).csv(feed.path)
-        name = F.col(file_name_col) if file_name_col else F.col("_metadata.file_name")
-        raw = raw.withColumn("file_name", name.cast("string"))
-        rows, _ = map_vendor_columns(raw, feed.col_map, keep=["file_name", *(keep or [])])
+        rows, _ = map_vendor_columns(_rows_by_header(spark, feed, file_name_col, keep or []),
+                                     feed.col_map, keep=["file_name", *(keep or [])])
         parts.append(rows.withColumn("feed", F.lit(feed.name)))
     allrows = parts[0]
     for p in parts[1:]:
@@ -115,6 +127,36 @@ def scan_vendor_csv(spark: SparkSession, feeds: list[Feed], files: DataFrame,
     return allrows.join(files, "file_name").join(inst, "symbol")
 
 
+def _rows_by_header(spark: SparkSession, feed: Feed, file_name_col: str | None,
+                    keep: list[str]) -> DataFrame:
+    """The feed's rows under the names its map asks for, whatever the order in each file."""
+    cells = [f"c{i}" for i in range(feed.max_columns)]
+    opts = {"header": "false", "mode": "PERMISSIVE", **feed.options}
+    schema = ", ".join(f"{c} string" for c in cells)
+    if file_name_col:
+        schema += f", {file_name_col} string"
+    lines = spark.read.options(**opts).schema(schema).csv(feed.path)
+    name = F.col(file_name_col) if file_name_col else F.col("_metadata.file_name")
+    lines = lines.select(name.cast("string").alias("file_name"), F.col("_metadata.file_path").alias("_path"),
+                         F.array(*cells).alias("_cells"))
+    is_header = F.exists("_cells", lambda c: F.coalesce(F.trim(c).isin(*DATE_COLUMNS), F.lit(False)))
+    # One row per file; a file read in several splits has one header all the same.
+    headers = lines.filter(is_header).groupBy("_path").agg(F.min("_cells").alias("_names"))
+    exact = F.transform("_names", F.trim)
+    folded = F.transform("_names", lambda c: F.lower(F.trim(c)))
+
+    def cell(names, wanted):
+        # the last column of a repeated name counts, and a name the file lacks is null
+        at = F.array_max(F.transform(names, lambda c, i: F.when(c == wanted, i)))
+        return F.get("_cells", at)
+
+    mapped = list(dict.fromkeys(c.strip().lower() for c, _ in feed.col_map))
+    return (lines.filter(~is_header).join(headers, "_path")
+            .select("file_name", *[cell(exact, F.lit(c)).alias(c) for c in keep],
+                    F.coalesce(*[F.nullif(cell(exact, F.lit(c)), F.lit("")) for c in DATE_COLUMNS]).alias("Date"),
+                    *[cell(folded, F.lit(c)).alias(c) for c in mapped if c not in keep]))
+
+
 def normalise_history_frame(wide: DataFrame, date_col: str = "Date") -> DataFrame:
     """A daily OHLCV(+dividends, splits) frame -> series-shaped rows.
 
