@@ -554,3 +554,26 @@ def test_hot_keys_are_bounded_by_their_share_of_all_rows(spark, monkeypatch):
     assert temporal.hot_keys(df, "k", "ts", 1).count() == 9
     monkeypatch.setattr(temporal, "MAX_HOT_KEYS", 3)
     assert [r.k for r in temporal.hot_keys(df, "k", "ts", 1).collect()] == ["A"]
+
+
+def test_open_indicators_are_split_and_malformed_lines_kept(spark, tmp_path):
+    from tickvault.schemas import RAW_SERIES_RECORD
+    good = '{"instrumentId":"I","dataSourceId":"S","dataTimestamp":"2024-01-01","indicators":%s}'
+    lines = [good % '{"close":1.5,"rating":"AA"}', good % '{"close":1.5,"rating":"AB"}',
+             good % '{"rating":"1D","n":"2","b":true,"z":null}', good % '{"close":"NaN"}', good % "{}", "no record {"]
+    (tmp_path / "in.json").write_text("\n".join(lines))
+    raw = spark.read.schema(RAW_SERIES_RECORD).json(str(tmp_path))
+    valid, rejects = ingest.validate_series(raw, "2024-02-01 00:00:00")
+    rows = sorted(valid.collect(), key=lambda r: (r.close is None, r.texts["rating"]))
+    assert [(r.close, r.extras, r.texts) for r in rows] == [
+        (1.5, {}, {"rating": "AA"}), (1.5, {}, {"rating": "AB"}),
+        (None, {"n": 2.0}, {"rating": "1D", "b": "true", "z": None})]
+    assert len({r.seriesId for r in rows}) == 3
+    assert sorted((r.reject_reason, r._corrupt_record) for r in rejects.collect()) == [
+        ("malformed record", "no record {"), ("missing indicators", None), ("non-finite close", None)]
+
+
+def test_external_json_keeps_text_and_nested_values(spark):
+    p = spark.createDataFrame([('{"symbol":"A","close":1,"pe":3,"rating":"AA","deep":{"x":1}}',)], "payload string")
+    r = _one(vendor.normalise_external_json(p, "2024-02-01 00:00:00")[0])
+    assert r.extras == {"pe": 3.0} and r.texts == {"rating": "AA", "deep": '{"x":1}'}

@@ -52,6 +52,32 @@ def surrogate_key(prefix: str, *cols: str | Column) -> Column:
     return F.concat(F.lit(prefix), F.upper(F.substring(digest, 1, 12)))
 
 
+# JSON numbers as text, and the words Spark's JSON writer uses for non-finite ones
+_NUMBER_TEXT = r"^([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|NaN|[+-]?Infinity)$"
+
+
+def split_indicators(values: Column) -> tuple[Column, Column]:
+    """Map of open JSON values (variant) -> (numbers as map<string,double>, all others as
+    map<string,string>). Text that spells a number is a number; other text stays as it is,
+    JSON null is a null entry, and booleans, lists and objects are kept as JSON text."""
+    def text(v):
+        return F.try_variant_get(v, "$", "string")
+
+    def is_number(v):
+        kind = F.schema_of_variant(v)
+        return (kind.startswith("DECIMAL") | kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT", "DOUBLE", "FLOAT")
+                | ((kind == "STRING") & text(v).rlike(_NUMBER_TEXT)))
+
+    def other(v):
+        kind = F.schema_of_variant(v)
+        return F.when(kind == "VOID", F.lit(None)).when(kind == "STRING", text(v)).otherwise(F.to_json(v))
+
+    numbers = F.transform_values(F.map_filter(values, lambda k, v: is_number(v)),
+                                 lambda k, v: F.try_variant_get(v, "$", "double"))
+    texts = F.transform_values(F.map_filter(values, lambda k, v: ~is_number(v)), lambda k, v: other(v))
+    return numbers, texts
+
+
 _OFFSET = r"(Z|[+-]\d{2}(:?\d{2})?)$"
 # ISO-8601 date or date-time, optional fraction and offset (what a strict ISO
 # reader accepts; Spark's cast alone would also take e.g. a bare year).

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickvault.functions.columns import (
-    iso_text, join_null_safe, normalise_timestamp, parse_iso_utc, surrogate_key)
+    iso_text, join_null_safe, normalise_timestamp, parse_iso_utc, split_indicators, surrogate_key)
 from tickvault.schemas import INDICATORS, SERIES, conform
 
 REQUIRED_SERIES = ("instrumentId", "dataSourceId", "dataTimestamp", "indicators")
@@ -33,30 +33,44 @@ def validate_series(raw: DataFrame, batch_ts, key_cols: list[str] | None = None,
     """Split raw series records into (valid, rejects).
 
     ``raw`` columns: instrumentId, dataSourceId, dataTimestamp (text),
-    indicators (map<string,double>), optional dataQuality. A record needs
-    non-null ids, a timestamp and a non-empty indicator map; a non-finite
-    indicator is refused. The timestamp is normalised (O05; unparsable text
+    indicators (map<string,double>, or the text of a JSON object with values
+    of any type), optional dataQuality. A record needs non-null ids, a
+    timestamp and at least one indicator; a non-finite number is refused.
+    Numbers go to the typed columns and ``extras``, other values to ``texts``;
+    with a ``_corrupt_record`` column, its rows are rejected as malformed. The timestamp is normalised (O05; unparsable text
     falls back to the batch time, flagged). Valid rows come out in the
     ``series`` layout with a content-derived ``seriesId`` built from
     ``key_cols`` (default: instrument, source, timestamp text and indicators).
     """
-    ind = F.col("indicators")
+    as_text = isinstance(raw.schema["indicators"].dataType, T.StringType)
+    if as_text:
+        values = F.try_variant_get(F.try_parse_json("indicators"), "$", "map<string,variant>")
+        numbers, texts = split_indicators(F.col("_values"))
+        staged = raw.withColumn("_values", values).withColumn("_num", numbers).withColumn("_txt", texts)
+    else:
+        staged = (raw.withColumn("_num", F.col("indicators"))
+                  .withColumn("_txt", F.lit(None).cast("map<string,string>")))
+    ind = F.col("_num")
+    empty = ind.isNull() | (F.size(ind) + F.coalesce(F.size("_txt"), F.lit(0)) <= 0)
     close = F.try_element_at(ind, F.lit("close"))
     finite = lambda c: c.isNull() | (~F.isnan(c) & (F.abs(c) != float("inf")))
     all_finite = F.forall(F.map_values(ind), finite)
-    reason = (F.when(F.col("instrumentId").isNull(), "missing instrumentId")
+    malformed = F.col("_corrupt_record").isNotNull() if "_corrupt_record" in raw.columns else F.lit(False)
+    reason = (F.when(malformed, "malformed record")
+              .when(F.col("instrumentId").isNull(), "missing instrumentId")
               .when(F.col("dataSourceId").isNull(), "missing dataSourceId")
               .when(F.col("dataTimestamp").isNull(), "missing dataTimestamp")
-              .when(ind.isNull() | (F.size(ind) <= 0), "missing indicators")
+              .when(empty, "missing indicators")
               .when(~finite(close), "non-finite close")
               .when(~all_finite, "non-finite indicator"))
-    tagged = raw.withColumn("reject_reason", reason)
-    rejects = tagged.filter(F.col("reject_reason").isNotNull())
+    tagged = staged.withColumn("reject_reason", reason)
+    rejects = tagged.filter(F.col("reject_reason").isNotNull()).select(*raw.columns, "reject_reason")
     ok = normalise_timestamps(tagged.filter(F.col("reject_reason").isNull()),
                               "dataTimestamp", batch_ts, out_col="_ts")
     # By default the payload is part of the key: records that differ get ids that differ.
     keys = key_cols or ["instrumentId", "dataSourceId", "dataTimestamp",
-                        F.array_sort(F.map_entries("indicators")).alias("indicators")]
+                        F.array_sort(F.map_entries("_num")).alias("indicators"),
+                        *([F.array_sort(F.map_entries("_txt")).alias("texts")] if as_text else [])]
     known = F.map_filter(ind, lambda k, v: ~k.isin(*INDICATORS))
     quality = (F.coalesce(F.col("dataQuality"), F.lit(data_quality))
                if "dataQuality" in raw.columns else F.lit(data_quality))
@@ -66,10 +80,11 @@ def validate_series(raw: DataFrame, batch_ts, key_cols: list[str] | None = None,
         F.col("_ts").alias("dataTimestamp"),
         *[F.try_element_at(ind, F.lit(n)).alias(n) for n in INDICATORS],
         known.alias("extras"),
+        F.col("_txt").alias("texts"),
         quality.alias("dataQuality"),
         "ts_defaulted",
         *[c for c in raw.columns if c not in
-          (*REQUIRED_SERIES, "dataQuality", "reject_reason")],
+          (*REQUIRED_SERIES, "dataQuality", "reject_reason", "_corrupt_record")],
     )
     return valid, rejects
 

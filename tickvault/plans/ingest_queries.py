@@ -126,6 +126,34 @@ def q_ingest_summary(spark, sf_dir):
     return ops.ingest_summary(valid, rejects, by=["dataSourceId"])
 
 
+@query("validate_series_open", f"""
+SELECT {_key_sql('TS_', 'event_id')} AS seriesId, value AS close, CAST(event_id % 100 AS DOUBLE) AS lot,
+       'R' || CAST(user_id % 5 AS VARCHAR) || '"d' AS rating,
+       '{{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}}' AS nested,
+       CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '[1,"x"]' END AS other,
+       CAST(1 AS INTEGER) AS numbers, CAST(4 AS INTEGER) AS texts, 'verified' AS dataQuality
+FROM events WHERE event_id % 13 <> 0""")
+def q_validate_series_open(spark, sf_dir):
+    """Indicators of any type as JSON text: numbers, text, nested values, null; one record in
+    thirteen has none, in three ways."""
+    ev = driver.read_table(spark, sf_dir, "events")
+    e = F.col("event_id")
+    some = F.concat(
+        F.lit('{"close": '), F.col("value").cast("string"), F.lit(', "lot": "'), (e % 100).cast("string"),
+        F.lit('", "rating": "R'), (F.col("user_id") % 5).cast("string"), F.lit('\\"d", "nested": {"k": '),
+        F.get_json_object("props", "$.k"), F.lit('}, "none": null, "other": '),
+        F.when(e % 2 == 0, "true").otherwise('[1, "x"]'), F.lit("}"))
+    none = F.when(e % 3 == 0, "{}").when(e % 3 == 1, "no json").otherwise("5")
+    raw = ev.select("event_id", F.concat(F.lit("INST_"), F.col("user_id").cast("string")).alias("instrumentId"),
+                    F.lit("DS_1").alias("dataSourceId"), F.date_format("ts", ISO_FRAC).alias("dataTimestamp"),
+                    F.when(e % 13 == 0, none).otherwise(some).alias("indicators"))
+    valid, _ = ops.validate_series(raw, BATCH_TS, key_cols=["event_id"])
+    return valid.select("seriesId", "close", F.col("extras")["lot"].alias("lot"),
+                        F.col("texts")["rating"].alias("rating"), F.col("texts")["nested"].alias("nested"),
+                        F.col("texts")["other"].alias("other"), F.size("extras").alias("numbers"),
+                        F.size("texts").alias("texts"), "dataQuality")
+
+
 # ---------------------------------------------------------------- O02 --------
 
 def _vendor_rows(spark, sf_dir):

@@ -1,8 +1,8 @@
 """One fixed StructType per warehouse table.
 
 Known OHLCV indicators are typed top-level columns so a query that reads only
-``close`` prunes the Parquet scan to that column; any other indicator lands in
-``extras``. The reference's open ``indicators`` dict is rebuilt on export.
+``close`` prunes the Parquet scan to that column; any other number lands in
+``extras``, any other value (text, or JSON text) in ``texts``.
 """
 
 from pyspark.sql import DataFrame
@@ -28,7 +28,8 @@ INSTRUMENTS = _struct(
 
 SERIES = _struct(
     ("seriesId", S), ("instrumentId", S), ("dataSourceId", S), ("dataTimestamp", TS),
-    *[(n, D) for n in INDICATORS], ("extras", T.MapType(S, D)), ("dataQuality", S),
+    *[(n, D) for n in INDICATORS], ("extras", T.MapType(S, D)), ("texts", T.MapType(S, S)),
+    ("dataQuality", S),
     *TEMPORAL, ("recordedAt", TS))
 
 SOURCES = _struct(
@@ -52,10 +53,11 @@ HOLDINGS = _struct(
     ("holdingId", S), ("portfolioId", S), ("instrumentId", S), ("quantity", D),
     ("averageCost", D), ("acquiredDate", TS), *TEMPORAL)
 
-# Raw series record as it arrives on the ingest path (JSON lines / stream).
+# Raw series record as it arrives on the ingest path (JSON lines / stream); the open
+# indicators stay JSON text, and a line that is no record is kept whole.
 RAW_SERIES_RECORD = _struct(
     ("instrumentId", S), ("dataSourceId", S), ("dataTimestamp", S),
-    ("indicators", T.MapType(S, D)), ("dataQuality", S), ("transformationLogic", S))
+    ("indicators", S), ("dataQuality", S), ("transformationLogic", S), ("_corrupt_record", S))
 
 # Change feed driving the version fold: one row per register / delete / restore.
 CHANGE_FEED = _struct(("instrumentId", S), ("ts", TS), ("event_id", T.LongType()),

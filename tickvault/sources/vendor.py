@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickvault.functions.columns import first_truthy, parse_iso_utc
+from tickvault.functions.columns import first_truthy, parse_iso_utc, split_indicators
 from tickvault.schemas import INDICATORS
 
 DATE_COLUMNS = ("Date", "date", "DATE")
@@ -214,7 +214,7 @@ def normalise_external_json(payloads: DataFrame, batch_ts, payload_col: str = "p
     missing or empty -> batch time, present but unparsable -> record
     dropped; open/close/high/low/volume default to 0 and a value that is not
     a number (JSON null included) drops the record; every other key becomes
-    an extra indicator (numeric values). Returns (records, rejects-with-reason).
+    an extra indicator (numbers in ``extras``, other values in ``texts``). Returns (records, rejects-with-reason).
 
     The JSON is parsed once into a VARIANT; each field's type, text and
     number are then extracted once, in stages, so no extraction is repeated
@@ -248,8 +248,7 @@ def normalise_external_json(payloads: DataFrame, batch_ts, payload_col: str = "p
 
     fields = F.try_variant_get("item", "$", "map<string,variant>")
     others = F.map_filter(fields, lambda k, x: ~k.isin(*EXTERNAL_RESERVED))
-    extras = F.map_filter(F.transform_values(others, lambda k, x: F.try_variant_get(x, "$", "double")),
-                          lambda k, x: x.isNotNull())
+    extras, texts = split_indicators(others)
     derived = typed.select(
         *keep, "item_pos",
         F.schema_of_variant("item").startswith("OBJECT").alias("_obj"),
@@ -266,7 +265,7 @@ def normalise_external_json(payloads: DataFrame, batch_ts, payload_col: str = "p
     out = parsed.select(
         *keep, "item_pos", "instrumentId",
         F.coalesce("_ts", F.lit(batch_ts).cast("timestamp_ntz")).alias("dataTimestamp"),
-        *INDICATORS, extras.alias("extras"), reason.alias("reject_reason"))
+        *INDICATORS, extras.alias("extras"), texts.alias("texts"), reason.alias("reject_reason"))
     # The good/bad split filters on the computed reason. Passing the record
     # through a one-element inline (a Generate) keeps those filters above
     # the parse instead of letting them be pushed down and re-expanded.

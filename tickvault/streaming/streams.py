@@ -46,6 +46,7 @@ def stream_ingest_series(spark: SparkSession, input_dir: str, out_dir: str, chec
     Each micro-batch is validated (O05/O06); valid rows, rejects (with the
     reason) and one lineage row per accepted record (O13, hash of the raw
     record's own fields) go to ``out_dir/{valid,rejects,lineage}``.
+    A line that is no JSON record is rejected with its text in ``_corrupt_record``.
     Duplicates are kept, as in the reference. ``batch_ts`` (the fallback
     time for unparsable timestamps) defaults to the batch's start time.
     """
@@ -53,7 +54,7 @@ def stream_ingest_series(spark: SparkSession, input_dir: str, out_dir: str, chec
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.json(input_dir)
-    payload_cols = sorted(c for c in schema.fieldNames() if c != "event_id")
+    payload_cols = sorted(c for c in schema.fieldNames() if c not in ("event_id", "_corrupt_record"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         when = batch_ts if batch_ts is not None else F.current_timestamp()
