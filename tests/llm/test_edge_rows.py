@@ -171,3 +171,16 @@ def test_html(spark):
     assert rows[1] == "" and rows[None] == "" and rows[2] == "One & two three\nFour" and rows[3] == "cut off he"
     assert rows[4].count("\n") == 1999
     assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>x</title><body><article><p>One two three.</p><p>Four.</p></article>",
+    "<head><meta charset=utf-8><link rel=a><article><p>One two three.</p><p>Four.</p></article>",
+    "<article><p>One two three.</p><select><option>a<option>b<p>Four.</p></article>",
+    "<article><select><option>a<p>One two three.</p><p>Four.</p><select><option>b</select></article>",
+    "<article><p>One two three.</p><object data=x><p>Four.</p></article>",
+    "<article><svg><svg></svg>no</svg><p>One two three.</p><canvas><p>Four.</p></article>",
+    "<article><p>One two three.</p><p>Four.</p><script>var x = '<p>no</p>'"])
+def test_html_without_end_tags(page):
+    tree = html_text.grow_tree(*html_text.labelled_rows())
+    assert html_text.main_text(page, tree) == "One two three.\nFour."

@@ -23,7 +23,12 @@ MIN_ROWS = 2
 # Element names of HTML by their role here.
 UNSEEN = frozenset("script style noscript template svg math iframe object embed canvas audio video head title "
                    "select option datalist textarea button".split())
-RAW = frozenset("script style noscript template svg math iframe textarea title select button object canvas".split())
+# Their contents are text up to the end tag, or to the end of the page without one.
+RAW = frozenset("script style textarea title iframe".split())
+# Skipped up to their own end tag; one without an end tag is passed over and the page goes on.
+SKIPPED = UNSEEN - RAW - {"head", "option", "embed"}
+# What may stand in a head; any other tag, and text, ends it, as its end tag is optional.
+IN_HEAD = frozenset("html head title meta link style script base basefont bgsound noscript noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark "
                    "q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -47,6 +52,8 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _WORD_BREAK = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
+_PAIRS = {tag: re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe)\b.*?(?:</\1\b|\Z)"
+                          rf"|<(/?){tag}(?=[\s/>]|\Z)([^>]*)(?:>|\Z)", re.S | re.I) for tag in SKIPPED}
 
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after",
             "framed", "in_content", "in_header", "heading", "item", "paragraph", "ends"]
@@ -79,6 +86,19 @@ class _Element:
         self.heading = bool(up and up.heading) or tag in HEADINGS
 
 
+def _end_tags(page: str, tag: str) -> dict[int, int]:
+    """Where each ``tag`` element of a page that has an end tag begins and ends."""
+    out: dict[int, int] = {}
+    begun: list[int] = []
+    for m in _PAIRS[tag].finditer(page):
+        if m.group(2):
+            if begun:
+                out[begun.pop()] = m.end()
+        elif m.group(2) is not None and not m.group(3).rstrip().endswith("/"):
+            begun.append(m.start())
+    return out
+
+
 def text_blocks(page: str | None) -> list[tuple[str, list[float]]]:
     """(text, own features) of the flat blocks of a page in order; text is decoded, with
     each run of white space as one space. An unfinished tag or comment at the end is markup."""
@@ -101,6 +121,8 @@ def text_blocks(page: str | None) -> list[tuple[str, list[float]]]:
 
     def say(raw: str) -> None:
         nonlocal linked, blank, place
+        while stack[-1].tag == "head" and raw.strip():
+            stack.pop()
         if stack[-1].unseen or not raw:
             return
         if blank and raw.strip():
@@ -109,6 +131,7 @@ def text_blocks(page: str | None) -> list[tuple[str, list[float]]]:
         if stack[-1].link:
             linked += len(raw.split())
 
+    ends: dict[str, dict[int, int]] = {}
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
@@ -133,6 +156,9 @@ def text_blocks(page: str | None) -> list[tuple[str, list[float]]]:
                 if tag in INLINE and stack[i].tag not in INLINE:
                     break
             continue
+        while (stack[-1].tag == "head" and tag not in IN_HEAD
+               or stack[-1].tag == "option" and tag not in INLINE):
+            stack.pop()
         if tag in VOID or attributes.rstrip().endswith("/"):
             continue
         if tag not in INLINE:
@@ -143,11 +169,16 @@ def text_blocks(page: str | None) -> list[tuple[str, list[float]]]:
                     break
                 if stack[i].tag not in INLINE:
                     break
-        stack.append(_Element(tag, _names(attributes), stack[-1]))
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
-            stack.pop()
+            continue
+        if tag in SKIPPED:
+            if tag not in ends:
+                ends[tag] = _end_tags(page, tag)
+            at = ends[tag].get(m.start(), at)
+            continue
+        stack.append(_Element(tag, _names(attributes), stack[-1]))
     flush()
     for i, (_, f) in enumerate(blocks):
         if i:
