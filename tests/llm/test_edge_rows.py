@@ -184,3 +184,19 @@ def test_html(spark):
 def test_html_without_end_tags(page):
     tree = html_text.grow_tree(*html_text.labelled_rows())
     assert html_text.main_text(page, tree) == "One two three.\nFour."
+
+
+@pytest.mark.parametrize("before,after", [
+    ("<div class='main-content has-sidebar'>", "</div><div class=sidebar><p>Buy our good boots for cold feet now.</p></div>"),
+    ("<div id='page' class='search-open'>", "</div>"),
+    ("<div id='page' class='sidebar-right'><article>", "</article></div>"),
+    ("<div class='post with-comments'>", "<div class=comments><p>I think so too, it is good.</p></div></div>"),
+    ("<form action=a><nav><a>Home</a></nav><main>", "</main></form>"),
+    ("<form action=a>", "</form><footer>All of it is ours.</footer>"),
+    ("<main>", "</main><div class=sidebar><article><p>Read more of our news here.</p></article></div>"),
+    ("<div class=story>", "</div><div class=comment-list><article class=comment-body><p>I think so too.</p></article></div>")])
+def test_html_in_wrappers(before, after):
+    tree = html_text.grow_tree(*html_text.labelled_rows())
+    body = "<h1>Iron</h1><p>Iron rusts when wet, so paint a gate every other year.</p><p>Be quick.</p>"
+    assert html_text.main_text(before + body + after, tree) == (
+        "Iron\nIron rusts when wet, so paint a gate every other year.\nBe quick.")

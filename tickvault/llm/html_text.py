@@ -45,6 +45,8 @@ FRAME_WORDS = frozenset(
     "sharing sidebar sidenav signup skip social sponsor sponsored subscribe tags teaser toolbar topbar topnav trending "
     "warning widget widgets".split())
 CONTENT_WORDS = frozenset("article body content entry main maincontent post story text".split())
+HAVING = frozenset("has have having is no not show shows with without".split())
+STATES = frozenset("open opened closed enabled disabled visible".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)"
                     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
@@ -59,26 +61,50 @@ FEATURES = ["words", "links", "words_before", "links_before", "words_after", "li
             "framed", "in_content", "in_header", "heading", "item", "paragraph", "ends"]
 
 
-def _names(attributes: str) -> set[str]:
-    out: set[str] = set()
+def _names(attributes: str) -> tuple[bool, bool]:
+    """Whether the names in class, id and role tell of a frame, and of content.
+
+    In a name of several words, one that says what the part has, or whether that is open,
+    does not count. A name of content words outweighs frame words in the other names.
+    """
+    framed = content = False
     for m in _NAMES.finditer(attributes):
-        value = next(g for g in m.groups() if g is not None)
-        out.update(_WORD_BREAK.split(_CAMEL.sub(" ", value).lower()))
-    return out
+        for name in next(g for g in m.groups() if g is not None).split():
+            words = [w for w in _WORD_BREAK.split(_CAMEL.sub(" ", name).lower()) if w]
+            frame = any(w in FRAME_WORDS and not (i and words[i - 1] in HAVING or words[i + 1:i + 2] and words[i + 1] in STATES)
+                        for i, w in enumerate(words))
+            framed |= frame
+            content |= not frame and not CONTENT_WORDS.isdisjoint(words)
+    return framed and not content, content
 
 
 class _Element:
     """An open element and what is known of its place."""
-    __slots__ = ("tag", "framed", "content", "header", "unseen", "link", "item", "paragraph", "heading")
+    __slots__ = ("tag", "strong", "weak", "rescued", "content", "header", "unseen", "link", "item", "paragraph",
+                 "heading", "named", "whole", "words")
 
-    def __init__(self, tag: str, names: set[str], up: _Element | None):
-        content = tag in CONTENT or bool(names & CONTENT_WORDS and not names & FRAME_WORDS)
+    def __init__(self, tag: str, names: tuple[bool, bool], up: _Element | None):
+        by_name, content = names
         self.tag = tag
-        self.content = content or bool(up and up.content)
+        self.content = tag in CONTENT or content or bool(up and up.content)
         # The page's own body is not framed by a word in its class.
-        by_name = bool(names & FRAME_WORDS) and tag not in HEADINGS | CONTENT | {"body", "html"}
-        self.framed = bool(up and up.framed) or tag in FRAMES or by_name
-        self.header = bool(up and up.header) or (tag == "header" and not self.content)
+        self.named = by_name and tag not in HEADINGS | CONTENT | {"body", "html"}
+        # Names and forms frame weakly: they may stand around the whole page.
+        self.strong = bool(up and up.strong) or tag in FRAMES and tag != "form"
+        self.weak: tuple[_Element, ...] = up.weak if up else ()
+        self.rescued = up.rescued if up else ""
+        self.whole, self.words = False, 0
+        if tag in CONTENT and self.weak and not by_name:
+            self.weak, self.rescued = (), tag
+        if content:
+            # Content in a plain form.
+            self.weak = tuple(w for w in self.weak if w.named)
+        if tag in CONTENT and not by_name or tag == "h1" or tag == "nav":
+            for w in self.weak or (up.weak if up else ()):
+                w.whole |= tag != "nav" or not w.named
+        if self.named or tag == "form":
+            self.weak += (self,)
+        self.header = tag not in CONTENT and bool(up and up.header) or (tag == "header" and not self.content)
         self.unseen = bool(up and up.unseen) or tag in UNSEEN
         self.link = bool(up and up.link) or tag == "a"
         self.item = bool(up and up.item) or tag in ("li", "td", "th", "dt", "dd")
@@ -99,12 +125,35 @@ def _end_tags(page: str, tag: str) -> dict[int, int]:
     return out
 
 
+def _frame(blocks: list[tuple[str, list[float]]], places: list[_Element]) -> None:
+    """Mark the blocks that weak frames frame.
+
+    A weak frame around a heading of the page, a main or an article does not frame if it is
+    a plain form, or has most words of the page. An article in a weak frame is free of it
+    unless more words stand in content that no frame is around; a main is free of it.
+    """
+    loose = free = total = 0
+    for (_, f), p in zip(blocks, places):
+        total += 0 if p.strong else f[0]
+        for w in p.weak:
+            w.words += f[0]
+        if not p.strong and not p.weak and p.content:
+            if p.rescued == "article":
+                loose += f[0]
+            else:
+                free += f[0]
+    for (_, f), p in zip(blocks, places):
+        f[6] = (p.strong or p.rescued == "article" and loose < free
+                or any(not w.whole or w.named and 2 * w.words <= total for w in p.weak))
+
+
 def text_blocks(page: str | None) -> list[tuple[str, list[float]]]:
     """(text, own features) of the flat blocks of a page in order; text is decoded, with
     each run of white space as one space. An unfinished tag or comment at the end is markup."""
     page = page or ""
     blocks: list[tuple[str, list[float]]] = []
-    stack: list[_Element] = [_Element("", set(), None)]
+    places: list[_Element] = []
+    stack: list[_Element] = [_Element("", (False, False), None)]
     parts: list[str] = []
     linked, blank = 0, True
     place = stack[0]
@@ -114,7 +163,8 @@ def text_blocks(page: str | None) -> list[tuple[str, list[float]]]:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             n = len(text.split())
-            blocks.append((text, [n, min(1.0, linked / n), 0, 0, 0, 0, place.framed, place.content, place.header,
+            places.append(place)
+            blocks.append((text, [n, min(1.0, linked / n), 0, 0, 0, 0, place.strong, place.content, place.header,
                                   place.heading, place.item, place.paragraph, text[-1] in ".!?:;\"'”’…)"]))
         parts.clear()
         linked, blank = 0, True
@@ -180,6 +230,7 @@ def text_blocks(page: str | None) -> list[tuple[str, list[float]]]:
             continue
         stack.append(_Element(tag, _names(attributes), stack[-1]))
     flush()
+    _frame(blocks, places)
     for i, (_, f) in enumerate(blocks):
         if i:
             f[2:4] = blocks[i - 1][1][:2]
@@ -215,6 +266,10 @@ LABELLED = [
     "<header>-Welcome to the site of the club.</header><p>+The club met on Monday to choose a new head, and it took all night.</p><p>+No one won.</p><form><div>-Vote here:</div></form>",
     "<div class=breadcrumbs><a>-Home</a> > <a>-News</a></div><h1>+Ice on the lake</h1><p>+The lake froze early this year and the boats were still out when it did.</p><p class=notice>-This page is shown to all, but some parts need a login.</p><p>+Be careful.</p>",
     "<article><p>+Text of the day, long enough to stand on its own in a paragraph.</p><ul><li>+<a>a source of it</a></li><li>+a second thing</li></ul></article><ul><li><a>-Imprint</a></li><li><a>-Contact us</a></li></ul>",
+    "<div id=page class=search-open><nav><a>-Home</a></nav><article><h1>+The mill</h1><p>+The mill has stood by the river since the first houses were built here.</p><p>+It still turns.</p></article>"
+    "<div class=comments><h3>-Two replies</h3><p>-I have seen the mill and it does not turn at all, so who wrote this?</p></div></div><footer>-All rights reserved.</footer>",
+    "<form><nav><a>-Start</a></nav><div class=sidebar><p>-A long line about our shop, which sells tea and cups of all sizes to everyone.</p></div><div><h1>+Tea</h1><p>+Tea should not be boiled, and it needs three minutes in the pot to be good.</p><p>+Drink it hot.</p></div></form>",
+    "<div class='post with-comments'><h1>+Snow</h1><p>+Snow fell all night and the road to the farm was closed until noon.</p><p>+It was cold.</p><div class=comment><p>-It was warm here, and we had no snow at all this winter.</p></div></div>",
 ]
 
 
