@@ -7,6 +7,7 @@ import random
 import duckdb
 import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as E
 from tickvault.llm import bpe_tree, near_dedup, tokens
@@ -88,6 +89,16 @@ def test_pieces_equal_library(texts, name, spaced):
     assert [x.tolist() for x in coder.encode(some)] == want
 
 
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_added_tokens_equal_fresh_library(texts, name, spaced):
+    coder, fresh = tokens.PieceEncoder(P.path(name), spaced), Tokenizer.from_file(P.path(name))
+    added = ["<|endoftext|>", "x <|endoftext|> y", "X<|endoftext|>\n\n <|startoftext|>Y", "A <|ENDOFTEXT|> b", "<|EndOfText|>",
+             "a  <|endoftext|>  b <|endoftext", "plain <|", "\x00<|endoftext|>"]
+    some = added + [texts[i] for i in sorted(texts)[:20]] + [texts[min(texts)] + a for a in added]
+    for _ in range(2):
+        assert [x.tolist() for x in coder.encode(some)] == [fresh.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_fingerprint_likeness(spark, texts):
     def shingles(text):
         w = text.lower().split()

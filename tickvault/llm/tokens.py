@@ -32,16 +32,18 @@ _PLAIN = re.compile("([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u01
 
 
 class PieceEncoder:
-    """Ids of texts, as the tokenizers library gives them without special tokens (their
-    strings in a text are ordinary text). ``spaced`` says whether the vocabulary keeps white
-    space, as the beginning of the piece after it, or drops it."""
+    """Ids of texts, as the tokenizers library gives them without adding special tokens; the
+    string of an added token in a text is that token. ``spaced`` says whether the vocabulary
+    keeps white space, as the beginning of the piece after it, or drops it."""
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # In any case: lower case would make an added token of its upper-case string.
+        self.added = "(?i)" + "|".join(map(re.escape, added)) if added else None
         # Where a word begins (a space in it) or ends (the mark of a word's end).
         self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -110,6 +112,12 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         column = pa.array(texts, pa.large_string())
+        whole = np.zeros(len(texts), bool)
+        if self.added:
+            # Added tokens are found in the text as it is, so such a text is encoded whole.
+            whole = pc.match_substring_regex(column, self.added).to_numpy(zero_copy_only=False)
+            if whole.any():
+                column = pc.if_else(pa.array(whole), pa.scalar("", column.type), column)
         if self.spaced:
             uneven = pc.match_substring_regex(column, _UNEVEN).to_numpy(zero_copy_only=False)
             column = pc.if_else(pa.array(uneven), pa.scalar("", column.type), column)
@@ -138,6 +146,8 @@ class PieceEncoder:
         out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         for i in np.flatnonzero(uneven).tolist():
             out[i] = self._uneven(texts[i])
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = np.frombuffer(self._each([texts[i]])[0], "<u4")
         self._forget()
         return out
 
