@@ -6,11 +6,13 @@ import random
 
 import duckdb
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as E
-from tickvault.llm import bpe_tree, near_dedup, tokens
+from tickvault.llm import bpe_tree, near_dedup, substring_dedup, tokens
 from tests.oracle_harness import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -68,6 +70,25 @@ def test_substring_dedup(spark, texts):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
 
 
+def test_substring_dedup_of_hot_anchors(spark, texts, monkeypatch):
+    """Every anchor taken apart: the same rows as by whole stretches."""
+    whole = sorted(E.queries()["op3_substring_dedup"](spark, SF).collect())
+    monkeypatch.setattr(substring_dedup, "HOT_RUNS", 1)
+    assert sorted(E.queries()["op3_substring_dedup"](spark, SF).collect()) == whole
+
+
+def test_hot_anchor_spreads_over_owners():
+    rng, phrase = random.Random(3), "a phrase that is everywhere. "
+    said = ["".join(rng.choice("abcdefgh ") for _ in range(60)) + phrase + "".join(rng.choice("abcdefgh ") for _ in range(60))
+            for _ in range(300)]
+    block = substring_dedup.Block(pa.table({"doc_id": range(300), "text": said, "block": [0] * 300}), 50)
+    lists = substring_dedup._send_anchors(50, 4)(pa.table({"doc_id": range(300), "text": said, "block": [0] * 300}))
+    by_owner = [lists.filter(pa.compute.equal(lists["owner"], o)) for o in set(lists["owner"].to_pylist())]
+    replies = pa.concat_tables(substring_dedup._repeated_anchors(100)(x) for x in by_owner)
+    sizes = [len(keys) for _, keys, _, _ in block.stretches(4, substring_dedup._bitmaps(replies))]
+    assert len(sizes) == 16 and max(sizes) < sum(sizes) / 8
+
+
 def test_tree_equals_library(monkeypatch):
     monkeypatch.setattr(bpe_tree, "LEAF_CHARS", 16)
     monkeypatch.setattr(bpe_tree, "LEAF_BYTES", 8)

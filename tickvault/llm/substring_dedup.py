@@ -15,6 +15,9 @@ occurs in several documents need comparing.
 4. Each block removes the strings that some document with a smaller doc_id has.
 
 A string that very many documents share costs one entry per block, not one per document.
+An anchor with over ``HOT_RUNS`` stretches (a phrase shorter than ``LENGTH`` bytes in many
+contexts) is taken apart in steps 2 to 4: each of its strings goes by itself to the owner of
+the string's own hash, so that all owners share the work of that anchor.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ BLOCK_BYTES = 8 << 20
 OWNER_BYTES = 4 << 20
 SLICE = 1 << 20
 HASH_BITS = 40
+HOT_RUNS = 1 << 16
+COUNTED = 4
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -52,6 +57,15 @@ def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _string_hashes(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the strings at these positions of the bytes whose ``_words`` are given."""
+    h = np.zeros(len(at), np.uint64)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        h = (h ^ words[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h
+
+
 def anchored_runs(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of string starts with one anchor: (hash of the anchor, first start, number of starts).
 
@@ -97,8 +111,8 @@ class Block:
         self.hashes, self.first, self.count = anchored_runs(self.raw, self.starts, length)
         self.doc = self.ids[np.searchsorted(self.starts, self.first, "right") - 1]
 
-    def anchors(self, owner_bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(owner, distinct anchors in order, whether several documents here have each)."""
+    def anchors(self, owner_bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(owner, distinct anchors in order, whether several documents here have each, runs of each)."""
         short = self.hashes >> np.uint64(64 - owner_bits - HASH_BITS)
         order = np.lexsort((self.doc, short))
         h, d = short[order], self.doc[order]
@@ -106,33 +120,64 @@ class Block:
         if not len(begin):
             return
         several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
-        values = h[begin]
+        values, runs = h[begin], np.diff(np.append(begin, len(h)))
         owners = (values >> np.uint64(HASH_BITS)).astype(np.int64)
         for owner in np.unique(owners):
             mine = owners == owner
-            yield int(owner), values[mine], several[mine]
+            yield int(owner), values[mine], several[mine], runs[mine]
+
+    def stretches(self, owner_bits: int, repeated: dict[int, tuple]) -> Iterator[tuple[int, list[bytes], list[int], dict]]:
+        """(owner, distinct stretches in order, least doc_id of each, rows of ``places`` by stretch).
 
-    def stretches(self, owner_bits: int, repeated: dict[int, bytes]) -> Iterator[tuple[int, list[bytes], list[int], dict]]:
-        """(owner, distinct stretches in order, least doc_id of each, rows of runs by stretch)."""
+        A string of a hot anchor is a stretch of its own.
+        """
         short = self.hashes >> np.uint64(64 - owner_bits - HASH_BITS)
-        for owner, values, _ in self.anchors(owner_bits):
+        whole: dict[int, np.ndarray] = {}
+        hot = [np.zeros(0, np.int64)]
+        for owner, values, _, _ in self.anchors(owner_bits):
             if owner not in repeated:
                 continue
-            flags = np.unpackbits(np.frombuffer(repeated[owner], np.uint8), count=len(values)).astype(bool)
+            data, many = repeated[owner]
+            flags = np.unpackbits(np.frombuffer(data, np.uint8), count=len(values)).astype(bool)
             wanted = values[flags]
             if not len(wanted):
                 continue
             lo, hi = np.uint64(owner) << np.uint64(HASH_BITS), np.uint64(owner + 1) << np.uint64(HASH_BITS)
             runs = np.flatnonzero((short >= lo) & (short < hi))
             near = np.minimum(np.searchsorted(wanted, short[runs]), len(wanted) - 1)
-            runs = runs[wanted[near] == short[runs]]
+            found = wanted[near] == short[runs]
+            runs, near = runs[found], near[found]
+            if many is not None:
+                apart = np.unpackbits(np.frombuffer(many, np.uint8), count=len(values)).astype(bool)[flags][near]
+                hot.append(runs[apart])
+                runs = runs[~apart]
+            whole[owner] = runs
+        split = np.concatenate(hot)
+        n = self.count[split]
+        at = np.repeat(self.first[split] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        self.places = np.append(self.first, at)
+        self.place_doc = np.append(self.doc, np.repeat(self.doc[split], n))
+        strings: dict[int, np.ndarray] = {}
+        if len(at):
+            mixed = _string_hashes(_words(self.raw), at, self.length) * np.uint64(0xD6E8FEB86659FD93)
+            to = (mixed >> np.uint64(64 - owner_bits)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cuts = np.flatnonzero(np.diff(to[order])) + 1
+            strings = {int(to[part[0]]): part + len(self.first) for part in np.split(order, cuts)}
+        more = self.length - 1
+        raw = self.raw.data
+        none = np.zeros(0, np.int64)
+        for owner in sorted(whole.keys() | strings.keys()):
             of: dict[bytes, list[int]] = {}
-            more = self.length - 1
-            raw = self.raw.data
+            runs = whole.get(owner, none)
             for r, a, n in zip(runs.tolist(), self.first[runs].tolist(), self.count[runs].tolist()):
                 of.setdefault(bytes(raw[a:a + n + more]), []).append(r)
-            keys = sorted(of)
-            yield owner, keys, [min(self.doc[of[k]].tolist()) for k in keys], of
+            rows = strings.get(owner, none)
+            for r, a in zip(rows.tolist(), self.places[rows].tolist()):
+                of.setdefault(bytes(raw[a:a + self.length]), []).append(r)
+            if of:
+                keys = sorted(of)
+                yield owner, keys, [min(self.place_doc[of[k]].tolist()) for k in keys], of
 
 
 def refine(text: np.ndarray, length: int) -> np.ndarray:
@@ -180,11 +225,7 @@ def _string_starts(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 
 def _shared(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Whether the hash of the string at each position occurs at another one too."""
-    words = _words(text)
-    h = np.zeros(len(at), np.uint64)
-    for k in [*range(0, length - 8, 8), length - 8]:
-        h = (h ^ words[at + k]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
+    h = _string_hashes(_words(text), at, length)
     order = np.argsort(h)
     same = h[order][1:] == h[order][:-1]
     out = np.zeros(len(at), bool)
@@ -217,7 +258,7 @@ def least_ids(stretches: list[bytes], ids: np.ndarray, length: int) -> np.ndarra
 
 
 _LISTS = pa.schema([("owner", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("k", pa.int32()),
-                    ("unary", pa.binary()), ("low", pa.binary()), ("again", pa.binary())])
+                    ("unary", pa.binary()), ("low", pa.binary()), ("again", pa.binary()), ("more", pa.binary())])
 _ENTRIES = pa.schema([("owner", pa.int32()), ("block", pa.int64()), ("sizes", pa.binary()), ("bytes", pa.binary()),
                       ("ids", pa.binary())])
 _REPLY = pa.schema([("block", pa.int64()), ("owner", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()),
@@ -239,27 +280,42 @@ def _ddl(schema: pa.Schema) -> str:
 def _send_anchors(length: int, owner_bits: int):
     def run(rows: pa.Table) -> pa.Table:
         block, out = rows.column("block")[0].as_py(), []
-        for owner, values, several in Block(rows, length).anchors(owner_bits):
+        for owner, values, several, runs in Block(rows, length).anchors(owner_bits):
             local = values & np.uint64((1 << HASH_BITS) - 1)
             k = rice_parameter(1 << HASH_BITS, len(local))
-            out.append((owner, block, len(local), k, *rice_encode(local, k), np.packbits(several).tobytes()))
+            # Numbers of runs matter only where they are large in sum: small ones count as one.
+            some = np.flatnonzero(runs >= COUNTED)
+            more = np.concatenate([some, runs[some] - 1]).astype("<u4").tobytes()
+            out.append((owner, block, len(local), k, *rice_encode(local, k), np.packbits(several).tobytes(), more))
         return _table(out, _LISTS)
     return run
 
 
-def _repeated_anchors(group: pa.Table) -> pa.Table:
-    rows = group.to_pylist()
-    lists = [rice_decode(r["unary"], r["low"], r["n"], r["k"]) for r in rows]
-    again = [np.unpackbits(np.frombuffer(r["again"], np.uint8), count=r["n"]).astype(bool) for r in rows]
-    _, where, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    hit = counts > 1
-    hit[where[np.concatenate(again)]] = True
-    flags = np.split(hit[where], np.cumsum([len(x) for x in lists])[:-1])
-    return _table([(r["block"], r["owner"], 0, np.packbits(f).tobytes(), None) for r, f in zip(rows, flags)], _REPLY)
+def _repeated_anchors(hot_runs: int):
+    """Per list, a bitmap of its repeated anchors, and one of the hot ones if any is."""
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        lists = [rice_decode(r["unary"], r["low"], r["n"], r["k"]) for r in rows]
+        again = [np.unpackbits(np.frombuffer(r["again"], np.uint8), count=r["n"]).astype(bool) for r in rows]
+        _, where, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        hit = counts > 1
+        hit[where[np.concatenate(again)]] = True
+        cuts = np.cumsum([len(x) for x in lists])[:-1]
+        runs = counts.astype(np.int64)
+        for r, mine in zip(rows, np.split(where, cuts)):
+            at, more = np.frombuffer(r["more"], "<u4").reshape(2, -1)
+            # A list has an anchor once, so no place is added to twice.
+            runs[mine[at]] += more
+        hot = runs > hot_runs
+        many = np.split(hot[where], cuts)
+        flags = np.split(hit[where], cuts)
+        return _table([(r["block"], r["owner"], 0, np.packbits(f).tobytes(), np.packbits(m).tobytes() if m.any() else None)
+                       for r, f, m in zip(rows, flags, many)], _REPLY)
+    return run
 
 
-def _bitmaps(replies: pa.Table) -> dict[int, bytes]:
-    return {r["owner"]: r["data"] for r in replies.select(["owner", "kind", "data"]).to_pylist() if r["kind"] == 0}
+def _bitmaps(replies: pa.Table) -> dict[int, tuple]:
+    return {r["owner"]: (r["data"], r["runs"]) for r in replies.to_pylist() if r["kind"] == 0}
 
 
 def _send_stretches(length: int, owner_bits: int):
@@ -309,9 +365,10 @@ def _owner(length: int):
 def _remove(length: int, owner_bits: int, with_text: bool, carried: list[str]):
     def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
         b = Block(rows, length)
+        bitmaps = _bitmaps(replies)
         least = {r["owner"]: r for r in replies.to_pylist() if r["kind"] == 1}
         edge = np.zeros(len(b.raw) + 1, np.int32)
-        for owner, keys, _, of in b.stretches(owner_bits, _bitmaps(replies)):
+        for owner, keys, _, of in b.stretches(owner_bits, bitmaps):
             r = least[owner]
             ids = np.repeat(np.frombuffer(r["data"], "<i8"), np.frombuffer(r["runs"], "<u2"))
             at = 0
@@ -320,7 +377,7 @@ def _remove(length: int, owner_bits: int, with_text: bool, carried: list[str]):
                 mine = ids[at:at + n]
                 at += n
                 for run_ in of[k]:
-                    hit = np.flatnonzero(mine < b.doc[run_]) + b.first[run_]
+                    hit = np.flatnonzero(mine < b.place_doc[run_]) + b.places[run_]
                     edge[hit] += 1
                     edge[hit + length] -= 1
         gone = np.cumsum(edge[:-1]) > 0
@@ -361,7 +418,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
              .withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)))
              .repartition(n_blocks, "block"))
     lists = texts.groupBy("block").applyInArrow(_send_anchors(length, owner_bits), _ddl(_LISTS))
-    repeated = lists.groupBy("owner").applyInArrow(_repeated_anchors, _ddl(_REPLY))
+    repeated = lists.groupBy("owner").applyInArrow(_repeated_anchors(HOT_RUNS), _ddl(_REPLY))
     stretches = (texts.groupBy("block").cogroup(repeated.groupBy("block"))
                  .applyInArrow(_send_stretches(length, owner_bits), _ddl(_ENTRIES)))
     answers = stretches.groupBy("owner").applyInArrow(_owner(length), _ddl(_REPLY))
