@@ -161,6 +161,24 @@ def test_chat(spark):
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_chat_segments_by_rank(spark, monkeypatch):
+    """Sparse, equal and null turn numbers, and history across the segments of a long run."""
+    monkeypatch.setattr(chat, "SEGMENT_TURNS", 8)
+    sparse = [(1, 1000 * k, "user", f"turn {k:03}") for k in range(20)]
+    same = [(2, None, "assistant", f"turn {k:03}") for k in range(30)] + [(2, None, "assistant", "turn 007")]
+    turns = spark.createDataFrame(sparse + same, "conv_id long, turn long, role string, text string")
+    rows = chat.format_conversations(turns, budget=60, history=40).collect()
+    for conv, said in ((1, [t for _, _, _, t in sparse]), (2, sorted(t for _, _, _, t in same))):
+        mine = [list(chat.parse(r.formatted)) for r in sorted(r for r in rows if r.conv_id == conv)]
+        assert [t for w in mine for kind, _, t, _ in w if kind == "turn"] == said
+        assert max(sum(kind == "turn" for kind, *_ in w) for w in mine) > 1
+        at = 0
+        for w in mine:
+            past = [t for kind, _, t, _ in w if kind == "past"]
+            assert past == said[max(0, at - 2):at]
+            at += len(w) - len(past)
+
+
 def test_html(spark):
     pages = spark.createDataFrame(
         [(1, None, None), (None, "u", ""), (2, "u", "<nav><a>Home</a></nav><article><p>One &amp; two<br>three<p>Four</article>"

@@ -21,10 +21,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickvault.llm.common import map_arrow, materialise, query, table
+from tickvault.llm.common import map_arrow, materialise, query, shuffle_partitions, table
 
 BUDGET = 1024
 HISTORY = 256
@@ -68,15 +68,16 @@ def parse(formatted: str) -> Iterator[tuple[str, str, str, int]]:
         yield m.group(1), unescape(m.group(2)), unescape(m.group(3)), m.start(3)
 
 
-def windows(turns: list[tuple[str, str]], system: str | None, budget: int, history: int) -> Iterator[tuple[str, list, int]]:
-    """(formatted text, loss spans, own turns) of each window of one run of turns.
+def windows(turns: list[tuple[str, str]], system: str | None, budget: int, history: int,
+            at: int = 0) -> Iterator[tuple[str, list, int]]:
+    """(formatted text, loss spans, own turns) of each window of one run of turns from ``at`` on;
+    those before are history alone.
 
     A window takes the most turns whose tokens fit the budget that the repeated turns
     leave, and one at least: turns are never cut, so a longer one stands alone.
     """
     cost = [n_tokens(format_turn("turn", r, t)[0]) for r, t in turns]
     sums = [0, *itertools.accumulate(cost)]
-    at = 0
     while at < len(turns):
         past, back = [], at
         while back > 0 and sums[at] - sums[back - 1] <= history:
@@ -109,14 +110,15 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in b.columns))
 
 
-def _formatter(budget: int, history: int):
+def _formatter(budget: int, history: int, size_of: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in _WINDOW]
         size = 0
         for (conv, segment), rows in itertools.groupby(_rows(batches), key=lambda r: r[:2]):
             rows = list(rows)
             turns = [(r[3] or "", r[4] or "") for r in rows]
-            for i, (text, spans, _) in enumerate(windows(turns, rows[0][5], budget, history)):
+            own = sum(r[2] < segment * size_of for r in rows)
+            for i, (text, spans, _) in enumerate(windows(turns, rows[0][5], budget, history, own)):
                 for c, v in zip(out, (conv, segment, i, text, spans)):
                     c.append(v)
                 size += len(text)
@@ -131,22 +133,40 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
     """Windows (conv_id, segment, window, formatted, loss) of (conv_id, turn, role, text) rows.
 
     ``loss`` lists [begin, end) code points of the target texts in ``formatted``. A
-    conversation is taken in segments of ``SEGMENT_TURNS`` turn numbers, so no task holds
-    a long one whole; a segment begins a window with the system turn but no history. The
-    system turn is the first one of that role. Null texts and roles count as empty; a
-    null turn sorts first; equal turn numbers are ordered by role and text; a null conv_id
-    is one conversation of its own. An empty table gives no rows.
+    conversation is taken in segments of ``SEGMENT_TURNS`` turns, so no task holds a long
+    one whole; a segment begins a window, with the last turns of the segment before as its
+    history. The system turn is the first one of that role. Null texts and roles count as
+    empty; a null turn sorts first; equal turn numbers are ordered by role and text; a null
+    conv_id is one conversation of its own. An empty table gives no rows.
     """
-    rows = conversations.select(
-        "conv_id", F.floor(F.coalesce("turn", F.lit(0)) / SEGMENT_TURNS).alias("segment"), "turn", "role", "text")
-    system = (rows.where("role = 'system'").groupBy("conv_id")
-              .agg(F.min(F.struct("turn", "text")).alias("first"))
-              .select(F.col("conv_id").alias("c"), F.coalesce("first.text", F.lit("")).alias("system")))
-    # A segment's rows go to one task; the few rows of `system` meet them there.
-    placed = rows.join(system, rows.conv_id.eqNullSafe(system.c), "left").drop("c")
-    placed = (placed.repartition("conv_id", "segment")
-              .sortWithinPartitions("conv_id", "segment", "turn", "role", "text"))
-    return map_arrow(placed, _formatter(budget, history), _WINDOW_DDL)
+    # A formatted turn has some tokens besides its text, so few turns fit the history.
+    back = history // n_tokens(format_turn("turn", "", "")[0])
+    size_of = max(SEGMENT_TURNS, back)
+    order = ["conv_id", "turn", "role", "text"]
+    # Ranks without a task that holds a conversation: places in the global order, written
+    # once, less the place of the conversation's first row in the partition. Equal rows are
+    # apart by where they were read.
+    laid = materialise(
+        conversations.select(*order).withColumn("nth", F.monotonically_increasing_id())
+        .repartitionByRange(shuffle_partitions(conversations.sparkSession), *order, "nth")
+        .sortWithinPartitions(*order, "nth")
+        .select(*order, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "chat-turns")
+    ahead = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.min(F.when(F.col("role") == "system", F.struct("place", "text")))
+    parts = (laid.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("from"), first.alias("first"))
+             .withColumn("shift", F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("from"))
+             .withColumn("first", F.min("first").over(Window.partitionBy("conv_id")))
+             .select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "shift",
+                     F.when(F.col("first").isNotNull(), F.coalesce("first.text", F.lit(""))).alias("system")))
+    # A conversation and partition have one row in `parts`, so a long conversation is joined in parts.
+    ranked = (laid.join(parts, laid.conv_id.eqNullSafe(parts.c) & (laid.part == parts.p))
+              .withColumn("rank", F.col("place") + F.col("shift")))
+    own = F.floor(F.col("rank") / size_of)
+    inside = F.col("rank") % size_of
+    segments = F.when(inside >= size_of - back, F.array(own, own + 1)).otherwise(F.array(own))
+    placed = (ranked.select("conv_id", F.explode(segments).alias("segment"), "rank", "role", "text", "system")
+              .repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "rank"))
+    return map_arrow(placed, _formatter(budget, history, size_of), _WINDOW_DDL)
 
 
 _BACK = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
