@@ -6,11 +6,13 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickvault.llm.common import BATCH_ROWS, materialise, table
+from tickvault.llm.common import BATCH_ROWS, materialise, shuffle_partitions, table
 from tickvault.llm.exact_dedup import exact_dedup
 from tickvault.llm.near_dedup import near_duplicates
 from tickvault.llm.packing import best_fit_pack
@@ -22,12 +24,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``docs`` without the documents that ``decisions`` drops; rows that share a doc_id stay
-    if any of them does. Most are kept, so the dropped ids are the smaller side to join."""
-    dropped = (decisions.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept")
-               .select(F.col("doc_id").alias("_id")))
-    return docs.join(dropped, docs.doc_id.eqNullSafe(F.col("_id")), "left_anti")
+def _kept(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that ``decide`` keeps. Decisions are by doc_id, so where doc_ids
+    are repeated or null, each row first gets a number in their order, which is decided on.
+    Most rows are kept, so the dropped ids are the smaller side to join."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("n > 1 or doc_id is null").isEmpty():
+        dropped = decide(docs).where("not kept").select("doc_id")
+        return docs.join(dropped, "doc_id", "left_anti")
+    last = F.col("doc_id").isNull()
+    read = docs.withColumn("_nth", F.monotonically_increasing_id()).withColumn("_last", last)
+    rows = materialise(read.repartitionByRange(shuffle_partitions(docs.sparkSession), "_last", "doc_id", "_nth")
+                       .sortWithinPartitions("_last", "doc_id", "_nth")
+                       .select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "pipeline-rows")
+    dropped = (decide(rows.select(F.col("_row").alias("doc_id"), "text")).where("not kept")
+               .select(F.col("doc_id").alias("_row")))
+    return rows.join(dropped, "_row", "left_anti").select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +50,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one of each group of texts that are equal but for white space."""
+    """Keep one row of each group of texts that are equal but for white space."""
     docs = docs.select(*COLUMNS)
-    return _kept(docs, exact_dedup(docs))
+    return _kept(docs, exact_dedup)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each group of near duplicates
     (five-word shingles, similarity of 0.8 or more)."""
     docs = docs.select(*COLUMNS)
-    return _kept(docs, near_duplicates(docs, width=5, percent=80))
+    return _kept(docs, lambda rows: near_duplicates(rows, width=5, percent=80))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import corpus_pipeline
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +180,19 @@ def test_chat_segments_by_rank(spark, monkeypatch):
             at += len(w) - len(past)
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.exact, corpus_pipeline.near])
+def test_stages_decide_on_rows(spark, stage):
+    """Repeated rows, and rows with one doc_id of which only some are copies of others."""
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(6, texts["a"]), (6, texts["a"]), (6, texts["b"]), (7, texts["c"]), (9, texts["c"]), (9, texts["d"]),
+            (None, texts["d"]), (None, "no id at all, and no copy of it anywhere here")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in stage(spark, docs, "").collect()]
+    assert len(kept) == 5 and set(kept) == {rows[0], rows[2], rows[3], rows[5], rows[7]}
+    unique = docs.where("doc_id = 7")
+    assert [r.text for r in stage(spark, unique, "").collect()] == [texts["c"]]
+
+
 def test_html(spark):
     pages = spark.createDataFrame(
         [(1, None, None), (None, "u", ""), (2, "u", "<nav><a>Home</a></nav><article><p>One &amp; two<br>three<p>Four</article>"
