@@ -515,6 +515,19 @@ def test_csv_files_of_one_feed_order_columns_differently(spark, tmp_path, name):
     assert got == [("A", 2, 10.0, 20.0), ("B", 2, 10.0, 21.0), ("B", 4, 30.0, 30.0)]
 
 
+@pytest.mark.parametrize("sep", [",", "|"])
+def test_wide_vendor_file_is_read_to_its_last_column(spark, tmp_path, sep):
+    many = [f"x{k}" for k in range(70)]
+    (tmp_path / "A.csv").write_text("\n".join(sep.join(x) for x in (
+        [*many, "open", f'"low{sep}"', "Date", "close"], ["7"] * 70 + ["1.5", "3", "2024-01-05", "2.5"])) + "\n")
+    (tmp_path / "B.csv").write_text(sep.join(["Date", "close"]) + "\n" + sep.join(["2024-01-05", "4.5"]) + "\n")
+    files = spark.createDataFrame([("A.csv", "A"), ("B.csv", "B")], "file_name string, symbol string")
+    inst = spark.createDataFrame([("A", "i1"), ("B", "i2")], "symbol string, instrumentId string")
+    feed = vendor.Feed("f", str(tmp_path), vendor.EQUITIES_COLUMNS, {"sep": sep})
+    rows = {r.symbol: (r.open, r.close) for r in vendor.scan_vendor_csv(spark, [feed], files, inst).collect()}
+    assert rows == {"A": (1.5, 2.5), "B": (4.5, 4.5)}
+
+
 def test_contains_matches_brute_force(spark):
     import random
     rng = random.Random(3)

@@ -31,7 +31,6 @@ class Feed:
     path: str
     col_map: tuple[tuple[str, str], ...]
     options: dict = field(default_factory=dict)
-    max_columns: int = 64
 
 
 # The column names of the known vendor files and the indicator each one fills.
@@ -110,8 +109,8 @@ def scan_vendor_csv(spark: SparkSession, feeds: list[Feed], files: DataFrame,
     broadcast by AQE when it is small). All columns are read as text, and each
     file's columns are found by its own header, so files of one feed may order
     them differently. A header is a row with one of ``DATE_COLUMNS`` among its
-    cells; a file without one gives no rows. ``Feed.max_columns`` is the most
-    columns a file of the feed has. The file name is the file's own name, or a
+    cells; a file without one gives no rows. The feed's widest header tells how
+    many columns are read, in a job while the query is built. The file name is the file's own name, or a
     partition column (``file_name_col``) for a folder layout such as
     ``file=AAPL.csv/part-*.csv``.
     """
@@ -127,11 +126,26 @@ def scan_vendor_csv(spark: SparkSession, feeds: list[Feed], files: DataFrame,
     return allrows.join(files, "file_name").join(inst, "symbol")
 
 
+def _header_width(spark: SparkSession, feed: Feed, opts: dict) -> int:
+    """The most cells a header of the feed can have: one scalar, in one scan.
+
+    Read as one column, every wider record counts as malformed and comes whole. Separators
+    inside quotes count too, so a width may be too large, never too small.
+    """
+    separator = opts.get("sep", opts.get("delimiter", ","))
+    whole = {**opts, "columnNameOfCorruptRecord": "_record"}
+    records = spark.read.options(**whole).schema("c0 string, _record string").csv(feed.path)
+    records = records.select(F.coalesce("_record", "c0").alias("_record"))
+    named = F.greatest(*[F.contains("_record", F.lit(c)) for c in DATE_COLUMNS])
+    width = F.size(F.split("_record", "\\Q" + separator.replace("\\t", "\t") + "\\E"))
+    return records.agg(F.max(F.when(named, width)).alias("n")).first()["n"] or 1
+
+
 def _rows_by_header(spark: SparkSession, feed: Feed, file_name_col: str | None,
                     keep: list[str]) -> DataFrame:
     """The feed's rows under the names its map asks for, whatever the order in each file."""
-    cells = [f"c{i}" for i in range(feed.max_columns)]
     opts = {"header": "false", "mode": "PERMISSIVE", **feed.options}
+    cells = [f"c{i}" for i in range(_header_width(spark, feed, opts))]
     schema = ", ".join(f"{c} string" for c in cells)
     if file_name_col:
         schema += f", {file_name_col} string"
