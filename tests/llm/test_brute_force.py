@@ -3,6 +3,9 @@
 import collections
 import hashlib
 import random
+import struct
+import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import public_tokenizers as P
@@ -165,3 +168,107 @@ def test_pipeline_rows_fit(spark):
     for r in rows:
         load[r.sequence_id] += r.length
     assert rows and max(load.values()) <= 2048
+
+
+def fresh_pieces(tokenizer, texts, capacity=2048, end=0):
+    """{(doc_id, piece): (start, length, crc32)}: the first piece takes the remainder."""
+    out = {}
+    for doc, text in texts.items():
+        ids, at = [*tokenizer.encode(text, add_special_tokens=False).ids, end], 0
+        for piece in range(-(-len(ids) // capacity)):
+            n = (len(ids) % capacity or capacity) if piece == 0 else capacity
+            out[doc, piece] = at, n, zlib.crc32(struct.pack(f"<{n}I", *ids[at:at + n]))
+            at += n
+    return out
+
+
+def test_packing_equals_fresh_library(spark, texts):
+    rows = E.queries()["op6_best_fit_packing"](spark, SF).collect()
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows}
+    assert len(got) == len(rows) and got == fresh_pieces(Tokenizer.from_file(P.path("byte_bpe_50k.json")), texts)
+
+
+def test_token_files_equal_fresh_library(spark, texts):
+    tokenizer, want, at = Tokenizer.from_file(P.path("word_bpe_49k.json")), {}, 0
+    for i in sorted(texts):
+        ids = [*tokenizer.encode(texts[i], add_special_tokens=False).ids, 1]
+        want[i] = at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+        at += len(ids)
+    rows = E.queries()["op7_token_files"](spark, SF).collect()
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+
+
+class ArticleText(HTMLParser):
+    """The words of the article element of a page, whatever the blocks."""
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.said = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.said += [" "] if tag in ("p", "br", "h1", "h2", "h3", "li", "div") else []
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.said += [" "] if tag in ("p", "h1", "h2", "h3", "li", "div") else []
+
+    def handle_data(self, data):
+        self.said += [data] if self.inside else []
+
+
+def test_html_text_equals_article_element(spark):
+    want = {}
+    for i, page in duckdb.sql(f"select page_id, html from '{SF}/pages.parquet'").fetchall():
+        parser = ArticleText()
+        parser.feed(page)
+        parser.close()
+        want[i] = "".join(parser.said).split()
+    rows = E.queries()["op2_html_text"](spark, SF).collect()
+    assert {r.page_id: r.text.split() for r in rows} == want and len(rows) == len(want)
+
+
+def test_pipeline_equals_plain_stages(spark, texts):
+    scores = {r.doc_id: r.score for r in E.queries()["op8_quality_classifier"](spark, SF).collect()}
+    docs = {i: texts[i] for i in sorted(texts) if scores[i] >= 0.5}
+
+    groups = collections.defaultdict(list)
+    for i, t in docs.items():
+        groups["".join(c for c in t if c not in "\t\n\x0b\x0c\r ")].append((-len(t), i))
+    docs = {i: docs[i] for i in sorted(min(g)[1] for g in groups.values())}
+
+    sets = {}
+    for i, t in docs.items():
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)} or {tuple(w)} - {()}
+    root = {i: i for i in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in docs:
+        for j in docs:
+            if j >= i:
+                break
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    docs = {i: t for i, t in docs.items() if find(i) == i}
+
+    seen, kept = set(), {}
+    for i, t in docs.items():
+        raw = t.encode()
+        strings = [raw[k:k + 50] for k in range(len(raw) - 49)]
+        gone = bytearray(len(raw))
+        for k, x in enumerate(strings):
+            if x in seen:
+                gone[k:k + 50] = b"\1" * 50
+        seen.update(strings)
+        kept[i] = bytes(b for b, g in zip(raw, gone) if not g).decode("utf-8", "ignore")
+
+    assert len(kept) < len(texts)
+    rows = E.queries()["pipeline"](spark, SF).collect()
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows}
+    assert len(got) == len(rows) and got == fresh_pieces(Tokenizer.from_file(P.path("byte_bpe_50k.json")), kept)
