@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tickvault.llm.common import materialise, query, table
 
 WINDOW = 5
-ROUNDS = 20
+ROUNDS = 12
 # Starting shares of (bad, none, good) votes among bad and among good documents: they say which
 # side is which. ``TRUST`` is their weight in each estimate, as a share of all documents.
 START = {"bad": (0.3, 0.5, 0.2), "good": (0.01, 0.49, 0.5)}
@@ -85,39 +85,35 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         count(F.filter(c("hash"), lambda h, i: h == F.get(c("hash"), i - 1))).alias("n_neighbours"))
 
 
-def votes() -> list[Column]:
-    return [F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0).alias(f"vote_{name}")
-            for name, (bad, good) in RULES.items()]
+def votes() -> Column:
+    """The votes of all rules, in their order, as one array."""
+    return F.array(*[F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0) for bad, good in RULES.values()])
 
 
-def log_odds(prior: float, shares: dict[str, dict[str, tuple[float, ...]]]) -> Column:
-    """Log odds of a good document, from its votes."""
-    out = F.lit(math.log(prior / (1 - prior)))
-    for name, share in shares.items():
-        bad, none, good = (F.lit(math.log(g / b)) for b, g in zip(share["bad"], share["good"]))
-        v = F.col(f"vote_{name}")
-        out = out + F.when(v == -1, bad).when(v == 0, none).otherwise(good)
-    return out
+def log_odds(prior: float, shares: list[dict[str, list[float]]]) -> Column:
+    """Log odds of a good document, from its array ``votes``."""
+    weights = F.lit([math.log(g / b) for share in shares for b, g in zip(share["bad"], share["good"])])
+    return F.aggregate(F.transform("votes", lambda v, i: F.get(weights, 3 * i + v + 1)),
+                       F.lit(math.log(prior / (1 - prior))), lambda a, b: a + b)
 
 
-def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[float, dict[str, dict[str, tuple[float, ...]]]]:
+def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[float, list[dict[str, list[float]]]]:
     """The share of good documents, and each rule's shares of (bad, none, good) votes among bad
-    and among good ones, by expectation-maximisation over ``patterns`` (vote columns and their
-    count ``n``). Each round is one aggregate; only its sums come to the driver."""
-    prior, shares = PRIOR, {name: START for name in RULES}
+    and among good ones, by expectation-maximisation over ``patterns`` (``votes`` and their
+    count ``n``). Each round is one aggregate; one row per rule and vote comes to the driver."""
+    prior, shares = PRIOR, [START] * len(RULES)
     for _ in range(rounds):
-        p = patterns.withColumn("_p", 1 / (1 + F.exp(-log_odds(prior, shares))))
-        sides = {"bad": F.col("n") * (1 - F.col("_p")), "good": F.col("n") * F.col("_p")}
-        sums = [F.sum(rows).alias(side) for side, rows in sides.items()]
-        sums += [F.sum(F.when(F.col(f"vote_{name}") == v, rows).otherwise(0.0)).alias(f"{name}_{side}_{v}")
-                 for name in RULES for side, rows in sides.items() for v in (-1, 0, 1)]
-        got = p.agg(*sums).first().asDict()
-        if got["good"] is None:
+        good = 1 / (1 + F.exp(-log_odds(prior, shares)))
+        sums = (patterns.select("n", good.alias("p"), F.posexplode("votes").alias("rule", "vote")).groupBy("rule", "vote")
+                .agg(F.sum(F.col("n") * (1 - F.col("p"))).alias("bad"), F.sum(F.col("n") * F.col("p")).alias("good")))
+        cast = {(r["rule"], r["vote"]): r for r in sums.collect()}
+        if not cast:
             break
-        trust = TRUST * (got["bad"] + got["good"])
-        prior = (got["good"] + PRIOR * trust) / (got["bad"] + got["good"] + trust)
-        shares = {name: {side: tuple((got[f"{name}_{side}_{v}"] + START[side][v + 1] * trust) / (got[side] + trust)
-                                     for v in (-1, 0, 1)) for side in sides} for name in RULES}
+        total = {side: sum(cast[0, v][side] for v in (-1, 0, 1) if (0, v) in cast) for side in START}
+        trust = TRUST * sum(total.values())
+        prior = (total["good"] + PRIOR * trust) / (sum(total.values()) + trust)
+        shares = [{side: [((cast[r, v][side] if (r, v) in cast else 0.0) + START[side][v + 1] * trust) / (total[side] + trust)
+                          for v in (-1, 0, 1)] for side in START} for r in range(len(RULES))]
     return prior, shares
 
 
@@ -131,14 +127,13 @@ def judge(docs: DataFrame, text: str = "text", carried: tuple[str, ...] = ("doc_
     """
     held = [F.col(name).alias(f"_k_{i}") for i, name in enumerate(carried)]
     read = with_statistics(docs.select(*held, F.col(text).alias("_k_text")), "_k_text").drop("_k_text")
-    rows = materialise(read.select("*", *votes()), "rule-votes")
-    names = [f"vote_{name}" for name in RULES]
-    patterns = materialise(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "rule-patterns")
+    rows = materialise(read.select("*", votes().alias("votes")), "rule-votes")
+    patterns = materialise(rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).coalesce(1), "rule-patterns")
     odds = log_odds(*estimate(patterns))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return rows.select(
         *[F.col(f"_k_{i}").alias(name) for i, name in enumerate(carried)],
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *names,
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "votes",
         (1 / (1 + F.exp(-odds))).alias("posterior"), failed.alias("base_failed"), (~failed & (odds >= 0)).alias("kept"))
 
 
@@ -150,8 +145,8 @@ def _oracle() -> str:
     first = ", ".join(f"{START[side][k]}::DOUBLE AS {side[0]}_{r}_{k}" for r in RULES for side in START for k in range(3))
     parts = [f"""
     docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-    cut AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w,
-      list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM docs),
+    cut AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM docs),
     flat AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM cut),
     wins AS (SELECT r, i, x AS w0, lead(x, 1) OVER o AS w1, lead(x, 2) OVER o AS w2, lead(x, 3) OVER o AS w3,
       lead(x, 4) OVER o AS w4, lag(x) OVER o AS before FROM flat WINDOW o AS (PARTITION BY r ORDER BY i)),
@@ -163,7 +158,7 @@ def _oracle() -> str:
       CAST(length(regexp_replace(t, '[^{SYMBOLS}]+', '', 'g')) AS BIGINT) AS n_symbols,
       CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(reps.n, 0) AS BIGINT) AS n_repeat_words,
       len(l) AS n_lines, coalesce(near.n, 0) AS n_neighbours,
-      length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, len(list_filter(w, x -> regexp_matches(x, '[.?!]$'))) AS n_ended,
+      length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, len(list_filter(w, lambda x: regexp_matches(x, '[.?!]$'))) AS n_ended,
       len(regexp_split_to_array(t, '{MARKS}')) - 1 AS n_marked
       FROM cut LEFT JOIN reps USING (r) LEFT JOIN near USING (r)),
     voted AS MATERIALIZED (SELECT *, {vote} FROM stats),
