@@ -5,10 +5,10 @@ to a DataFrame of wanted pairs or instruments through a semi join.
 
 Scale notes
 -----------
-* Without a row cap (the default) every row counts: statistics come from one count per
-  (pair, price), combined map-side, and running counts over a pair's distinct prices; no
-  buffer holds a pair's prices. The trend's "newest N" part is a top-N per pair, planned
-  as a partial ``WindowGroupLimit``.
+* Without a row cap (the default) every row counts. Counts, sums and extremes are partial
+  aggregates; medians come from one count per (pair, price) and, for hot pairs, distributed
+  rank selection, so no task sorts or holds a hot pair's prices. The trend's "newest N" part
+  is a top-N per pair, planned as a partial ``WindowGroupLimit``.
 * An explicit row cap is a ``row_number() <= cap`` filter, also a partial
   ``WindowGroupLimit`` where Spark's threshold allows.
 """
@@ -18,10 +18,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickvault.functions.columns import EXACT, exact_sum
+from tickvault.functions.columns import EXACT, exact_mean
 
 PAIR = ("instrumentId", "dataSourceId")
 
+# Rank selection of a hot pair's median: ranges per round, their search steps, rounds.
+RANGES, RANGE_STEP, RANGE_ROUNDS = 256, 16, 2
+ROWS_PER_RANGE = 1_000_000
+# At most so many pairs are split: the bound of the broadcasts of their intervals and cuts (2 KB
+# a pair). Any further pair holds less than 1 / MAX_HOT_PAIRS of all rows.
+MAX_HOT_PAIRS = 10_000
+
 
 def _newest_first(partition=PAIR):
     return Window.partitionBy(*partition).orderBy(
@@ -87,33 +94,111 @@ def _close_rows(series, start, end, row_cap, keys):
     return rows.filter(F.col("close").isNotNull())
 
 
-def _by_price(rows: DataFrame) -> DataFrame:
-    """One row per (pair, close) with its count, first and last time, and where it stands
-    among the pair's sorted closes: rows up to it, and rows of the pair."""
-    by_time = F.struct("dataTimestamp", "seriesId")
-    prices = rows.groupBy(*PAIR, "close").agg(
-        F.count(F.lit(1)).alias("_c"), F.try_sum(F.col("close").try_cast(EXACT)).alias("_exact"),
-        F.min(by_time).alias("_first"), F.max(by_time).alias("_last"))
-    up = Window.partitionBy(*PAIR).orderBy("close").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (prices.withColumn("_upto", F.sum("_c").over(up))
-            .withColumn("_n", F.sum("_c").over(Window.partitionBy(*PAIR))))
-
-
-def _at(position: Column) -> Column:
-    """The close at a 1-based position of a pair's sorted closes."""
-    here = (F.col("_upto") >= position) & (F.col("_upto") - F.col("_c") < position)
-    return F.max(F.when(here, F.col("close")))
-
-
-def _price_sum() -> Column:
-    """The sum of closes from prices and their counts, as ``exact_sum`` gives it."""
-    fits = F.count("_exact") == F.count(F.lit(1))
-    return F.coalesce(F.when(fits, F.try_sum("_exact").cast("double")), F.sum(F.col("close") * F.col("_c")))
+def _join_pairs(left: DataFrame, right: DataFrame, how: str = "inner", small: bool = False) -> DataFrame:
+    """Null-safe join on the pair; ``small`` marks a right side of at most ``MAX_HOT_PAIRS`` rows."""
+    other = right.select(*[F.col(c).alias(f"_{c}") if c in PAIR else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PAIR]
+    return left.join(F.broadcast(other) if small else other, same[0] & same[1], how).drop(*[f"_{c}" for c in PAIR])
+
+
+def _range_of(close: Column, cuts: Column) -> Column:
+    """How many of the sorted ``cuts`` lie below ``close``, in steps of ``RANGE_STEP``."""
+    below = lambda a: F.size(F.filter(a, lambda x: x < close))
+    coarse = F.filter(cuts, lambda x, i: (i + 1) % RANGE_STEP == 0)
+    skipped = below(coarse) * RANGE_STEP
+    return skipped + below(F.slice(cuts, skipped + 1, RANGE_STEP))
+
+
+def _inside() -> Column:
+    return ((F.col("_lo").isNull() | (F.col("close") > F.col("_lo")))
+            & (F.col("_hi").isNull() | (F.col("close") <= F.col("_hi"))))
+
+
+def _narrowed(prices: DataFrame, state: DataFrame) -> DataFrame:
+    """One round of rank selection over the pairs of ``state`` (pair, _n, _lo, _hi, _below): its
+    interval of closes, cut at quantiles into ranges, is replaced by the ranges that hold the
+    two middle ranks. Only the counts of ranges are summed up in order, never prices."""
+    rows = _join_pairs(prices, state, small=True).filter(_inside())
+    # _c is always positive: naming it lets Spark read the one shuffle of prices again.
+    cuts = rows.groupBy(*PAIR).agg(F.array_distinct(F.percentile_approx(
+        F.when(F.col("_c") > 0, F.col("close")), [i / RANGES for i in range(1, RANGES)], 16 * RANGES)).alias("_cuts"))
+    placed = _join_pairs(rows, cuts, small=True)
+    counts = (placed.groupBy(*PAIR, _range_of(F.col("close"), F.col("_cuts")).alias("_r"))
+              .agg(F.sum("_c").alias("_c")))
+    upto = F.sum("_c").over(Window.partitionBy(*PAIR).orderBy("_r"))
+    at = _join_pairs(_join_pairs(counts.withColumn("_sum", upto), state, small=True), cuts, small=True)
+    before, upto = F.col("_below") + F.col("_sum") - F.col("_c"), F.col("_below") + F.col("_sum")
+    lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
+    middle = at.filter((upto >= lower) & (before < upper)).groupBy(*PAIR).agg(
+        F.max("_n").alias("_n"), F.min(before).alias("_below"),
+        F.min_by(F.coalesce(F.get("_cuts", F.col("_r") - 1), F.col("_lo")), "_r").alias("_lo"),
+        F.max_by(F.coalesce(F.get("_cuts", F.col("_r")), F.col("_hi")), "_r").alias("_hi"))
+    return middle.select(*PAIR, "_n", "_lo", "_hi", "_below")
+
+
+def _hot_pairs(rows: DataFrame, rows_per_range: int) -> DataFrame | None:
+    """Pairs with over ``rows_per_range`` rows and their counts, or None. One count per pair while
+    the query is built; at most the ``MAX_HOT_PAIRS`` largest come to the driver."""
+    sizes = rows.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.filter(F.col("_n") > rows_per_range)
+    found = large.orderBy(F.desc("_n"), *PAIR).limit(MAX_HOT_PAIRS).collect()
+    return rows.sparkSession.createDataFrame(found, large.schema) if found else None
+
+
+def _with_ranks(prices: DataFrame, *part: str) -> DataFrame:
+    """Running counts over the sorted prices of each pair (and further columns ``part``)."""
+    pair = Window.partitionBy(*PAIR, *part)
+    up = pair.orderBy("close").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return prices.withColumn("_upto", F.sum("_c").over(up)).withColumn("_sum", F.sum("_c").over(pair))
+
+
+def _middle(n: Column) -> list[Column]:
+    """The closes at the ranks floor((n + 1) / 2) and floor((n + 2) / 2) of ``_with_ranks``."""
+    at = lambda rank: F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank), F.col("close")))
+    return [at(F.floor((n + 1) / 2)).alias("_lower"), at(F.floor((n + 2) / 2)).alias("_upper")]
+
+
+def _price_stats(rows: DataFrame, rows_per_range: int) -> DataFrame:
+    """Per pair: count, minPrice, maxPrice, avgPrice, the two middle closes ``_lower`` and
+    ``_upper``, and the first and last close by time.
+
+    Closes are counted per (pair, price), which are spread by both, and a pair's prices are
+    sorted for the middle. Where a pair has over ``rows_per_range`` rows, its prices are not sorted:
+    ``RANGE_ROUNDS`` rounds of rank selection find the range that holds the middle, some
+    2 / 256^2 of them, and only that range is; the rest are partial aggregates of the rows.
+    """
+    by_time, close = F.struct("dataTimestamp", "seriesId"), F.col("close")
+    hot = _hot_pairs(rows, rows_per_range)
+    if hot is None:
+        prices = rows.groupBy(*PAIR, "close").agg(
+            F.count(F.lit(1)).alias("_c"), F.try_sum(close.try_cast(EXACT)).alias("_exact"),
+            F.min(by_time).alias("_first"), F.max(by_time).alias("_last"))
+        fits = F.count("_exact") == F.count(F.lit(1))
+        total = F.coalesce(F.when(fits, F.try_sum("_exact").cast("double")), F.sum(close * F.col("_c")))
+        return _with_ranks(prices).groupBy(*PAIR).agg(
+            F.sum("_c").alias("count"), F.min(close).alias("minPrice"), F.max(close).alias("maxPrice"),
+            (total / F.sum("_c")).alias("avgPrice"), *_middle(F.col("_sum")),
+            F.min_by(close, "_first").alias("_earliest"), F.max_by(close, "_last").alias("_latest"))
+    prices = rows.groupBy(*PAIR, "close").agg(F.count(F.lit(1)).alias("_c"))
+    nul = F.lit(None).cast("double")
+    state = hot.select(*PAIR, "_n", nul.alias("_lo"), nul.alias("_hi"), F.lit(0).cast("bigint").alias("_below"))
+    for _ in range(RANGE_ROUNDS):
+        state = _narrowed(prices, state)
+    held = _join_pairs(prices, state, "left", small=True).withColumn("_split", F.col("_n").isNotNull())
+    ranked = _with_ranks(held.filter(~F.col("_split") | _inside()), "_split")
+    ranked = ranked.withColumn("_upto", F.col("_upto") + F.coalesce("_below", F.lit(0)))
+    middle = ranked.groupBy(*PAIR).agg(*_middle(F.coalesce("_n", "_sum")))
+    whole = rows.groupBy(*PAIR).agg(
+        F.count(close).alias("count"), F.min(close).alias("minPrice"), F.max(close).alias("maxPrice"),
+        exact_mean(close).alias("avgPrice"), F.min_by(close, by_time).alias("_earliest"),
+        F.max_by(close, by_time).alias("_latest"))
+    return _join_pairs(whole, middle)
 
 
 def series_stats(series: DataFrame, start=None, end=None, row_cap: int | None = None,
                  order: str = "value", keys: DataFrame | None = None,
-                 median: str = "exact", accuracy: int = 10_000) -> DataFrame:
+                 median: str = "exact", accuracy: int = 10_000,
+                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Count, min, max, mean, true median, first, last, change, % change.
 
     All rows of a pair count unless ``row_cap`` keeps only the newest. ``order="value"``
@@ -125,45 +210,31 @@ def series_stats(series: DataFrame, start=None, end=None, row_cap: int | None =
         raise ValueError("median must be 'exact' or 'approx'")
     if order not in ("value", "time"):
         raise ValueError("order must be 'value' or 'time'")
-    prices = _by_price(_close_rows(series, start, end, row_cap, keys))
-    close, n = F.col("close"), F.col("_n")
-    lower, upper = _at(F.floor((n + 1) / 2)), _at(F.floor((n + 2) / 2))
-    first, last = ((F.min(close), F.max(close)) if order == "value"
-                   else (F.min_by(close, "_first"), F.max_by(close, "_last")))
-    agg = prices.groupBy(*PAIR).agg(
-        F.sum("_c").alias("count"),
-        F.min(close).alias("minPrice"),
-        F.max(close).alias("maxPrice"),
-        (_price_sum() / F.sum("_c")).alias("avgPrice"),
-        (lower * 0.5 + upper * 0.5 if median == "exact"
-         else F.percentile_approx(close, 0.5, accuracy)).alias("medianPrice"),
-        first.alias("firstPrice"),
-        last.alias("lastPrice"),
-    )
+    rows = _close_rows(series, start, end, row_cap, keys)
+    agg = _price_stats(rows, rows_per_range).withColumn("medianPrice", F.col("_lower") * 0.5 + F.col("_upper") * 0.5)
+    if median == "approx":
+        near = rows.groupBy(*PAIR).agg(F.percentile_approx("close", 0.5, accuracy).alias("medianPrice"))
+        agg = _join_pairs(agg.drop("medianPrice"), near)
+    first, last = ("minPrice", "maxPrice") if order == "value" else ("_earliest", "_latest")
+    agg = agg.withColumn("firstPrice", F.col(first)).withColumn("lastPrice", F.col(last))
     change = F.col("lastPrice") - F.col("firstPrice")
     return agg.select(
-        "*", change.alias("priceChange"),
+        *PAIR, "count", "minPrice", "maxPrice", "avgPrice", "medianPrice", "firstPrice", "lastPrice",
+        change.alias("priceChange"),
         F.when(F.col("firstPrice") != 0, change / F.col("firstPrice") * 100)
         .otherwise(F.lit(0.0)).alias("percentChange"))
 
 
 def series_stats_tool(series: DataFrame, start=None, end=None,
-                      row_cap: int | None = None,
-                      keys: DataFrame | None = None) -> DataFrame:
+                      row_cap: int | None = None, keys: DataFrame | None = None,
+                      rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """The tool variant: *upper* median, volatility = max - min."""
-    prices = _by_price(_close_rows(series, start, end, row_cap, keys))
-    close = F.col("close")
-    return prices.groupBy(*PAIR).agg(
-        F.sum("_c").alias("count"),
-        F.min(close).alias("minPrice"),
-        F.max(close).alias("maxPrice"),
-        (_price_sum() / F.sum("_c")).alias("avgPrice"),
-        _at(F.floor((F.col("_n") + 2) / 2)).alias("medianPrice"),
-        F.min(close).alias("firstPrice"),
-        F.max(close).alias("lastPrice"),
-        (F.max(close) - F.min(close)).alias("priceChange"),
-        (F.max(close) - F.min(close)).alias("volatility"),
-    )
+    agg = _price_stats(_close_rows(series, start, end, row_cap, keys), rows_per_range)
+    spread = F.col("maxPrice") - F.col("minPrice")
+    return agg.select(
+        *PAIR, "count", "minPrice", "maxPrice", "avgPrice", F.col("_upper").alias("medianPrice"),
+        F.col("minPrice").alias("firstPrice"), F.col("maxPrice").alias("lastPrice"),
+        spread.alias("priceChange"), spread.alias("volatility"))
 
 
 def _trend_columns(n: Column, recent_sum: Column, older_sum: Column, days: int,
@@ -198,27 +269,25 @@ def trend(series: DataFrame, days: int = 30, row_cap: int | None = None,
         raise ValueError("days must be positive")
     close = F.col("close")
     rows = cap_newest(narrow(series, keys), row_cap)
-    priced = rows.filter(close.isNotNull())
-    # Only a pair's newest `days` closes are ranked (a partial WindowGroupLimit); the sum of
-    # the older ones is that of the rows before the oldest of those.
-    edge = (priced.withColumn("_pos", F.row_number().over(_newest_first()))
-            .filter(F.col("_pos") <= days)
-            .groupBy(*PAIR).agg(F.min(F.struct("dataTimestamp", "seriesId")).alias("_edge"))
-            .select(*[F.col(c).alias(f"_{c}") for c in PAIR], "_edge"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PAIR]
-    recent = F.struct("dataTimestamp", "seriesId") >= F.col("_edge")
-    agg = rows.join(edge, same[0] & same[1], "left").groupBy(*PAIR).agg(
-        F.count(close).alias("_n"),
-        exact_sum(F.when(recent, close)).alias("_recent"),
-        exact_sum(F.when(~recent, close)).alias("_older"),
-        F.max(close).alias("_hi"), F.min(close).alias("_lo"))
-    return agg.select(*PAIR, *_trend_columns(
-        F.col("_n"), F.col("_recent"), F.col("_older"), days, F.col("_hi"), F.col("_lo")))
+    exact = close.try_cast(EXACT)
+
+    def sums(prefix: str) -> list[Column]:
+        fits = F.count(exact) == F.count(close)
+        return [F.count(close).alias(f"{prefix}n"), F.when(fits, F.try_sum(exact)).alias(f"{prefix}exact"),
+                F.sum(close).alias(f"{prefix}sum")]
+
+    # Only a pair's newest `days` closes are ranked (a partial WindowGroupLimit). The older
+    # ones are the whole pair without those: exact decimals, or doubles where a sum does not fit.
+    recent = (rows.filter(close.isNotNull()).withColumn("_pos", F.row_number().over(_newest_first()))
+              .filter(F.col("_pos") <= days).groupBy(*PAIR).agg(*sums("_r_")))
+    whole = rows.groupBy(*PAIR).agg(*sums("_"), F.max(close).alias("_hi"), F.min(close).alias("_lo"))
+    both = _join_pairs(whole, recent, "left")
+    older = F.coalesce(F.try_subtract("_exact", "_r_exact").cast("double"), F.col("_sum") - F.col("_r_sum"))
+    return both.select(*PAIR, *_trend_columns(
+        F.col("_n"), F.coalesce(F.col("_r_exact").cast("double"), F.col("_r_sum")), older, days, F.col("_hi"), F.col("_lo")))
 
 
 def stats_and_trend(series: DataFrame, days: int = 30, keys: DataFrame | None = None) -> DataFrame:
     """O33 (value order) and O35 side by side for every pair that has a close."""
     stats, found = series_stats(series, keys=keys), trend(series, days, keys=keys).drop("count")
-    right = found.select(*[F.col(c).alias(f"_{c}") if c in PAIR else F.col(c) for c in found.columns])
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PAIR]
-    return stats.join(right, same[0] & same[1]).drop(*[f"_{c}" for c in PAIR])
+    return _join_pairs(stats, found)

@@ -169,6 +169,39 @@ def q_trend_capped(spark, sf_dir):
     return ops.trend(driver.series(spark, sf_dir), days=5, row_cap=7)
 
 
-@query("trend_uncapped", _trend_sql(5, "series"))
-def q_trend_uncapped(spark, sf_dir):
-    return ops.trend(driver.series(spark, sf_dir), days=5, row_cap=None)
+def hot(spark, sf_dir):
+    """The series with a third of all rows on one pair, every price of which is different."""
+    s = driver.series(spark, sf_dir)
+    third = F.col("event_id") % 3 == 0
+    return (s.withColumn("instrumentId", F.when(third, "INST_HOT").otherwise(F.col("instrumentId")))
+            .withColumn("dataSourceId", F.when(third, "DS_0").otherwise(F.col("dataSourceId")))
+            .withColumn("close", F.when(third, (F.col("event_id") * 7919 % 1000003).cast("double") / 100).otherwise(F.col("close"))))
+
+
+_HOT_SQL = """
+, hot AS (
+  SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 'INST_HOT' ELSE instrumentId END AS instrumentId,
+                    CASE WHEN event_id % 3 = 0 THEN 'DS_0' ELSE dataSourceId END AS dataSourceId,
+                    CASE WHEN event_id % 3 = 0 THEN CAST(event_id * 7919 % 1000003 AS DOUBLE) / 100 ELSE close END AS close)
+  FROM series)"""
+HOT_ROWS = 40
+
+
+@query("series_stats_hot", with_tables("series") + _HOT_SQL + _STATS_SELECT.format(
+    first="min(close)", last="max(close)", rows="hot"))
+def q_series_stats_hot(spark, sf_dir):
+    """Statistics by rank selection: the hot pair's ranges hold a few prices each."""
+    return ops.series_stats(hot(spark, sf_dir), rows_per_range=HOT_ROWS)
+
+
+@query("series_stats_tool_hot", with_tables("series") + _HOT_SQL + _TOOL_SELECT.format(rows="hot"))
+def q_series_stats_tool_hot(spark, sf_dir):
+    return ops.series_stats_tool(hot(spark, sf_dir), rows_per_range=HOT_ROWS)
+
+
+@query("trend_repeats", _trend_sql(5, "repeats", """
+, repeats AS (SELECT s.* FROM series s, range(4) r(i) WHERE i <= event_id % 4)"""))
+def q_trend_repeats(spark, sf_dir):
+    """Records that arrived up to four times: equal rows at the edge of the newest five."""
+    copies = F.explode(F.sequence(F.lit(0), (F.col("event_id") % 4).cast("int")))
+    return ops.trend(driver.series(spark, sf_dir).withColumn("_copy", copies).drop("_copy"), days=5)
