@@ -7,13 +7,14 @@ Skew
 ----
 Both the version fold and the as-of join need "the previous/next row of the
 same key". A plain ``Window.partitionBy(key)`` would sort a hot key (say a
-third of all changes) inside one task. Instead each key's time range is cut
-into buckets sized from the key's own row count (about ``rows_per_bucket``
-rows each, from a per-key aggregate), and the windows run per (key,
-bucket). An ordinary key is one bucket and needs nothing else. For the few
+third of all changes) inside one task. Instead a hot key's rows are cut into
+buckets by rank (``split_hot``): at quantiles of their times, an instant that
+many rows share being a bucket of its own, which is cut again by sequence number.
+The windows run per (key, bucket). An ordinary key is one bucket and needs
+nothing else. For the few
 hot keys, the values that cross a bucket edge come from one summary row per
-bucket (a partial aggregate over hot keys only, about
-2 x rows / rows_per_bucket rows) carried by a per-key window over those rows. A hot key is spread over as many tasks as its size
+bucket (a partial aggregate over hot keys only) carried by a per-key window over
+those rows. A hot key is spread over as many tasks as its size
 needs, cold rows are shuffled once, and no step emits pairs of rows.
 """
 
@@ -25,37 +26,79 @@ from pyspark.sql import functions as F
 from tickvault.functions.columns import iso_text
 
 ROWS_PER_BUCKET = 1_000_000
-# A key is split only if it holds over 1 / MAX_HOT_KEYS of all rows, so fewer keys than this
-# can ever be hot, however large the table: the proven bound of the broadcast of their sizes.
-MAX_HOT_KEYS = 100_000
-
-
-def key_stats(df: DataFrame, key: str, ts: str) -> list[Column]:
-    """Aggregates that size a key's buckets: row count and time range."""
-    return [F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_t0"), F.max(ts).alias("_t1")]
-
-
-def hot_keys(df: DataFrame, key: str, ts: str, rows_per_bucket: int, *extra: Column) -> DataFrame:
-    """Keys to split over several buckets, with their sizes (``key_stats``) and ``extra``
-    aggregates: those with over ``rows_per_bucket`` rows and over 1 / ``MAX_HOT_KEYS`` of
-    all rows, hence fewer than ``MAX_HOT_KEYS`` keys."""
-    total = df.select(F.count(F.lit(1))).scalar()
-    return (df.groupBy(key).agg(*extra, *key_stats(df, key, ts))
-            .filter((F.col("_n") > rows_per_bucket) & (F.col("_n") * MAX_HOT_KEYS > total)))
-
-
-def time_bucket(ts: Column, rows_per_bucket: int) -> Column:
-    """Order-preserving bucket of ``ts`` within its key, given the key's
-    ``_n``, ``_t0``, ``_t1`` (see ``key_stats``): the key's time range cut
-    into ceil(n / rows_per_bucket) equal spans. Times outside the range fall
-    in buckets before or after it, still in time order."""
-    buckets = F.ceil(F.col("_n") / F.lit(rows_per_bucket))
-    span = F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col("_t1")) + 1
-    offset = F.timestamp_diff("MICROSECOND", F.col("_t0"), ts)
-    # micros x buckets can pass 64 bits, and a double would not keep the order of neighbours
-    scaled = offset.cast("decimal(20,0)") * buckets.cast("decimal(12,0)")
-    return F.when(buckets <= 1, F.lit(0).cast("bigint")).otherwise(
-        F.floor(scaled / span.cast("decimal(20,0)")).cast("bigint"))
+# At most so many keys, the largest, are split: the bound of the broadcasts of their cuts (2 KB a
+# key); any other key holds less than 1 / MAX_HOT_KEYS of all rows. In the same way, a bucket is
+# cut again only if it holds over 1 / MAX_HOT_BUCKETS of the hot rows.
+MAX_HOT_KEYS = 20_000
+MAX_HOT_BUCKETS = 500_000
+# Quantiles of a hot key's times, and the step in which they are searched.
+CUTS, CUT_STEP = 256, 16
+
+
+def hot_keys(df: DataFrame, key: str, rows_per_bucket: int, *extra: Column) -> DataFrame | None:
+    """Keys with over ``rows_per_bucket`` rows, with their row count ``_n`` and ``extra`` aggregates,
+    or None. One count per key while the query is built, so that tables without such a key get
+    a plan without them; at most the ``MAX_HOT_KEYS`` largest come to the driver."""
+    large = df.groupBy(key).agg(*extra, F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_bucket)
+    found = large.orderBy(F.desc("_n"), key).limit(MAX_HOT_KEYS).collect()
+    return df.sparkSession.createDataFrame(found, large.schema) if found else None
+
+
+def _micros(ts: str) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
+
+
+def _below(cuts: Column, value: Column) -> Column:
+    """How many of the sorted ``cuts`` are less than ``value``, searched in steps of ``CUT_STEP``."""
+    count = lambda a: F.size(F.filter(a, lambda x: x < value))
+    skipped = count(F.filter(cuts, lambda x, i: (i + 1) % CUT_STEP == 0)) * CUT_STEP
+    return skipped + count(F.slice(cuts, skipped + 1, CUT_STEP))
+
+
+def split_hot(df: DataFrame, hot: DataFrame | None, key: str, ts: str, seq: str, rows_per_bucket: int,
+              kind: str | None = None) -> DataFrame:
+    """Add ``_hot`` and ``_b``: buckets of about ``rows_per_bucket`` rows of each key of ``hot``
+    (``hot_keys``, whose columns are added too), 0 for other keys and where it is None. Buckets follow the order of
+    (ts, kind, seq): ``kind`` (0 or 1) comes before ``seq`` at one instant, and rows of kind 1
+    have no order among themselves there.
+
+    A key's times are cut at 255 quantiles. Instants at a cut are buckets of their own, so one
+    that many rows share is set apart; then each bucket that is still too large is cut into
+    equal spans: of its times, or at a single instant of its sequence numbers (for kind 1, of
+    hashes). Only rows that agree in all of the order cannot be parted.
+    """
+    if hot is None:
+        return df.withColumn("_hot", F.lit(False)).withColumn("_b", F.lit(0).cast("bigint"))
+    micros = _micros(ts)
+    named = hot.withColumnRenamed(key, "_key")
+    rows = df.join(F.broadcast(named), F.col(key) == F.col("_key"), "left").withColumn("_hot", F.col("_key").isNotNull())
+    cuts = (df.join(F.broadcast(hot.select(key)), key, "left_semi").groupBy(F.col(key).alias("_cutKey"))
+            .agg(F.array_distinct(F.percentile_approx(micros, [i / CUTS for i in range(1, CUTS)], 16 * CUTS)).alias("_cuts")))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(F.broadcast(cuts), F.col(key) == F.col("_cutKey"), "left")
+        below = _below(F.col("_cuts"), micros)
+        instant = F.coalesce(F.get("_cuts", below) == micros, F.lit(False))
+        last = F.lit(0) if kind is None else F.col(kind)
+        order = F.when(~instant, micros).when(last == 0, F.col(seq).try_cast("bigint")).otherwise(
+            F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20)))
+        return (rows.withColumn("_b1", F.coalesce(3 * below + F.when(instant, 1 + last).otherwise(0), F.lit(-1)).cast("bigint"))
+                .withColumn("_o", F.coalesce(order, F.lit(0)).cast("bigint")))
+
+    total = hot.select(F.sum("_n")).scalar()
+    large = (placed(df.join(F.broadcast(hot.select(key)), key, "left_semi"))
+             .groupBy(F.col(key).alias("_bKey"), F.col("_b1").alias("_bb"))
+             .agg(F.count(F.lit(1)).alias("_bn"), F.min("_o").alias("_o0"), F.max("_o").alias("_o1"))
+             .filter((F.col("_bn") > rows_per_bucket) & (F.col("_bn") * MAX_HOT_BUCKETS > total)))
+    rows = placed(rows).join(F.broadcast(large), (F.col(key) == F.col("_bKey")) & (F.col("_b1") == F.col("_bb")), "left")
+    # micros x spans can pass 64 bits, and a double would not keep the order of neighbours
+    wide = lambda c: c.cast("decimal(20,0)")
+    spans = F.ceil(F.col("_bn") / F.lit(rows_per_bucket))
+    span = F.floor((wide(F.col("_o")) - wide(F.col("_o0"))) * spans.cast("decimal(12,0)")
+                   / (wide(F.col("_o1")) - wide(F.col("_o0")) + 1)).cast("bigint")
+    bucket = F.when(F.col("_hot"), F.col("_b1") * F.lit(1 << 40) + F.coalesce(span, F.lit(0).cast("bigint")))
+    return (rows.withColumn("_b", F.coalesce(bucket, F.lit(0).cast("bigint")))
+            .drop("_key", "_cutKey", "_cuts", "_b1", "_o", "_bKey", "_bb", "_bn", "_o0", "_o1", "_n"))
 
 
 def apply_changes(feed: DataFrame, key: str = "instrumentId", ts: str = "ts",
@@ -93,22 +136,19 @@ def apply_changes(feed: DataFrame, key: str = "instrumentId", ts: str = "ts",
         # at or after the key's first register; later registers are no-ops
         return first.isNotNull() & (order_key >= first) & (~is_reg | (order_key == first))
 
-    # Keys large enough to need several buckets -- fewer than MAX_HOT_KEYS of
-    # them -- with their first register and time range, broadcast. Every
+    # Keys large enough to need several buckets -- at most MAX_HOT_KEYS of
+    # them -- with their first register, broadcast. Every
     # other key is one bucket and finds its first register in its own window.
-    hot = hot_keys(feed, key, ts, rows_per_bucket, F.min(F.when(is_reg, order_key)).alias("_hfirst"))
-    base = (feed.join(F.broadcast(hot), key, "left")
-            .withColumn("_hot", F.col("_n").isNotNull())
-            .withColumn("_b", F.coalesce(time_bucket(F.col(ts), rows_per_bucket),
-                                         F.lit(0).cast("bigint")))
-            .drop("_n", "_t0", "_t1")
+    hot = hot_keys(feed, key, rows_per_bucket, F.min(F.when(is_reg, order_key)).alias("_hfirst"))
+    base = (split_hot(feed, hot, key, ts, seq, rows_per_bucket)
             .withColumn("_active", F.col(op) != "delete")
             .withColumn("_rec", F.col(recorded) if recorded else F.col(ts)))
     stamp = F.struct(F.col(ts).alias("t"), F.col("_rec").alias("r"))
 
     whole = Window.partitionBy(key, "_b")
-    first = F.when(F.col("_hot"), F.col("_hfirst")).otherwise(
-        F.min(F.when(is_reg, order_key)).over(whole))
+    first = F.min(F.when(is_reg, order_key)).over(whole)
+    if hot is not None:
+        first = F.when(F.col("_hot"), F.col("_hfirst")).otherwise(first)
     rows = base.withColumn("_first", first).withColumn("_elig", eligible(F.col("_first")))
     on = F.when(F.col("_elig") & F.col("_active"), stamp)
     off = F.when(F.col("_elig") & ~F.col("_active"), stamp)
@@ -124,26 +164,30 @@ def apply_changes(feed: DataFrame, key: str = "instrumentId", ts: str = "ts",
         F.last(on, ignorenulls=True).over(later).alias("_nextOn"),
         F.last(off, ignorenulls=True).over(later).alias("_nextOff"))
 
-    # Hot keys span several buckets. Their buckets are summarised by a partial
-    # aggregate over eligible hot rows (one row per bucket) and the values
-    # crossing bucket edges are carried by a window over them. The rows already
-    # lie by (key, bucket), so joining the carried values moves only those.
-    by_order = F.struct(ts, seq)
-    summary = (base.filter(F.col("_hot") & eligible(F.col("_hfirst")))
-               .groupBy(key, "_b").agg(
-                   F.max_by("_active", by_order).alias("_endState"),
-                   F.min_by(stamp, F.when(F.col("_active"), by_order)).alias("_firstOn"),
-                   F.min_by(stamp, F.when(~F.col("_active"), by_order)).alias("_firstOff")))
-    wb = Window.partitionBy(key).orderBy("_b")
-    wb_later = Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    carry = summary.select(
-        key, "_b",
-        F.lag("_endState").over(wb).alias("_cPrev"),
-        F.last("_firstOn", ignorenulls=True).over(wb_later).alias("_cOn"),
-        F.last("_firstOff", ignorenulls=True).over(wb_later).alias("_cOff"))
-
-    joined = local.join(carry, [key, "_b"], "left")
+    nul = F.lit(None)
+    joined = (local.withColumn("_cPrev", nul.cast("boolean")).withColumn("_cOn", nul.cast(local.schema["_nextOn"].dataType))
+              .withColumn("_cOff", nul.cast(local.schema["_nextOff"].dataType)))
+    if hot is not None:
+        # Hot keys span several buckets. Their buckets are summarised by a partial
+        # aggregate over eligible hot rows (one row per bucket) and the values
+        # crossing bucket edges are carried by a window over them. The rows already
+        # lie by (key, bucket), so joining the carried values moves only those.
+        by_order = F.struct(ts, seq)
+        summary = (base.filter(F.col("_hot") & eligible(F.col("_hfirst")))
+                   .groupBy(key, "_b").agg(
+                       F.max_by("_active", by_order).alias("_endState"),
+                       F.min_by(stamp, F.when(F.col("_active"), by_order)).alias("_firstOn"),
+                       F.min_by(stamp, F.when(~F.col("_active"), by_order)).alias("_firstOff")))
+        wb = Window.partitionBy(key).orderBy("_b")
+        wb_later = Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(
+            Window.unboundedPreceding, -1)
+        carry = summary.select(
+            key, "_b",
+            F.lag("_endState").over(wb).alias("_cPrev"),
+            F.last("_firstOn", ignorenulls=True).over(wb_later).alias("_cOn"),
+            F.last("_firstOff", ignorenulls=True).over(wb_later).alias("_cOff"))
+
+        joined = local.join(carry, [key, "_b"], "left")
     prev = F.coalesce("_prev", "_cPrev")
     kept = joined.filter(F.col("_elig") & (prev.isNull() | (prev != F.col("_active"))))
     ends_at = F.when(F.col("_active"), F.coalesce("_nextOff", "_cOff")).otherwise(
@@ -197,34 +241,25 @@ def as_of(versions: DataFrame, points: DataFrame, key: str = "instrumentId",
     prows = points.select(key, F.col(at).alias("_t"), F.lit(1).alias("_kind"),
                           F.lit(0).cast("long").alias("_seq"),
                           F.lit(None).cast(vtype).alias("_v"), F.struct(*pcols).alias("_p"))
-    # Buckets are sized from the points (the side a hot key makes large).
-    # Only keys with more than `rows_per_bucket` points need more than one
-    # bucket; there are fewer than MAX_HOT_KEYS of them, so their sizes are
-    # broadcast and the big side is not shuffled for it. Times outside a hot
-    # key's point range fall in one bucket before or after it.
-    hot = hot_keys(points, key, at, rows_per_bucket)
-    nb = F.ceil(F.col("_n") / F.lit(rows_per_bucket))
-    rows = (vrows.filter(F.col("_t").isNotNull()).unionByName(prows)
-            .join(F.broadcast(hot), key, "left")
-            .withColumn("_hot", F.col("_n").isNotNull())
-            .withColumn("_b", F.coalesce(
-                F.least(F.greatest(time_bucket(F.col("_t"), rows_per_bucket), F.lit(-1)), nb),
-                F.lit(0).cast("bigint")))
-            .drop("_n", "_t0", "_t1"))
+    # Versions and points of a key count together, and a burst of either at one instant is parted.
+    rows = vrows.filter(F.col("_t").isNotNull()).unionByName(prows)
+    hot = hot_keys(rows, key, rows_per_bucket)
+    rows = split_hot(rows, hot, key, "_t", "_seq", rows_per_bucket, kind="_kind")
     order = ["_t", "_kind", "_seq"]
     w_in = (Window.partitionBy(key, "_b").orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = rows.withColumn("_in", F.last("_v", ignorenulls=True).over(w_in))
-    # hot keys only: each bucket's latest version start (a partial aggregate,
-    # at most nb + 2 rows per hot key), carried to later buckets
-    summary = (rows.filter("_hot").groupBy(key, "_b").agg(
-        F.max_by("_v", F.when(F.col("_kind") == 0, F.struct(*order))).alias("_end")))
-    w_b = (Window.partitionBy(key).orderBy("_b")
-           .rowsBetween(Window.unboundedPreceding, -1))
-    carry = summary.select(key, "_b",
-                           F.last("_end", ignorenulls=True).over(w_b).alias("_carry"))
-    found = (local.filter(F.col("_kind") == 1).join(carry, [key, "_b"], "left")
-             .withColumn("_hit", F.coalesce("_in", "_carry")))
+    found = local.filter(F.col("_kind") == 1).withColumn("_hit", F.col("_in"))
+    if hot is not None:
+        # hot keys only: each bucket's latest version start (a partial aggregate, one row per
+        # bucket), carried to later buckets
+        summary = (rows.filter("_hot").groupBy(key, "_b").agg(
+            F.max_by("_v", F.when(F.col("_kind") == 0, F.struct(*order))).alias("_end")))
+        w_b = (Window.partitionBy(key).orderBy("_b")
+               .rowsBetween(Window.unboundedPreceding, -1))
+        carry = summary.select(key, "_b",
+                               F.last("_end", ignorenulls=True).over(w_b).alias("_carry"))
+        found = found.join(carry, [key, "_b"], "left").withColumn("_hit", F.coalesce("_in", "_carry"))
     valid = F.col("_hit").isNotNull() & (
         F.col("_hit.validTo").isNull() | (F.col("_t") < F.col("_hit.validTo")))
     if how == "inner":

@@ -169,6 +169,12 @@ def q_trend_capped(spark, sf_dir):
     return ops.trend(driver.series(spark, sf_dir), days=5, row_cap=7)
 
 
+@query("trend_uncapped", _trend_sql(5, "scaled", scaled_sql("1")))
+def q_trend_uncapped(spark, sf_dir):
+    """Pairs of hundreds of rows, all of them counted."""
+    return ops.trend(scaled("1")(spark, sf_dir), days=5, row_cap=None)
+
+
 def hot(spark, sf_dir):
     """The series with a third of all rows on one pair, every price of which is different."""
     s = driver.series(spark, sf_dir)

@@ -145,3 +145,38 @@ def q_as_of_hot(spark, sf_dir):
     pts = _burst(events, ts="at").withColumnRenamed("event_id", "pointId")
     found = ops.as_of(spark.read.parquet(path), pts, at="at", how="left", rows_per_bucket=HOT_ROWS)
     return found.select("instrumentId", "pointId", "at", "validFrom", "validTo", "isActive", "op", "event_id")
+
+
+# A third of all changes on one key at one single instant, told apart by event_id alone.
+_INSTANT_SQL = VERSIONS_SQL.replace(
+    "SELECT 'INST_' || CAST(user_id AS VARCHAR) AS instrumentId, ts, event_id",
+    f"SELECT {_HOT_ID} AS instrumentId, CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-10' ELSE ts END AS ts, event_id")
+
+
+def _instant(df, ts="ts"):
+    at_once = F.col("event_id") % 3 == 0
+    return (df.withColumn("instrumentId", F.when(at_once, "INST_0").otherwise(F.col("instrumentId")))
+            .withColumn(ts, F.when(at_once, F.lit("2024-01-10").cast("timestamp_ntz")).otherwise(F.col(ts))))
+
+
+@query("apply_changes_instant", _INSTANT_SQL + "SELECT * FROM versions")
+def q_apply_changes_instant(spark, sf_dir):
+    return ops.apply_changes(_instant(driver.change_feed(spark, sf_dir)), rows_per_bucket=HOT_ROWS)
+
+
+@query("as_of_instant", _INSTANT_SQL + f"""
+, pts AS (SELECT {_HOT_ID} AS instrumentId, event_id AS pointId,
+                 CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-10' ELSE ts END AS at FROM events)
+SELECT p.instrumentId, p.pointId, p.at, v.validFrom, v.validTo, v.isActive, v.op, v.event_id
+FROM pts p LEFT JOIN versions v ON v.instrumentId = p.instrumentId
+ AND v.validFrom <= p.at AND (v.validTo IS NULL OR p.at < v.validTo)""")
+def q_as_of_instant(spark, sf_dir):
+    """Points and versions of one key at one instant; points before any version kept."""
+    path = scratch_path(spark, "versions-instant")
+    q_apply_changes_instant(spark, sf_dir).write.parquet(path)
+    events = driver.read_table(spark, sf_dir, "events").select(
+        F.concat(F.lit("INST_"), F.col("user_id").cast("string")).alias("instrumentId"),
+        "event_id", F.col("ts").cast("timestamp_ntz").alias("at"))
+    pts = _instant(events, ts="at").withColumnRenamed("event_id", "pointId")
+    found = ops.as_of(spark.read.parquet(path), pts, at="at", how="left", rows_per_bucket=HOT_ROWS)
+    return found.select("instrumentId", "pointId", "at", "validFrom", "validTo", "isActive", "op", "event_id")
