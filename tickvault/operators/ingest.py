@@ -7,12 +7,15 @@ aggregates) and the anti joins against what already exists.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickvault.functions.columns import (
     iso_text, join_null_safe, normalise_timestamp, parse_iso_utc, split_indicators, surrogate_key)
+from tickvault.operators.commits import publish, published
 from tickvault.schemas import INDICATORS, SERIES, conform
 
 REQUIRED_SERIES = ("instrumentId", "dataSourceId", "dataTimestamp", "indicators")
@@ -227,11 +230,10 @@ def add_holdings(df: DataFrame, natural_key: list[str] | None = None) -> DataFra
                       "acquiredDate")
 
 
-def append_series(valid: DataFrame, path: str) -> int:
-    """Append rows to the series table, partitioned by month and sorted
-    within files by (instrument, source, time) so Parquet min/max statistics
-    prune range scans. Returns the number of rows written (an observed
-    metric of the write itself, no second pass)."""
+def _write_series(valid: DataFrame, path: str, mode: str) -> int:
+    """Write rows of the series layout, partitioned by month and sorted within files by
+    (instrument, source, time), so that Parquet min/max statistics prune range scans. Returns
+    their number (an observed metric of the write itself, no second pass)."""
     from pyspark.sql import Observation
     obs = Observation("append_series")
     rows = (conform(valid, SERIES, keep_extra=True)
@@ -243,10 +245,39 @@ def append_series(valid: DataFrame, path: str) -> int:
     order = ["ts_month", "instrumentId", "dataSourceId", "dataTimestamp"]
     (rows.repartitionByRange(*order).sortWithinPartitions(*order)
      .observe(obs, F.count(F.lit(1)).alias("rows"))
-     .write.mode("append").partitionBy("ts_month").parquet(path))
+     .write.mode(mode).partitionBy("ts_month").parquet(path))
     return int(obs.get.get("rows", 0))
 
 
+def append_series(valid: DataFrame, path: str, load_id: str | None = None) -> int:
+    """Append rows to the series table; returns the number of rows written.
+
+    With ``load_id`` (letters, digits, ``-`` and ``_``) the rows go to a folder of that load, which is
+    published when they are all there: a load that failed is written anew, one that is
+    published already is not written again (its number is returned), and ``read_series`` sees
+    each load once. Without it rows are appended as they are, and a retry repeats them.
+    """
+    if load_id is None:
+        return _write_series(valid, path, "append")
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", load_id):
+        raise ValueError("load_id must be letters, digits, - and _")
+    spark = valid.sparkSession
+    held = published(spark, path, f"load-{load_id}")
+    if held:
+        return held[f"load-{load_id}"]["rows"]
+    rows = _write_series(valid, f"{path}/load=load-{load_id}", "overwrite")
+    return publish(spark, path, f"load-{load_id}", rows=rows)["rows"]
+
+
+def read_series(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all published loads of a series table, read from their folders alone, with the
+    columns ``load`` and ``ts_month``. Fails where nothing is published."""
+    loads = [name for name, facts in published(spark, path).items() if facts["rows"]]
+    if not loads:
+        raise ValueError(f"no published load with rows under {path}")
+    return spark.read.option("basePath", path).parquet(*[f"{path}/load={name}" for name in sorted(loads)])
+
+
 def _iso_everywhere(field: T.StructField, col: Column) -> Column:
     dt = field.dataType
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):

@@ -124,6 +124,19 @@ def q_append_series(spark, sf_dir):
                        "event_id")
 
 
+@query("append_series_twice", ORACLES["validate_series"])
+def q_append_series_twice(spark, sf_dir):
+    """Two loads, each appended twice as by a retried job: every row is there once."""
+    valid, _ = iq._validated(spark, sf_dir)
+    path = scratch_path(spark, "series-loads")
+    half = F.col("event_id") % 2 == 0
+    for name, rows in [("even", valid.filter(half)), ("odd", valid.filter(~half))] * 2:
+        ops.append_series(rows, path, load_id=name)
+    return ops.read_series(spark, path).select(
+        "seriesId", "instrumentId", "dataSourceId", "dataTimestamp", "close",
+        F.col("extras")["k"].alias("k"), "dataQuality", "ts_defaulted", "event_id")
+
+
 # ---------------------------------------------------------------- O15 --------
 
 def _iso_sql(c: str) -> str:
@@ -180,3 +193,24 @@ def q_stream_latest_price(spark, sf_dir):
     q.awaitTermination()
     cur = streams.current_latest(spark, f"{base}/out")
     return cur.select(*series_ops.PAIR, "seriesId", "dataTimestamp", "close", "dataQuality")
+
+
+@query("stream_latest_compacted", ORACLES["latest_price"])
+def q_stream_latest_compacted(spark, sf_dir):
+    """The same through two snapshots, with batches that land after the list of batches was
+    taken and before the data is read."""
+    base = scratch_path(spark, "stream-compacted")
+    rows = driver.series(spark, sf_dir).select(*streams.SERIES_ROW.fieldNames())
+
+    def arrive(part):
+        rows.filter(F.pmod(F.xxhash64("seriesId"), F.lit(3)) == part).coalesce(2).write.mode("append").parquet(f"{base}/in")
+        streams.stream_latest_price(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", max_files_per_trigger=1).awaitTermination()
+
+    arrive(0)
+    first = streams.compact_latest(spark, f"{base}/out", f"{base}/snap-1")
+    arrive(1)
+    upto = streams.published_upto(spark, f"{base}/out")
+    arrive(2)
+    second = streams.compact_latest(spark, f"{base}/out", f"{base}/snap-2", previous=first, upto=upto)
+    cur = streams.current_latest(spark, f"{base}/out", snapshot=second)
+    return cur.select(*series_ops.PAIR, "seriesId", "dataTimestamp", "close", "dataQuality")

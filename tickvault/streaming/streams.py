@@ -5,6 +5,10 @@ partition of their output (dynamic partition overwrite). A micro-batch that
 is replayed after a failure rewrites exactly its own partition, so the
 output is the same as if it had run once; with the checkpoint in the shared
 checkpoint folder a restarted query resumes where it stopped.
+
+A batch counts once its record is in the output's log (``operators.commits``), written after
+its data. Readers and the compaction take the list of batches from the log once and read
+those only. The log also keeps the time a batch first began, which a replay takes again.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tickvault.operators import ingest, lineage
+from tickvault.operators.commits import publish, published
 from tickvault.operators.series import PAIR
 from tickvault.schemas import RAW_SERIES_RECORD
 
@@ -45,10 +50,12 @@ def stream_ingest_series(spark: SparkSession, input_dir: str, out_dir: str, chec
 
     Each micro-batch is validated (O05/O06); valid rows, rejects (with the
     reason) and one lineage row per accepted record (O13, hash of the raw
-    record's own fields) go to ``out_dir/{valid,rejects,lineage}``.
+    record's own fields) go to ``out_dir/{valid,rejects,lineage}``; the batch is published in
+    ``out_dir`` once all three are there.
     A line that is no JSON record is rejected with its text in ``_corrupt_record``.
     Duplicates are kept, as in the reference. ``batch_ts`` (the fallback
-    time for unparsable timestamps) defaults to the batch's start time.
+    time for unparsable timestamps) defaults to the time at which the batch was first begun, as
+    the log keeps it, so a replay gives the same rows.
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -57,7 +64,11 @@ def stream_ingest_series(spark: SparkSession, input_dir: str, out_dir: str, chec
     payload_cols = sorted(c for c in schema.fieldNames() if c not in ("event_id", "_corrupt_record"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        when = batch_ts if batch_ts is not None else F.current_timestamp()
+        spark = batch.sparkSession
+        when = batch_ts
+        if when is None:
+            now = spark.sql("select date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss.SSSSSS')").first()[0]
+            when = publish(spark, out_dir, f"begun-{batch_id}", time=now)["time"]
         hashed = batch.withColumn("_rawHash", lineage.payload_hash(payload_cols))
         valid, rejects = ingest.validate_series(hashed, when, key_cols=key_cols)
         valid = valid.persist()
@@ -69,9 +80,10 @@ def stream_ingest_series(spark: SparkSession, input_dir: str, out_dir: str, chec
             prov = lineage.record_provenance(
                 valid, payload=payload_cols, raw_hash=F.col("_rawHash"),
                 source_type="time_series_data",
-                method="api_post", ingest_time=F.lit(when) if batch_ts is not None else when,
+                method="api_post", ingest_time=F.lit(when),
                 id_cols=["seriesId"], transformation_logic=logic)
             _write_batch(prov, f"{out_dir}/lineage", batch_id)
+            publish(spark, out_dir, f"batch-{batch_id}", batch=batch_id)
         finally:
             valid.unpersist()
 
@@ -102,6 +114,7 @@ def stream_latest_price(spark: SparkSession, input_dir: str, out_dir: str, check
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         _write_batch(batch, out_dir, batch_id)
+        publish(batch.sparkSession, out_dir, f"batch-{batch_id}", batch=batch_id)
 
     writer = (latest.writeStream.outputMode("update").foreachBatch(per_batch)
               .option("checkpointLocation", checkpoint))
@@ -109,31 +122,41 @@ def stream_latest_price(spark: SparkSession, input_dir: str, out_dir: str, check
     return writer.start()
 
 
-def current_latest(spark: SparkSession, out_dir: str, snapshot: str | None = None) -> DataFrame:
+def published_upto(spark: SparkSession, out_dir: str) -> int:
+    """The last published batch of a stream, -1 before the first. Batches follow each other, so
+    all up to it are published too."""
+    return max((facts["batch"] for facts in published(spark, out_dir).values() if "batch" in facts), default=-1)
+
+
+def current_latest(spark: SparkSession, out_dir: str, snapshot: str | None = None,
+                   upto: int | None = None) -> DataFrame:
     """Current latest price per pair: the row from the newest batch.
 
-    With ``snapshot`` (written by ``compact_latest``), only batches after the
+    Batches are those published when this is called, or up to ``upto``. With ``snapshot``
+    (written by ``compact_latest``), only batches after the
     snapshot's last batch are read (partition pruning on ``batch_id``) and
     combined with it, so the read does not grow with the stream's age.
     """
-    batches = spark.read.parquet(out_dir)
+    upto = published_upto(spark, out_dir) if upto is None else upto
+    batches = spark.read.parquet(out_dir).filter(F.col("batch_id") <= upto)
     if snapshot is not None:
         snap = spark.read.parquet(snapshot)
-        upto = snap.agg(F.max("batch_id")).first()[0]
-        if upto is not None:
-            batches = batches.filter(F.col("batch_id") > upto).unionByName(snap)
+        covered = snap.agg(F.max("batch_id")).first()[0]
+        if covered is not None:
+            batches = batches.filter(F.col("batch_id") > covered).unionByName(snap)
     return (batches.groupBy(*PAIR).agg(F.max_by("latest", "batch_id").alias("latest"))
             .select(*PAIR, "latest.*"))
 
 
 def compact_latest(spark: SparkSession, out_dir: str, snapshot: str,
-                   previous: str | None = None) -> str:
-    """Fold every batch written so far (and a previous snapshot) into a new
-    snapshot folder: one row per pair, tagged with the last batch it covers.
-    Batch folders are left in place; readers given the snapshot skip them."""
-    cur = (current_latest(spark, out_dir, previous)
-           .select(*PAIR, F.struct(*[c for c in SERIES_ROW.fieldNames() if c not in PAIR])
-                   .alias("latest")))
-    upto = spark.read.parquet(out_dir).agg(F.max("batch_id")).first()[0]
-    cur.withColumn("batch_id", F.lit(upto).cast("int")).write.parquet(snapshot)
+                   previous: str | None = None, upto: int | None = None) -> str:
+    """Fold every batch published so far, or up to ``upto`` (and a previous snapshot) into a new
+    snapshot folder: one row per pair, tagged with the last batch it covers. The last batch
+    is asked for once, before any data is read, so a batch that lands meanwhile is in
+    neither the rows nor the tag. Batch folders are left in place; readers given the
+    snapshot skip them."""
+    upto = published_upto(spark, out_dir) if upto is None else upto
+    cur = current_latest(spark, out_dir, previous, upto)
+    latest = F.struct(*[c for c in cur.columns if c not in PAIR]).alias("latest")
+    cur.select(*PAIR, latest, F.lit(upto).cast("int").alias("batch_id")).write.parquet(snapshot)
     return snapshot
