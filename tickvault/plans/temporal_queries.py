@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickvault.operators import temporal as ops
+from tickvault.operators import version_store
 from tickvault.plans.oracle import with_tables
 from tickvault.plans.registry import query
 from tickvault.session import scratch_path
@@ -180,3 +181,13 @@ def q_as_of_instant(spark, sf_dir):
     pts = _instant(events, ts="at").withColumnRenamed("event_id", "pointId")
     found = ops.as_of(spark.read.parquet(path), pts, at="at", how="left", rows_per_bucket=HOT_ROWS)
     return found.select("instrumentId", "pointId", "at", "validFrom", "validTo", "isActive", "op", "event_id")
+
+
+@query("apply_changes_incremental", VERSIONS_SQL + "SELECT * FROM versions")
+def q_apply_changes_incremental(spark, sf_dir):
+    """Three batches merged into a stored version table, the later ones full of late changes; the
+    second is merged twice, as by a retried job."""
+    feed, root = driver.change_feed(spark, sf_dir), scratch_path(spark, "version-store")
+    for name, part in (("a", 1), ("b", 0), ("b", 0), ("c", 2)):
+        version_store.merge_changes(feed.filter(F.col("event_id") % 3 == part), root, name, buckets=8)
+    return version_store.read_versions(spark, root)
