@@ -8,7 +8,8 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 FILE_BACKED = {"scan_vendor_csv", "scan_vendor_feeds", "as_of_hot", "append_series", "export_documents", "stream_ingest_series",
-               "stream_latest_price", "as_of", "as_of_bitemporal"}
+               "stream_latest_price", "as_of", "as_of_bitemporal", "as_of_instant", "append_series_twice",
+               "stream_latest_compacted", "apply_changes_incremental", "validate_series_copies", "add_holdings_rows"}
 
 
 def _plan(spark, name):
@@ -48,3 +49,11 @@ def test_aggregates_are_partial(spark):
 def test_statistics_hold_no_pair_in_a_buffer(spark):
     for name in ("series_stats", "series_stats_tool", "instrument_scorecard"):
         assert not re.search(r"median\(|percentile", _plan(spark, name)), name
+
+
+@pytest.mark.parametrize("name", ["series_stats_hot", "series_stats_tool_hot"])
+def test_no_window_sorts_the_prices_of_a_hot_pair(spark, name):
+    plan = _plan(spark, name)
+    windows = re.findall(r"Window \[.*?\], \[(.*?)\], \[(.*?)\]", plan)
+    by_price = [part for part, order in windows if "close" in order]
+    assert by_price and all("_split" in part for part in by_price)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickvault.operators import catalog, ingest, lineage, resolve, series, temporal
+from tickvault.session import scratch_path
 from tickvault.sources import vendor
 
 T0 = dt.datetime(2024, 1, 1)
@@ -551,22 +552,110 @@ def test_resolver_starts_no_job_while_built(spark):
     assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("build")) == []
 
 
+def _buckets(spark, rows):
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, seq long")
+    out = temporal.split_hot(df, temporal.hot_keys(df, "k", 10), "k", "ts", "seq", 10).collect()
+    held = {}
+    for r in sorted(out, key=lambda r: (r.ts, r.seq)):
+        held.setdefault(r._b, []).append(r)
+    assert list(held) == sorted(held)  # buckets follow the order of (ts, seq)
+    return held
+
+
 def test_hot_burst_within_a_second_is_split(spark):
     t = T0 + dt.timedelta(hours=1)
-    rows = [("H", t + dt.timedelta(microseconds=i), i) for i in range(1000)]
-    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, seq long")
-    hot = temporal.hot_keys(df, "k", "ts", 10)
-    sizes = (df.join(hot, "k").withColumn("b", temporal.time_bucket(F.col("ts"), 10))
-             .groupBy("b").count().collect())
-    assert len(sizes) == 100 and max(r["count"] for r in sizes) == 10
+    held = _buckets(spark, [("H", t + dt.timedelta(microseconds=i), i) for i in range(1000)])
+    assert len(held) >= 100 and max(map(len, held.values())) <= 10
+
 
+def test_changes_at_one_instant_are_split(spark):
+    held = _buckets(spark, [("H", T0, i) for i in range(1000)] + [("H", T0 + dt.timedelta(days=i), i) for i in range(1, 30)])
+    at_once = {b: rows for b, rows in held.items() if rows[0].ts == T0}
+    assert len(at_once) == 100 and max(map(len, at_once.values())) == 10
 
-def test_hot_keys_are_bounded_by_their_share_of_all_rows(spark, monkeypatch):
+
+def test_dense_half_of_a_wide_time_range_is_split(spark):
+    rows = [("H", T0 + dt.timedelta(days=i), i) for i in range(500)]
+    rows += [("H", T0 + dt.timedelta(days=90, microseconds=i), i) for i in range(500)]
+    assert max(map(len, _buckets(spark, rows).values())) <= 20
+
+
+def test_the_largest_keys_are_split_up_to_their_bound(spark, monkeypatch):
     df = spark.createDataFrame([("A" if i < 60 else f"K{i % 8}", T0, i) for i in range(100)],
                                "k string, ts timestamp_ntz, seq long")
-    assert temporal.hot_keys(df, "k", "ts", 1).count() == 9
-    monkeypatch.setattr(temporal, "MAX_HOT_KEYS", 3)
-    assert [r.k for r in temporal.hot_keys(df, "k", "ts", 1).collect()] == ["A"]
+    assert temporal.hot_keys(df, "k", 1).count() == 9
+    monkeypatch.setattr(temporal, "MAX_HOT_KEYS", 1)
+    assert [r.k for r in temporal.hot_keys(df, "k", 1).collect()] == ["A"]
+    assert temporal.hot_keys(df, "k", 60) is None
+
+
+def test_trend_counts_equal_records_once_each(spark):
+    rows = [("I", "S", T0, "old", 10.0)] + [("I", "S", T0 + dt.timedelta(days=1), "same", 10.0)] * 3
+    df = spark.createDataFrame(rows, "instrumentId string, dataSourceId string, dataTimestamp timestamp_ntz, seriesId string, close double")
+    r = _one(series.trend(df, days=2))
+    assert (r["count"], r.recentAvg, r.olderAvg, r.trend, r.changePercent) == (4, 10.0, 10.0, "stable", 0.0)
+
+
+@pytest.mark.parametrize("n", [2, 999])
+def test_rank_selection_finds_both_medians(spark, n):
+    import random
+    import statistics
+    prices = [round(random.Random(n).gauss(0, 1) ** 3, 6) for _ in range(n)]
+    prices += prices[: n // 3] + [prices[0]] * (n // 2)  # one price holds a third of the rows
+    rows = [("H", "S", T0, f"s{i}", p) for i, p in enumerate(prices)] + [(None, "S", T0, f"c{i}", float(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "instrumentId string, dataSourceId string, dataTimestamp timestamp_ntz, seriesId string, close double")
+    for per_range in (10, 10 ** 6):
+        got = {r.instrumentId: r for r in series.series_stats(df, rows_per_range=per_range).collect()}
+        assert got["H"].medianPrice == statistics.median(prices) and got[None].medianPrice == 1.0
+        tool = {r.instrumentId: r for r in series.series_stats_tool(df, rows_per_range=per_range).collect()}
+        assert tool["H"].medianPrice == statistics.median_high(prices)
+
+
+def test_append_by_load_is_seen_once_and_only_when_published(spark):
+    from tickvault.operators.commits import published
+    path = scratch_path(spark, "t-loads")
+    row = spark.createDataFrame([("s", "I", "S", T0, 1.0)], "seriesId string, instrumentId string, dataSourceId string, dataTimestamp timestamp_ntz, close double")
+    assert [ingest.append_series(row, path, "a"), ingest.append_series(row, path, "a")] == [1, 1]
+    ingest._write_series(row, f"{path}/load=load-b", "overwrite")  # a load that failed before it was published
+    assert ingest.read_series(spark, path).count() == 1 and set(published(spark, path)) == {"load-a"}
+    assert ingest.append_series(row, path, "b") == 1 and ingest.read_series(spark, path).count() == 2
+    assert ingest.append_series(row.limit(0), path, "none") == 0 and ingest.read_series(spark, path).count() == 2
+    with pytest.raises(ValueError):
+        ingest.append_series(row, path, "../x")
+
+
+def test_merged_batches_equal_the_fold_and_leave_other_buckets_alone(spark):
+    import random
+    from tickvault.operators import version_store
+    rnd, root = random.Random(5), scratch_path(spark, "t-store")
+    rows = [(f"K{rnd.randrange(6)}", T0 + dt.timedelta(hours=rnd.randrange(12)), i,
+             rnd.choice(["register", "delete", "restore"])) for i in range(240)]
+    rnd.shuffle(rows)
+    schema = "instrumentId string, ts timestamp_ntz, event_id long, op string"
+    feed = spark.createDataFrame(rows, schema)
+    parts = [rows[:100], [], rows[100:180], [r for r in rows[180:] if r[0] == "K1"], [r for r in rows[180:] if r[0] != "K1"]]
+    for i, part in enumerate(parts):
+        before = set(version_store.read_versions(spark, root).inputFiles()) if i else set()
+        version_store.merge_changes(spark.createDataFrame(part, schema), root, f"b{i}", buckets=4)
+        after = set(version_store.read_versions(spark, root).inputFiles())
+        if i == 1:
+            assert after == before
+        if i == 3:  # one key: the files of the other buckets stay
+            assert len({f.split("bucket=")[1][0] for f in after - before}) == 1 and before & after
+    want = temporal.apply_changes(feed)
+    got = version_store.read_versions(spark, root).select(*want.columns)
+    key = lambda r: (r.instrumentId, r.validFrom, r.event_id)
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+
+
+def test_row_identity_tells_copies_apart_without_a_shuffle(spark):
+    path = scratch_path(spark, "t-rows")
+    spark.createDataFrame([("P", "I", 1.0, 2.0, T0)] * 5, "portfolioId string, instrumentId string, quantity double, averageCost double, "
+                          "acquiredDate timestamp_ntz").coalesce(1).write.parquet(path)
+    out = ingest.add_holdings(ingest.with_row_identity(spark.read.parquet(path)), row_id="rowId")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 1 and "ExistingRDD" not in plan
+    assert len({r.holdingId for r in out.collect()}) == 5
 
 
 def test_open_indicators_are_split_and_malformed_lines_kept(spark, tmp_path):

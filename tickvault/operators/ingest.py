@@ -18,6 +18,7 @@ from tickvault.functions.columns import (
 from tickvault.operators.commits import publish, published
 from tickvault.schemas import INDICATORS, SERIES, conform
 
+# The fields a record of each kind must have.
 REQUIRED_SERIES = ("instrumentId", "dataSourceId", "dataTimestamp", "indicators")
 
 
@@ -31,8 +32,16 @@ def normalise_timestamps(df: DataFrame, text_col: str, batch_ts, out_col: str =
             .withColumn("ts_defaulted", parsed.isNull()))
 
 
+def with_row_identity(files: DataFrame, out_col: str = "rowId") -> DataFrame:
+    """Add the identity of each row of Parquet files as read: file and row number in it. Equal rows
+    differ in it, and reading the same files again gives the same values, without a
+    shuffle or a stored numbering. To be called on the reader's own DataFrame."""
+    place = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string"))
+    return files.withColumn(out_col, place)
+
+
 def validate_series(raw: DataFrame, batch_ts, key_cols: list[str] | None = None,
-                    data_quality: str = "verified") -> tuple[DataFrame, DataFrame]:
+                    data_quality: str = "verified", row_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Split raw series records into (valid, rejects).
 
     ``raw`` columns: instrumentId, dataSourceId, dataTimestamp (text),
@@ -43,7 +52,9 @@ def validate_series(raw: DataFrame, batch_ts, key_cols: list[str] | None = None,
     with a ``_corrupt_record`` column, its rows are rejected as malformed. The timestamp is normalised (O05; unparsable text
     falls back to the batch time, flagged). Valid rows come out in the
     ``series`` layout with a content-derived ``seriesId`` built from
-    ``key_cols`` (default: instrument, source, timestamp text and indicators).
+    ``key_cols`` (default: instrument, source, timestamp text and indicators). Equal records
+    have equal ids, unless ``row_id`` names a column that tells rows apart
+    (``with_row_identity``), which then is part of the key.
     """
     as_text = isinstance(raw.schema["indicators"].dataType, T.StringType)
     if as_text:
@@ -74,6 +85,7 @@ def validate_series(raw: DataFrame, batch_ts, key_cols: list[str] | None = None,
     keys = key_cols or ["instrumentId", "dataSourceId", "dataTimestamp",
                         F.array_sort(F.map_entries("_num")).alias("indicators"),
                         *([F.array_sort(F.map_entries("_txt")).alias("texts")] if as_text else [])]
+    keys = [*keys, *([row_id] if row_id else [])]
     known = F.map_filter(ind, lambda k, v: ~k.isin(*INDICATORS))
     quality = (F.coalesce(F.col("dataQuality"), F.lit(data_quality))
                if "dataQuality" in raw.columns else F.lit(data_quality))
@@ -154,6 +166,7 @@ def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.groupBy(key).agg(first.alias("_f")).select(key, "_f.*")
 
 
+# Fixed values.
 INSTRUMENT_FIELDS = ("symbol", "name", "description", "instrumentClass", "region", "currency")
 
 
@@ -172,6 +185,7 @@ def register_instruments(new: DataFrame, existing: DataFrame, order: list[str],
                       ts.alias("validFrom"), ts.alias("createdAt"))
 
 
+# Fixed values.
 SOURCE_FIELDS = ("providerName", "providerType", "apiEndpoint", "description")
 
 
@@ -221,11 +235,12 @@ def add_portfolios(df: DataFrame, created_at=None) -> DataFrame:
                       ts.alias("createdAt"))
 
 
-def add_holdings(df: DataFrame, natural_key: list[str] | None = None) -> DataFrame:
-    """Holdings with content-derived ids; repeats get an ordinal."""
+def add_holdings(df: DataFrame, natural_key: list[str] | None = None, row_id: str | None = None) -> DataFrame:
+    """Holdings with content-derived ids. Repeated holdings get ids of their own: from the
+    column ``row_id`` where it is named (``with_row_identity``; no shuffle), else by an ordinal."""
     key = natural_key or ["portfolioId", "instrumentId", "quantity", "averageCost",
                           "acquiredDate"]
-    out = assign_keys(df, "HOLD_", key, "holdingId", ordinal=True)
+    out = assign_keys(df, "HOLD_", [*key, row_id] if row_id else key, "holdingId", ordinal=row_id is None)
     return out.select("holdingId", "portfolioId", "instrumentId", "quantity", "averageCost",
                       "acquiredDate")
 

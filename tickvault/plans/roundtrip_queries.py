@@ -137,6 +137,51 @@ def q_append_series_twice(spark, sf_dir):
         F.col("extras")["k"].alias("k"), "dataQuality", "ts_defaulted", "event_id")
 
 
+# ---------------------------------------------------------------- O06 / O14 --
+
+def _copies(df, n):
+    """Rows repeated up to ``n`` times, written as a vendor's files."""
+    path = scratch_path(df.sparkSession, "copies")
+    times = F.sequence(F.lit(0), (F.col("event_id") % n).cast("int"))
+    df.withColumn("_copy", F.explode(times)).drop("_copy", "event_id").write.parquet(path)
+    return path
+
+
+@query("validate_series_copies", """
+SELECT 'INST_' || CAST(user_id AS VARCHAR) AS instrumentId, count(*) AS rows, count(*) AS ids, count(*) AS same
+FROM events, range(4) r(i) WHERE i <= event_id % 4 GROUP BY user_id""")
+def q_validate_series_copies(spark, sf_dir):
+    """Equal records in files: ids by instrument, and those that a second reading gives again."""
+    ev = driver.read_table(spark, sf_dir, "events")
+    path = _copies(ev.select(
+        "event_id", F.concat(F.lit("INST_"), F.col("user_id").cast("string")).alias("instrumentId"),
+        F.lit("DS_1").alias("dataSourceId"), F.date_format("ts", iq.ISO_FRAC).alias("dataTimestamp"),
+        F.create_map(F.lit("close"), F.col("value")).alias("indicators")), 4)
+
+    def ids(name):
+        raw = ops.with_row_identity(spark.read.parquet(path))
+        return ops.validate_series(raw, iq.BATCH_TS, row_id="rowId")[0].select("instrumentId", F.col("seriesId").alias(name))
+
+    once, again = ids("first"), ids("second").drop("instrumentId")
+    both = once.join(again, F.col("first") == F.col("second"), "left")
+    return both.groupBy("instrumentId").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("first").alias("ids"), F.count("second").alias("same"))
+
+
+@query("add_holdings_rows", """
+SELECT 'PORT_' || CAST(l_suppkey AS VARCHAR) AS portfolioId, count(*) AS holdings, count(*) AS ids
+FROM lineitem, range(3) r(i) WHERE i <= l_linenumber % 3 GROUP BY l_suppkey""")
+def q_add_holdings_rows(spark, sf_dir):
+    """Holdings read from files with repeated rows, told apart by file and row number."""
+    li = driver.read_table(spark, sf_dir, "lineitem")
+    path = _copies(li.select(
+        F.col("l_linenumber").alias("event_id"), F.concat(F.lit("PORT_"), F.col("l_suppkey").cast("string")).alias("portfolioId"),
+        F.concat(F.lit("INST_"), F.col("l_partkey").cast("string")).alias("instrumentId"), F.col("l_quantity").alias("quantity"),
+        F.lit(None).cast("double").alias("averageCost"), F.col("l_shipdate").alias("acquiredDate")), 3)
+    out = ops.add_holdings(ops.with_row_identity(spark.read.parquet(path)), row_id="rowId")
+    return out.groupBy("portfolioId").agg(F.count(F.lit(1)).alias("holdings"), F.countDistinct("holdingId").alias("ids"))
+
+
 # ---------------------------------------------------------------- O15 --------
 
 def _iso_sql(c: str) -> str:

@@ -36,9 +36,9 @@ class Feed:
 # The column names of the known vendor files and the indicator each one fills.
 EQUITIES_COLUMNS = (("open", "open"), ("high", "high"), ("low", "low"), ("close", "close"),
                     ("volume", "volume"), ("adj. open", "open"), ("adj. close", "close"))
-GOLD_COLUMNS = (("usdm", "close"), ("usdpm", "open"), ("usdpm - pm high", "high"),
+GOLD_COLUMNS = (("usdm", "close"), ("usd (pm)", "close"), ("usdpm", "open"), ("usdpm - pm high", "high"),
                 ("usdpm - pm low", "low"))
-SILVER_COLUMNS = (("usdm", "close"),)
+SILVER_COLUMNS = (("usdm", "close"), ("usd (pm)", "close"))
 CRYPTO_COLUMNS = (("last", "close"), ("high", "high"), ("low", "low"), ("bid", "open"),
                   ("volume", "volume"))
 YIELD_COLUMNS = (("value", "close"),)
@@ -201,6 +201,7 @@ def normalise_history_frame(wide: DataFrame, date_col: str = "Date") -> DataFram
           (date_col, "Open", "High", "Low", "Close", "Volume", "Dividends", "Stock Splits")]))
 
 
+# Keys of a record that are no extra indicators.
 EXTERNAL_RESERVED = ("open", "close", "high", "low", "volume", "timestamp", "instrumentId",
                      "dataSourceId", "symbol", "id")
 
