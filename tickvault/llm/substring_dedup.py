@@ -23,6 +23,7 @@ the string's own hash, so that all owners share the work of that anchor.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,8 +127,9 @@ class Block:
             mine = owners == owner
             yield int(owner), values[mine], several[mine], runs[mine]
 
-    def stretches(self, owner_bits: int, repeated: dict[int, tuple]) -> Iterator[tuple[int, list[bytes], list[int], dict]]:
-        """(owner, distinct stretches in order, least doc_id of each, rows of ``places`` by stretch).
+    def stretches(self, owner_bits: int, repeated: dict[int, tuple]) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+        """(owner, distinct stretches in order, their rows of ``places`` one stretch after the other,
+        how many rows each has).
 
         A string of a hot anchor is a stretch of its own.
         """
@@ -177,7 +179,9 @@ class Block:
                 of.setdefault(bytes(raw[a:a + self.length]), []).append(r)
             if of:
                 keys = sorted(of)
-                yield owner, keys, [min(self.place_doc[of[k]].tolist()) for k in keys], of
+                lists = [of[k] for k in keys]
+                counts = np.fromiter(map(len, lists), np.int64, len(lists))
+                yield owner, keys, np.fromiter(itertools.chain.from_iterable(lists), np.int64, counts.sum()), counts
 
 
 def refine(text: np.ndarray, length: int) -> np.ndarray:
@@ -323,9 +327,12 @@ def _send_stretches(length: int, owner_bits: int):
         if not rows.num_rows:
             return _table([], _ENTRIES)
         block = rows.column("block")[0].as_py()
-        out = [(owner, block, np.array([len(k) for k in keys], "<u2").tobytes(), b"".join(keys),
-                np.array(ids, "<i8").tobytes())
-               for owner, keys, ids, _ in Block(rows, length).stretches(owner_bits, _bitmaps(replies))]
+        b = Block(rows, length)
+        out = []
+        for owner, keys, at, counts in b.stretches(owner_bits, _bitmaps(replies)):
+            least = np.minimum.reduceat(b.place_doc[at], np.cumsum(counts) - counts)
+            out.append((owner, block, np.array([len(k) for k in keys], "<u2").tobytes(), b"".join(keys),
+                        least.astype("<i8").tobytes()))
         return _table(out, _ENTRIES)
     return run
 
@@ -367,20 +374,20 @@ def _remove(length: int, owner_bits: int, with_text: bool, carried: list[str]):
         b = Block(rows, length)
         bitmaps = _bitmaps(replies)
         least = {r["owner"]: r for r in replies.to_pylist() if r["kind"] == 1}
-        edge = np.zeros(len(b.raw) + 1, np.int32)
-        for owner, keys, _, of in b.stretches(owner_bits, bitmaps):
+        # Every string start lies in one place only, so marking the starts of removed strings is enough.
+        begins = np.zeros(len(b.raw) + length, np.int32)
+        for owner, keys, at, counts in b.stretches(owner_bits, bitmaps):
             r = least[owner]
             ids = np.repeat(np.frombuffer(r["data"], "<i8"), np.frombuffer(r["runs"], "<u2"))
-            at = 0
-            for k in keys:
-                n = len(k) - length + 1
-                mine = ids[at:at + n]
-                at += n
-                for run_ in of[k]:
-                    hit = np.flatnonzero(mine < b.place_doc[run_]) + b.places[run_]
-                    edge[hit] += 1
-                    edge[hit + length] -= 1
-        gone = np.cumsum(edge[:-1]) > 0
+            n = np.fromiter(map(len, keys), np.int64, len(keys)) - (length - 1)
+            from_ = np.repeat(np.cumsum(n) - n, counts)
+            n = np.repeat(n, counts)
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            hit = ids[np.repeat(from_, n) + inside] < np.repeat(b.place_doc[at], n)
+            begins[(np.repeat(b.places[at], n) + inside)[hit]] = 1
+        upto = np.cumsum(begins, dtype=np.int32)
+        # A byte goes if a removed string begins at it or less than `length` bytes before it.
+        gone = upto[:len(b.raw)] > np.append(np.zeros(length, np.int32), upto)[:len(b.raw)]
         out = []
         for doc, a, e in zip(b.ids.tolist(), b.starts[:-1].tolist(), b.starts[1:].tolist()):
             cut = gone[a:e]
