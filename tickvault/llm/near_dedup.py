@@ -30,7 +30,7 @@ BANDS, BAND_ROWS = 25, 5
 COMPARED = 16
 MISS = 1e-5
 BLOCK_MEMBERS = 512
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 _SEEDS = np.random.default_rng(20240607).integers(1, 1 << 63, (2, HASHES), np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,6 +136,7 @@ def _facts(width: int):
                     c.append(v)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(out, list(_FACTS)[1:]))], schema=_FACTS)
+        _WORDS.clear()  # the worker goes on to other stages
     return run
 
 
@@ -146,6 +147,7 @@ def _sets(width: int):
         for b in batches:
             sets = [shingle_set(t, width).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], schema=schema)
+        _WORDS.clear()
     return run
 
 

@@ -159,9 +159,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
             yield pa.RecordBatch.from_arrays([pa.array(list(_statistics_of(b, "text")), schema[0].type), b.column("label")],
                                              schema=schema)
 
-    # `chosen` has at most train_rows rows of twelve bytes, so it may be broadcast.
-    rows = map_arrow(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"), run,
-                     "x array<double>, label int").collect()
+    # `chosen` has at most train_rows rows of twelve bytes, so it may be broadcast. A doc_id that many
+    # rows share gives one of them, the first by its text's hash, so the bound holds for those too.
+    few = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    one = few.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = map_arrow(one.join(F.broadcast(chosen), "doc_id").select("text", "label"), run, "x array<double>, label int").collect()
     x = np.array([r["x"] for r in rows], np.float64).reshape(-1, len(STATISTICS))
     y = np.array([r["label"] for r in rows], np.float64)
     order = np.lexsort((*x.T, y))
@@ -173,13 +175,16 @@ def score(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
     fields = docs.select(*keep).schema.fields
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
 
+    # Texts that are kept reach the task once.
+    text = "text" if "text" in keep else "_text"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = pa.array(trees.scores(_statistics_of(b, "_text")))
+            s = pa.array(trees.scores(_statistics_of(b, text)))
             kept = [b.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, s], names=[*keep, "score"])
 
-    return map_arrow(docs.select(*keep, F.col("text").alias("_text")), run, ddl)
+    return map_arrow(docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")])), run, ddl)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
