@@ -272,3 +272,15 @@ def test_pipeline_equals_plain_stages(spark, texts):
     rows = E.queries()["pipeline"](spark, SF).collect()
     got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows}
     assert len(got) == len(rows) and got == fresh_pieces(Tokenizer.from_file(P.path("byte_bpe_50k.json")), kept)
+
+
+def test_repeats_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    """Slices cut the bytes of a block in places that depend on the order of its texts, and a shuffle
+    gives rows in any order: all steps must see one order."""
+    import pyarrow as pa
+
+    rows = pa.table({"doc_id": pa.array([3, 1, 2], pa.int64()), "text": ["c" * 90, "ab" * 60, None], "block": [0, 0, 0]})
+    monkeypatch.setattr(substring_dedup, "SLICE", 64)
+    one, other = (substring_dedup.Block(rows.take(order), 50) for order in ([0, 1, 2], [2, 0, 1]))
+    assert one.raw.tobytes() == other.raw.tobytes() and (one.first == other.first).all()
+    assert (one.hashes == other.hashes).all() and (one.doc == other.doc).all()

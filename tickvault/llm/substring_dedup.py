@@ -101,9 +101,11 @@ def anchored_runs(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
 
 
 class Block:
-    """The texts of one block as bytes in a row, in the order of their rows."""
+    """The texts of one block as bytes in a row. Rows come in any order from a shuffle, so they are
+    sorted: where slices cut runs must be the same in every step."""
 
     def __init__(self, rows: pa.Table, length: int):
+        self.rows = rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
         self.length = length
         self.ids = rows.column("doc_id").to_numpy()
@@ -397,7 +399,7 @@ def _remove(length: int, owner_bits: int, with_text: bool, carried: list[str]):
                         kept.decode("utf-8", "ignore") if with_text else None, hashlib.sha256(kept).hexdigest()))
         result = _table(out, _RESULT)
         for name in carried:
-            result = result.append_column(name, rows.column(name))
+            result = result.append_column(name, b.rows.column(name))
         return result
     return run
 
