@@ -4,8 +4,9 @@ A document is a sparse vector over the terms of the queries, its entries the int
 its terms earn; a query is the counts of its terms, so a score is an inner product. Tasks cut
 their documents into trees of bounded size. Each node is a ball: the mean of its vectors and
 a radius. By the Cauchy-Schwarz inequality no vector inside scores over
-``q . mean + |q| * radius``; both are rounded upward, so that a subtree is left out only if
-none of its documents can enter a query's best. Nodes are visited best bound first, and
+``q . mean + |q'| * radius``, where q' is the part of q on terms that the ball has at all; both are
+rounded upward, so that a subtree is left out only if none of its documents can enter a
+query's best. Nodes are visited best bound first, and
 leaves are scored in 64-bit integers.
 """
 
@@ -116,16 +117,18 @@ class BallTree:
         out[part.term[lo:hi]] = part.value[lo:hi]
         return out
 
-    def bound(self, node: int, dense: np.ndarray, norm: float) -> float:
-        """No row of the node scores more."""
+    def bound(self, node: int, dense: np.ndarray) -> float:
+        """No row of the node scores more. Entries are not negative, so where the mean has none,
+        no row of the node has one, and that part of the query meets nothing."""
         held, mean = self.center[node]
-        return (float(dense[held] @ mean) + norm * self.radius[node]) * SLACK + 1
+        asked = dense[held]
+        return (float(asked @ mean) + math.sqrt(float(asked @ asked)) * self.radius[node]) * SLACK + 1
 
-    def search(self, dense: np.ndarray, whole: np.ndarray, norm: float, best: list, ids: np.ndarray, top: int) -> int:
+    def search(self, dense: np.ndarray, whole: np.ndarray, best: list, ids: np.ndarray, top: int) -> int:
         """Add rows to ``best``, a heap of the ``top`` highest (score, -id, n) with score above 0, and
         return the number of rows scored. ``dense`` and ``whole`` are the query in doubles and
-        in integers, ``norm`` its length rounded upward."""
-        queue, scored = [(-self.bound(0, dense, norm), 0)], 0
+        in integers."""
+        queue, scored = [(-self.bound(0, dense), 0)], 0
         while queue:
             bound, node = heapq.heappop(queue)
             # Equal scores are told apart by id, so only a bound below the least kept one prunes.
@@ -133,7 +136,7 @@ class BallTree:
                 break
             if self.children[node]:
                 for child in self.children[node]:
-                    limit = min(-bound, self.bound(child, dense, norm))
+                    limit = min(-bound, self.bound(child, dense))
                     if len(best) < top or limit >= best[0][0]:
                         heapq.heappush(queue, (-limit, child))
                 continue
@@ -228,8 +231,7 @@ def search_block(docs: DataFrame, items: list[tuple[object, list[str]]], top: in
                 at, t = at[at >= 0], times[at >= 0]
                 if len(at):
                     whole[at] = dense[at] = t
-                    norm = math.sqrt(float(t @ t)) * SLACK
-                    tree.search(dense, whole, norm, found, ids, top)
+                    tree.search(dense, whole, found, ids, top)
                     whole[at] = dense[at] = 0
         rows = [(i, -doc, score) for i, found in enumerate(best) for score, doc in found]
         if rows:
