@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickvault.operators import bitemporal
 from tickvault.operators import temporal as ops
 from tickvault.operators import version_store
 from tickvault.plans.oracle import with_tables
@@ -191,3 +192,59 @@ def q_apply_changes_incremental(spark, sf_dir):
     for name, part in (("a", 1), ("b", 0), ("b", 0), ("c", 2)):
         version_store.merge_changes(feed.filter(F.col("event_id") % 3 == part), root, name, buckets=8)
     return version_store.read_versions(spark, root)
+
+
+# Every event asks for its own valid and transaction time; the fold is repeated for each point.
+_POINT_LATE = "to_days(CAST(event_id % 5 AS INTEGER))"
+
+
+def _bitemporal_sql(id_sql: str) -> str:
+    return f"""
+WITH change_feed AS (
+  SELECT {id_sql} AS instrumentId, ts, event_id, ts + {_POINT_LATE} AS rec,
+         CASE event_type WHEN 'signup' THEN 'register' WHEN 'error' THEN 'delete' ELSE 'restore' END AS op
+  FROM events WHERE event_type IN ('signup', 'error', 'purchase')),
+pts AS (
+  SELECT {id_sql} AS instrumentId, event_id AS pointId, ts AS validAt,
+         ts + to_days(CAST(event_id % 11 AS INTEGER) - 3) AS knownAt FROM events),
+f AS (
+  SELECT p.pointId, p.validAt, p.knownAt, c.* FROM pts p JOIN change_feed c
+  ON c.instrumentId = p.instrumentId AND c.rec <= p.knownAt),
+reg AS (
+  SELECT *, min(CASE WHEN op = 'register' THEN (ts, event_id) END) OVER (PARTITION BY pointId) AS r FROM f),
+lagged AS (
+  SELECT *, lag(op <> 'delete') OVER (PARTITION BY pointId ORDER BY ts, event_id) AS prev FROM reg
+  WHERE r IS NOT NULL AND (ts, event_id) >= r AND (op <> 'register' OR (ts, event_id) = r)),
+v AS (
+  SELECT *, lead(ts) OVER w AS validTo, lead(rec) OVER w AS validToRecordedAt FROM lagged
+  WHERE prev IS NULL OR prev <> (op <> 'delete')
+  WINDOW w AS (PARTITION BY pointId ORDER BY ts, event_id))
+SELECT instrumentId, pointId, validAt, knownAt, ts AS validFrom, validTo, op <> 'delete' AS isActive,
+       CASE WHEN op = 'delete' THEN 'DELETED_' || {ISO} || '_user_requested' END AS deletionMarker,
+       op, event_id, rec AS transactionStart, validToRecordedAt
+FROM v WHERE ts <= validAt AND (validTo IS NULL OR validAt < validTo)"""
+
+
+def _bitemporal_points(spark, sf_dir, **kw):
+    feed = driver.change_feed(spark, sf_dir).withColumn("recordedAt", F.expr("ts + make_dt_interval(cast(event_id % 5 as int))"))
+    points = driver.read_table(spark, sf_dir, "events").select(
+        F.concat(F.lit("INST_"), F.col("user_id").cast("string")).alias("instrumentId"),
+        "event_id", F.col("ts").cast("timestamp_ntz").alias("validAt"))
+    if kw:
+        key = F.when(F.col("event_id") % 3 == 0, "INST_0").otherwise(F.col("instrumentId"))
+        feed, points = feed.withColumn("instrumentId", key), points.withColumn("instrumentId", key)
+    points = points.withColumn("knownAt", F.expr("validAt + make_dt_interval(cast(event_id % 11 as int) - 3)"))
+    return bitemporal.as_of_bitemporal_points(feed, points.withColumnRenamed("event_id", "pointId"),
+                                              at="validAt", **kw)
+
+
+@query("as_of_bitemporal_points", _bitemporal_sql("'INST_' || CAST(user_id AS VARCHAR)"))
+def q_as_of_bitemporal_points(spark, sf_dir):
+    """Changes recorded up to four days late, points that ask for three days before to seven after."""
+    return _bitemporal_points(spark, sf_dir)
+
+
+@query("as_of_bitemporal_points_hot", _bitemporal_sql(_HOT_ID))
+def q_as_of_bitemporal_points_hot(spark, sf_dir):
+    """The same with a third of all changes and points on one key, split into small buckets."""
+    return _bitemporal_points(spark, sf_dir, rows_per_bucket=500)
