@@ -245,3 +245,32 @@ def test_byte_level_ids_equal_the_library():
     coder = alignment.coders(*PATHS)[0]
     texts = ["a'll 've x", "<|endoftext|>", " " * 5000, "\n \n" * 400, "数字１２３ ½ ²", "é🎉" * 50, " 　x"]
     assert coder.encode(texts) == [coder.tokenizer.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
+def test_exact_dedup_shuffles_suspects_only(spark):
+    """Of 2,000 texts 5 % are copies: the texts that pass the filter are those, and the plan has no
+    exchange of all texts and no broadcast but the filter's fixed bits."""
+    from tickvault.llm import exact_dedup as X
+    docs = spark.createDataFrame([(i, f"text {i if i >= 100 else i // 2} " + "word " * 40) for i in range(2000)],
+                                 "doc_id long, text string")
+    suspects = X.repeated_fingerprints(docs.select(X.fingerprint(X.normalised(docs.text)).alias("fp")), 2000)
+    sent = X.suspect_texts(docs, suspects)
+    assert sent.count() == 100
+    assert "Exchange hashpartitioning(norm" not in sent._jdf.queryExecution().toString()
+    pieces = suspects.select(X._bits(F.col("fp"))[0].alias("p")).agg(F.max("p")).first()[0]
+    assert pieces < 1 << (X.FILTER_BITS - X.PIECE_BITS)
+    kept = X.exact_dedup(docs).groupBy("kept", "group_size").count().collect()
+    assert sorted(tuple(r) for r in kept) == [(False, 2, 50), (True, 1, 1900), (True, 2, 50)]
+
+
+def test_exact_dedup_false_hits_of_the_filter(spark, monkeypatch):
+    """With a filter of 2 ** 4 bits nearly every text passes; the answer is the same."""
+    from tickvault.llm import exact_dedup as X
+    rows = [(i, t) for i, t in enumerate(["a b", "ab", None, "", " ", "x\ty", "xy ", "z"] + [f"one {i}" for i in range(60)])]
+    docs = spark.createDataFrame(rows + [rows[7], (None, "z")], "doc_id long, text string")
+    answer = lambda: sorted(map(tuple, X.exact_dedup(docs).collect()), key=str)
+    expected = answer()
+    monkeypatch.setattr(X, "FILTER_BITS", 4)
+    assert answer() == expected
+    by_id = {r[0]: r for r in expected if r[0] is not None and r[0] < 7}
+    assert [by_id[i][1] for i in range(7)] == [0, 0, 4, 4, 4, 5, 5]

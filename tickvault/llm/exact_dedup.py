@@ -3,8 +3,9 @@
 Each sender (a stretch of one scan partition) sorts the fingerprints of its normalised
 texts and sends every owner of a fingerprint range one Rice-coded list of the distinct
 ones. Owners answer each list with a bitmap of the fingerprints that occur more than
-once anywhere. Only rows with such a fingerprint are then grouped by their whole
-normalised text, which Spark compares byte by byte.
+once anywhere. The hits set the bits of a filter of fixed size, which every task holds; only texts
+that pass it leave their task, and Spark groups them by the whole normalised text, byte by
+byte. A false hit of the filter is a group of one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from tickvault.llm.common import map_arrow, materialise, query, table
 FINGERPRINT_BITS = 52
 SENDER_ROWS = 1 << 20
 ROWS_PER_OWNER = 1 << 22
-SALTS = 16
+# Bits of the filter of suspects, 8 MB at any input size, in pieces of 2**15.
+FILTER_BITS, PIECE_BITS = 26, 15
 WHITE_SPACE = "\t\n\x0b\x0c\r "
 
 
@@ -136,6 +138,26 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
     return map_arrow(sent.join(answers, ["owner", "sender"]), _suspects(owner_bits), "fp long").distinct()
 
 
+def _bits(fp: Column) -> tuple[Column, Column]:
+    """(piece of the filter, bit within it) of a fingerprint: its low bits, as the high ones choose the owner."""
+    place = fp.bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    return F.shiftright(place, PIECE_BITS), place.bitwiseAND(F.lit((1 << PIECE_BITS) - 1))
+
+
+def suspect_texts(docs: DataFrame, suspects: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, norm) of the rows of ``docs`` whose fingerprint is, or shares its bit of the
+    filter with, one of ``suspects`` (fp). The broadcast has at most 2 ** FILTER_BITS bits."""
+    piece, bit = _bits(F.col("fp"))
+    held = suspects.groupBy(piece.alias("_piece")).agg(F.bitmap_construct_agg(bit).alias("_held"))
+    norm = normalised(F.col("text"))
+    piece, bit = _bits(F.col("fp"))
+    byte = F.conv(F.hex(F.substring("_held", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, bit.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    chars = F.char_length(F.coalesce("text", F.lit(""))).cast("long")
+    return (docs.select("doc_id", "text", fingerprint(norm).alias("fp")).join(F.broadcast(held), (piece == F.col("_piece")) & hit)
+            .select("doc_id", chars.alias("n_chars"), norm.alias("norm")))
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, n_chars.
 
@@ -149,17 +171,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
                     F.sha2(norm, 256).alias("text_sha256"), fingerprint(norm).alias("fp")), "exact-facts")
     suspects = repeated_fingerprints(facts.select("fp"), facts.count())
-    salted = suspects.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    texts = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
-                        norm.alias("norm"))
-    texts = (texts.withColumn("fp", fingerprint(F.col("norm")))
-             .withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_chars"), F.lit(SALTS)).cast("int"))
-             .join(salted, ["fp", "salt"], "left_semi"))
+    texts = suspect_texts(docs, suspects)
     first = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id"))).alias("first")
     # Grouping by the text itself is the byte check; partial aggregation leaves one row
     # per text and task, so a large group of copies is not shuffled as such.
     groups = (texts.groupBy("norm").agg(first, F.count(F.lit(1)).alias("group_size"))
-              .select(F.sha2("norm", 256).alias("text_sha256"), "first", "group_size"))
+              # never null, said so that no null check of the digest moves below the filter
+              .select(F.coalesce(F.sha2("norm", 256), F.lit("")).alias("text_sha256"), "first", "group_size"))
     same = Window.partitionBy("text_sha256", "doc_id").orderBy(F.desc("n_chars"))
     rows = facts.withColumn("nth", F.row_number().over(same)).join(groups, "text_sha256", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
