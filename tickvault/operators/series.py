@@ -88,6 +88,28 @@ def latest_price(series: DataFrame, keys: DataFrame | None = None,
             .select(*PAIR, "_latest.*"))
 
 
+def indicators(series: DataFrame) -> Column:
+    """All numbers of a series row by name: the typed columns that are not null, and ``extras``."""
+    typed = [c for c in ("open", "high", "low", "close", "volume") if c in series.columns]
+    pairs = [x for c in typed for x in (F.lit(c), F.col(c).cast("double"))]
+    numbers = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+    if "extras" not in series.columns:
+        return numbers
+    extras = F.map_filter("extras", lambda k, v: ~k.isin(*typed)) if typed else F.col("extras")
+    return F.map_concat(numbers, F.coalesce(extras, F.create_map().cast("map<string,double>")))
+
+
+def latest_indicators(series: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """O32 with every indicator: the newest row per pair as ``timestamp``, ``indicators`` (numbers by
+    name), ``texts`` (values that are not numbers; null where the series has none) and ``dataQuality``."""
+    texts = F.col("texts") if "texts" in series.columns else F.lit(None).cast("map<string,string>")
+    rows = narrow(series, keys)
+    answer = F.struct(F.col("dataTimestamp").alias("timestamp"), indicators(series).alias("indicators"),
+                      texts.alias("texts"), "dataQuality")
+    newest = F.max_by(answer, F.struct("dataTimestamp", "seriesId"))
+    return rows.groupBy(*PAIR).agg(newest.alias("_latest")).select(*PAIR, "_latest.*")
+
+
 def _close_rows(series, start, end, row_cap, keys):
     # Cap first, then drop rows without a close (the reference's order).
     rows = cap_newest(in_range(narrow(series, keys), start, end), row_cap)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickvault.operators import catalog as ops
+from tickvault.operators import listing
 from tickvault.plans.oracle import with_tables
 from tickvault.plans.registry import query
+from tickvault.session import scratch_path
 from tickvault.sources import driver
 
 INST_COLS = "instrumentId, symbol, name, description, instrumentClass, region, currency, isActive"
@@ -27,6 +29,26 @@ def q_list_instruments_page(spark, sf_dir):
     return ops.list_instruments(driver.instruments(spark, sf_dir), offset=100, limit=100)
 
 
+_LISTED_SQL = with_tables("instruments") + """
+SELECT instrumentId AS assetId, symbol, name, instrumentClass, region FROM instruments WHERE isActive"""
+
+
+@query("list_instruments_seek", _LISTED_SQL + " AND instrumentId > 'INST_15' ORDER BY instrumentId LIMIT 100")
+def q_list_instruments_seek(spark, sf_dir):
+    """The 100 instruments that follow a given one."""
+    listed = ops.list_instruments(driver.instruments(spark, sf_dir))
+    return listing.rows_after(listed, ["assetId"], ("INST_15",), 100)
+
+
+@query("list_instruments_deep", _LISTED_SQL + """
+ORDER BY instrumentId OFFSET (SELECT count(*) * 9 // 10 FROM instruments WHERE isActive) LIMIT 100""")
+def q_list_instruments_deep(spark, sf_dir):
+    """A page of 100 that starts nine tenths down the listing, from its stored order."""
+    listed, path = ops.list_instruments(driver.instruments(spark, sf_dir)), scratch_path(spark, "listing")
+    listing.store_order(listed, path, ["assetId"], 16)
+    return listing.read_page(spark, path, ["assetId"], listed.count() * 9 // 10, 100)
+
+
 @query("list_instruments_tool", with_tables("instruments") + """
 SELECT instrumentId AS assetId, symbol, name, instrumentClass AS class, region, currency
 FROM instruments WHERE isActive""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickvault.operators import resolve as ops
 from tickvault.plans.oracle import with_tables
-from tickvault.plans.registry import query
+from tickvault.plans.registry import ORACLES, query
 from tickvault.sources import driver
 
 PREFERRED = "asia"
@@ -137,6 +137,12 @@ def q_resolve_sources(spark, sf_dir):
     return ops.resolve_sources(_source_refs(spark, sf_dir), driver.sources(spark, sf_dir))
 
 
+@query("resolve_sources_exact", ORACLES["resolve_sources"].replace(
+    "\n    OR contains(lower(s.providerName), lower(d.ref))", ""))
+def q_resolve_sources_exact(spark, sf_dir):
+    return ops.resolve_sources(_source_refs(spark, sf_dir), driver.sources(spark, sf_dir), mode="exact")
+
+
 @query("default_source", with_tables("instruments", "series", "sources") + f"""
 , pairs AS (SELECT DISTINCT p.instrumentId, s.dataSourceId, s.providerType
             FROM series p JOIN sources s ON s.dataSourceId = p.dataSourceId),

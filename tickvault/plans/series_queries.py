@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickvault.operators import rollup
 from tickvault.operators import series as ops
 from tickvault.plans.oracle import EXACT_AVG, NEWEST, capped, exact_sum, with_tables
 from tickvault.plans.registry import query
+from tickvault.session import scratch_path
 from tickvault.sources import driver
 
 RANGE_START, RANGE_END = "2024-01-05 00:00:00", "2024-01-25 23:59:59"
@@ -211,3 +213,20 @@ def q_trend_repeats(spark, sf_dir):
     """Records that arrived up to four times: equal rows at the edge of the newest five."""
     copies = F.explode(F.sequence(F.lit(0), (F.col("event_id") % 4).cast("int")))
     return ops.trend(driver.series(spark, sf_dir).withColumn("_copy", copies).drop("_copy"), days=5)
+
+
+ROLLUP_START, ROLLUP_END = "2024-01-05 07:30:00", "2024-01-25 18:00:00"
+
+
+@query("series_stats_rollup", with_tables("series") + f"""
+SELECT instrumentId, dataSourceId, count(close) AS count, min(close) AS minPrice, max(close) AS maxPrice,
+       {EXACT_AVG} AS avgPrice
+FROM series WHERE close IS NOT NULL
+  AND dataTimestamp >= TIMESTAMP '{ROLLUP_START}' AND dataTimestamp <= TIMESTAMP '{ROLLUP_END}'
+GROUP BY instrumentId, dataSourceId""")
+def q_series_stats_rollup(spark, sf_dir):
+    """The daily roll-up of all prices is stored, then a range that cuts two days is answered from it
+    and from the prices of those two days; the sketch's quantile is left to the tests."""
+    series, path = driver.series(spark, sf_dir), scratch_path(spark, "rollup")
+    rollup.daily_rollup(series).write.partitionBy("day").parquet(path)
+    return rollup.stats_from_rollup(spark.read.parquet(path), series, ROLLUP_START, ROLLUP_END).drop("quantiles")
