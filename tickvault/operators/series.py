@@ -180,7 +180,7 @@ def _middle(n: Column) -> list[Column]:
     return [at(F.floor((n + 1) / 2)).alias("_lower"), at(F.floor((n + 2) / 2)).alias("_upper")]
 
 
-def _price_stats(rows: DataFrame, rows_per_range: int) -> DataFrame:
+def _price_stats(rows: DataFrame, rows_per_range: int | None) -> DataFrame:
     """Per pair: count, minPrice, maxPrice, avgPrice, the two middle closes ``_lower`` and
     ``_upper``, and the first and last close by time.
 
@@ -188,9 +188,10 @@ def _price_stats(rows: DataFrame, rows_per_range: int) -> DataFrame:
     sorted for the middle. Where a pair has over ``rows_per_range`` rows, its prices are not sorted:
     ``RANGE_ROUNDS`` rounds of rank selection find the range that holds the middle, some
     2 / 256^2 of them, and only that range is; the rest are partial aggregates of the rows.
+    None says that no pair is large: none is counted.
     """
     by_time, close = F.struct("dataTimestamp", "seriesId"), F.col("close")
-    hot = _hot_pairs(rows, rows_per_range)
+    hot = None if rows_per_range is None else _hot_pairs(rows, rows_per_range)
     if hot is None:
         prices = rows.groupBy(*PAIR, "close").agg(
             F.count(F.lit(1)).alias("_c"), F.try_sum(close.try_cast(EXACT)).alias("_exact"),
@@ -220,7 +221,7 @@ def _price_stats(rows: DataFrame, rows_per_range: int) -> DataFrame:
 def series_stats(series: DataFrame, start=None, end=None, row_cap: int | None = None,
                  order: str = "value", keys: DataFrame | None = None,
                  median: str = "exact", accuracy: int = 10_000,
-                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                 rows_per_range: int | None = ROWS_PER_RANGE) -> DataFrame:
     """Count, min, max, mean, true median, first, last, change, % change.
 
     All rows of a pair count unless ``row_cap`` keeps only the newest. ``order="value"``
@@ -249,7 +250,7 @@ def series_stats(series: DataFrame, start=None, end=None, row_cap: int | None =
 
 def series_stats_tool(series: DataFrame, start=None, end=None,
                       row_cap: int | None = None, keys: DataFrame | None = None,
-                      rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                      rows_per_range: int | None = ROWS_PER_RANGE) -> DataFrame:
     """The tool variant: *upper* median, volatility = max - min."""
     agg = _price_stats(_close_rows(series, start, end, row_cap, keys), rows_per_range)
     spread = F.col("maxPrice") - F.col("minPrice")

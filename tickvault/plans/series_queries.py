@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickvault.operators import rollup
+from tickvault.operators import clustered, rollup
 from tickvault.operators import series as ops
 from tickvault.plans.oracle import EXACT_AVG, NEWEST, capped, exact_sum, with_tables
-from tickvault.plans.registry import query
+from tickvault.plans.registry import ORACLES, query
 from tickvault.session import scratch_path
 from tickvault.sources import driver
 
@@ -230,3 +230,36 @@ def q_series_stats_rollup(spark, sf_dir):
     series, path = driver.series(spark, sf_dir), scratch_path(spark, "rollup")
     rollup.daily_rollup(series).write.partitionBy("day").parquet(path)
     return rollup.stats_from_rollup(spark.read.parquet(path), series, ROLLUP_START, ROLLUP_END).drop("quantiles")
+
+
+def _stored(spark, sf_dir, table=driver.series, **kw):
+    return clustered.store_clustered(table(spark, sf_dir), scratch_path(spark, "clustered"), **kw)
+
+
+@query("series_range_clustered", _RANGE_SQL)
+def q_series_range_clustered(spark, sf_dir):
+    """The series is stored in buckets of its pairs, then a range is read from them."""
+    rows = clustered.range_of(_stored(spark, sf_dir), RANGE_START, RANGE_END)
+    return rows.select("seriesId", "instrumentId", "dataSourceId", "dataTimestamp", "close", F.col("extras")["k"].alias("k"))
+
+
+@query("latest_price_clustered", ORACLES["latest_price"])
+def q_latest_price_clustered(spark, sf_dir):
+    return clustered.latest_of(_stored(spark, sf_dir), columns=("seriesId", "dataTimestamp", "close", "dataQuality"))
+
+
+@query("series_stats_clustered", ORACLES["series_stats"])
+def q_series_stats_clustered(spark, sf_dir):
+    return clustered.stats_of(_stored(spark, sf_dir))
+
+
+@query("series_stats_tool_clustered", ORACLES["series_stats_tool_hot"])
+def q_series_stats_tool_clustered(spark, sf_dir):
+    """The hot pair lies in the second part, in many range partitions, and takes rank selection."""
+    return clustered.stats_of(_stored(spark, sf_dir, hot, rows_per_pair=HOT_ROWS), tool=True, rows_per_range=HOT_ROWS)
+
+
+@query("trend_clustered", _trend_sql(5, "hot", _HOT_SQL))
+def q_trend_clustered(spark, sf_dir):
+    """Ordinary pairs from their buckets, the hot pair from the second part."""
+    return clustered.trend_of(_stored(spark, sf_dir, hot, rows_per_pair=HOT_ROWS), days=5)
