@@ -6,10 +6,11 @@ to the earliest instrument (createdAt, then id).
 
 "Name contains the reference" is a theta join. Distinct names are indexed by
 their substrings of a few fixed lengths (``GRAMS``): linear in the text. A
-reference as long as a gram finds its answer in the per-gram aggregate; a
-longer one looks up the rarest of its grams, and only the names that have this
-gram are checked for the whole reference. Exact, without a bound on lengths and
-without any job while the query is built.
+reference of such a length finds its answer in the per-gram aggregate. A longer one
+is cut into tiles, grams that cover it end to end; the postings (name, position)
+of its rarest tiles are intersected on the place where the reference would begin, and
+only names that hold all of them in the right distances are compared. Exact,
+without a bound on lengths and without any job while the query is built.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from tickvault.operators.catalog import active
 # fixed values: the provider type chosen first when no source is given
 PREFERRED_PROVIDER_TYPE = "yahoo"
 # Lengths of the indexed substrings. 1 is needed: every reference has a gram of its own length
-# or shorter.
-GRAMS = (1, 2, 3, 8)
+# or shorter. Up to three characters, where grams are common, a reference is itself a gram.
+GRAMS = (1, 2, 3, 4, 8, 16, 32, 64)
+TILED = tuple(g for g in GRAMS if g > 3)
+# So many of a reference's rarest tiles are intersected; one is enough where at most FEW places hold it.
+TILES, FEW = 3, 16
 
 
 def _order(df: DataFrame, id_col: str) -> Column:
@@ -31,17 +35,54 @@ def _order(df: DataFrame, id_col: str) -> Column:
     return F.struct(*cols)
 
 
-def _grams(text: Column) -> Column:
-    """All distinct substrings of ``text`` whose length is in ``GRAMS``."""
-    return F.array_distinct(F.flatten(F.array(*[_cut(text, F.lit(g)) for g in GRAMS])))
-
-
-def _cut(text: Column, length: Column) -> Column:
-    """The substrings of ``text`` that are ``length`` characters long."""
+def _cut(text: Column, length: int) -> Column:
+    """The substrings of ``text`` that are ``length`` characters long, with their places from 0."""
     starts = F.length(text) - length + 1
-    return F.when(starts > 0, F.transform(F.sequence(F.lit(1), F.greatest(starts, F.lit(1))),
-                                          lambda i: F.substring(text, i, length))
-                  ).otherwise(F.array().cast("array<string>"))
+    return F.when(starts > 0, F.transform(
+        F.sequence(F.lit(1), F.greatest(starts, F.lit(1))),
+        lambda i: F.struct(F.substring(text, i, F.lit(length)).alias("_g"), (i - 1).alias("_at")))
+                  ).otherwise(F.array().cast("array<struct<_g:string,_at:int>>"))
+
+
+def _postings(names: DataFrame, lengths: tuple[int, ...], *columns: str) -> DataFrame:
+    """(``columns``, _g, _at): every place of every gram of the names."""
+    grams = F.flatten(F.array(*[_cut(F.col("_t"), g) for g in lengths]))
+    return names.select(*columns, F.inline(grams))
+
+
+def _tiles() -> Column:
+    """The grams that cover ``probe``: one after the other, and the one at its end."""
+    n, size = F.length("probe"), F.greatest(*[F.when(F.length("probe") >= g, F.lit(g)) for g in GRAMS])
+    places = F.array_union(F.sequence(F.lit(0), n - size, size), F.array(n - size))
+    return F.transform(places, lambda o: F.struct(F.substring(F.col("probe"), o + 1, size).alias("_g"), o.alias("_o")))
+
+
+def rated_tiles(probes: DataFrame, names: DataFrame) -> DataFrame:
+    """(probe, _r, _best): each probe's tiles (_places, _g, _o) from the rarest on, and for a probe that
+    is itself a gram the best of the ``names`` (_id, _t, _b) that hold it."""
+    tiles = probes.select("probe", F.inline(_tiles()))
+    per_gram = (_postings(names, GRAMS, "_b").join(tiles.select("_g").distinct(), "_g", "left_semi")
+                .groupBy("_g").agg(F.count(F.lit(1)).alias("_places"), F.min_by("_b", F.col("_b")["_o"]).alias("_best")))
+    rated = F.struct(F.coalesce("_places", F.lit(0)).alias("_places"), "_g", "_o")
+    # as many entries as the probe itself has tiles
+    return (tiles.join(per_gram, "_g", "left").groupBy("probe")
+            .agg(F.array_sort(F.collect_list(rated)).alias("_r"), F.min_by("_best", F.col("_g")).alias("_best"))
+            .filter(F.col("_r")[0]["_places"] > 0))  # a tile that no name has rules the probe out
+
+
+def candidates(rated: DataFrame, names: DataFrame) -> DataFrame:
+    """(probe, _id): the ``names`` that hold the rarest tiles of a probe in the right distances; every
+    name that contains the probe is among them. Probes that are a single gram have no row."""
+    enough = F.when(F.col("_r")[0]["_places"] <= FEW, 1).otherwise(TILES)
+    chosen = (rated.filter(F.col("probe") != F.col("_r")[0]["_g"])
+              .select("probe", F.slice("_r", F.lit(1), enough).alias("_r"))
+              .select("probe", F.size("_r").alias("_k"), F.inline("_r")))
+    begins = (chosen.join(_postings(names, TILED, "_id"), "_g")
+              .select("probe", "_k", "_id", (F.col("_at") - F.col("_o")).alias("_start"))
+              .filter(F.col("_start") >= 0))
+    # a text that is hashed like another one can only add candidates
+    return (begins.groupBy("probe", "_id", "_start", "_k").agg(F.count(F.lit(1)).alias("_c"))
+            .filter(F.col("_c") >= F.col("_k")).select("probe", "_id").distinct())
 
 
 def containing(probes: DataFrame, df: DataFrame, text: Column, id_col: str) -> DataFrame:
@@ -50,22 +91,11 @@ def containing(probes: DataFrame, df: DataFrame, text: Column, id_col: str) -> D
     contain nothing. Names that share a text are indexed once."""
     names = (df.select(text.alias("_t"), _order(df, id_col).alias("_o"), F.col(id_col))
              .filter(F.length("_t") > 0)
-             .groupBy("_t").agg(F.min_by(F.struct("_o", id_col), "_o").alias("_b")))
-    index = names.select("_t", "_b", F.explode(_grams(F.col("_t"))).alias("_g"))
-    per_gram = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_names"),
-                                       F.min_by("_b", F.col("_b")["_o"]).alias("_best"))
-    n = F.length("probe")
-    size = F.greatest(*[F.when(n >= g, F.lit(g)) for g in GRAMS])
-    cut = (probes.select("probe").filter(n > 0).distinct()
-           .select("probe", F.explode(F.array_distinct(_cut(F.col("probe"), size))).alias("_g")))
-    # A gram that no name has makes the probe's count 0: nothing contains it.
-    seen = F.coalesce("_names", F.lit(0))
-    rated = (cut.join(per_gram, "_g", "left").groupBy("probe")
-             .agg(F.min_by(F.struct("_g", "_best", seen.alias("_names")), F.struct(seen, "_g")).alias("_r"))
-             .select("probe", "_r.*").filter(F.col("_names") > 0))
-    whole = rated.filter(F.col("probe") == F.col("_g")).select("probe", F.col("_best").alias("_b"))
-    longer = (rated.filter(F.col("probe") != F.col("_g")).select("probe", "_g")
-              .join(index, "_g").filter(F.contains("_t", "probe"))
+             .groupBy("_t").agg(F.min_by(F.struct("_o", id_col), "_o").alias("_b"))
+             .withColumn("_id", F.xxhash64("_t")))
+    rated = rated_tiles(probes.select("probe").filter(F.length("probe") > 0).distinct(), names)
+    whole = rated.filter(F.col("probe") == F.col("_r")[0]["_g"]).select("probe", F.col("_best").alias("_b"))
+    longer = (candidates(rated, names).join(names, "_id").filter(F.contains("_t", "probe"))
               .groupBy("probe").agg(F.min_by("_b", F.col("_b")["_o"]).alias("_b")))
     return whole.unionByName(longer).select(
         "probe", F.col("_b")[id_col].alias(id_col), F.col("_b")["_o"].alias("_o"))
