@@ -516,6 +516,34 @@ def test_csv_files_of_one_feed_order_columns_differently(spark, tmp_path, name):
     assert got == [("A", 2, 10.0, 20.0), ("B", 2, 10.0, 21.0), ("B", 4, 30.0, 30.0)]
 
 
+def test_bundled_vendor_files_keep_their_own_headers(spark, tmp_path):
+    files = {"A.csv": ["Date,Open,Close", "2024-01-02,10,20", "2024-01-03,11,"], "C.csv": ["no header here,1"],
+             "B.csv": ["date, Close ,Open,Adj. Close", "2024-01-02,20,10,21", "2024-01-04,30"]}
+    records = [f"{f},{line}" for f, lines in files.items() for line in lines]
+    (tmp_path / "part-0.csv").write_text("\n".join(records[::-1]) + "\n")
+    (tmp_path / "part-1.csv").write_text("A.csv,2024-01-05,12,13\n")
+    names = spark.createDataFrame([(f, f[0]) for f in files], "file_name string, symbol string")
+    inst = spark.createDataFrame([(f[0], f"INST_{f[0]}") for f in files], "symbol string, instrumentId string")
+    feed = vendor.Feed("f", str(tmp_path), vendor.EQUITIES_COLUMNS, bundled=True)
+    rows = vendor.scan_vendor_csv(spark, [feed], names, inst)
+    got = sorted((r.symbol, r.file_name, r.dataTimestamp.day, r.open, r.close) for r in rows.collect())
+    assert got == [("A", "A.csv", 2, 10.0, 20.0), ("A", "A.csv", 5, 12.0, 13.0), ("B", "B.csv", 2, 10.0, 21.0),
+                   ("B", "B.csv", 4, 30.0, 30.0)]
+
+
+def test_vendor_files_are_stored_in_few_files(spark, tmp_path):
+    import datetime as dt
+
+    from tickvault.plans import roundtrip_queries
+    rows = [(i, dt.datetime(2024, 1, 1), i, "view" if i % 2 else "click", 1.5, '{"k": 1}') for i in range(300)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+                          ).write.parquet(str(tmp_path / "events.parquet"))
+    roundtrip_queries._write_vendor_files(spark, str(tmp_path), str(tmp_path / "out"))
+    stored = [p for p in (tmp_path / "out").rglob("part-*.csv")]
+    assert 0 < len(stored) < 50
+    assert len({line.split(",")[0] for p in stored for line in p.read_text().splitlines()}) == 300
+
+
 @pytest.mark.parametrize("sep", [",", "|"])
 def test_wide_vendor_file_is_read_to_its_last_column(spark, tmp_path, sep):
     many = [f"x{k}" for k in range(70)]

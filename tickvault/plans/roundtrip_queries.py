@@ -29,16 +29,18 @@ VENDOR_FEED_MAP = (("open", "open"), ("close", "close"), ("volume", "volume"),
 
 
 def _write_vendor_files(spark, sf_dir, base):
-    """One CSV file per (vendor, instrument): 'VENDOR-<n>.csv' files are
-    mapped to symbols, 'OTHER-<n>.csv' files are not."""
+    """The CSV files of each (vendor, instrument), header and all: 'VENDOR-<n>.csv' files are
+    mapped to symbols, 'OTHER-<n>.csv' files are not. They are stored in bundles, each record
+    after its file's name, as one stored file per name would cost more than its few rows."""
     ev = driver.read_table(spark, sf_dir, "events")
     rows = iq._vendor_rows(spark, sf_dir)
     named = rows.join(ev.select("event_id", "user_id", "event_type"), "event_id")
     fname = F.concat(F.when(F.col("event_type") == "view", "OTHER-").otherwise("VENDOR-"),
                      F.col("user_id").cast("string"), F.lit(".csv"))
-    (named.select(fname.alias("file"), F.col("event_id").alias("Seq"), "Date", "Open", "Close",
-                  "Volume", F.col("` Adj. Close `"))
-     .write.partitionBy("file").option("header", "true").csv(base))
+    records = named.select(fname.alias("file"), F.col("event_id").cast("string").alias("Seq"), "Date", "Open",
+                           "Close", "Volume", F.col("` Adj. Close `"))
+    headers = records.select("file").distinct().select("file", *[F.lit(c).alias(c) for c in records.columns[1:]])
+    headers.unionByName(records).write.csv(base)
 
 
 @query("scan_vendor_csv", with_tables("instruments") + """
@@ -62,9 +64,8 @@ def q_scan_vendor_csv(spark, sf_dir):
     files = inst.select(
         F.concat(F.lit("VENDOR-"), F.substring_index("instrumentId", "_", -1), F.lit(".csv"))
         .alias("file_name"), "symbol")
-    feed = vendor.Feed("vendor", base, VENDOR_FEED_MAP)
-    rows = vendor.scan_vendor_csv(spark, [feed], files, inst.filter("isActive"),
-                                  file_name_col="file", keep=["Seq"])
+    feed = vendor.Feed("vendor", base, VENDOR_FEED_MAP, bundled=True)
+    rows = vendor.scan_vendor_csv(spark, [feed], files, inst.filter("isActive"), keep=["Seq"])
     return rows.select("symbol", "instrumentId", "file_name", "Seq", "dataTimestamp", "open",
                        "high", "low", "close", "volume")
 

@@ -26,11 +26,15 @@ class Feed:
     ``col_map`` maps a vendor header (matched lower-cased and trimmed) to an
     indicator. Several headers may map to one indicator; the last entry with
     a usable value wins (e.g. an adjusted close over the raw close).
+
+    In a ``bundled`` feed a stored file holds the records of many vendor files, in any order and
+    each with its own header; the first cell of a record is the name of the file it belongs to.
     """
     name: str
     path: str
     col_map: tuple[tuple[str, str], ...]
     options: dict = field(default_factory=dict)
+    bundled: bool = False
 
 
 # The column names of the known vendor files and the indicator each one fills.
@@ -112,7 +116,8 @@ def scan_vendor_csv(spark: SparkSession, feeds: list[Feed], files: DataFrame,
     cells; a file without one gives no rows. The feed's widest header tells how
     many columns are read, in a job while the query is built. The file name is the file's own name, or a
     partition column (``file_name_col``) for a folder layout such as
-    ``file=AAPL.csv/part-*.csv``.
+    ``file=AAPL.csv/part-*.csv``, or the first cell of a record of a ``bundled`` feed: where files
+    are many and small, opening each costs more than reading it.
     """
     parts = []
     for feed in feeds:
@@ -151,8 +156,10 @@ def _rows_by_header(spark: SparkSession, feed: Feed, file_name_col: str | None,
         schema += f", {file_name_col} string"
     lines = spark.read.options(**opts).schema(schema).csv(feed.path)
     name = F.col(file_name_col) if file_name_col else F.col("_metadata.file_name")
-    lines = lines.select(name.cast("string").alias("file_name"), F.col("_metadata.file_path").alias("_path"),
-                         F.array(*cells).alias("_cells"))
+    path = F.col("_metadata.file_path")
+    if feed.bundled:
+        name, path, cells = F.col("c0"), F.col("c0"), cells[1:] or cells
+    lines = lines.select(name.cast("string").alias("file_name"), path.alias("_path"), F.array(*cells).alias("_cells"))
     is_header = F.exists("_cells", lambda c: F.coalesce(F.trim(c).isin(*DATE_COLUMNS), F.lit(False)))
     # One row per file; a file read in several splits has one header all the same.
     headers = lines.filter(is_header).groupBy("_path").agg(F.min("_cells").alias("_names"))
