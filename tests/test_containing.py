@@ -56,6 +56,25 @@ def test_one_common_gram_brings_no_candidates(spark):
     assert found == {(probes[0], 17), (probes[1], 250)}
 
 
+def test_references_with_a_tile_in_common_share_its_places(spark):
+    # 80 references whose rarest tile is in every name: its places are not paired with each of them
+    names = [f"STRASSE {i:03} {'abcdefgh' * 2}" for i in range(200)]
+    probes = [f"{i:03} abcdefghabcdefgh" for i in range(80)]
+    asked = spark.createDataFrame([(p,) for p in probes], "probe string")
+    table = spark.createDataFrame(enumerate(names), "_id bigint, _t string").withColumn("_b", F.struct(F.col("_id").alias("_o")))
+    rare = spark.createDataFrame([(p, "abcdefghabcdefgh", 4, len(p)) for p in probes], "probe string, _g string, _o int, _n int")
+    assert resolve._cuts(rare, table).count() == len(names)
+    assert candidates(spark, probes, names) == {(p, i) for i, p in enumerate(probes)}
+    assert asked.count() == len(probes) and best(spark, probes, names) == plain(probes, names)
+
+
+def test_postings_that_no_reference_wants_are_left_out_before_the_shuffle(spark):
+    table = spark.createDataFrame([(i, f"name {i:05} of a fund") for i in range(500)], "_id bigint, _t string")
+    wanted = spark.createDataFrame([("name 0000",), ("00007 of",)], "_g string")
+    kept = resolve._wanted_postings(table, (8, 9), wanted, "_id")
+    assert {r._g for r in kept.collect()} >= {"name 0000", "00007 of"} and kept.count() < 20
+
+
 def test_empty_tables(spark):
     assert best(spark, ["abc"], [None]) == {}
     assert best(spark, [None], ["abc"]) == {}

@@ -7,10 +7,13 @@ to the earliest instrument (createdAt, then id).
 "Name contains the reference" is a theta join. Distinct names are indexed by
 their substrings of a few fixed lengths (``GRAMS``): linear in the text. A
 reference of such a length finds its answer in the per-gram aggregate. A longer one
-is cut into tiles, grams that cover it end to end; the postings (name, position)
-of its rarest tiles are intersected on the place where the reference would begin, and
-only names that hold all of them in the right distances are compared. Exact,
-without a bound on lengths and without any job while the query is built.
+is cut into tiles, grams that cover it end to end. Each place (name, position) of its rarest
+tile says where the reference would begin; the text of that length is cut out there and
+compared. References with the same rarest tile, distance and length share the cut, so
+there are at most as many cuts as places times the few distances and lengths of a tile,
+however many references there are. A filter of fixed size keeps the grams that no tile can
+be equal to from being shuffled. Exact, without a bound on lengths and without any job
+while the query is built.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ PREFERRED_PROVIDER_TYPE = "yahoo"
 # or shorter. Up to three characters, where grams are common, a reference is itself a gram.
 GRAMS = (1, 2, 3, 4, 8, 16, 32, 64)
 TILED = tuple(g for g in GRAMS if g > 3)
-# So many of a reference's rarest tiles are intersected; one is enough where at most FEW places hold it.
-TILES, FEW = 3, 16
+# Bits of the filter of wanted grams, held as 64-bit words: at most 2 ** 19 of them are broadcast.
+FILTER_BITS = 25
 
 
 def _order(df: DataFrame, id_col: str) -> Column:
@@ -50,6 +53,17 @@ def _postings(names: DataFrame, lengths: tuple[int, ...], *columns: str) -> Data
     return names.select(*columns, F.inline(grams))
 
 
+def _wanted_postings(names: DataFrame, lengths: tuple[int, ...], wanted: DataFrame, *columns: str) -> DataFrame:
+    """``_postings`` without most of the grams that are not among the ``wanted`` (_g)."""
+    place = F.xxhash64("_g").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    held = (wanted.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("_bit"))
+            .groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    hit = F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(F.lit(1)) == 1
+    return (_postings(names, lengths, *columns).join(F.broadcast(held), (word == F.col("_word")) & hit)
+            .drop("_word", "_bits"))
+
+
 def _tiles() -> Column:
     """The grams that cover ``probe``: one after the other, and the one at its end."""
     n, size = F.length("probe"), F.greatest(*[F.when(F.length("probe") >= g, F.lit(g)) for g in GRAMS])
@@ -61,7 +75,8 @@ def rated_tiles(probes: DataFrame, names: DataFrame) -> DataFrame:
     """(probe, _r, _best): each probe's tiles (_places, _g, _o) from the rarest on, and for a probe that
     is itself a gram the best of the ``names`` (_id, _t, _b) that hold it."""
     tiles = probes.select("probe", F.inline(_tiles()))
-    per_gram = (_postings(names, GRAMS, "_b").join(tiles.select("_g").distinct(), "_g", "left_semi")
+    # Summed up by gram in each task first: a common gram is one row of a task.
+    per_gram = (_wanted_postings(names, GRAMS, tiles.select("_g"), "_b")
                 .groupBy("_g").agg(F.count(F.lit(1)).alias("_places"), F.min_by("_b", F.col("_b")["_o"]).alias("_best")))
     rated = F.struct(F.coalesce("_places", F.lit(0)).alias("_places"), "_g", "_o")
     # as many entries as the probe itself has tiles
@@ -70,19 +85,29 @@ def rated_tiles(probes: DataFrame, names: DataFrame) -> DataFrame:
             .filter(F.col("_r")[0]["_places"] > 0))  # a tile that no name has rules the probe out
 
 
+def _long(rated: DataFrame) -> DataFrame:
+    """(probe, _g, _o, _n): the probes that are no single gram, with their rarest tile, its place and their length."""
+    rarest = F.col("_r")[0]
+    return (rated.filter(F.col("probe") != rarest["_g"])
+            .select("probe", rarest["_g"].alias("_g"), rarest["_o"].alias("_o"), F.length("probe").alias("_n")))
+
+
+def _cuts(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(probe, _id, _b): the texts of the ``names`` that lie about the tiles of ``asked`` (``_long``)
+    like a probe; each probe comes with every name that contains it, and other texts are among them."""
+    shapes = asked.select("_g", "_o", "_n").distinct()
+    sized = names.select("_id", "_t", F.length("_t").alias("_size"))
+    begins = (_wanted_postings(sized, TILED, shapes.select("_g"), "_id", "_size").join(shapes, "_g")
+              .select("_id", (F.col("_at") - F.col("_o")).alias("_start"), "_n", "_size")
+              .filter((F.col("_start") >= 0) & (F.col("_start") + F.col("_n") <= F.col("_size"))))
+    return (begins.join(names.select("_id", "_t", "_b"), "_id")
+            .select(F.substring("_t", F.col("_start") + 1, F.col("_n")).alias("probe"), "_id", "_b"))
+
+
 def candidates(rated: DataFrame, names: DataFrame) -> DataFrame:
-    """(probe, _id): the ``names`` that hold the rarest tiles of a probe in the right distances; every
-    name that contains the probe is among them. Probes that are a single gram have no row."""
-    enough = F.when(F.col("_r")[0]["_places"] <= FEW, 1).otherwise(TILES)
-    chosen = (rated.filter(F.col("probe") != F.col("_r")[0]["_g"])
-              .select("probe", F.slice("_r", F.lit(1), enough).alias("_r"))
-              .select("probe", F.size("_r").alias("_k"), F.inline("_r")))
-    begins = (chosen.join(_postings(names, TILED, "_id"), "_g")
-              .select("probe", "_k", "_id", (F.col("_at") - F.col("_o")).alias("_start"))
-              .filter(F.col("_start") >= 0))
-    # a text that is hashed like another one can only add candidates
-    return (begins.groupBy("probe", "_id", "_start", "_k").agg(F.count(F.lit(1)).alias("_c"))
-            .filter(F.col("_c") >= F.col("_k")).select("probe", "_id").distinct())
+    """(probe, _id): the ``names`` that contain a probe. Probes that are a single gram have no row."""
+    asked = _long(rated)
+    return _cuts(asked, names).join(asked, "probe", "left_semi").select("probe", "_id").distinct()
 
 
 def containing(probes: DataFrame, df: DataFrame, text: Column, id_col: str) -> DataFrame:
@@ -95,8 +120,9 @@ def containing(probes: DataFrame, df: DataFrame, text: Column, id_col: str) -> D
              .withColumn("_id", F.xxhash64("_t")))
     rated = rated_tiles(probes.select("probe").filter(F.length("probe") > 0).distinct(), names)
     whole = rated.filter(F.col("probe") == F.col("_r")[0]["_g"]).select("probe", F.col("_best").alias("_b"))
-    longer = (candidates(rated, names).join(names, "_id").filter(F.contains("_t", "probe"))
-              .groupBy("probe").agg(F.min_by("_b", F.col("_b")["_o"]).alias("_b")))
+    asked = _long(rated)
+    longer = (_cuts(asked, names).groupBy("probe").agg(F.min_by("_b", F.col("_b")["_o"]).alias("_b"))
+              .join(asked.select("probe"), "probe"))
     return whole.unionByName(longer).select(
         "probe", F.col("_b")[id_col].alias(id_col), F.col("_b")["_o"].alias("_o"))
 
