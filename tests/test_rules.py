@@ -707,3 +707,16 @@ def test_external_json_keeps_text_and_nested_values(spark):
     p = spark.createDataFrame([('{"symbol":"A","close":1,"pe":3,"rating":"AA","deep":{"x":1}}',)], "payload string")
     r = _one(vendor.normalise_external_json(p, "2024-02-01 00:00:00")[0])
     assert r.extras == {"pe": 3.0} and r.texts == {"rating": "AA", "deep": '{"x":1}'}
+
+
+def test_cuts_of_a_hot_key_are_searched_once_a_row(spark):
+    from tickvault.operators import temporal
+    rows = spark.range(400).selectExpr("'a' as k", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) as t", "id as s")
+    hot = temporal.hot_keys(rows, "k", 20)
+    split = temporal.split_hot(rows, hot, "k", "t", "s", 20).select("k", "s", "_b")
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    # two searches (for the sizes of buckets, for the rows): the steps of the cuts, named twice in a
+    # search beside the slice of the cuts
+    assert plan.count("filter(") <= 8
+    sizes = [r["count"] for r in split.groupBy("_b").count().collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 20

@@ -48,10 +48,10 @@ def _micros(ts: str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
 
 
-def _below(cuts: Column, value: Column) -> Column:
-    """How many of the sorted ``cuts`` are less than ``value``, searched in steps of ``CUT_STEP``."""
+def _below(cuts: Column, steps: Column, value: Column) -> Column:
+    """How many of the sorted ``cuts`` are less than ``value``; ``steps`` holds each of their ``CUT_STEP``-th."""
     count = lambda a: F.size(F.filter(a, lambda x: x < value))
-    skipped = count(F.filter(cuts, lambda x, i: (i + 1) % CUT_STEP == 0)) * CUT_STEP
+    skipped = count(steps) * CUT_STEP
     return skipped + count(F.slice(cuts, skipped + 1, CUT_STEP))
 
 
@@ -73,11 +73,15 @@ def split_hot(df: DataFrame, hot: DataFrame | None, key: str, ts: str, seq: str,
     named = hot.withColumnRenamed(key, "_key")
     rows = df.join(F.broadcast(named), F.col(key) == F.col("_key"), "left").withColumn("_hot", F.col("_key").isNotNull())
     cuts = (df.join(F.broadcast(hot.select(key)), key, "left_semi").groupBy(F.col(key).alias("_cutKey"))
-            .agg(F.array_distinct(F.percentile_approx(micros, [i / CUTS for i in range(1, CUTS)], 16 * CUTS)).alias("_cuts")))
+            .agg(F.array_distinct(F.percentile_approx(micros, [i / CUTS for i in range(1, CUTS)], 16 * CUTS)).alias("_cuts"))
+            .withColumn("_steps", F.filter("_cuts", lambda x, i: (i + 1) % CUT_STEP == 0)))
 
     def placed(rows: DataFrame) -> DataFrame:
         rows = rows.join(F.broadcast(cuts), F.col(key) == F.col("_cutKey"), "left")
-        below = _below(F.col("_cuts"), micros)
+        # Passing the place through a one-element inline (a Generate) searches it once a row, not
+        # again in each expression below that names it.
+        rows = rows.select("*", F.inline(F.array(F.struct(_below(F.col("_cuts"), F.col("_steps"), micros).alias("_below")))))
+        below = F.col("_below")
         instant = F.coalesce(F.get("_cuts", below) == micros, F.lit(False))
         last = F.lit(0) if kind is None else F.col(kind)
         order = F.when(~instant, micros).when(last == 0, F.col(seq).try_cast("bigint")).otherwise(
@@ -98,7 +102,7 @@ def split_hot(df: DataFrame, hot: DataFrame | None, key: str, ts: str, seq: str,
                    / (wide(F.col("_o1")) - wide(F.col("_o0")) + 1)).cast("bigint")
     bucket = F.when(F.col("_hot"), F.col("_b1") * F.lit(1 << 40) + F.coalesce(span, F.lit(0).cast("bigint")))
     return (rows.withColumn("_b", F.coalesce(bucket, F.lit(0).cast("bigint")))
-            .drop("_key", "_cutKey", "_cuts", "_b1", "_o", "_bKey", "_bb", "_bn", "_o0", "_o1", "_n"))
+            .drop("_key", "_cutKey", "_cuts", "_steps", "_below", "_b1", "_o", "_bKey", "_bb", "_bn", "_o0", "_o1", "_n"))
 
 
 def apply_changes(feed: DataFrame, key: str = "instrumentId", ts: str = "ts",
