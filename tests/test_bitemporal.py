@@ -81,3 +81,14 @@ def test_empty_tables(spark):
     assert kept.count() == len(points) and kept.filter(F.col("validFrom").isNotNull()).count() == 0
     with pytest.raises(ValueError):
         as_of_bitemporal_points(none_f, none_p, how="outer")
+
+
+def test_tree_carries_ranks_alone(spark):
+    # rows are repeated once a level: the changes themselves are not among the columns that are
+    feed, points = table(4)
+    df = as_of_bitemporal_points(spark.createDataFrame(feed, FEED), spark.createDataFrame(points, POINTS), how="left")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    spread = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert len(spread) >= 2 and not any("_c#" in line or "_p#" in line for line in spread)
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and not any("struct" in line.lower() for line in windows)

@@ -6,14 +6,16 @@ from a few nearest changes among those recorded by the transaction time: the las
 last delete at or before the valid time, the first ones after it, and the first register.
 
 "The nearest change on the left that was recorded by then" is a search in two dimensions. All
-changes and points of a key are ranked by valid time, and the ranks form a binary tree: two rows
-part at exactly one node, the one to the left child and the other to the right. So in every
-node, in the order of transaction time, a running maximum over the changes of the left child
-answers the points of the right child, and a running minimum the other way round. Each row
-lies in one node of every level: rows x log2(rows of the key), in one shuffle.
+changes and points of a key are ranked by valid time, and the ranks form a tree of four children
+a node: two rows part at exactly one node, the one to a child further left than the other's. So in
+every node, in the order of transaction time, running maxima over the changes of the first
+children answer the points of those after them, and running minima the other way round. Each row
+lies in one node of every level: rows x log4(rows of the key), in one shuffle. Only ranks are
+carried through the tree; the changes that were found are looked up at the end.
 
 Hot keys are split twice by ``split_hot``: by valid time for the ranking, and by transaction
-time inside the nodes, whose buckets are summed up in one row each and carried to the next.
+time inside the nodes, whose buckets are summed up in one row each and carried to the next. A
+node that cannot hold more rows than a bucket is left whole.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from tickvault.operators.temporal import ROWS_PER_BUCKET, hot_keys, split_hot
 
 # The node of all registers and points of a key, beside the levels of the tree.
 REGISTERS = -1
+# A node has 2 ** BITS children.
+BITS = 2
 
 
 def _ranked(rows: DataFrame, key: str, hot: DataFrame | None, rows_per_bucket: int) -> DataFrame:
@@ -44,23 +48,43 @@ def _ranked(rows: DataFrame, key: str, hot: DataFrame | None, rows_per_bucket: i
         places = sizes.select(key, "_xb", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"),
                               F.sum("_in").over(Window.partitionBy(key)).alias("_size"))
         rows = rows.join(places, [key, "_xb"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before")
-    rows = (rows.withColumn("_levels", F.length(F.bin(F.col("_size") - 1)))
-            .withColumn("_c", F.when(F.col("_kind") == 0, F.struct(F.col("_rank").alias("rank"), "_c.*")))
+    rows = (rows.withColumn("_levels", F.ceil(F.length(F.bin(F.col("_size") - 1)) / BITS).cast("int"))
             .drop("_xb", "_hot", "_size"))
     return split_hot(rows, hot, key, "_known", "_seq", rows_per_bucket, kind="_kind").withColumnRenamed("_b", "_tb")
 
 
-def _side() -> Column:
-    return F.call_function("shiftright", F.col("_rank"), F.col("_level")).bitwiseAND(F.lit(1))
+def _child() -> Column:
+    return F.call_function("shiftright", F.col("_rank"), F.col("_level") * BITS).bitwiseAND(F.lit(2 ** BITS - 1))
 
 
-def _node(level: Column) -> Column:
-    return F.when(level >= 0, F.call_function("shiftright", F.col("_rank"), level + 1)).otherwise(F.lit(0).cast("bigint"))
+def _spread(rows: DataFrame, rows_per_bucket: int) -> DataFrame:
+    """Add ``_node`` and ``_child`` (null in the node of registers) to rows that have ``_level``; nodes
+    of at most ``rows_per_bucket`` ranks are no longer split by transaction time."""
+    level, in_tree = F.col("_level"), F.col("_level") >= 0
+    large = ~in_tree | (F.pow(F.lit(2.0), (level + 1) * BITS) > rows_per_bucket)
+    node = F.when(in_tree, F.call_function("shiftright", F.col("_rank"), (level + 1) * BITS))
+    return (rows.withColumn("_node", F.coalesce(node, F.lit(0).cast("bigint"))).withColumn("_child", F.when(in_tree, _child()))
+            .withColumn("_hot", F.col("_hot") & large).withColumn("_tb", F.when(large, F.col("_tb")).otherwise(0)))
+
+
+def _before(value: Column) -> dict[str, Column]:
+    """``value`` of rows in a child before the k-th one, by k."""
+    return {str(k): F.when(F.col("_child") < k, value) for k in range(1, 2 ** BITS)}
+
+
+def _after(value: Column) -> dict[str, Column]:
+    return {str(k): F.when(F.col("_child") > k, value) for k in range(2 ** BITS - 1)}
+
+
+def _own(name: str) -> Column:
+    """The one of the columns ``name`` + k that is of the row's own child."""
+    return F.coalesce(*[F.when(F.col("_child") == k, F.col(f"{name}{k}")) for k in
+                        (range(1, 2 ** BITS) if name.startswith("last") else range(2 ** BITS - 1))])
 
 
 def _running(rows: DataFrame, nodes: list[str], wanted: dict[str, tuple[bool, Column]], hot: bool) -> DataFrame:
     """Running extremes of the changes within each of ``nodes``, up to each point's transaction
-    time: ``wanted`` maps a name to (largest, value)."""
+    time: ``wanted`` maps a name to (largest, value), null for points."""
     best = {True: F.max, False: F.min}
     w = (Window.partitionBy(*nodes, "_tb").orderBy("_known", "_kind")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -68,14 +92,12 @@ def _running(rows: DataFrame, nodes: list[str], wanted: dict[str, tuple[bool, Co
     found = found.filter(F.col("_kind") == 1)
     if not hot:
         return found
-    summary = (rows.filter(F.col("_hot") & (F.col("_kind") == 0)).groupBy(*nodes, "_tb")
-               .agg(*[best[up](v).alias(n) for n, (up, v) in wanted.items()]))
     # every bucket that holds points needs the edge before it, also one without changes
-    edges = (found.filter("_hot").select(*nodes, "_tb").distinct()
-             .join(summary, [*nodes, "_tb"], "full_outer"))
+    summary = (rows.filter(F.col("_hot")).groupBy(*nodes, "_tb")
+               .agg(*[best[up](v).alias(n) for n, (up, v) in wanted.items()]))
     before = Window.partitionBy(*nodes).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
-    carry = edges.select(*nodes, "_tb", *[best[up](F.col(n)).over(before).alias(f"_e_{n}")
-                                          for n, (up, _) in wanted.items()])
+    carry = summary.select(*nodes, "_tb", *[best[up](F.col(n)).over(before).alias(f"_e_{n}")
+                                            for n, (up, _) in wanted.items()])
     found = found.join(carry, [*nodes, "_tb"], "left")
     merged = {True: F.greatest, False: F.least}
     for n, (up, _) in wanted.items():
@@ -118,45 +140,51 @@ def as_of_bitemporal_points(feed: DataFrame, points: DataFrame, key: str = "inst
     hot = hot_keys(rows, key, rows_per_bucket)
     rows = _ranked(rows, key, hot, rows_per_bucket).checkpoint()
 
-    kind, change = F.col("_kind"), F.col("_c")
+    kind, change, rank = F.col("_kind"), F.col("_c"), F.col("_rank")
     register, off = change["op"] == "register", change["op"] == "delete"
+    is_on, is_off = (kind == 0) & ~F.col("_off"), (kind == 0) & F.col("_off")
     # Nodes: registers meet all points in one, other changes meet points in the tree.
     tree = F.sequence(F.lit(0), F.col("_levels") - 1)
     levels = (F.when(kind == 1, F.concat(F.array(F.lit(REGISTERS)), tree))
               .when(register, F.array(F.lit(REGISTERS))).otherwise(tree))
-    spread = (rows.drop("_p").withColumn("_level", F.explode(levels)).withColumn("_node", _node(F.col("_level")))
-              .withColumn("_right", F.when(F.col("_level") >= 0, _side() == 1)))
-    left_change, right_change = (kind == 0) & ~F.col("_right"), (kind == 0) & F.col("_right")
-    near = _running(spread, [key, "_level", "_node"], {
-        "lastOn": (True, F.when(left_change & ~off, change)), "lastOff": (True, F.when(left_change & off, change)),
-        "nextOn": (False, F.when(right_change & ~off, change)), "nextOff": (False, F.when(right_change & off, change)),
-        "first": (False, F.when((kind == 0) & F.col("_right").isNull(), change))}, hot is not None)
-    on_right, on_left = F.col("_right"), ~F.col("_right")
+    thin = [key, "_known", "_kind", "_rank", "_tb", "_hot", "_levels"]
+    spread = _spread(rows.select(*thin, off.alias("_off"), F.explode(levels).alias("_level")), rows_per_bucket)
+    wanted = {"first": (False, F.when((kind == 0) & (F.col("_level") == REGISTERS), rank))}
+    for state, of_state in (("On", is_on), ("Off", is_off)):
+        wanted |= {f"last{state}{k}": (True, v) for k, v in _before(F.when(of_state, rank)).items()}
+        wanted |= {f"next{state}{k}": (False, v) for k, v in _after(F.when(of_state, rank)).items()}
+    near = _running(spread, [key, "_level", "_node"], wanted, hot is not None)
     near = near.groupBy(key, "_rank").agg(
-        *[F.max(F.when(on_right, F.col(c))).alias(c) for c in ("lastOn", "lastOff")],
-        *[F.min(F.when(on_left, F.col(c))).alias(c) for c in ("nextOn", "nextOff")], F.min("first").alias("first"),
-        *[F.first(c).alias(c) for c in ("_known", "_tb", "_hot", "_levels", "_t")])
-    # Changes before the first register count for nothing; the register itself is an "on".
-    near = near.filter(F.col("first.t") <= F.col("_t"))
+        *[F.max(_own(c)).alias(c) for c in ("lastOn", "lastOff")],
+        *[F.min(_own(c)).alias(c) for c in ("nextOn", "nextOff")], F.min("first").alias("first"),
+        F.first("_known").alias("_known"), F.first("_levels").alias("_levels"),
+        *[F.max(F.when(F.col("_level") == REGISTERS, F.col(c))).alias(c) for c in ("_tb", "_hot")])
+    # Changes before the first register count for nothing; the register itself is an "on". At one
+    # instant changes rank before points.
+    near = near.filter(F.col("first") < rank)
     for c in ("lastOn", "lastOff"):
-        near = near.withColumn(c, F.when(F.col(c)["rank"] > F.col("first.rank"), F.col(c)))
-    near = (near.withColumn("_on", F.col("lastOff").isNull() | F.coalesce(F.col("lastOn.rank") > F.col("lastOff.rank"), F.lit(False)))
+        near = near.withColumn(c, F.when(F.col(c) > F.col("first"), F.col(c)))
+    near = (near.withColumn("_on", F.col("lastOff").isNull() | F.coalesce(F.col("lastOn") > F.col("lastOff"), F.lit(False)))
             .withColumn("_end", F.when(F.col("_on"), F.col("nextOff")).otherwise(F.col("nextOn")))
             .withColumn("_edge", F.when(F.col("_on"), F.col("lastOff")).otherwise(F.coalesce("lastOn", "first"))))
 
     # The version starts at the first change of its state after the last one of the other state.
     asked = (near.filter(F.col("_edge").isNotNull())
-             .select(key, "_known", "_tb", "_hot", "_levels", "_on", F.col("_rank").alias("_point"),
-                     F.col("_edge.rank").alias("_rank"), F.lit(1).alias("_kind"), F.lit(None).cast(rows.schema["_c"].dataType).alias("_c")))
-    changed = rows.filter((kind == 0) & ~register).select(
-        key, "_known", "_tb", "_hot", "_levels", (~off).alias("_on"), F.lit(None).cast("bigint").alias("_point"), "_rank", "_kind", "_c")
-    spread = (asked.unionByName(changed).withColumn("_level", F.explode(tree))
-              .filter(_side() == F.when(kind == 0, 1).otherwise(0)).withColumn("_node", _node(F.col("_level"))))
-    start = _running(spread, [key, "_on", "_level", "_node"], {"_start": (False, F.when(kind == 0, change))}, hot is not None)
-    start = start.groupBy(key, F.col("_point").alias("_rank")).agg(F.min("_start").alias("_start"))
+             .select(key, "_known", F.lit(1).alias("_kind"), F.col("_edge").alias("_rank"), "_tb", "_hot", "_levels", "_on",
+                     rank.alias("_point")))
+    changed = rows.filter((kind == 0) & ~register).select(*thin, (~off).alias("_on"), F.lit(None).cast("bigint").alias("_point"))
+    spread = (_spread(asked.unionByName(changed).withColumn("_level", F.explode(tree)), rows_per_bucket)
+              .filter(F.col("_child") != F.when(kind == 0, 0).otherwise(2 ** BITS - 1)))
+    start = _running(spread, [key, "_on", "_level", "_node"], {
+        f"start{k}": (False, v) for k, v in _after(F.when(kind == 0, rank)).items()}, hot is not None)
+    start = start.groupBy(key, F.col("_point").alias("_rank")).agg(F.min(_own("start")).alias("_from"))
     hit = (near.join(start, [key, "_rank"], "left")
-           .withColumn("_start", F.when(F.col("_edge").isNull(), F.col("first")).otherwise(F.col("_start")))
-           .select(key, "_rank", "_start", "_end", "_on"))
+           .select(key, "_rank", F.when(F.col("_edge").isNull(), F.col("first")).otherwise(F.col("_from")).alias("_from"),
+                   F.col("_end").alias("_to"), "_on"))
+    found = rows.filter(kind == 0)
+    for place, name in (("_from", "_start"), ("_to", "_end")):
+        hit = hit.join(found.select(key, rank.alias(place), change.alias(name)), [key, place], "left")
+    hit = hit.select(key, "_rank", "_start", "_end", "_on")
     out = rows.filter(kind == 1).select(key, "_rank", "_p").join(hit, [key, "_rank"], how)
     if how == "left":
         out = out.unionByName(prows.filter(~can_match).select(key, "_p"), allowMissingColumns=True)
