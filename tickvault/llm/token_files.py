@@ -35,13 +35,29 @@ SHARD_IDS = 1 << 20
 END_ID = 1
 MAGIC = b"PFOR"
 _HEADER = struct.Struct("<4sIQQQ")
-_BLOCK_HEAD = struct.Struct("<IBH")
+_BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("patches", "<u2")])
+# Blocks whose bits are taken apart at a time.
+SLAB = 1024
 
 
 def _bit_widths(v: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(v.astype(np.float64) + 1)).astype(np.int64)
 
 
+def _slabs(width: np.ndarray):
+    """(width, its kind of whole number, some blocks of that width), for all widths above 0."""
+    for w in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero(width == w)
+        for a in range(0, len(rows), SLAB):
+            yield w, "<u2" if w <= 16 else "<u4", rows[a:a + SLAB]
+
+
+def _nth(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each exception its block and its number there."""
+    block = np.repeat(np.arange(len(counts)), counts)
+    return block, np.arange(len(block)) - (np.cumsum(counts) - counts)[block]
+
+
 def write_shard(doc_ids: list, counts: list[int], ids: np.ndarray) -> bytes:
     """The image of one shard. A null doc_id is written as the smallest 64-bit number."""
     n_blocks = -(-len(ids) // BLOCK)
@@ -50,26 +66,29 @@ def write_shard(doc_ids: list, counts: list[int], ids: np.ndarray) -> bytes:
     grid = pad.reshape(-1, BLOCK)
     low = grid.min(axis=1)
     diff = grid - low[:, None]
-    cut = np.sort(diff, axis=1)[:, (BLOCK * PERCENTILE) // 100 - 1]
-    width = _bit_widths(cut)
-    patched = diff >> width[:, None].astype(np.uint32) > 0
-    packed: list[bytes] = [b""] * n_blocks
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        bits = (diff[rows][:, :, None] >> np.arange(w, dtype=np.uint32) & 1).astype(np.uint8)
-        lines = np.packbits(bits.reshape(len(rows), -1), axis=1)
-        for r, line in zip(rows, lines):
-            packed[r] = line.tobytes()
-    blocks = []
-    for r in range(n_blocks):
-        at = np.flatnonzero(patched[r])
-        high = (diff[r, at] >> np.uint32(width[r])).astype("<u4")
-        blocks.append(_BLOCK_HEAD.pack(int(low[r]), int(width[r]), len(at)) + packed[r]
-                      + at.astype("<u1").tobytes() + high.tobytes())
-    index = np.cumsum([0, *map(len, blocks)])[:-1].astype("<u8")
+    rank = (BLOCK * PERCENTILE) // 100 - 1
+    width = _bit_widths(np.partition(diff, rank, axis=1)[:, rank])
+    at, where = np.nonzero(diff >> width[:, None].astype(np.uint32) > 0)
+    heads = np.zeros(n_blocks, _BLOCK_HEAD)
+    heads["low"], heads["width"] = low, width
+    heads["patches"] = patches = np.bincount(at, minlength=n_blocks)
+    sizes = _BLOCK_HEAD.itemsize + BLOCK * width // 8 + 5 * patches
+    index = np.cumsum(sizes) - sizes
+    body = np.empty(int(sizes.sum()), np.uint8)
+    body[index[:, None] + np.arange(_BLOCK_HEAD.itemsize)] = heads.view(np.uint8).reshape(n_blocks, -1)
+    start = index + _BLOCK_HEAD.itemsize
+    for w, kind, rows in _slabs(width):
+        bits = np.unpackbits(diff[rows].astype(kind).view(np.uint8), bitorder="little")
+        bits = bits.reshape(len(rows), BLOCK, -1)[:, :, :w].reshape(len(rows), -1)
+        body[start[rows][:, None] + np.arange(BLOCK * w // 8)] = np.packbits(bits, axis=1)
+    _, nth = _nth(patches)
+    list_ = (start + BLOCK * width // 8)[at]
+    body[list_ + nth] = where
+    high = (diff[at, where] >> width[at].astype(np.uint32)).astype("<u4")
+    body[(list_ + patches[at] + 4 * nth)[:, None] + np.arange(4)] = high.view(np.uint8).reshape(-1, 4)
     docs = np.array([np.iinfo(np.int64).min if d is None else d for d in doc_ids], "<i8")
     return b"".join([_HEADER.pack(MAGIC, BLOCK, len(doc_ids), n_blocks, len(ids)), docs.tobytes(),
-                     np.array(counts, "<u8").tobytes(), index.tobytes(), *blocks])
+                     np.array(counts, "<u8").tobytes(), index.astype("<u8").tobytes(), body.tobytes()])
 
 
 def read_shard(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,26 +101,21 @@ def read_shard(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     counts = np.frombuffer(image, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
     index = np.frombuffer(image, "<u8", n_blocks, at + 16 * n_docs).astype(np.int64)
     body = at + 16 * n_docs + 8 * n_blocks
-    heads = [_BLOCK_HEAD.unpack_from(image, body + i) for i in index]
-    low, width, patches = (np.array(x, np.int64) for x in zip(*heads)) if heads else (np.zeros(0, np.int64),) * 3
     raw = np.frombuffer(image, np.uint8)
-    start = body + index + _BLOCK_HEAD.size
+    heads = raw[(body + index)[:, None] + np.arange(_BLOCK_HEAD.itemsize)].reshape(-1).view(_BLOCK_HEAD)
+    width, patches = heads["width"].astype(np.int64), heads["patches"].astype(np.int64)
+    start = body + index + _BLOCK_HEAD.itemsize
     grid = np.zeros((n_blocks, size), np.uint32)
-    for w in np.unique(width):
-        if w:
-            rows = np.flatnonzero(width == w)
-            lines = raw[start[rows][:, None] + np.arange(size * w // 8)]
-            bits = np.unpackbits(lines, axis=1).reshape(len(rows), size, w)
-            value = np.zeros((len(rows), size), np.uint32)
-            for k in range(w):
-                value |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-            grid[rows] = value
-    for r in np.flatnonzero(patches):
-        n, p = int(patches[r]), int(start[r] + size * width[r] // 8)
-        where = raw[p:p + n]
-        high = np.frombuffer(image, "<u4", n, p + n)
-        grid[r, where] |= high << np.uint32(width[r])
-    return doc_ids, counts, (grid + low[:, None].astype(np.uint32)).ravel()[:n_ids]
+    for w, kind, rows in _slabs(width):
+        lines = raw[start[rows][:, None] + np.arange(size * w // 8)]
+        bits = np.zeros((len(rows), size, 8 * np.dtype(kind).itemsize), np.uint8)
+        bits[:, :, :w] = np.unpackbits(lines, axis=1).reshape(len(rows), size, w)
+        grid[rows] = np.packbits(bits.reshape(-1), bitorder="little").view(kind).reshape(len(rows), size)
+    block, nth = _nth(patches)
+    list_ = (start + size * width // 8)[block]
+    high = raw[(list_ + patches[block] + 4 * nth)[:, None] + np.arange(4)].reshape(-1).view("<u4")
+    grid[block, raw[list_ + nth]] |= high << width[block].astype(np.uint32)
+    return doc_ids, counts, (grid + heads["low"][:, None]).ravel()[:n_ids]
 
 
 _SHARD = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()),

@@ -3,14 +3,17 @@
 Both vocabularies used here split a text before their merges in such a way that a
 piece boundary always lies before white space that follows a visible character, and
 nothing before such a place changes what follows it. So a text may be cut there, and
-each distinct piece needs encoding only once per Python worker. Texts are cut and
-their pieces numbered by Arrow, a batch at a time; ids are gathered by numpy.
+a piece of letters again before its closing marks. The distinct parts of a batch are
+looked up in an Arrow table of those met before; only new ones go to the tokenizers
+library. Texts are cut and their parts numbered by Arrow, a batch at a time; ids are
+gathered by numpy, with no Python object per word.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,8 @@ import pyarrow.compute as pc
 CACHE_ENTRIES = 700_000
 CACHED_CHARS = 64
 JOINED = 200
+# Texts handed to the library at a time: it keeps much beside the ids of each.
+HANDED = 64
 
 # The characters of the Unicode property White_Space.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -28,7 +33,14 @@ _PIECES = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 _UNEVEN = "[\\s\\x0b\\x{85}\\p{Z}][\\s\\x0b\\x{85}\\p{Z}]|^[ \\x00]|\\x00"
 _START = "\0"
 # Letters (of Latin blocks, whose lower case are letters too) and closing marks after them.
-_PLAIN = re.compile("([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,;:!?]*)")
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+"
+_PARTS = f'^(?P<line>\n?)(?P<word> ?{_LETTERS})(?P<marks>[.,;:!?#$%&*)"]*)$'
+
+
+def _taken(pool: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Stretches of ``pool``, ``n`` values from ``begin`` on each, one after the other."""
+    ends = np.cumsum(n)
+    return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - n), n)]
 
 
 class PieceEncoder:
@@ -48,67 +60,98 @@ class PieceEncoder:
         self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.edge[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
-        self.known: dict[str, bytes] = {"": b""}
-        self.long: list[str] = []
-
-    def _each(self, pieces: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that are letters alone, encoded many to a text and parted at their edges."""
-        out: list[bytes] = []
-        groups = [words[a:a + JOINED] for a in range(0, len(words), JOINED)]
-        texts = [("" if self.spaced else " ").join(g) for g in groups]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.asarray(e.ids, "<u4")
+        self.plain = f"^{' ' if spaced else ''}{_LETTERS}$"
+        # The parts met before, and of each the place and number of its ids.
+        self.known = pa.array([], pa.large_string())
+        self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _handed(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for a in range(0, len(texts), HANDED):
+            for e in self.tokenizer.encode_batch_fast(texts[a:a + HANDED], add_special_tokens=False):
+                yield np.asarray(e.ids, np.uint32)
+
+    def _words(self, words: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids, and how many each has, of words that are letters alone, encoded many to a text
+        and parted at their edges."""
+        cuts = np.append(np.arange(0, len(words), JOINED), len(words))
+        groups = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words.cast(pa.string()))
+        all_ids, sizes = [], []
+        for k, ids in enumerate(self._handed(pc.binary_join(groups, "" if self.spaced else " ").to_pylist())):
             at = np.flatnonzero(self.edge[ids])
-            if len(at) != len(group):
-                out += self._each(group)
+            if len(at) == cuts[k + 1] - cuts[k]:
+                all_ids.append(ids)
+                sizes.append(np.diff(np.append(at, len(ids)) if self.spaced else np.append(-1, at)))
             else:
-                raw, cuts = ids.tobytes(), 4 * (np.append(at, len(ids)) if self.spaced else np.append(0, at + 1))
-                out += [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        return out
-
-    def learn(self, pieces: list[str]) -> None:
-        """Make all of ``pieces`` known."""
-        parts: dict[str, tuple[str, ...]] = {}
-        words, other = set(), set()
-        for p in set(pieces).difference(self.known):
-            if len(p) > CACHED_CHARS:
-                self.long.append(p)
-            m = _PLAIN.fullmatch(p)
-            if not m:
-                other.add(p)
-                continue
-            lead, word, marks = m.groups()
-            if (lead == " ") != self.spaced:
-                other.update((lead, word) if lead == "\n" else (lead + word,))
-                parts[p] = (lead, word, marks) if lead == "\n" else (lead + word, marks)
-            else:
-                words.add(lead + word)
-                parts[p] = lead + word, marks
-            other.add(marks)
-        new = list(words.difference(self.known))
-        self.known.update(zip(new, self._words(new)))
-        new = list(other.difference(self.known))
-        self.known.update(zip(new, self._each(new)))
-        known = self.known
-        for p, x in parts.items():
-            known[p] = known[x[0]] + known[x[1]] if len(x) == 2 else b"".join([known[y] for y in x])
-
-    def _forget(self) -> None:
-        """Keep the table of known pieces bounded: long pieces are not kept at all."""
-        for p in self.long:
-            self.known.pop(p, None)
-        self.long.clear()
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {"": b""}
-
-    def _uneven(self, text: str) -> np.ndarray:
-        pieces = _PIECES.findall(text)
-        self.learn(pieces)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4")
+                each = list(self._handed(groups[k].as_py()))
+                all_ids += each
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        return all_ids, sizes
+
+    def rows(self, parts: pa.Array) -> np.ndarray:
+        """The rows of distinct ``parts`` in the table, where new ones are added."""
+        at = pc.index_in(parts, value_set=self.known)
+        new = at.is_null()
+        rows = at.fill_null(0).to_numpy().astype(np.int64)
+        if at.null_count:
+            added = parts.filter(new)
+            plain = pc.match_substring_regex(added, self.plain)
+            words, other = added.filter(plain), added.filter(pc.invert(plain))
+            ids, sizes = self._words(words) if len(words) else ([], [])
+            for each in self._handed(other.to_pylist()):
+                ids.append(each)
+                sizes.append(np.array([len(each)], np.int64))
+            plain, base = plain.to_numpy(zero_copy_only=False), len(self.known)
+            place = np.empty(len(added), np.int64)
+            place[plain] = base + np.arange(len(words))
+            place[~plain] = base + len(words) + np.arange(len(other))
+            rows[new.to_numpy(zero_copy_only=False)] = place
+            self.known = pa.concat_arrays([self.known, words, other])
+            self.ids = np.concatenate([self.ids, *ids])
+            self.size = np.concatenate([self.size, *sizes])
+            self.begin = np.cumsum(self.size) - self.size
+        return rows
+
+    def _forget(self, used: np.ndarray) -> None:
+        """Keep the table bounded: long parts are not kept at all, and where there are too many,
+        those of the last batch alone are."""
+        keep = pc.less_equal(pc.utf8_length(self.known), CACHED_CHARS).to_numpy(zero_copy_only=False)
+        if keep.sum() > CACHE_ENTRIES:
+            last = np.zeros(len(keep), bool)
+            last[used] = True
+            keep &= last if (keep & last).sum() <= CACHE_ENTRIES else False
+        if not keep.all():
+            self.ids = _taken(self.ids, self.begin[keep], self.size[keep])
+            self.known, self.size = self.known.filter(pa.array(keep)), self.size[keep]
+            self.begin = np.cumsum(self.size) - self.size
+
+    def _coded(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces in turn, and how many each has."""
+        found = pc.extract_regex(names, _PARTS)
+        whole = found.is_null()
+        none = pa.scalar("", names.type)
+        columns = [pc.if_else(whole, none, found.field("line")), pc.if_else(whole, names, found.field("word")),
+                   pc.if_else(whole, none, found.field("marks"))]
+        parts = pa.concat_arrays(columns).dictionary_encode()
+        used = self.rows(parts.dictionary)
+        rows = used[parts.indices.to_numpy()].reshape(len(columns), -1)
+        out = _taken(self.ids, self.begin[rows.T.ravel()], self.size[rows.T.ravel()])
+        n = self.size[rows].sum(axis=0)
+        self._forget(used)
+        return out, n
+
+    def _uneven(self, texts: list[str]) -> list[np.ndarray]:
+        pieces = [_PIECES.findall(t) for t in texts]
+        column = pa.array([p for x in pieces for p in x], pa.large_string()).dictionary_encode()
+        return self._texts(column, np.cumsum([0, *map(len, pieces)]), column.dictionary)
+
+    def _texts(self, pieces: pa.DictionaryArray, cuts: np.ndarray, names: pa.Array) -> list[np.ndarray]:
+        """Ids of each text, whose pieces lie between two ``cuts``."""
+        pool, sizes = self._coded(names)
+        which = pieces.indices.to_numpy()
+        n = sizes[which]
+        ids = _taken(pool, (np.cumsum(sizes) - sizes)[which], n)
+        bounds = np.append(0, np.cumsum(n))[cuts].tolist()
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         column = pa.array(texts, pa.large_string())
@@ -118,37 +161,32 @@ class PieceEncoder:
             whole = pc.match_substring_regex(column, self.added).to_numpy(zero_copy_only=False)
             if whole.any():
                 column = pc.if_else(pa.array(whole), pa.scalar("", column.type), column)
+        uneven = np.zeros(len(texts), bool)
         if self.spaced:
             uneven = pc.match_substring_regex(column, _UNEVEN).to_numpy(zero_copy_only=False)
             column = pc.if_else(pa.array(uneven), pa.scalar("", column.type), column)
             column = pc.replace_substring(pc.binary_join_element_wise(pa.scalar(_START, column.type), column, pa.scalar("", column.type)), "\n", " \n")
         else:
-            uneven = np.zeros(len(texts), bool)
             # Lower case is the same to this vocabulary, so fewer pieces are distinct.
             column = pc.ascii_lower(column)
             for c in "\t\n\x0b\x0c\r":
                 column = pc.replace_substring(column, c, " ")
         lists = pc.split_pattern(column, " ")
+        del column
         flat = lists.flatten().dictionary_encode()
-        names = flat.dictionary.to_pylist()
+        names = flat.dictionary
         if self.spaced:
-            names = [p if p[:1] == "\n" else p[1:] if p[:1] == _START else " " + p for p in names]
-        self.learn(names)
-        coded = [self.known[p] for p in names]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        begin = np.cumsum(sizes) - sizes
-        pool = np.frombuffer(b"".join(coded), "<u4")
-        which = flat.indices.to_numpy()
-        n = sizes[which]
-        ends = np.cumsum(n)
-        ids = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[which] - (ends - n), n)]
-        bounds = np.append(0, ends)[lists.offsets.to_numpy()]
-        out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        for i in np.flatnonzero(uneven).tolist():
-            out[i] = self._uneven(texts[i])
-        for i in np.flatnonzero(whole).tolist():
-            out[i] = np.frombuffer(self._each([texts[i]])[0], "<u4")
-        self._forget()
+            after = pc.binary_join_element_wise(pa.scalar(" ", names.type), names, pa.scalar("", names.type))
+            first = pc.starts_with(names, _START)
+            names = pc.if_else(pc.starts_with(names, "\n"), names,
+                               pc.if_else(first, pc.utf8_slice_codeunits(names, 1), after))
+        out = self._texts(flat, lists.offsets.to_numpy(), names)
+        at = np.flatnonzero(uneven).tolist()
+        for i, ids in zip(at, self._uneven([texts[i] for i in at]) if at else ()):
+            out[i] = ids
+        at = np.flatnonzero(whole).tolist()
+        for i, ids in zip(at, self._handed([texts[i] for i in at])):
+            out[i] = ids
         return out
 
 
