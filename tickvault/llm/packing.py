@@ -25,6 +25,8 @@ from tickvault.llm.tokens import encoder
 CAPACITY = 2048
 END_ID = 0
 ROWS_PER_RANK_BUCKET = 250_000
+# Characters encoded at a time: an executor's heap leaves its Python workers little memory.
+BATCH_CHARS = 1 << 21
 
 
 class CapacityTree:
@@ -95,7 +97,7 @@ def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, spaced=True).encode
         rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        for some in rebatch(rows, lambda r: len(r[1] or ""), 1 << 23):
+        for some in rebatch(rows, lambda r: len(r[1] or ""), BATCH_CHARS):
             out: list[list] = [[] for _ in _PIECES]
             for (doc, _), ids in zip(some, encode([t or "" for _, t in some])):
                 view, n = memoryview(np.append(ids, end)).cast("B"), len(ids) + 1

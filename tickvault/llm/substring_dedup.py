@@ -38,7 +38,7 @@ LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 8 << 20
 OWNER_BYTES = 4 << 20
-SLICE = 1 << 20
+SLICE = 1 << 18
 HASH_BITS = 40
 HOT_RUNS = 1 << 16
 COUNTED = 4
@@ -100,17 +100,34 @@ def anchored_runs(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _joined(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of texts, its length last, all their bytes), as Arrow has them beside each other."""
+    texts = pa.concat_arrays([c.fill_null("") for c in texts.cast(pa.large_string()).chunks] or [pa.array([], pa.large_string())])
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return offsets - offsets[0], raw[offsets[0]:offsets[-1]]
+
+
+def _covered(begins: np.ndarray, length: int) -> np.ndarray:
+    """Whether any of the last ``length`` marks up to each place is set."""
+    out, width = begins.copy(), 1
+    while width < length:
+        step = min(width, length - width)
+        out[step:] |= out[:-step]
+        width += step
+    return out
+
+
 class Block:
     """The texts of one block as bytes in a row. Rows come in any order from a shuffle, so they are
     sorted: where slices cut runs must be the same in every step."""
 
     def __init__(self, rows: pa.Table, length: int):
         self.rows = rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
         self.length = length
         self.ids = rows.column("doc_id").to_numpy()
-        self.starts = np.cumsum([0, *map(len, texts)])
-        self.raw = np.frombuffer(b"".join(texts), np.uint8)
+        self.starts, self.raw = _joined(rows.column("text"))
         self.hashes, self.first, self.count = anchored_runs(self.raw, self.starts, length)
         self.doc = self.ids[np.searchsorted(self.starts, self.first, "right") - 1]
 
@@ -377,7 +394,7 @@ def _remove(length: int, owner_bits: int, with_text: bool, carried: list[str]):
         bitmaps = _bitmaps(replies)
         least = {r["owner"]: r for r in replies.to_pylist() if r["kind"] == 1}
         # Every string start lies in one place only, so marking the starts of removed strings is enough.
-        begins = np.zeros(len(b.raw) + length, np.int32)
+        begins = np.zeros(len(b.raw) + length, bool)
         for owner, keys, at, counts in b.stretches(owner_bits, bitmaps):
             r = least[owner]
             ids = np.repeat(np.frombuffer(r["data"], "<i8"), np.frombuffer(r["runs"], "<u2"))
@@ -386,10 +403,9 @@ def _remove(length: int, owner_bits: int, with_text: bool, carried: list[str]):
             n = np.repeat(n, counts)
             inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             hit = ids[np.repeat(from_, n) + inside] < np.repeat(b.place_doc[at], n)
-            begins[(np.repeat(b.places[at], n) + inside)[hit]] = 1
-        upto = np.cumsum(begins, dtype=np.int32)
+            begins[(np.repeat(b.places[at], n) + inside)[hit]] = True
         # A byte goes if a removed string begins at it or less than `length` bytes before it.
-        gone = upto[:len(b.raw)] > np.append(np.zeros(length, np.int32), upto)[:len(b.raw)]
+        gone = _covered(begins, length)[:len(b.raw)]
         out = []
         for doc, a, e in zip(b.ids.tolist(), b.starts[:-1].tolist(), b.starts[1:].tolist()):
             cut = gone[a:e]
