@@ -75,7 +75,7 @@ def write_shard(doc_ids: list, counts: list[int], ids: np.ndarray) -> bytes:
     sizes = _BLOCK_HEAD.itemsize + BLOCK * width // 8 + 5 * patches
     index = np.cumsum(sizes) - sizes
     body = np.empty(int(sizes.sum()), np.uint8)
-    body[index[:, None] + np.arange(_BLOCK_HEAD.itemsize)] = heads.view(np.uint8).reshape(n_blocks, -1)
+    body[index[:, None] + np.arange(_BLOCK_HEAD.itemsize)] = heads.view(np.uint8).reshape(-1, _BLOCK_HEAD.itemsize)
     start = index + _BLOCK_HEAD.itemsize
     for w, kind, rows in _slabs(width):
         bits = np.unpackbits(diff[rows].astype(kind).view(np.uint8), bitorder="little")
