@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+import resource
 import tracemalloc
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from tickvault.llm import packing, substring_dedup
+from tickvault.llm import common, near_dedup, packing, substring_dedup, tokens
 
 
 def test_packing_encodes_few_texts_at_a_time(monkeypatch):
@@ -61,3 +63,54 @@ def test_joined_texts(texts):
     starts, raw = substring_dedup._joined(column)
     coded = [(t or "").encode() for t in texts]
     assert raw.tobytes() == b"".join(coded) and starts.tolist() == np.cumsum([0, *map(len, coded)]).tolist()
+
+
+class _Rows:
+    """Runs what map_arrow gives to Spark on batches of its own."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter(self.batches)))
+
+
+def test_encoder_stays_for_tasks_that_use_it_only():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = _Rows(pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words, and some more"])], ["doc_id", "text"]))
+    common.map_arrow(rows, packing._cut(path, 2048, 0), "", using=tokens.ENCODERS)
+    first = tokens.encoder(path, True)
+    common.map_arrow(rows, packing._cut(path, 2048, 0), "", using=tokens.ENCODERS)
+    assert tokens.encoder(path, True) is first
+    common.map_arrow(rows, near_dedup._facts(5), "")
+    assert not common._KEPT
+    assert tokens.encoder(path, True) is not first
+    substring_dedup._alone(lambda group: group)(None)
+    assert not common._KEPT
+
+
+def test_table_of_parts_stays_small():
+    coder = tokens.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    for k in range(4):
+        words = [f"w{i:x}q" for i in range(100_000 * k, 100_000 * (k + 1))]
+        coder.encode([" ".join(words[i:i + 1000]) for i in range(0, len(words), 1000)])
+        assert len(coder.known) <= 310_000
+
+
+def test_freed_memory_goes_back():
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize() / 1e6
+
+    def fn(batches):
+        for b in batches:
+            # Small blocks are taken from the allocator's own heap; the last one keeps the rest from being cut off.
+            blocks = [bytes(20_000) for _ in range(10_000)]
+            last.append(bytes(20_000))
+            del blocks
+            yield b
+
+    last = []
+    before = held()
+    common.map_arrow(_Rows(pa.RecordBatch.from_arrays([pa.array([1])], ["doc_id"])), fn, "")
+    assert held() < before + 100

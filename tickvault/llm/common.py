@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -44,9 +45,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# What a Python worker keeps from task to task, by operator: it runs tasks of all operators in turn.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """What this worker keeps under ``name``, until a task begins that does not use it."""
+    return _KEPT.setdefault(name, {})
+
+
+def forget(using: str | None = None) -> None:
+    """Drop what tasks of other operators have left in this worker."""
+    for name in _KEPT.keys() - {using}:
+        del _KEPT[name]
+
+
+def give_back() -> None:
+    """Return freed memory to the machine. Allocators keep it for a worker's later tasks, but beside an
+    executor's heap there is little room for what each of its workers once needed at most."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+              schema: str, using: str | None = None) -> DataFrame:
+    """``df.mapInArrow``, in workers that keep nothing beyond a task but what is ``kept`` under ``using``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(using)
+        yield from fn(batches)
+        give_back()
+    return df.mapInArrow(run, schema)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickvault.llm.common import map_arrow, materialise, query, rebatch, table
-from tickvault.llm.tokens import encoder
+from tickvault.llm.tokens import ENCODERS, encoder
 
 CAPACITY = 2048
 END_ID = 0
 ROWS_PER_RANK_BUCKET = 250_000
 # Characters encoded at a time: an executor's heap leaves its Python workers little memory.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 
 
 class CapacityTree:
@@ -132,7 +132,7 @@ def _place(runs: np.ndarray, capacity: int):
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids with the end id."""
     return map_arrow(docs.select("doc_id", "text"), _cut(tokenizer_path, capacity, end_id),
-                     "doc_id long, piece int, start long, length long, ids_crc32 long")
+                     "doc_id long, piece int, start long, length long, ids_crc32 long", using=ENCODERS)
 
 
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

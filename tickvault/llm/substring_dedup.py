@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickvault.llm.common import query, shuffle_partitions, table, volume
+from tickvault.llm.common import forget, give_back, query, shuffle_partitions, table, volume
 from tickvault.llm.exact_dedup import rice_decode, rice_encode, rice_parameter
 
 LENGTH = 50
@@ -420,6 +420,26 @@ def _remove(length: int, owner_bits: int, with_text: bool, carried: list[str]):
     return run
 
 
+def _alone(fn):
+    """``fn`` of a group, in a worker that keeps nothing of other operators or of other groups."""
+    def run(rows: pa.Table) -> pa.Table:
+        forget()
+        out = fn(rows)
+        give_back()
+        return out
+    return run
+
+
+def _alone_with(fn):
+    """The same for a group and what it is grouped with."""
+    def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        forget()
+        out = fn(rows, replies)
+        give_back()
+        return out
+    return run
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True,
                    carried: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_text, kept_sha256 and the
@@ -442,14 +462,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     texts = (docs.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "text", *carried)
              .withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)))
              .repartition(n_blocks, "block"))
-    lists = texts.groupBy("block").applyInArrow(_send_anchors(length, owner_bits), _ddl(_LISTS))
-    repeated = lists.groupBy("owner").applyInArrow(_repeated_anchors(HOT_RUNS), _ddl(_REPLY))
+    lists = texts.groupBy("block").applyInArrow(_alone(_send_anchors(length, owner_bits)), _ddl(_LISTS))
+    repeated = lists.groupBy("owner").applyInArrow(_alone(_repeated_anchors(HOT_RUNS)), _ddl(_REPLY))
     stretches = (texts.groupBy("block").cogroup(repeated.groupBy("block"))
-                 .applyInArrow(_send_stretches(length, owner_bits), _ddl(_ENTRIES)))
-    answers = stretches.groupBy("owner").applyInArrow(_owner(length), _ddl(_REPLY))
+                 .applyInArrow(_alone_with(_send_stretches(length, owner_bits)), _ddl(_ENTRIES)))
+    answers = stretches.groupBy("owner").applyInArrow(_alone(_owner(length)), _ddl(_REPLY))
     ddl = ", ".join([_ddl(_RESULT), *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried]])
     return (texts.groupBy("block").cogroup(repeated.unionByName(answers).groupBy("block"))
-            .applyInArrow(_remove(length, owner_bits, with_text, list(carried)), ddl))
+            .applyInArrow(_alone_with(_remove(length, owner_bits, with_text, list(carried))), ddl))
 
 
 @query("op3_substring_dedup")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickvault.llm.common import map_arrow, materialise, query, rebatch, shuffle_partitions, table
-from tickvault.llm.tokens import encoder
+from tickvault.llm.tokens import ENCODERS, encoder
 
 BLOCK = 256
 PERCENTILE = 95
@@ -172,7 +172,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID
     ordered = (docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(spark), "doc_id")
                .sortWithinPartitions("doc_id"))
     shards = map_arrow(ordered, _writer(tokenizer_path, end_id),
-                       "part int, seq int, n_docs long, n_ids long, image binary")
+                       "part int, seq int, n_docs long, n_ids long, image binary", using=ENCODERS)
     return materialise(shards, "token-files")
 
 

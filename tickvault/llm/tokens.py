@@ -19,7 +19,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_ENTRIES = 700_000
+from tickvault.llm.common import kept
+
+ENCODERS = "piece encoders"
+# Lookups hash the whole table for each batch, so a larger one takes more memory and no less time.
+CACHE_ENTRIES = 300_000
 CACHED_CHARS = 64
 JOINED = 200
 # Texts handed to the library at a time: it keeps much beside the ids of each.
@@ -190,11 +194,9 @@ class PieceEncoder:
         return out
 
 
-_ENCODERS: dict[tuple, PieceEncoder] = {}
-
-
 def encoder(path: str, spaced: bool) -> PieceEncoder:
-    """The encoder of this Python worker; its cache outlives a task."""
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = PieceEncoder(path, spaced)
-    return _ENCODERS[path, spaced]
+    """The encoder of this Python worker; its cache outlives a task that is said to use ``ENCODERS``."""
+    held = kept(ENCODERS)
+    if (path, spaced) not in held:
+        held[path, spaced] = PieceEncoder(path, spaced)
+    return held[path, spaced]
