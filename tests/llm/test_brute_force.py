@@ -4,10 +4,12 @@ import collections
 import hashlib
 import random
 import struct
+import time
 import zlib
 from html.parser import HTMLParser
 
 import duckdb
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -284,3 +286,53 @@ def test_repeats_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
     one, other = (substring_dedup.Block(rows.take(order), 50) for order in ([0, 1, 2], [2, 0, 1]))
     assert one.raw.tobytes() == other.raw.tobytes() and (one.first == other.first).all()
     assert (one.hashes == other.hashes).all() and (one.doc == other.doc).all()
+
+
+def test_lists_of_anchors_come_back():
+    rng = np.random.default_rng(5)
+    for sizes in ([1], [3, 1, 8, 200], [7, 9, 16, 1, 1]):
+        parts = [np.unique(rng.integers(0, 1 << 40, n, dtype=np.uint64)) for n in sizes]
+        parts[0][0] = 0
+        n = np.array([len(p) for p in parts])
+        for k in (0, 28, 31) if len(sizes) == 1 else (28, 31, 39):
+            values = np.concatenate(parts) if k else np.arange(n.sum(), dtype=np.uint64)
+            unary, low = substring_dedup.code_lists(values, n, k)
+            back = substring_dedup.decode_lists(pa.chunked_array([unary]), pa.chunked_array([low]), n, np.full(len(n), k))
+            assert back.tolist() == values.tolist()
+
+
+@pytest.mark.parametrize("length", [32, 50])
+def test_same_strings_are_found_once(length):
+    rng = random.Random(length)
+    words = ["".join(rng.choice("ab") for _ in range(length + rng.randint(0, 40))) for _ in range(60)]
+    said = [rng.choice(words) for _ in range(900)]
+    sizes = np.array([len(w) for w in said])
+    raw = np.frombuffer("".join(said).encode(), np.uint8)
+    order, begin = substring_dedup._same(raw, np.cumsum(sizes) - sizes, sizes)
+    groups = [{said[i] for i in part} for part in np.split(order, begin[1:])]
+    assert all(len(g) == 1 for g in groups) and sorted(w for g in groups for w in g) == sorted(set(said))
+
+
+def test_work_of_a_block_does_not_grow_with_the_owners():
+    """With more input come more owners; a block sends each of them less, for about the same work."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    lines = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(5000)]
+    said = ["\n".join(rng.choice(lines) for _ in range(8)) for _ in range(1500)]
+    rows = pa.table({"doc_id": pa.array(range(1500), pa.int64()), "text": said, "block": pa.array([0] * 1500, pa.int64())})
+
+    def work(bits):
+        t = time.process_time()
+        lists = substring_dedup._send_anchors(50, bits)(rows)
+        sent = time.process_time() - t
+        replies = substring_dedup._repeated_anchors(1 << 16)(lists.slice(0, 1)).slice(0, 0)
+        every = [substring_dedup._repeated_anchors(1 << 16)(lists.slice(i, 1)) for i in range(lists.num_rows)]
+        t = time.process_time()
+        out = substring_dedup._send_stretches(50, bits)(rows, pa.concat_tables([replies, *every]))
+        return sent + time.process_time() - t, sum(map(len, out["bytes"].to_pylist())), out.num_rows
+
+    work(4)
+    few, much, owners = work(4)
+    many, as_much, more_owners = work(13)
+    assert as_much == much > 100_000 and owners == 16 and more_owners > 4000
+    assert many < 4 * few + 2

@@ -23,22 +23,23 @@ the string's own hash, so that all owners share the work of that anchor.
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickvault.llm.common import forget, give_back, query, shuffle_partitions, table, volume
-from tickvault.llm.exact_dedup import rice_decode, rice_encode, rice_parameter
+from tickvault.llm.exact_dedup import rice_parameter
 
 LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 8 << 20
 OWNER_BYTES = 4 << 20
-SLICE = 1 << 18
+SLICE = 1 << 16
+SLICE_ROWS = 1 << 15
 HASH_BITS = 40
 HOT_RUNS = 1 << 16
 COUNTED = 4
@@ -86,12 +87,13 @@ def anchored_runs(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
             width *= 2
         low = np.minimum(low[:n], low[span - width:span - width + n])
         anchor = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        at = np.arange(a, a + n)
-        text = np.searchsorted(starts, at, "right")
-        inside = at + length <= starts[np.minimum(text, len(starts) - 1)]
-        first = np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))
+        first = np.append(True, anchor[1:] != anchor[:-1])
+        cuts = starts[np.searchsorted(starts, a):np.searchsorted(starts, a + n)] - a
+        first[cuts] = True
         begin = np.flatnonzero(first)
-        usable = np.add.reduceat(inside.astype(np.int64), begin)
+        # Of a run within a text, the starts count whose strings end within the text too.
+        last = starts[np.minimum(np.searchsorted(starts, begin + a, "right"), len(starts) - 1)] - a - length
+        usable = np.minimum(np.append(begin[1:], n) - 1, last) - begin + 1
         some = usable > 0
         # Anchors have low hashes; mixed again, they spread over the owners' ranges evenly.
         mixed = (h[anchor[begin[some]]] ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xD6E8FEB86659FD93)
@@ -100,15 +102,121 @@ def anchored_runs(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _joined(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets of texts, its length last, all their bytes), as Arrow has them beside each other."""
-    texts = pa.concat_arrays([c.fill_null("") for c in texts.cast(pa.large_string()).chunks] or [pa.array([], pa.large_string())])
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+def _joined(values: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of texts or byte strings, their length last, all their bytes), as Arrow has them beside each other."""
+    values = pa.concat_arrays([c.cast(pa.large_binary()).fill_null(b"") for c in values.chunks] or [pa.array([], pa.large_binary())])
+    _, offsets, data = values.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[values.offset:values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return offsets - offsets[0], raw[offsets[0]:offsets[-1]]
 
 
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The bytes of ``data`` cut at these offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _ends(counts: np.ndarray) -> np.ndarray:
+    """0 and the running sums: where parts of these sizes begin and end."""
+    return np.append(0, np.cumsum(counts, dtype=np.int64))
+
+
+def _spread(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts[i]`` numbers from ``begins[i]`` on, for each i in turn."""
+    ends = _ends(counts)
+    return np.repeat(begins - ends[:-1], counts) + np.arange(ends[-1])
+
+
+def _cut(raw: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of the strings at these positions, one after the other."""
+    return np.concatenate([np.zeros(0, np.uint8), *[raw[_spread(at[a:a + SLICE_ROWS], sizes[a:a + SLICE_ROWS])]
+                                                    for a in range(0, len(at), SLICE_ROWS)]])
+
+
+def _pack(flags: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits of flags in parts of these sizes, each from a byte of its own on; offsets of the parts)."""
+    at = _ends((counts + 7) // 8)
+    bits = np.zeros(8 * at[-1], np.uint8)
+    bits[_spread(8 * at[:-1], counts)] = flags
+    return np.packbits(bits), at
+
+
+def _unpack(data: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The flags whose bits begin at these bytes."""
+    return np.unpackbits(data)[_spread(8 * begins, counts)].astype(bool)
+
+
+def code_lists(values: np.ndarray, counts: np.ndarray, k: int) -> tuple[pa.Array, pa.Array]:
+    """Lists of sorted distinct values, one after the other, each Rice-coded: (unary quotients of gaps, their k low bits)."""
+    ends = _ends(counts)
+    gaps = np.diff(values, prepend=np.uint64(0))
+    gaps[ends[:-1]] = values[ends[:-1]]
+    stop = _ends((gaps >> np.uint64(k)).astype(np.int64) + 1)
+    at = _ends((np.diff(stop[ends]) + 7) // 8)
+    unary = np.zeros(8 * at[-1], np.uint8)
+    unary[stop[1:] - 1 + np.repeat(8 * at[:-1] - stop[ends[:-1]], counts)] = 1
+    # Each list begins at a row whose number divides by 8, and so with a byte of its own.
+    rows = _ends((counts + 7) // 8 * 8)
+    spaced = np.zeros(rows[-1], "<u8")
+    spaced[_spread(rows[:-1], counts)] = gaps
+    low = [np.zeros(0, np.uint8)]
+    for a in range(0, len(spaced), SLICE_ROWS):
+        bits = np.unpackbits(spaced[a:a + SLICE_ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        low.append(np.packbits(bits[:, :k], bitorder="little"))
+    return _binary(np.packbits(unary), at), _binary(np.concatenate(low), rows // 8 * k)
+
+
+def decode_lists(unary: pa.ChunkedArray, low: pa.ChunkedArray, counts: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The values of lists of these sizes, one after the other."""
+    at, data = _joined(unary)
+    stop = np.flatnonzero(np.unpackbits(data))
+    heads = _ends(counts)[:-1][counts > 0]
+    gaps = np.diff(stop, prepend=-1) - 1
+    gaps[heads] = stop[heads] - 8 * at[:-1][counts > 0]
+    at, data = _joined(low)
+    each = np.repeat(k, counts)
+    bit = np.repeat(8 * at[:-1], counts) + _spread(np.zeros(len(counts), np.int64), counts) * each
+    words = _words(np.append(data, np.zeros(8, np.uint8)))
+    each = each.astype(np.uint64)
+    gaps = gaps.astype(np.uint64) << each | words[bit >> 3] >> (bit & 7).astype(np.uint64) & ((np.uint64(1) << each) - np.uint64(1))
+    sums = np.cumsum(gaps, dtype=np.uint64)
+    return sums - np.repeat(sums[heads] - gaps[heads], counts[counts > 0])
+
+
+def _same(raw: np.ndarray, at: np.ndarray, sizes: np.ndarray, owners: np.ndarray | None = None, owner_bits: int = 0
+          ) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the strings at these positions, sorted by owner; where in it a new one begins).
+
+    Strings of one group are equal byte by byte. Equal ones can be in two groups, if their hash
+    is that of another string; the order depends on the strings and their places alone.
+    """
+    words = np.ndarray((max(0, len(raw) - 7),), "<u8", raw, 0, (1,))
+    steps = range(0, int(sizes.max(initial=0)), 8)
+    h = sizes.astype(np.uint64)
+    live = np.arange(len(at))
+    for k in steps:
+        live = live[sizes[live] > k]
+        x = (h[live] ^ words[at[live] + np.minimum(k, sizes[live] - 8)]) * np.uint64(0x9E3779B97F4A7C15)
+        h[live] = x ^ (x >> np.uint64(32))
+    if owners is not None:
+        h = h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(owner_bits) | owners.astype(np.uint64) << np.uint64(64 - owner_bits)
+    order = np.argsort(h, kind="stable")
+    h, at, sizes = h[order], at[order], sizes[order]
+    if not len(order):
+        return order, order
+    like = np.flatnonzero((h[1:] == h[:-1]) & (sizes[1:] == sizes[:-1]))
+    live = np.arange(len(like))
+    equal = np.ones(len(like), bool)
+    for k in steps:
+        live = live[sizes[like[live]] > k]
+        i = like[live]
+        step = np.minimum(k, sizes[i] - 8)
+        equal[live] &= words[at[i] + step] == words[at[i + 1] + step]
+    new = np.ones(len(order), bool)
+    new[like[equal] + 1] = False
+    return order, np.flatnonzero(new)
+
+
 def _covered(begins: np.ndarray, length: int) -> np.ndarray:
     """Whether any of the last ``length`` marks up to each place is set."""
     out, width = begins.copy(), 1
@@ -131,76 +239,64 @@ class Block:
         self.hashes, self.first, self.count = anchored_runs(self.raw, self.starts, length)
         self.doc = self.ids[np.searchsorted(self.starts, self.first, "right") - 1]
 
-    def anchors(self, owner_bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(owner, distinct anchors in order, whether several documents here have each, runs of each)."""
+    def anchors(self, owner_bits: int) -> tuple[np.ndarray, ...]:
+        """(runs in the order of their anchors, distinct anchors, number of runs of each, owners that have
+        any, number of anchors of each owner)."""
         short = self.hashes >> np.uint64(64 - owner_bits - HASH_BITS)
-        order = np.lexsort((self.doc, short))
-        h, d = short[order], self.doc[order]
-        begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        if not len(begin):
-            return
-        several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
-        values, runs = h[begin], np.diff(np.append(begin, len(h)))
-        owners = (values >> np.uint64(HASH_BITS)).astype(np.int64)
-        for owner in np.unique(owners):
-            mine = owners == owner
-            yield int(owner), values[mine], several[mine], runs[mine]
+        order = np.argsort(short, kind="stable")
+        h = short[order]
+        begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])[:len(h)])
+        values = h[begin]
+        owners, counts = np.unique((values >> np.uint64(HASH_BITS)).astype(np.int64), return_counts=True)
+        return order, values, np.diff(np.append(begin, len(h))), owners, counts
 
-    def stretches(self, owner_bits: int, repeated: dict[int, tuple]) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-        """(owner, distinct stretches in order, their rows of ``places`` one stretch after the other,
-        how many rows each has).
+    def repeats(self, owner_bits: int, repeated: pa.Table) -> tuple[np.ndarray, ...]:
+        """(owners of the distinct stretches in order, their sizes, their rows of ``places`` one stretch after
+        the other, how many rows each has).
 
         A string of a hot anchor is a stretch of its own.
         """
-        short = self.hashes >> np.uint64(64 - owner_bits - HASH_BITS)
-        whole: dict[int, np.ndarray] = {}
-        hot = [np.zeros(0, np.int64)]
-        for owner, values, _, _ in self.anchors(owner_bits):
-            if owner not in repeated:
-                continue
-            data, many = repeated[owner]
-            flags = np.unpackbits(np.frombuffer(data, np.uint8), count=len(values)).astype(bool)
-            wanted = values[flags]
-            if not len(wanted):
-                continue
-            lo, hi = np.uint64(owner) << np.uint64(HASH_BITS), np.uint64(owner + 1) << np.uint64(HASH_BITS)
-            runs = np.flatnonzero((short >= lo) & (short < hi))
-            near = np.minimum(np.searchsorted(wanted, short[runs]), len(wanted) - 1)
-            found = wanted[near] == short[runs]
-            runs, near = runs[found], near[found]
-            if many is not None:
-                apart = np.unpackbits(np.frombuffer(many, np.uint8), count=len(values)).astype(bool)[flags][near]
-                hot.append(runs[apart])
-                runs = runs[~apart]
-            whole[owner] = runs
-        split = np.concatenate(hot)
+        order, values, runs, owners, counts = self.anchors(owner_bits)
+        said = np.zeros(len(values), bool)
+        hot = said.copy()
+        known = repeated.column("owner").to_numpy()
+        if len(known) and len(owners):
+            near = np.minimum(np.searchsorted(known, owners), len(known) - 1)
+            found = known[near] == owners
+            mine, near, n = np.repeat(found, counts), near[found], counts[found]
+            at, data = _joined(repeated.column("data"))
+            said[mine] = _unpack(data, at[near], n)
+            at, data = _joined(repeated.column("runs"))
+            if len(data):
+                any_ = (at[1:] > at[:-1])[near]
+                mine[mine] = np.repeat(any_, n)
+                hot[mine] = _unpack(data, at[near[any_]], n[any_])
+        whole = order[np.repeat(said & ~hot, runs)]
+        split = np.sort(order[np.repeat(said & hot, runs)])
         n = self.count[split]
-        at = np.repeat(self.first[split] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = _spread(self.first[split], n)
         self.places = np.append(self.first, at)
         self.place_doc = np.append(self.doc, np.repeat(self.doc[split], n))
-        strings: dict[int, np.ndarray] = {}
+        sizes = np.append(self.count + (self.length - 1), np.full(len(at), self.length))
+        to = (self.hashes >> np.uint64(64 - owner_bits)).astype(np.int64)
         if len(at):
             mixed = _string_hashes(_words(self.raw), at, self.length) * np.uint64(0xD6E8FEB86659FD93)
-            to = (mixed >> np.uint64(64 - owner_bits)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            cuts = np.flatnonzero(np.diff(to[order])) + 1
-            strings = {int(to[part[0]]): part + len(self.first) for part in np.split(order, cuts)}
-        more = self.length - 1
-        raw = self.raw.data
-        none = np.zeros(0, np.int64)
-        for owner in sorted(whole.keys() | strings.keys()):
-            of: dict[bytes, list[int]] = {}
-            runs = whole.get(owner, none)
-            for r, a, n in zip(runs.tolist(), self.first[runs].tolist(), self.count[runs].tolist()):
-                of.setdefault(bytes(raw[a:a + n + more]), []).append(r)
-            rows = strings.get(owner, none)
-            for r, a in zip(rows.tolist(), self.places[rows].tolist()):
-                of.setdefault(bytes(raw[a:a + self.length]), []).append(r)
-            if of:
-                keys = sorted(of)
-                lists = [of[k] for k in keys]
-                counts = np.fromiter(map(len, lists), np.int64, len(lists))
-                yield owner, keys, np.fromiter(itertools.chain.from_iterable(lists), np.int64, counts.sum()), counts
+            to = np.append(to, (mixed >> np.uint64(64 - owner_bits)).astype(np.int64))
+        rows = np.append(whole, np.arange(len(self.first), len(self.places)))
+        order, begin = _same(self.raw, self.places[rows], sizes[rows], to[rows], owner_bits)
+        rows = rows[order]
+        return to[rows[begin]], sizes[rows[begin]], rows, np.diff(np.append(begin, len(rows)))
+
+    def stretches(self, owner_bits: int, repeated: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(owner, sizes of its distinct stretches, one row of ``places`` of each, the least doc_id of each)."""
+        owners, sizes, rows, counts = self.repeats(owner_bits, repeated)
+        if not len(owners):
+            return
+        begin = _ends(counts)[:-1]
+        rows, least = rows[begin], np.minimum.reduceat(self.place_doc[rows], begin)
+        cuts = np.append(np.flatnonzero(np.append(True, owners[1:] != owners[:-1])), len(owners))
+        for a, e, owner in zip(cuts[:-1].tolist(), cuts[1:].tolist(), owners[cuts[:-1]].tolist()):
+            yield owner, sizes[a:e], rows[a:e], least[a:e]
 
 
 def refine(text: np.ndarray, length: int) -> np.ndarray:
@@ -257,26 +353,27 @@ def _shared(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def least_ids(stretches: list[bytes], ids: np.ndarray, length: int) -> np.ndarray:
+def least_ids(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """For each string start of each stretch in turn, the least id of a stretch with that string.
 
-    Strings with a hash of their own are equal to no other; buckets are refined over the
-    stretches that hold any of the rest.
+    The stretches have these sizes and lie in ``text`` one after the other. Strings with a hash of
+    their own are equal to no other; buckets are refined over the stretches that hold any of the rest.
     """
-    of, at = _string_starts(np.array([len(s) for s in stretches]), length)
+    of, at = _string_starts(sizes, length)
     least = ids[of]
-    shared = _shared(np.frombuffer(b"".join(stretches), np.uint8), at, length)
+    shared = _shared(text, at, length)
     some = np.unique(of[shared])
     if len(some):
-        part = [stretches[k] for k in some.tolist()]
-        inner, at = _string_starts(np.array([len(s) for s in part]), length)
-        pointer = refine(np.frombuffer(b"".join(part), np.uint8), length)[at]
+        inner, at = _string_starts(sizes[some], length)
+        pointer = refine(_cut(text, _ends(sizes)[some], sizes[some]), length)[at]
         order = np.argsort(pointer, kind="stable")
         groups = np.flatnonzero(np.append(True, np.diff(pointer[order]) != 0))
         found = np.empty(len(at), np.int64)
         found[order] = np.repeat(np.minimum.reduceat(ids[some[inner]][order], groups),
                                  np.diff(np.append(groups, len(order))))
-        least[np.isin(of, some)] = found
+        within = np.zeros(len(sizes), bool)
+        within[some] = True
+        least[within[of]] = found
     return least
 
 
@@ -300,45 +397,59 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
+def _columns(schema: pa.Schema, length: int, **columns) -> pa.Table:
+    """A table of ``length`` rows; a single number stands for a column of it."""
+    return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.broadcast_to(c, length), f.type)
+                                 for f, c in ((f, columns[f.name]) for f in schema)], schema=schema)
+
+
 def _send_anchors(length: int, owner_bits: int):
     def run(rows: pa.Table) -> pa.Table:
-        block, out = rows.column("block")[0].as_py(), []
-        for owner, values, several, runs in Block(rows, length).anchors(owner_bits):
-            local = values & np.uint64((1 << HASH_BITS) - 1)
-            k = rice_parameter(1 << HASH_BITS, len(local))
-            # Numbers of runs matter only where they are large in sum: small ones count as one.
-            some = np.flatnonzero(runs >= COUNTED)
-            more = np.concatenate([some, runs[some] - 1]).astype("<u4").tobytes()
-            out.append((owner, block, len(local), k, *rice_encode(local, k), np.packbits(several).tobytes(), more))
-        return _table(out, _LISTS)
+        block, b = rows.column("block")[0].as_py(), Block(rows, length)
+        order, values, runs, owners, counts = b.anchors(owner_bits)
+        if not len(owners):
+            return _table([], _LISTS)
+        k = rice_parameter(1 << HASH_BITS, len(values) // len(owners))
+        unary, low = code_lists(values & np.uint64((1 << HASH_BITS) - 1), counts, k)
+        # Runs lie in the order of their documents, and so do those of one anchor.
+        ends, doc = _ends(runs), b.doc[order]
+        several = doc[ends[:-1]] != doc[ends[1:] - 1]
+        # Numbers of runs matter only where they are large in sum: small ones count as one.
+        cuts = _ends(counts)
+        some = np.flatnonzero(runs >= COUNTED)
+        list_ = np.searchsorted(cuts, some, "right") - 1
+        more = np.stack([some - cuts[list_], runs[some] - 1], axis=1).astype("<u4")
+        return _columns(_LISTS, len(owners), owner=owners, block=block, n=counts, k=k, unary=unary, low=low,
+                        again=_binary(*_pack(several, counts)),
+                        more=_binary(more, 8 * _ends(np.bincount(list_, minlength=len(owners)))))
     return run
 
 
 def _repeated_anchors(hot_runs: int):
-    """Per list, a bitmap of its repeated anchors, and one of the hot ones if any is."""
+    """Per list, a bitmap of its repeated anchors, and one of the hot ones if the owner has any."""
     def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        lists = [rice_decode(r["unary"], r["low"], r["n"], r["k"]) for r in rows]
-        again = [np.unpackbits(np.frombuffer(r["again"], np.uint8), count=r["n"]).astype(bool) for r in rows]
-        _, where, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        n = group.column("n").to_numpy().astype(np.int64)
+        values = decode_lists(group.column("unary"), group.column("low"), n, group.column("k").to_numpy().astype(np.int64))
+        _, where, counts = np.unique(values, return_inverse=True, return_counts=True)
         hit = counts > 1
-        hit[where[np.concatenate(again)]] = True
-        cuts = np.cumsum([len(x) for x in lists])[:-1]
-        runs = counts.astype(np.int64)
-        for r, mine in zip(rows, np.split(where, cuts)):
-            at, more = np.frombuffer(r["more"], "<u4").reshape(2, -1)
-            # A list has an anchor once, so no place is added to twice.
-            runs[mine[at]] += more
-        hot = runs > hot_runs
-        many = np.split(hot[where], cuts)
-        flags = np.split(hit[where], cuts)
-        return _table([(r["block"], r["owner"], 0, np.packbits(f).tobytes(), np.packbits(m).tobytes() if m.any() else None)
-                       for r, f, m in zip(rows, flags, many)], _REPLY)
+        at, data = _joined(group.column("again"))
+        hit[where[_unpack(data, at[:-1], n)]] = True
+        at, data = _joined(group.column("more"))
+        more = np.frombuffer(data.tobytes(), "<u4").reshape(-1, 2).astype(np.int64)
+        of = more[:, 0] + np.repeat(_ends(n)[:-1], np.diff(at) // 8)
+        hot = counts + np.bincount(where[of], more[:, 1], len(counts)) > hot_runs
+        runs = _binary(*_pack(hot[where], n)) if hot.any() else pa.nulls(len(n), pa.binary())
+        return _columns(_REPLY, len(n), block=group.column("block").to_numpy(), owner=group.column("owner").to_numpy(), kind=0,
+                        data=_binary(*_pack(hit[where], n)), runs=runs)
     return run
 
 
-def _bitmaps(replies: pa.Table) -> dict[int, tuple]:
-    return {r["owner"]: (r["data"], r["runs"]) for r in replies.to_pylist() if r["kind"] == 0}
+def _of_kind(replies: pa.Table, kind: int) -> pa.Table:
+    return replies.filter(pc.equal(replies.column("kind"), kind)).sort_by("owner")
+
+
+def _bitmaps(replies: pa.Table) -> pa.Table:
+    return _of_kind(replies, 0)
 
 
 def _send_stretches(length: int, owner_bits: int):
@@ -348,9 +459,8 @@ def _send_stretches(length: int, owner_bits: int):
         block = rows.column("block")[0].as_py()
         b = Block(rows, length)
         out = []
-        for owner, keys, at, counts in b.stretches(owner_bits, _bitmaps(replies)):
-            least = np.minimum.reduceat(b.place_doc[at], np.cumsum(counts) - counts)
-            out.append((owner, block, np.array([len(k) for k in keys], "<u2").tobytes(), b"".join(keys),
+        for owner, sizes, at, least in b.stretches(owner_bits, _bitmaps(replies)):
+            out.append((owner, block, sizes.astype("<u2").tobytes(), _cut(b.raw, b.places[at], sizes).tobytes(),
                         least.astype("<i8").tobytes()))
         return _table(out, _ENTRIES)
     return run
@@ -358,52 +468,55 @@ def _send_stretches(length: int, owner_bits: int):
 
 def _owner(length: int):
     def run(group: pa.Table) -> pa.Table:
-        index: dict[bytes, int] = {}
-        ids: list[int] = []
-        blocks = []
-        for r in group.to_pylist():
-            at, raw, mine = 0, r["bytes"], []
-            for n, i in zip(np.frombuffer(r["sizes"], "<u2").tolist(), np.frombuffer(r["ids"], "<i8").tolist()):
-                k = index.setdefault(raw[at:at + n], len(index))
-                if k == len(ids):
-                    ids.append(i)
-                elif i < ids[k]:
-                    ids[k] = i
-                mine.append(k)
-                at += n
-            blocks.append((r["block"], r["owner"], mine))
-        stretches = list(index)
-        least = least_ids(stretches, np.array(ids, np.int64), length)
+        at, data = _joined(group.column("sizes"))
+        lists = np.diff(at) // 2
+        sizes = np.frombuffer(data.tobytes(), "<u2").astype(np.int64)
+        ids = np.frombuffer(_joined(group.column("ids"))[1].tobytes(), "<i8")
+        text = _joined(group.column("bytes"))[1]
+        order, begin = _same(text, _ends(sizes)[:-1], sizes)
+        one, of = order[begin], np.empty(len(order), np.int64)
+        of[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+        text, ids = _cut(text, _ends(sizes)[one], sizes[one]), np.minimum.reduceat(ids[order], begin)
+        least = least_ids(text, sizes[one], ids, length)
         # Each stretch's ids as runs of equal ones: a run ends where the id or the stretch does.
-        ends = np.cumsum([len(x) - length + 1 for x in stretches])
+        ends = _ends(sizes[one] - length + 1)
         new = np.append(True, least[1:] != least[:-1])
         new[ends[:-1]] = True
         cut = np.flatnonzero(new)
-        runs = np.diff(np.append(cut, len(least))).astype("<u2").tobytes()
-        data = least[cut].astype("<i8").tobytes()
-        bound = np.append(0, np.searchsorted(cut, ends)).tolist()
-        return _table([(block, owner, 1, b"".join([data[8 * bound[k]:8 * bound[k + 1]] for k in mine]),
-                        b"".join([runs[2 * bound[k]:2 * bound[k + 1]] for k in mine]))
-                       for block, owner, mine in blocks], _REPLY)
+        bound = np.searchsorted(cut, ends)
+        counts = np.diff(bound)[of]
+        sent = _spread(bound[of], counts)
+        rows = _ends(counts)[_ends(lists)]
+        return _columns(_REPLY, len(lists), block=group.column("block").to_numpy(), owner=group.column("owner").to_numpy(), kind=1,
+                        data=_binary(least[cut][sent].astype("<i8"), 8 * rows),
+                        runs=_binary(np.diff(np.append(cut, len(least)))[sent].astype("<u2"), 2 * rows))
     return run
 
 
 def _remove(length: int, owner_bits: int, with_text: bool, carried: list[str]):
     def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
         b = Block(rows, length)
-        bitmaps = _bitmaps(replies)
-        least = {r["owner"]: r for r in replies.to_pylist() if r["kind"] == 1}
-        # Every string start lies in one place only, so marking the starts of removed strings is enough.
-        begins = np.zeros(len(b.raw) + length, bool)
-        for owner, keys, at, counts in b.stretches(owner_bits, bitmaps):
-            r = least[owner]
-            ids = np.repeat(np.frombuffer(r["data"], "<i8"), np.frombuffer(r["runs"], "<u2"))
-            n = np.fromiter(map(len, keys), np.int64, len(keys)) - (length - 1)
-            from_ = np.repeat(np.cumsum(n) - n, counts)
-            n = np.repeat(n, counts)
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            hit = ids[np.repeat(from_, n) + inside] < np.repeat(b.place_doc[at], n)
-            begins[(np.repeat(b.places[at], n) + inside)[hit]] = True
+        _, sizes, at, counts = b.repeats(owner_bits, _bitmaps(replies))
+        least = _of_kind(replies, 1)
+        ids = np.frombuffer(_joined(least.column("data"))[1].tobytes(), "<i8")
+        runs = np.frombuffer(_joined(least.column("runs"))[1].tobytes(), "<u2").astype(np.int64)
+        # Runs of ids of each stretch, and those of its places.
+        ends, begin = _ends(sizes - length + 1), _ends(runs)
+        if ends[-1] != begin[-1]:
+            raise ValueError("answers of owners do not fit the stretches of the block")
+        bound = np.searchsorted(begin, ends)
+        inside = begin[:-1] - np.repeat(ends[:-1], np.diff(bound))
+        many = np.repeat(np.diff(bound), counts)
+        run_ = _spread(np.repeat(bound[:-1], counts), many)
+        place = np.repeat(at, many)
+        hit = ids[run_] < b.place_doc[place]
+        run_, place = run_[hit], b.places[place[hit]]
+        # Every string start lies in one place only, so marking the starts of removed strings is enough,
+        # and no two runs begin or end at the same one.
+        step = np.zeros(len(b.raw) + length, np.int8)
+        step[place + inside[run_]] += 1
+        step[place + inside[run_] + runs[run_]] -= 1
+        begins = np.cumsum(step, dtype=np.int8).view(bool)
         # A byte goes if a removed string begins at it or less than `length` bytes before it.
         gone = _covered(begins, length)[:len(b.raw)]
         out = []
