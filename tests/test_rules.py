@@ -720,3 +720,44 @@ def test_cuts_of_a_hot_key_are_searched_once_a_row(spark):
     assert plan.count("filter(") <= 8
     sizes = [r["count"] for r in split.groupBy("_b").count().collect()]
     assert sum(sizes) == 400 and max(sizes) <= 20
+
+
+def test_copies_are_counted_without_a_stored_numbering(spark, monkeypatch):
+    """Rows without a column beside their key: no checkpoint and no window, the same ids as by numbering."""
+    from tickvault.functions.columns import surrogate_key
+    day, nan = dt.date(2024, 1, 1), float("nan")
+    some = [("P", "I", 1.0, None, day)] * 3 + [(None, None, None, None, None)] * 2 + [("P", "I", nan, 2.0, day)] * 2 + [("Q", "I", 1.0, 2.0, day)]
+    rows = some + [("P", "HOT", 0.5, 2.0, None)] * 23 + [("P", "Z", 0.0, 0.0, day)] * 2 + [("P", "Z", 0.0, -0.0, day)]
+    schema = "portfolioId string, instrumentId string, quantity double, averageCost double, acquiredDate date"
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    numbers = spark.createDataFrame([(*r, i) for i in range(1, 24) for r in {str(r): r for r in rows}.values()], schema + ", _ordinal long")
+    ids = {r.id for r in numbers.select(surrogate_key("HOLD_", *df.columns, "_ordinal").alias("id")).collect()}
+    for copies in (4, 11, 1 << 12):
+        monkeypatch.setattr(ingest, "COPIES", copies)
+        out = ingest.add_holdings(df.withColumn("note", F.lit("no part of the key")))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "_split" not in plan and "Join" not in plan
+        got = out.collect()
+        assert sorted(str(tuple(r)[1:]) for r in got) == sorted(map(str, rows))
+        assert len({r.holdingId for r in got}) == len(rows)
+        assert {r.holdingId for r in got} <= ids
+
+
+def test_copies_that_differ_beside_their_key_keep_their_rows(spark):
+    day = dt.date(2024, 1, 1)
+    rows = [("P", "I", float(i % 3), float(i), day) for i in range(12)]
+    df = spark.createDataFrame(rows, "portfolioId string, instrumentId string, quantity double, averageCost double, acquiredDate date")
+    got = ingest.add_holdings(df, natural_key=["portfolioId", "quantity"]).collect()
+    assert sorted(tuple(r)[1:] for r in got) == sorted(rows) and len({r.holdingId for r in got}) == 12
+
+
+def test_ids_of_several_rows_are_counted(spark, monkeypatch):
+    """The query on ids of which one stands for several rows, and one has another form."""
+    from tickvault.plans import ingest_queries
+    day = dt.date(2024, 1, 1)
+    rows = [(i, "P", "I", float(n), None, day) for n, i in enumerate(["HOLD_0123456789AB"] * 3 + ["HOLD_0123456789AC", "HOLD_xyz", "HOLD_xyz", "LOT_0123456789AB"])]
+    held = spark.createDataFrame(rows, "holdingId string, portfolioId string, instrumentId string, quantity double, averageCost double, acquiredDate date")
+    monkeypatch.setattr(ingest_queries.driver, "holdings", lambda spark, sf: held.drop("holdingId"))
+    monkeypatch.setattr(ingest_queries.ops, "add_holdings", lambda df: held)
+    got = {r.quantity: (r.idFormed, r.rowsWithId) for r in ingest_queries.q_add_holdings(spark, "").collect()}
+    assert got == {0.0: (True, 3), 1.0: (True, 3), 2.0: (True, 3), 3.0: (True, 1), 4.0: (False, 2), 5.0: (False, 2), 6.0: (False, 1)}

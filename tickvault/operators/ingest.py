@@ -134,17 +134,24 @@ def assign_keys(df: DataFrame, prefix: str, natural_key: list[str], out_col: str
     return out.drop("_ordinal") if ordinal else out
 
 
+# Copies of a row that one task writes in a row of its own list.
+COPIES = 1 << 12
+
+
 def with_copy_ordinal(df: DataFrame, key: list[str]) -> DataFrame:
     """Add ``_ordinal``: 1, 2, ... over the rows sharing ``key``.
 
-    Copies are numbered within their input split first (a window over
+    A row whose key is unique gets 1; null key columns are equal to each other. Where ``df`` has no
+    column beside the key, copies are equal rows: they are counted (``_counted_copies``). Otherwise
+    copies are numbered within their input split first (a window over
     (key, split), so a key repeated across a third of the table is spread
     over all its splits), then offset by the copies in earlier splits (a
-    running sum over one count row per (key, split)). A row whose key is
-    unique gets 1; null key columns are equal to each other. The split numbers are frozen by a reliable checkpoint
+    running sum over one count row per (key, split)). The split numbers are frozen by a reliable checkpoint
     (in ``spark.checkpoint.dir``) before the two uses read them, so both
     see the same numbering and a retry after a lost executor re-reads it.
     """
+    if set(df.columns) <= set(key):
+        return _counted_copies(df)
     split = df.withColumn("_split", F.spark_partition_id()).checkpoint(eager=True)
     w = Window.partitionBy(*key, "_split").orderBy(*key)
     local = split.withColumn("_rn", F.row_number().over(w))
@@ -158,6 +165,30 @@ def with_copy_ordinal(df: DataFrame, key: list[str]) -> DataFrame:
             .drop("_split", "_rn", "_off"))
 
 
+def _counted_copies(df: DataFrame) -> DataFrame:
+    """Every row of ``df`` with ``_ordinal`` 1, 2, ... over its copies: rows are counted, then written
+    out again as often. Nothing is stored, and the result is the same on every run. The copies of a row
+    with over ``COPIES`` of them are dealt over tasks in lists of that many.
+
+    Grouping makes a floating zero positive, so the sign of zeros is part of the group.
+    """
+    cols = df.columns
+    zeros = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    negative = [F.when((F.col(c) == 0) & F.col(c).cast("string").startswith("-"), F.lit(1 << i)).otherwise(F.lit(0))
+                for i, c in enumerate(zeros)]
+    groups = (df.withColumn("_sign", sum(negative[1:], negative[0]) if negative else F.lit(0))
+              .groupBy(*cols, "_sign").agg(F.count(F.lit(1)).alias("_c")))
+    signed = [F.when(F.col("_sign").bitwiseAND(F.lit(1 << zeros.index(c))) != 0, F.lit(-0.0).cast(df.schema[c].dataType))
+              .otherwise(F.col(c)).alias(c) if c in zeros else F.col(c) for c in cols]
+    some = groups.filter(F.col("_c") <= COPIES).select(*signed, F.explode(F.sequence(F.lit(1).cast("long"), "_c")).alias("_ordinal"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = (groups.filter(F.col("_c") > COPIES)
+             .withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), "_c", F.lit(COPIES).cast("long"))))
+             .repartition(tasks, *cols, "_from"))
+    last = F.least(F.col("_c"), F.col("_from") + (COPIES - 1))
+    return some.unionByName(lists.select(*signed, F.explode(F.sequence("_from", last)).alias("_ordinal")))
+
+
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row per key in ``order`` -- a partial ``min_by`` aggregate,
     so a key repeated a billion times still ships one row per task."""
@@ -238,11 +269,10 @@ def add_portfolios(df: DataFrame, created_at=None) -> DataFrame:
 def add_holdings(df: DataFrame, natural_key: list[str] | None = None, row_id: str | None = None) -> DataFrame:
     """Holdings with content-derived ids. Repeated holdings get ids of their own: from the
     column ``row_id`` where it is named (``with_row_identity``; no shuffle), else by an ordinal."""
-    key = natural_key or ["portfolioId", "instrumentId", "quantity", "averageCost",
-                          "acquiredDate"]
-    out = assign_keys(df, "HOLD_", [*key, row_id] if row_id else key, "holdingId", ordinal=row_id is None)
-    return out.select("holdingId", "portfolioId", "instrumentId", "quantity", "averageCost",
-                      "acquiredDate")
+    fields = ["portfolioId", "instrumentId", "quantity", "averageCost", "acquiredDate"]
+    key = [*(natural_key or fields), *([row_id] if row_id else [])]
+    rows = df.select(*dict.fromkeys([*fields, *key]))
+    return assign_keys(rows, "HOLD_", key, "holdingId", ordinal=row_id is None).select("holdingId", *fields)
 
 
 def _write_series(valid: DataFrame, path: str, mode: str) -> int:
