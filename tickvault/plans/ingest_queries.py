@@ -384,15 +384,12 @@ def q_add_holdings(spark, sf_dir):
     h = driver.holdings(spark, sf_dir).withColumn(
         "averageCost", F.when(F.col("quantity") % 7 != 0, F.col("averageCost")))
     out = ops.add_holdings(h.unionByName(h))
-    # All ids are counted (their digits as bytes, an id of another form as it is), but only those of several
-    # rows (by chance, as ids have 48 bits) are joined back: the rows themselves need no shuffle.
-    # The task before the broadcast gets no other ids.
-    digits = F.unhex(F.substring("holdingId", 6, 12))
-    formed = F.concat(F.lit("HOLD_"), F.hex(digits))
-    uses = (out.groupBy(digits.alias("_digits"), F.when(~F.col("holdingId").eqNullSafe(formed), F.col("holdingId")).alias("_other"))
+    # All ids are counted, but only those of several rows (by chance, as ids have 48 bits) are joined back:
+    # the rows themselves need no shuffle. The one task before the broadcast gets no other ids. No id is
+    # null; said so, the join does not work each id out once more to leave nulls out.
+    uses = (out.groupBy(F.coalesce("holdingId", F.lit("")).alias("holdingId"))
             .agg(F.count(F.lit(1)).alias("rowsWithId")))
-    several = uses.filter(F.col("rowsWithId") > 1).repartition(1).select(
-        F.coalesce("_other", F.concat(F.lit("HOLD_"), F.hex("_digits"))).alias("holdingId"), "rowsWithId")
+    several = uses.filter(F.col("rowsWithId") > 1).repartition(1)
     return out.join(F.broadcast(several), "holdingId", "left").select(
         "portfolioId", "instrumentId", "quantity", "averageCost", "acquiredDate",
         F.col("holdingId").rlike("^HOLD_[0-9A-F]{12}$").alias("idFormed"),
